@@ -46,7 +46,7 @@ def materialize(df: DataFrame, path: str, sort: str | None = None) -> DataFrame:
 def bounded_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by bytes as well as rows, unless the session already does."""
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if int(spark.conf.get(key, "0") or 0) in (0, 2**31 - 1, 268435456, 67108864):
+    if not spark.sparkContext.getConf().contains(key):
         spark.conf.set(key, str(BATCH_BYTES))
 
 

@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-from . import pieces, tokens
+from . import language, pieces, quality, tokens
 
 ORACLE: dict[str, str] = {}
 
 
 def queries() -> dict:
     return {
+        "op7_language_id": language.op7_language_id,
+        "op8_quality": quality.op8_quality,
         "op9_token_binary": tokens.op9_token_binary,
         "op10_sentencepiece": pieces.op10_sentencepiece,
     }
