@@ -1,6 +1,7 @@
 """Language identification by compression (operator 7).
 
-Each language has a raw-content zstandard dictionary made of a bounded sample of its documents. A text is cut into pieces of
+Each language has a raw-content zstandard dictionary made of a bounded sample of its documents, in lower case as all texts are
+here. A text is cut into pieces of
 PIECE_BYTES that cover all of it, every piece is compressed with every dictionary, and the language whose sizes add up to least
 wins; equal sums go to the smaller language name. A margin narrower than ``margin`` marks the answer as rejected.
 
@@ -19,7 +20,8 @@ from .common import crc32_mod, map_rows, table
 PIECE_BYTES = 2048
 #: Bounds of the sample: documents a language, characters of each, and languages (their dictionaries sit in every task).
 DOCS_PER_LANGUAGE, CHARS_PER_DOC, MAX_LANGUAGES = 64, 2000, 400
-LEVEL = 3
+#: Match finder: short matches count, since the words of a language differ by a few letters.
+SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 16, "search_log": 4, "min_match": 3}
 #: How fast the score falls with the relative excess of the other languages' sizes.
 SHARPNESS = 40.0
 
@@ -40,7 +42,7 @@ def learn_languages(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE)
     found: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(texts).encode("utf-8", "replace") for lang, texts in found.items()}
+    return {lang: "\n".join(texts).lower().encode("utf-8", "replace") for lang, texts in found.items()}
 
 
 def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01) -> DataFrame:
@@ -57,8 +59,9 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin:
         coders = []
         for name in names:
             d = zstandard.ZstdCompressionDict(dictionaries[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
-            d.precompute_compress(level=LEVEL)
-            coders.append(zstandard.ZstdCompressor(dict_data=d, write_content_size=False, write_checksum=False, write_dict_id=False).compress)
+            how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False, **SEARCH)
+            d.precompute_compress(compression_params=how)
+            coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
         letter = re.compile(r"[^\W\d_]").search
         for pdf in batches:
             out = []
@@ -66,7 +69,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin:
                 if not coders or text is None or not letter(text):
                     out.append(("und", 0.0, 0.0, True))
                     continue
-                data = text.encode("utf-8", "replace")
+                data = text.lower().encode("utf-8", "replace")
                 pieces = [data[i : i + PIECE_BYTES] for i in range(0, len(data), PIECE_BYTES)]
                 sizes = np.array([sum([len(code(x)) for x in pieces]) for code in coders], float)
                 best = int(sizes.argmin())

@@ -1,8 +1,8 @@
 """Document quality by a byte-level convolutional network in numpy (operator 8).
 
 Bytes have learned vectors; learned filters of WIDTH bytes slide over the whole document in steps of STEP. Their outputs are
-max-pooled within overlapping chunks of 2 * BLOCK bytes (each shares half with the next), rectified, and the chunks' mean and
-maximum go into one logistic probability. A document is padded with zero bytes to whole blocks, two at least.
+max-pooled within overlapping chunks of 2 * BLOCK bytes (each shares half with the next), rectified, and the chunks' mean,
+maximum and minimum go into one logistic probability. A document is padded with zero bytes to whole blocks, two at least.
 
 It is trained on the driver from a bounded sample: at most TRAIN_DOCS labelled documents, picked by a hash, and at most
 TRAIN_CHUNKS evenly spaced chunks of each. Scoring covers every byte of every text.
@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from .common import crc32_mod, map_rows, table
 
-BLOCK, WIDTH, STEP, FILTERS, DIMS = 256, 6, 2, 12, 8
+BLOCK, WIDTH, STEP, FILTERS, DIMS = 256, 6, 2, 24, 8
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS = 1500, 6, 14
 THRESHOLD = 0.3
 
@@ -62,7 +62,7 @@ def train(sample: list[tuple[int, list[bytes]]], seed: int = 7) -> dict:
         return {"constant": float(y.mean()) if len(y) else 0.5}
     rng = np.random.default_rng(seed)
     chunks = [np.frombuffer(b"".join(c), np.uint8).reshape(-1, 2 * BLOCK) for _, c in sample]
-    p = {"embed": rng.normal(0, 0.5, (256, DIMS)), "filters": rng.normal(0, 0.3, (WIDTH * DIMS, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, 2 * FILTERS), "base": np.array([np.log(y.mean() / (1 - y.mean()))])}
+    p = {"embed": rng.normal(0, 0.5, (256, DIMS)), "filters": rng.normal(0, 0.3, (WIDTH * DIMS, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, 3 * FILTERS), "base": np.array([np.log(y.mean() / (1 - y.mean()))])}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
     starts = np.arange(0, 2 * BLOCK - WIDTH + 1, STEP)
@@ -81,11 +81,12 @@ def train(sample: list[tuple[int, list[bytes]]], seed: int = 7) -> dict:
             top = np.take_along_axis(out, where[:, None], 1)[:, 0] + p["bias"]
             h = np.maximum(top, 0)
             mean = np.add.reduceat(h, first) / counts[:, None]
-            peak = np.maximum.reduceat(h, first)
-            z = np.concatenate([mean, peak], 1) @ p["out"] + p["base"]
+            peak, least = np.maximum.reduceat(h, first), np.minimum.reduceat(h, first)
+            z = np.concatenate([mean, peak, least], 1) @ p["out"] + p["base"]
             d = (1 / (1 + np.exp(-z)) - y[some]) / len(some)
-            g = {"out": np.concatenate([mean, peak], 1).T @ d + 1e-4 * p["out"], "base": np.array([d.sum()])}
-            dh = (d[:, None] * p["out"][:FILTERS] / counts[:, None])[owner] + (d[:, None] * p["out"][FILTERS:])[owner] * (h == peak[owner])
+            g = {"out": np.concatenate([mean, peak, least], 1).T @ d + 1e-4 * p["out"], "base": np.array([d.sum()])}
+            dh = (d[:, None] * p["out"][:FILTERS] / counts[:, None])[owner] + (d[:, None] * p["out"][FILTERS:-FILTERS])[owner] * (h == peak[owner])
+            dh += (d[:, None] * p["out"][-FILTERS:])[owner] * (h == least[owner])
             dh *= top > 0
             g["bias"] = dh.sum(0)
             best = windows[np.arange(len(x))[:, None], where]
@@ -126,7 +127,7 @@ def score_texts(model: dict, texts: list[bytes]):
     h = np.maximum(chunk[keep] + model["bias"], 0).astype(float)
     counts = blocks - 1
     first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-    z = np.concatenate([np.add.reduceat(h, first) / counts[:, None], np.maximum.reduceat(h, first)], 1) @ model["out"] + model["base"]
+    z = np.concatenate([np.add.reduceat(h, first) / counts[:, None], np.maximum.reduceat(h, first), np.minimum.reduceat(h, first)], 1) @ model["out"] + model["base"]
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
