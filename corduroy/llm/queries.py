@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import language, pieces, quality, tokens
+from . import decontaminate, language, pieces, pii, quality, tokens, topk, warc
 
-ORACLE: dict[str, str] = {}
+ORACLE: dict[str, str] = {"op6_topk": topk.ORACLE}
 
 
 def queries() -> dict:
     return {
+        "op1_decontaminate": decontaminate.op1_decontaminate,
+        "op2_pii": pii.op2_pii,
+        "op3_warc": warc.op3_warc,
+        "op6_topk": topk.op6_topk,
         "op7_language_id": language.op7_language_id,
         "op8_quality": quality.op8_quality,
         "op9_token_binary": tokens.op9_token_binary,

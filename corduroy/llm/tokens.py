@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from .common import map_rows, materialize, open_fs, scratch, table
 
 NULL_ID = -(2**63)
-#: Entries of a worker's memo of encoded chunks; it is emptied when full.
-MEMO_LIMIT = 500_000
+#: Entries of a worker's memo of encoded chunks; when it is full, it becomes the old one, from which chunks seen again come back.
+MEMO_LIMIT = 800_000
 #: White space of the tokenizer's splitting pattern (Unicode White_Space), as a character class.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -49,16 +49,19 @@ def _encoder(path: str):
     width = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4"
     chunks = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
     memo: dict[str, bytes] = {}
+    old: dict[str, bytes] = {}
 
     def encode(texts: list[str]) -> list[bytes]:
+        nonlocal memo, old
         parts = [chunks(x) for x in texts]
-        new = set()
-        for p in parts:
-            new.update(p)
-        new = list(new.difference(memo))
+        new = set().union(*parts).difference(memo)
         if len(memo) + len(new) > MEMO_LIMIT:
-            memo.clear()
-            new = list(set().union(*parts))
+            memo, old = {}, memo
+            new = set().union(*parts)
+        again = new.intersection(old) if old else ()
+        for x in again:
+            memo[x] = old[x]
+        new = list(new.difference(again))
         for i in range(0, len(new), 4096):
             some = new[i : i + 4096]
             for text, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
