@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near, pieces, pii, quality, tokens, topk, warc
+from . import decontaminate, language, near, passages, pieces, pii, quality, tokens, topk, warc
 
 ORACLE: dict[str, str] = {"op6_topk": topk.ORACLE}
 
@@ -12,6 +12,7 @@ def queries() -> dict:
         "op1_decontaminate": decontaminate.op1_decontaminate,
         "op2_pii": pii.op2_pii,
         "op3_warc": warc.op3_warc,
+        "op4_substring_dedup": passages.op4_substring_dedup,
         "op5_near_duplicates": near.op5_near_duplicates,
         "op6_topk": topk.op6_topk,
         "op7_language_id": language.op7_language_id,
