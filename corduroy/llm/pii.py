@@ -136,16 +136,16 @@ def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     pattern = F.lit(PATTERN)
     columns = [c for c in docs.columns if c != "text" and not (counts and (c == "n_values" or c in [f"n_{x}" for x in KINDS]))]
     has = F.col("text").rlike(HINT)
-    rows = docs.select(*columns, "text", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).alias("_found"))
-    some = F.size(F.coalesce("_found", F.array())) > 0
-    values = F.when(some, F.expr(f"transform(_found, m -> {pseudonym_sql(key)})"))
-    rows = rows.withColumn("_values", values)
+    rows = docs.select(*columns, "text", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).alias("__found__"))
+    some = F.size(F.coalesce("__found__", F.array())) > 0
+    values = F.when(some, F.expr(f"transform(__found__, m -> {pseudonym_sql(key)})"))
+    rows = rows.withColumn("__values__", values)
     gaps = F.split("text", PATTERN, -1)
     # one gap more than values: text = gap, value, gap, value, ..., gap
-    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("_found")), F.col("_values.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
+    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("__found__")), F.col("__values__.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
     out = [*columns, F.when(some, filled).otherwise(F.col("text")).alias("text")]
     if counts:
-        kinds = F.coalesce(F.col("_values.kind"), F.array().cast("array<string>"))
+        kinds = F.coalesce(F.col("__values__.kind"), F.array().cast("array<string>"))
         out.append(F.size(F.filter(kinds, lambda k: k.isNotNull())).cast("long").alias("n_values"))
         out += [F.size(F.filter(kinds, _is(x))).cast("long").alias(f"n_{x}") for x in KINDS]
     return rows.select(*out)

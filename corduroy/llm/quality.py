@@ -16,8 +16,9 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import crc32_mod, map_rows, table
+from .common import bounded_batches, crc32_mod, map_rows, table
 
 BLOCK, WIDTH, STEP, FILTERS, DIMS = 256, 6, 2, 24, 8
 TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS = 1500, 6, 14
@@ -131,28 +132,30 @@ def score_texts(model: dict, texts: list[bytes]):
     return 1 / (1 + np.exp(-np.clip(z, -60, 60)))
 
 
-def score_quality(docs: DataFrame, model: dict, extra: list[str] | None = None) -> DataFrame:
-    """doc_id (or the columns named in extra), score: the probability of label 1 for each text."""
-    keep = ["doc_id"] if extra is None else extra
+def score_quality(docs: DataFrame, model: dict, keep: list[str] | None = None, name: str = "score") -> DataFrame:
+    """The columns named in keep (doc_id by default) as they are, with the probability of label 1 of each text as ``name``."""
+    keep = ["doc_id"] if keep is None else keep
+    rows = docs.select(*dict.fromkeys([*keep, "text"]))
+    schema = T.StructType([*(f for f in rows.schema if f.name in keep), T.StructField(name, T.DoubleType())])
 
     def run(batches):
-        for pdf in batches:
-            data = [b"" if x is None else x.encode("utf-8", "replace") for x in pdf["text"]]
+        import pyarrow as pa
+
+        for batch in batches:
+            data = [b"" if x is None else x.encode("utf-8", "replace") for x in batch.column("text").to_pylist()]
             scores, at = [], 0
             while at < len(data):
                 to, size = at, 0
                 while to < len(data) and (to == at or size + len(data[to]) < 2_000_000):
                     size += len(data[to])
                     to += 1
-                scores += list(score_texts(model, data[at:to]))
+                scores.append(score_texts(model, data[at:to]))
                 at = to
-            out = pdf[keep].copy()
-            out["score"] = scores
-            yield out
+            arrays = [batch.column(c) for c in keep]
+            yield pa.RecordBatch.from_arrays([*arrays, pa.array([float(x) for s in scores for x in s], pa.float64())], names=[*keep, name])
 
-    rows = docs.select(*dict.fromkeys([*keep, "text"]))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name in keep) + ", score double"
-    return map_rows(rows, run, schema)
+    bounded_batches(docs.sparkSession)
+    return rows.mapInArrow(run, schema)
 
 
 def quality_model(docs: DataFrame, labels: DataFrame, held_out: bool = True) -> dict:
