@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+from . import analytic, relational
+from .base import REGISTRY
+
+__all__ = ["all_queries", "analytic", "relational"]
+
 
 def all_queries() -> dict:
-    return {}
+    return dict(REGISTRY)
