@@ -180,12 +180,12 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, size: int, perc
     held = texts.join(who.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
     single = map_rows(held, sets, "rep long, s array<long>").select("rep", F.explode("s").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
     lonely = materialize(single.groupBy("rep").agg(F.count("*").alias("single")), f"{path}/single")
-    facts = reps.join(who, "rep", "left_semi").join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("common"), "sketch")
+    facts = reps.join(who, "rep", "left_semi").join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("common"), "sketch", "bands")
     facts = materialize(facts.where(100 * F.col("common") >= percent * F.col("n")), f"{path}/facts")
     left = materialize(open_.select("key", "rep", "component").join(facts, "rep"), f"{path}/left")
     count = materialize(left.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), f"{path}/count")
     dealt = left.join(count, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "common", "sketch")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "common", "sketch", "bands")
 
     def meet(pdf):
         import numpy as np
@@ -204,7 +204,12 @@ def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, size: int, perc
         i, j = np.nonzero(ok)
         x, y = np.stack(p["sketch"].to_list()).view(np.uint64), np.stack(q["sketch"].to_list()).view(np.uint64)
         near = np.concatenate([np.bitwise_count(x[i[k : k + 65536]] ^ y[j[k : k + 65536]]).sum(1) <= most for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
-        a, b = col(p, "rep")[i[near]], col(q, "rep")[j[near]]
+        i, j = i[near], j[near]
+        # a pair is named in the bucket of the first band that it shares, not in the others
+        bx, by, key = np.stack(p["bands"].to_list()), np.stack(q["bands"].to_list()), pdf["key"].iat[0]
+        first = [bx[i[k : k + 65536], (bx[i[k : k + 65536]] == by[j[k : k + 65536]]).argmax(1)] == key for k in range(0, len(i), 65536)]
+        first = np.concatenate(first or [np.empty(0, bool)])
+        a, b = col(p, "rep")[i[first]], col(q, "rep")[j[first]]
         return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
 
     return sent.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
