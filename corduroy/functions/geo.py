@@ -47,3 +47,13 @@ def sinuosity(coords: Column) -> Column:
     """Path length over the straight distance between the ends; null for a closed path."""
     a, b = F.element_at(coords, 1), F.element_at(coords, -1)
     return F.try_divide(path_length(coords), F.nullif(F.hypot(b["x"] - a["x"], b["y"] - a["y"]), F.lit(0.0)))
+
+
+def round_coords(coords: Column, digits: int = 5) -> Column:
+    """An array of [lon, lat] arrays with rounded numbers."""
+    return F.transform(coords, lambda p: F.transform(p, lambda x: F.round(x, digits)))
+
+
+def point_at(coords: Column, share: Column) -> Column:
+    """The vertex at a share (0 to 1) of the way along an array, by index."""
+    return F.element_at(coords, (F.floor(F.least(F.lit(1.0), F.greatest(F.lit(0.0), share)) * (F.size(coords) - 1)) + 1).cast("int"))

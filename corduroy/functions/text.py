@@ -84,3 +84,18 @@ def lat_lon(c: Column) -> Column:
 def record_id(*columns: Column) -> Column:
     """A repeatable id of a record."""
     return F.sha2(F.concat_ws(":", *[c.cast("string") for c in columns]), 256)
+
+
+def departure(c: Column) -> Column:
+    """A departure time in one of the three accepted forms; null otherwise."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in ("yyyy-MM-dd HH:mm", "yyyy-MM-dd'T'HH:mm", "dd/MM/yyyy HH:mm")])
+
+
+def redate(c: Column, source: str = "yyyyMMdd", target: str = "dd/MM/yyyy") -> Column:
+    return F.date_format(F.try_to_timestamp(c, F.lit(source)), target)
+
+
+def ramp(v: Column, low: tuple[int, int, int], high: tuple[int, int, int]) -> Column:
+    """A colour #rrggbb between two, at v from 0 to 1."""
+    t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), v))
+    return F.lower(F.format_string("#%02x%02x%02x", *[F.round(F.lit(a) + t * (b - a)).cast("int") for a, b in zip(low, high)]))
