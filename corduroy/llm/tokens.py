@@ -22,7 +22,7 @@ from .common import map_rows, materialize, open_fs, scratch, table
 
 NULL_ID = -(2**63)
 #: Entries of a worker's memo of encoded chunks; when it is full, it becomes the old one, from which chunks seen again come back.
-MEMO_LIMIT = 800_000
+MEMO_LIMIT = 600_000
 #: White space of the tokenizer's splitting pattern (Unicode White_Space), as a character class.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -48,6 +48,7 @@ def _encoder(path: str):
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
     width = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4"
     chunks = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
+    space = {chr(i) for i in range(0x3001) if re.fullmatch(f"[{_SPACE}]", chr(i))}
     memo: dict[str, bytes] = {}
     old: dict[str, bytes] = {}
 
@@ -62,10 +63,19 @@ def _encoder(path: str):
         for x in again:
             memo[x] = old[x]
         new = list(new.difference(again))
-        for i in range(0, len(new), 4096):
-            some = new[i : i + 4096]
-            for text, e in zip(some, tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[text] = np.array(e.ids, width).tobytes()
+        joined = [x for x in new if x[0] in space and x[-1] not in space]  # in a row they are cut apart as in any text
+        for i in range(0, len(joined), 2048):
+            some = joined[i : i + 2048]
+            got = tokenizer.encode("".join(some), add_special_tokens=False)
+            ids, ends = np.array(got.ids, width), np.array([e for _, e in got.offsets])
+            cuts = np.searchsorted(ends, np.cumsum([len(x) for x in some]), "right").tolist()
+            before = 0
+            for x, cut in zip(some, cuts):
+                memo[x] = ids[before:cut].tobytes()
+                before = cut
+        for x in new:
+            if x not in memo:
+                memo[x] = np.array(tokenizer.encode(x, add_special_tokens=False).ids, width).tobytes()
         get = memo.__getitem__
         return [b"".join(map(get, p)) for p in parts]
 
