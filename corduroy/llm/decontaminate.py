@@ -7,7 +7,7 @@ first, which finds every document that can reach the threshold: one that shares
 WINDOW + STRIDE - 1 words with it (of items under SHORT words, all windows are looked up). The documents so found are compared
 with all windows, aligned by the difference of places. An alignment counts if its slots are consistent: each value of the item
 stands for one value in the document. A document holds an item if at least ``coverage`` of the item's windows are matched by
-consistent alignments; ``kind`` tells copies from re-parameterised ones.
+consistent alignments, or RUN words of it in a row; ``kind`` tells copies from re-parameterised ones.
 
 Items of fewer than WINDOW words are matched as one window of their own length. Nulls and ties: null ids or texts and texts without
 words take no part; repeated rows with one doc_id count as one document with all their windows, repeated items with one item_id
@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 from .common import materialize, scratch, table
 
 WINDOW, STRIDE, SHORT, MIN_FIXED, COVERAGE = 6, 3, 10, 3, 0.5
+#: Words in a row that tell a copied part of a longer item; the usual length in decontamination by plain word sequences.
+RUN = 13
 #: Names of units that follow a number.
 UNITS = (
     "mm cm dm m km in ft yd mi inch inches foot feet yard yards mile miles meter meters metre metres kilometer kilometers "
@@ -53,6 +55,10 @@ def _hash_sql(size: str) -> str:
     return f"xxhash64(array_join(slice(c, i + 1, {size}), ' '))"
 
 
+#: SQL for the most places in a row among ``places``.
+_LONGEST = "aggregate(array_sort(places), named_struct('last', -2, 'now', 0, 'most', 0), (s, x) -> named_struct('last', x, 'now', if(x = s.last + 1, s.now + 1, 1), 'most', greatest(s.most, if(x = s.last + 1, s.now + 1, 1))), s -> s.most)"
+
+
 def _slots_sql(size: str) -> str:
     return f"filter(slice(w, i + 1, {size}), x -> x like '\\u0001%')"
 
@@ -83,12 +89,12 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: flo
     pairs = windows.join(items, ["size", "hash"]).selectExpr("doc_id", "item_id", "at", "place - at AS shift", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
     aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
     consistent = aligned.where("size(array_distinct(transform(slots, x -> x.item))) = size(slots)")
-    matched = consistent.select("doc_id", "item_id", F.explode("places").alias("at"), F.exists("slots", lambda x: x["item"] != x["doc"]).alias("changed"))
-    by_pair = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"))
+    matched = consistent.select("doc_id", "item_id", F.explode("places").alias("at"), F.exists("slots", lambda x: x["item"] != x["doc"]).alias("changed"), F.expr(_LONGEST).alias("run"))
+    by_pair = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"), F.max("run").alias("run"))
     totals = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
     share = F.col("n_matched") / F.col("n_windows")
-    kept = by_pair.join(totals, "item_id").where(share >= coverage)
-    kind = F.when(F.col("n_same") >= coverage * F.col("n_windows"), "copy").otherwise("reparameterised")
+    kept = by_pair.join(totals, "item_id").where((share >= coverage) | (F.col("run") >= RUN - WINDOW + 1))
+    kind = F.when(2 * F.col("n_same") >= F.col("n_matched"), "copy").otherwise("reparameterised")
     return kept.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), share.alias("coverage"), kind.alias("kind"))
 
 

@@ -64,14 +64,16 @@ def test_planted_items_by_brute_force(spark):
     texts = []
     for i in range(120):
         body = prose(rng, rng.randrange(5, 90))
-        texts.append(f"{body} {items[i % 12]} {prose(rng, 9)}" if i % 5 == 0 else body)
+        part = " ".join(items[i % 12].split()[3 : 3 + rng.choice([9, 12, 13, 16])])
+        texts.append(f"{body} {items[i % 12]} {prose(rng, 9)}" if i % 5 == 0 else f"{body} {part} {prose(rng, 9)}" if i % 7 == 0 else body)
     clean = lambda t: re.sub("[^a-z ]", "", t.lower()).split()
     want = set()
     for d, t in enumerate(texts):
         seen = {tuple(clean(t)[i : i + 6]) for i in range(len(clean(t)) - 5)}
         for k, it in enumerate(items):
             w = [tuple(clean(it)[i : i + 6]) for i in range(len(clean(it)) - 5)]
-            if sum(x in seen for x in w) >= len(w) / 2:
+            long_run = any(all(x in seen for x in w[i : i + 8]) for i in range(len(w) - 7))
+            if sum(x in seen for x in w) >= len(w) / 2 or long_run:
                 want.add((d, k))
     got = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), path(spark, "t1e"))
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
