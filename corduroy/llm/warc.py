@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 
 from .common import map_rows, materialize, open_fs, scratch, table
 
-FILE_BYTES, GAP_BYTES, SPAN_BYTES = 256 << 20, 256 << 10, 16 << 20
+FILE_BYTES, GAP_BYTES, SPAN_BYTES, READ_BYTES = 256 << 20, 256 << 10, 16 << 20, 128 << 20
 DATE = "2024-01-01T00:00:00Z"
 URN = "urn:page:"
 INDEX = "page_id long, file string, offset long, length long, url string, payload_digest string, record_type string, refers_to long"
@@ -152,7 +152,9 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                         at = to + 1
             yield pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
 
-    placed = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    size = index.agg(F.sum("length")).first()[0] or 0  # what is read, not the index's own size, sets the number of tasks
+    tasks = max(-(-size // READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, 1 + size // GAP_BYTES))
+    placed = index.select("file", "offset", "length").repartitionByRange(int(tasks), "file", "offset").sortWithinPartitions("file", "offset")
     return map_rows(placed, read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
 
 
