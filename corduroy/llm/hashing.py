@@ -4,7 +4,8 @@ from __future__ import annotations
 
 MEMO_LIMIT = 500_000
 _memo: dict[bytes, int] = {}
-_BASE = 0x9E3779B97F4A7C15 | 1
+_BASE = 0x9E3779B97F4A7C15
+_table: dict = {}
 
 
 def word_hashes(words: list[bytes]):
@@ -34,25 +35,40 @@ def mix(x, seed: int = 0):
         return x ^ (x >> np.uint64(31))
 
 
+def _powers(n: int):
+    """Powers of the base and of its inverse (modulo 2 ** 64) up to n, kept and grown as needed."""
+    import numpy as np
+
+    if len(_table.get("up", ())) < n:
+        size = max(n, 4096, 2 * len(_table.get("up", ())))
+        with np.errstate(over="ignore"):
+            up, down = np.full(size, _BASE, np.uint64), np.full(size, pow(_BASE, -1, 2**64), np.uint64)
+            up[0] = down[0] = 1
+            _table["up"], _table["down"] = np.cumprod(up), np.cumprod(down)
+    return _table["up"][:n], _table["down"][:n]
+
+
 def window_hashes(hashes, size: int):
-    """A 64-bit hash of each window of ``size`` consecutive word hashes, by doubling; empty if there are fewer words."""
+    """A 64-bit hash of each window of ``size`` consecutive word hashes, from prefix sums; empty if there are fewer words."""
     import numpy as np
 
     n = len(hashes) - size + 1
     if n < 1:
         return np.empty(0, np.uint64)
-    out, done, power, width = None, 0, mix(hashes, 1), 1
+    up, down = _powers(len(hashes))
+    sums = np.zeros(len(hashes) + 1, np.uint64)
+    with np.errstate(over="ignore"):
+        np.cumsum(hashes * down, out=sums[1:])
+        return mix((sums[size:] - sums[:n]) * up[:n], size)
+
+
+def sequence_digest(hashes, seed: int) -> int:
+    """A 64-bit digest of a whole sequence of word hashes, as a signed integer; 0 for none."""
+    import numpy as np
+
     with np.errstate(over="ignore"):
-        while True:
-            if size & width:  # append the next ``width`` words
-                part = power[done : done + n]
-                out = part.copy() if out is None else mix(out * np.uint64(_BASE) + part, width)
-                done += width
-            width *= 2
-            if width > size:
-                return out
-            half = width // 2
-            power = mix(power[:-half] * np.uint64(_BASE) + power[half:], width)
+        places = np.arange(1, len(hashes) + 1, dtype=np.uint64) * np.uint64(_BASE)
+        return int(mix(hashes + places, seed).sum(dtype=np.uint64).astype(np.int64))
 
 
 def signed(x):

@@ -44,11 +44,9 @@ def winnowed(hashes, width: int):
 
 
 def _digests(hashes):
-    from .hashing import mix, window_hashes
+    from .hashing import sequence_digest
 
-    if not len(hashes):
-        return 0, 0
-    return (int(window_hashes(mix(hashes, seed), len(hashes)).view("int64")[0]) for seed in (3, 4))
+    return sequence_digest(hashes, 3), sequence_digest(hashes, 4)
 
 
 def fingerprints(docs: DataFrame, window: int) -> DataFrame:
@@ -115,23 +113,26 @@ def _windows(texts: DataFrame, window: int) -> DataFrame:
 
         from .hashing import mix, signed, window_hashes, word_hashes
 
+        width, names = window - GRAM + 1, ("w1", "w2", "doc_id", "d1", "d2", "at")
         for pdf in batches:
-            parts = []
-            for row in pdf.itertuples(index=False):
-                hashes = word_hashes(row.text.encode("utf-8", "replace").split())
-                if (row.d1, row.d2) != tuple(_digests(hashes)):  # another row with this doc_id
+            parts, n = [], 0
+            for doc_id, d1, d2, fps, text in zip(pdf["doc_id"], pdf["d1"], pdf["d2"], pdf["fps"], pdf["text"]):
+                hashes = word_hashes(text.encode("utf-8", "replace").split())
+                if (d1, d2) != _digests(hashes):  # another row with this doc_id
                     continue
-                held = np.isin(window_hashes(hashes, GRAM), np.asarray(row.fps, np.int64).view(np.uint64))
+                fps = np.sort(np.asarray(fps, np.int64))
+                grams = signed(window_hashes(hashes, GRAM))
+                held = fps[np.minimum(np.searchsorted(fps, grams), len(fps) - 1)] == grams
                 count = np.concatenate([[0], np.cumsum(held)])
-                width = window - GRAM + 1
                 at = np.flatnonzero(count[width:] > count[:-width])
                 w1, w2 = window_hashes(hashes, window)[at], window_hashes(mix(hashes, 9), window)[at] >> np.uint64(33)
-                parts.append(pd.DataFrame({"w1": signed(w1), "w2": w2.astype(np.int32), "doc_id": row.doc_id, "d1": row.d1, "d2": row.d2, "at": at.astype(np.int32)}))
-                if sum(map(len, parts)) > 50_000:
-                    yield pd.concat(parts)
-                    parts = []
+                parts.append((signed(w1), w2.astype(np.int32), np.full(len(at), doc_id), np.full(len(at), d1), np.full(len(at), d2), at.astype(np.int32)))
+                n += len(at)
+                if n > 100_000:
+                    yield pd.DataFrame({k: np.concatenate(x) for k, x in zip(names, zip(*parts))})
+                    parts, n = [], 0
             if parts:
-                yield pd.concat(parts)
+                yield pd.DataFrame({k: np.concatenate(x) for k, x in zip(names, zip(*parts))})
 
     return map_rows(texts, run, "w1 long, w2 int, doc_id long, d1 long, d2 long, at int")
 
@@ -176,7 +177,7 @@ def remove_repeats(docs: DataFrame, path: str, window: int = 50, batches: int =
             out = []
             for row in pdf.itertuples(index=False):
                 words = row.text.encode("utf-8", "replace").split()
-                if (row.d1, row.d2) != tuple(_digests(word_hashes(words))):
+                if (row.d1, row.d2) != _digests(word_hashes(words)):
                     continue
                 edge = np.zeros(len(words) + 1, np.int64)
                 at = np.asarray(row.starts)
@@ -208,7 +209,7 @@ def fingerprinted(docs: DataFrame) -> DataFrame:
         from .hashing import word_hashes
 
         for pdf in batches:
-            found = [tuple(_digests(word_hashes((x or "").encode("utf-8", "replace").split()))) for x in pdf["text"]]
+            found = [_digests(word_hashes((x or "").encode("utf-8", "replace").split())) for x in pdf["text"]]
             yield pd.concat([pdf.reset_index(drop=True), pd.DataFrame(found, columns=["d1", "d2"])], axis=1)
 
     return map_rows(docs, run, "doc_id long, text string, d1 long, d2 long")
