@@ -21,8 +21,10 @@ from pyspark.sql.window import Window
 from .common import map_rows, materialize, open_fs, scratch, table
 
 NULL_ID = -(2**63)
-#: Entries of a worker's memo of encoded chunks; when it is full, it becomes the old one, from which chunks seen again come back.
-MEMO_LIMIT = 600_000
+#: A worker keeps the ids of chunks in 2 ** SLOT_BITS slots (about 50 MB): chunks of up to 24 bytes, up to SLOT_IDS ids each.
+SLOT_BITS, SLOT_IDS = 20, 12
+#: Characters that are encoded in one go; a longer text is cut between two chunks.
+PART_CHARS = 1_000_000
 #: White space of the tokenizer's splitting pattern (Unicode White_Space), as a character class.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
@@ -30,10 +32,11 @@ _loaded: dict = {}
 
 
 def _encoder(path: str):
-    """A function from a text to the bytes of its ids, with the worker's memo.
+    """A function from texts to the bytes of their ids, and the type of an id.
 
     The byte-level splitting pattern always cuts between a character that is not white space and one that is, so a text is the
-    sequence of its chunks "white space, then other characters"; each chunk is encoded by the library once and remembered.
+    sequence of its chunks "white space, then other characters". The library encodes a chunk when it is first seen; a slot then
+    holds its bytes (compared in full) and ids, until another chunk needs the slot.
     """
     if path in _loaded:
         return _loaded[path]
@@ -46,40 +49,110 @@ def _encoder(path: str):
 
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
-    width = "<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4"
-    chunks = re.compile(f"[{_SPACE}]*[^{_SPACE}]+|[{_SPACE}]+").findall
-    space = {chr(i) for i in range(0x3001) if re.fullmatch(f"[{_SPACE}]", chr(i))}
-    memo: dict[str, bytes] = {}
-    old: dict[str, bytes] = {}
-
-    def encode(texts: list[str]) -> list[bytes]:
-        nonlocal memo, old
-        parts = [chunks(x) for x in texts]
-        new = set().union(*parts).difference(memo)
-        if len(memo) + len(new) > MEMO_LIMIT:
-            memo, old = {}, memo
-            new = set().union(*parts)
-        again = new.intersection(old) if old else ()
-        for x in again:
-            memo[x] = old[x]
-        new = list(new.difference(again))
-        joined = [x for x in new if x[0] in space and x[-1] not in space]  # in a row they are cut apart as in any text
+    dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4")
+    spaces = [chr(i) for i in range(0x3001) if re.fullmatch(f"[{_SPACE}]", chr(i))]
+    ascii_space = np.zeros(256, bool)
+    ascii_space[[ord(x) for x in spaces if ord(x) < 128]] = True
+    wide = [x.encode() for x in spaces if ord(x) >= 128]
+    boundary = re.compile(f"(?<=[^{_SPACE}])(?=[{_SPACE}])")
+    space, low = set(spaces), np.array([(1 << 8 * n) - 1 for n in range(8)] + [2**64 - 1] * 17, np.uint64)
+    low = np.stack([low, np.roll(low, 8), np.roll(low, 16)])
+    low[1, :8] = low[2, :16] = 0
+    factors = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93], np.uint64)
+    keys, lengths = np.zeros((1 << SLOT_BITS, 3), np.uint64), np.zeros(1 << SLOT_BITS, np.uint8)
+    held, counts = np.zeros((1 << SLOT_BITS, SLOT_IDS), dtype), np.zeros(1 << SLOT_BITS, np.uint8)
+
+    def by_library(chunks: list[str]) -> dict:
+        """The ids of each chunk; chunks that are cut apart in a row as in any text go to the library together."""
+        got = {}
+        joined = [x for x in chunks if x[0] in space and x[-1] not in space]
         for i in range(0, len(joined), 2048):
             some = joined[i : i + 2048]
-            got = tokenizer.encode("".join(some), add_special_tokens=False)
-            ids, ends = np.array(got.ids, width), np.array([e for _, e in got.offsets])
-            cuts = np.searchsorted(ends, np.cumsum([len(x) for x in some]), "right").tolist()
-            before = 0
-            for x, cut in zip(some, cuts):
-                memo[x] = ids[before:cut].tobytes()
-                before = cut
-        for x in new:
-            if x not in memo:
-                memo[x] = np.array(tokenizer.encode(x, add_special_tokens=False).ids, width).tobytes()
-        get = memo.__getitem__
-        return [b"".join(map(get, p)) for p in parts]
-
-    _loaded[path] = encode, np.dtype(width)
+            found = tokenizer.encode("".join(some), add_special_tokens=False)
+            cuts = np.searchsorted([e for _, e in found.offsets], np.cumsum([len(x) for x in some]), "right")
+            got.update(zip(some, np.split(np.array(found.ids, dtype), cuts[:-1])))
+        for x in chunks:
+            if x not in got:
+                got[x] = np.array(tokenizer.encode(x, add_special_tokens=False).ids, dtype)
+        return got
+
+    def encode_part(texts: list[str]) -> list[bytes]:
+        raw = [x.encode() for x in texts]
+        ends = np.cumsum([len(x) for x in raw])
+        text = b"".join(raw)
+        if not text:
+            return [b""] * len(texts)
+        data = np.frombuffer(text + bytes(24), np.uint8)
+        is_space = ascii_space[data[:-24]]
+        for x in wide:
+            at = text.find(x)
+            while at >= 0:
+                is_space[at : at + len(x)] = True
+                at = text.find(x, at + 1)
+        first = is_space.copy()
+        first[1:] &= ~is_space[:-1]
+        first[0] = True
+        first[ends[ends < len(text)]] = True
+        start = np.flatnonzero(first)
+        size = np.diff(start, append=len(text))
+        short = size <= 24
+        window, n = np.lib.stride_tricks.sliding_window_view(data, 24), np.minimum(size, 24)
+        key = window[start].view("<u8") & low[:, n].T
+        with np.errstate(over="ignore"):
+            h = key[:, 0] * factors[0] + key[:, 1] * factors[1] + key[:, 2] * factors[2] + n.astype(np.uint64)
+            slot = (((h ^ (h >> np.uint64(32))) * factors[3]) >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
+        known = short & (lengths[slot] == n) & (keys[slot] == key).all(1)
+        ids, count = held[slot], np.where(known, counts[slot], 0).astype(np.int64)
+        rest = np.flatnonzero(~known)
+        words = [text[i:j].decode() for i, j in zip(start[rest].tolist(), (start[rest] + size[rest]).tolist())]
+        new = by_library(list(dict.fromkeys(words)))
+        large = []
+        for i, x in zip(rest.tolist(), words):
+            got = new[x]
+            count[i] = len(got)
+            if len(got) > SLOT_IDS:
+                large.append(i)
+                continue
+            ids[i, : len(got)] = got
+            if short[i]:
+                s = slot[i]
+                keys[s], lengths[s], counts[s], held[s, : len(got)] = key[i], n[i], len(got), got
+        here = count.copy()
+        here[large] = 0
+        flat = ids[np.arange(SLOT_IDS) < here[:, None]]
+        if large:
+            place = np.repeat(here < count, count)
+            out = np.empty(len(place), dtype)
+            out[~place] = flat
+            out[place] = np.concatenate([new[words[k]] for k in np.searchsorted(rest, large)])
+            flat = out
+        total = np.append(0, np.cumsum(count))
+        upto = total[np.searchsorted(start, ends)].tolist()
+        return [flat[i:j].tobytes() for i, j in zip([0, *upto], upto)]
+
+    def encode(texts: list[str]) -> list[bytes]:
+        done: list[bytes] = []
+        part: list[str] = []
+        chars = 0
+        for x in texts:
+            if len(x) > PART_CHARS:
+                done += encode_part(part)
+                part, chars, at, pieces = [], 0, 0, []
+                while at < len(x):
+                    cut = boundary.search(x, at + PART_CHARS)
+                    end = cut.start() if cut else len(x)
+                    pieces += encode_part([x[at:end]])
+                    at = end
+                done.append(b"".join(pieces))
+                continue
+            if chars + len(x) > PART_CHARS:
+                done += encode_part(part)
+                part, chars = [], 0
+            part.append(x)
+            chars += len(x)
+        return done + encode_part(part)
+
+    _loaded[path] = encode, dtype
     return _loaded[path]
 
 
@@ -103,8 +176,8 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_i
         offsets = [np.zeros(1, "<u8")]
         n_docs = 0
         for pdf in batches:
-            for at in range(0, len(pdf), 64):
-                some = pdf.iloc[at : at + 64]
+            for at in range(0, len(pdf), 256):
+                some = pdf.iloc[at : at + 256]
                 if files is None:
                     fs, root = open_fs(out_dir)
                     fs.create_dir(root, recursive=True)
