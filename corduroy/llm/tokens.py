@@ -21,8 +21,8 @@ from pyspark.sql.window import Window
 from .common import map_rows, materialize, open_fs, scratch, table
 
 NULL_ID = -(2**63)
-#: A worker keeps the ids of chunks in 2 ** SLOT_BITS slots (170 MB once all are used): chunks of up to 24 bytes, up to SLOT_IDS ids each.
-SLOT_BITS, SLOT_IDS = 22, 8
+#: A worker keeps the ids of chunks in 2 ** SLOT_BITS slots (85 MB once all are used): chunks of up to 24 bytes, up to SLOT_IDS ids each.
+SLOT_BITS, SLOT_IDS = 21, 8
 #: Characters that are encoded in one go; a longer text is cut between two chunks.
 PART_CHARS = 1_000_000
 #: White space of the tokenizer's splitting pattern (Unicode White_Space), as a character class.
