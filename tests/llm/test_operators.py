@@ -300,3 +300,22 @@ def test_pieces_equal_the_library(spark):
         ids = lib.encode(t or "")
         assert r.ids == ",".join(map(str, ids)) and r.n_tokens == len(ids) and r.decoded == lib.decode(ids) == codec.decode(ids)
     assert codec.decode([codec.bytes[0xE2], codec.bytes[0x61]]) == lib.decode([codec.bytes[0xE2], codec.bytes[0x61]])
+
+
+def test_token_chunks_equal_the_library_with_few_slots_and_cut_texts(monkeypatch):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    where = public_tokenizers.path("byte_bpe_50k.json")
+    monkeypatch.setattr(tokens, "SLOT_BITS", 3)
+    monkeypatch.setattr(tokens, "PART_CHARS", 50)
+    monkeypatch.setattr(tokens, "_loaded", {})
+    encode, dtype = tokens._encoder(where)
+    lib = Tokenizer.from_file(where)
+    lib.encode_special_tokens = True
+    rng = random.Random(3)
+    some = ["a", "é", "日", " ", " ", "　", "\xa0", "\n", "\t", "1", "'s", "<|endoftext|>", "\x00", "\U0001f600", "\x85", "0123456789abcdef0123456789", "x" * 40]
+    texts = ["", " ", "　", *["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(500)]]
+    want = [np.array(lib.encode(t, add_special_tokens=False).ids, dtype).tobytes() for t in texts]
+    assert encode(texts) == want and encode(texts) == want
+    assert encode([]) == []
