@@ -2,12 +2,13 @@
 
 Texts become templates: words in lower case without punctuation, in which numbers, names (capitalised words inside a sentence) and
 units after a number are typed placeholders that still carry their values for later. Windows are WINDOW consecutive template
-words with at least MIN_FIXED that are no placeholders. Of an item all windows are kept; of a document every STRIDE-th is looked up
-first, which finds every document that can reach the threshold: one that shares half an item's windows or more shares a run of
-WINDOW + STRIDE - 1 words with it (of items under SHORT words, all windows are looked up). The documents so found are compared
-with all windows, aligned by the difference of places. An alignment counts if its slots are consistent: each value of the item
-stands for one value in the document. A document holds an item if at least ``coverage`` of the item's windows are matched by
-consistent alignments, or RUN words of it in a row; ``kind`` tells copies from re-parameterised ones.
+words. A window with at least MIN_FIXED words that are no placeholders is matched as a template; one with fewer is matched by its
+words and values as they are, so that it counts for verbatim copies only. All windows of items and of documents are looked up; the
+documents so found are compared with the items, aligned by the difference of places. Two readings count. As a template: within an
+alignment each value of the item stands for one value in the document, the one that most windows bear out, windows with another
+value are dropped, and a document holds an item if at least ``coverage`` of the item's template windows are matched, or RUN words
+of it in a row. As a copy: the same, over all windows, of those that are matched with their values. ``n_windows``, ``n_matched``
+and ``coverage`` are those of the template reading where it suffices; ``kind`` tells copies from re-parameterised ones.
 
 Items of fewer than WINDOW words are matched as one window of their own length. Nulls and ties: null ids or texts and texts without
 words take no part; repeated rows with one doc_id count as one document with all their windows, repeated items with one item_id
@@ -21,7 +22,7 @@ from pyspark.sql import functions as F
 
 from .common import materialize, scratch, table
 
-WINDOW, STRIDE, SHORT, MIN_FIXED, COVERAGE = 6, 3, 10, 3, 0.5
+WINDOW, MIN_FIXED, COVERAGE = 6, 3, 0.5
 #: Words in a row that tell a copied part of a longer item; the usual length in decontamination by plain word sequences.
 RUN = 13
 #: Names of units that follow a number.
@@ -44,23 +45,51 @@ def template(text: Column) -> Column:
 
 
 def _words(docs: DataFrame, key: str) -> DataFrame:
-    """key, w (template words with values), c (without values), n."""
+    """key, w (template words with values), c (without values), n, h (a hash of each of c), m (places of placeholders)."""
     rows = docs.where(F.col(key).isNotNull() & F.col("text").rlike("[\\p{L}\\p{N}]")).select(F.col(key).cast("long").alias(key), template(F.col("text")).alias("t"))
     plain = F.when(F.col("t").contains("\u0001"), F.regexp_replace("t", "(\u0001[dnu])[^ ]*", "$1")).otherwise(F.col("t"))
-    return rows.select(key, F.split("t", " ").alias("w"), F.split(plain, " ").alias("c")).withColumn("n", F.size("c"))
+    words = rows.select(key, F.split("t", " ").alias("w"), F.split(plain, " ").alias("c"))
+    places = "filter(transform(c, (x, i) -> if(startswith(x, '\\u0001'), i, -1)), i -> i >= 0)"
+    return words.selectExpr(key, "w", "c", "size(c) AS n", "transform(c, x -> xxhash64(x)) AS h", f"{places} AS m")
 
 
-def _hash_sql(size: str) -> str:
-    """SQL for the hash of the window at place i (from 0)."""
-    return f"xxhash64(array_join(slice(c, i + 1, {size}), ' '))"
+def _valued(words: DataFrame, sizes: list[int]) -> DataFrame:
+    """words with valued_S for each size S: the places of windows with too few fixed words, which are matched by their values."""
+    for s in sizes:
+        last = f"get(m, j + {s - min(MIN_FIXED, s)})"  # the first placeholder too many, counted from the one at x
+        words = words.withColumn(f"valued_{s}", F.expr(f"array_distinct(flatten(transform(m, (x, j) -> if(n >= {s} AND {last} < x + {s}, sequence(greatest(0, {last} - {s - 1}), least(x, n - {s})), slice(m, 1, 0)))))"))
+    return words
+
+
+def _hash_sql(size: int, valued: bool) -> str:
+    """SQL for the hash of the window at place i (from 0); values count without their types, which a text's beginning can change."""
+    return f"xxhash64('values', regexp_replace(array_join(slice(w, i + 1, {size}), ' '), '\\u0001[dnu]', ''))" if valued else f"xxhash64(slice(h, i + 1, {size}))"
+
+
+def _hashes(docs: DataFrame, sizes: list[int]) -> DataFrame:
+    """doc_id, size, hash of all windows."""
+    each = ", ".join(f"transform({places}, i -> named_struct('size', {s}, 'hash', {_hash_sql(s, valued)}))" for s in sizes for valued, places in ((False, f"if(n >= {s}, sequence(0, n - {s}), slice(m, 1, 0))"), (True, f"valued_{s}")))
+    return _valued(_words(docs, "doc_id"), sizes).selectExpr("doc_id", f"inline(concat({each}))")
+
+
+def _windows(docs: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
+    """key, n, size, at, hash, valued, slots of all windows; with whole, of texts of fewer than WINDOW words only the whole text."""
+    each = []
+    for s in sizes:
+        held = f"n >= {s}" if not whole or s == WINDOW else f"n = {s}"
+        for valued, places in ((False, f"array_except(sequence(0, n - {s}), valued_{s})"), (True, f"valued_{s}")):
+            slots = "slice(w, 1, 0)" if valued else f"filter(slice(w, i + 1, {s}), x -> x like '\\u0001%')"
+            each.append(f"transform(if({held}, {places}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'at', i, 'hash', {_hash_sql(s, valued)}, 'valued', {str(valued).lower()}, 'slots', {slots}))")
+    return _valued(_words(docs, key), sizes).selectExpr(key, "n", f"inline(concat({', '.join(each)}))")
 
 
 #: SQL for the most places in a row among ``places``.
 _LONGEST = "aggregate(array_sort(places), named_struct('last', -2, 'now', 0, 'most', 0), (s, x) -> named_struct('last', x, 'now', if(x = s.last + 1, s.now + 1, 1), 'most', greatest(s.most, if(x = s.last + 1, s.now + 1, 1))), s -> s.most)"
 
 
-def _slots_sql(size: str) -> str:
-    return f"filter(slice(w, i + 1, {size}), x -> x like '\\u0001%')"
+#: SQL for the value that each item value stands for in an alignment: the one in most windows, then the item's own, then the smallest.
+_COUNTED = "transform(array_distinct(flatten(windows.slots)), v -> named_struct('item', v.item, 'doc', v.doc, 'n', size(filter(flatten(windows.slots), x -> x = v))))"
+_CHOSEN = "filter(counted, v -> NOT exists(counted, u -> u.item = v.item AND (u.n > v.n OR (u.n = v.n AND u.doc != v.doc AND (u.doc = u.item OR (v.doc != v.item AND u.doc < v.doc))))))"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: float = COVERAGE) -> DataFrame:
@@ -68,34 +97,32 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: flo
 
     doc_id, item_id, n_windows (the item's), n_matched, coverage, kind (copy or reparameterised).
     """
-    size = f"least({WINDOW}, n)"
-    items = _words(benchmark, "item_id").selectExpr("item_id", "n", f"explode(transform(sequence(0, n - {size}), i -> named_struct('size', {size}, 'at', i, 'hash', {_hash_sql(size)}, 'slots', {_slots_sql(size)}))) x")
-    items = materialize(items.selectExpr("item_id", "n", "x.size", "x.at", "x.hash", "x.slots").where(f"size - size(slots) >= least({MIN_FIXED}, size)").distinct(), f"{path}/windows")
-    shortest = items.agg(F.min("n")).first()[0]
+    items = materialize(_windows(benchmark, "item_id", list(range(1, WINDOW + 1)), whole=True).distinct(), f"{path}/windows")
     sizes = sorted({r["size"] for r in items.select("size").distinct().limit(WINDOW + 1).collect()})  # WINDOW at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched long, coverage double, kind string")
-    stride = STRIDE if shortest >= SHORT else 1
     known = items.select("size", "hash").distinct()
-
-    words = _words(docs, "doc_id")
-    seeds = " , ".join(f"if(n >= {s}, transform(sequence(0, n - {s}, {stride}), i -> named_struct('size', {s}, 'hash', {_hash_sql(str(s))})), array())" for s in sizes)
-    seen = words.selectExpr("doc_id", f"explode(concat({seeds})) x").selectExpr("doc_id", "x.size", "x.hash")
-    found = materialize(seen.join(known, ["size", "hash"], "left_semi").select("doc_id").distinct(), f"{path}/found")
+    found = materialize(_hashes(docs, sizes).join(known, ["size", "hash"], "left_semi").select("doc_id").distinct(), f"{path}/found")
 
     held = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left_semi")
-    every = " , ".join(f"if(n >= {s}, transform(sequence(0, n - {s}), i -> named_struct('size', {s}, 'place', i, 'hash', {_hash_sql(str(s))}, 'slots', {_slots_sql(str(s))})), array())" for s in sizes)
-    windows = _words(held, "doc_id").selectExpr("doc_id", f"explode(concat({every})) x").selectExpr("doc_id", "x.size", "x.place", "x.hash", "x.slots values")
-    pairs = windows.join(items, ["size", "hash"]).selectExpr("doc_id", "item_id", "at", "place - at AS shift", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set("at").alias("places"), F.array_distinct(F.flatten(F.collect_set("slots"))).alias("slots"))
-    consistent = aligned.where("size(array_distinct(transform(slots, x -> x.item))) = size(slots)")
-    matched = consistent.select("doc_id", "item_id", F.explode("places").alias("at"), F.exists("slots", lambda x: x["item"] != x["doc"]).alias("changed"), F.expr(_LONGEST).alias("run"))
-    by_pair = matched.groupBy("doc_id", "item_id").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"), F.max("run").alias("run"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("at").alias("n_windows"))
+    windows = _windows(held, "doc_id", sizes).selectExpr("doc_id", "size", "at AS place", "hash", "valued", "slots AS values")
+    pairs = windows.join(items, ["size", "hash", "valued"]).selectExpr("doc_id", "item_id", "place - at AS shift", "at", "valued", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
+    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "valued", "slots")).alias("windows"))
+    chosen = aligned.withColumn("counted", F.expr(_COUNTED)).withColumn("chosen", F.expr(f"transform({_CHOSEN}, v -> named_struct('item', v.item, 'doc', v.doc))"))
+    fits = "filter(windows, x -> NOT x.valued AND forall(x.slots, v -> array_contains(chosen, v)))"
+    copied = "filter(windows, x -> forall(x.slots, v -> v.item = v.doc))"
+    readings = chosen.selectExpr("doc_id", "item_id", f"inline(array(named_struct('verbatim', false, 'kept', {fits}), named_struct('verbatim', true, 'kept', {copied})))")
+    placed = readings.selectExpr("doc_id", "item_id", "verbatim", "array_distinct(kept.at) AS places", "exists(flatten(kept.slots), v -> v.item != v.doc) AS changed")
+    matched = placed.select("doc_id", "item_id", "verbatim", F.explode("places").alias("at"), "changed", F.expr(_LONGEST).alias("run"))
+    by_pair = matched.groupBy("doc_id", "item_id", "verbatim").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"), F.max("run").alias("run"))
+    totals = items.groupBy("item_id").agg(F.countDistinct(F.when(~F.col("valued"), F.col("at"))).alias("n_template"), F.countDistinct("at").alias("n_all"))
+    counted = by_pair.join(totals, "item_id").withColumn("n_windows", F.when(F.col("verbatim"), F.col("n_all")).otherwise(F.col("n_template")))
     share = F.col("n_matched") / F.col("n_windows")
-    kept = by_pair.join(totals, "item_id").where((share >= coverage) | (F.col("run") >= RUN - WINDOW + 1))
+    kept = counted.where((share >= coverage) | (F.col("run") >= RUN - WINDOW + 1))
     kind = F.when(2 * F.col("n_same") >= F.col("n_matched"), "copy").otherwise("reparameterised")
-    return kept.select("doc_id", "item_id", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), share.alias("coverage"), kind.alias("kind"))
+    each = kept.select("doc_id", "item_id", "verbatim", F.col("n_windows").cast("long").alias("n_windows"), F.col("n_matched").cast("long").alias("n_matched"), share.alias("coverage"), kind.alias("kind"))
+    best = each.groupBy("doc_id", "item_id").agg(F.min_by(F.struct("n_windows", "n_matched", "coverage", "kind"), "verbatim").alias("x"))
+    return best.select("doc_id", "item_id", "x.*")
 
 
 def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -79,6 +79,16 @@ def test_planted_items_by_brute_force(spark):
     assert {(r.doc_id, r.item_id) for r in got.collect()} == want
 
 
+def test_copies_of_items_with_few_fixed_words_and_of_partly_changed_ones(spark):
+    tale = "Alice has 12 apples and gives some of them away to her old friend, then walks home along the river and counts what is left before Alice sleeps"
+    items = {1: "Find the median of 3, 7, 9, 12, 15, 18, 21", 2: "What is 48 + 17 + 93 + 25?", 3: f"Today {tale}"}
+    texts = [f"{'so ' * k}on. {items[i]}" for i in (1, 2) for k in range(6)]
+    texts += [f"Today {tale.replace('Alice sleeps', 'Erin sleeps')}", "What is 48 + 17 + 93 + 26?", "on. Find the sum of 4, 7, 9, 12, 15, 18, 21"]
+    df = spark.createDataFrame(list(items.items()), "item_id long, text string")
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs(spark, texts), df, path(spark, "t1f")).collect()}
+    assert got == {(k, 1 + k // 6): "copy" for k in range(12)} | {(12, 3): "copy"}
+
+
 # --- 2 personal data
 
 
