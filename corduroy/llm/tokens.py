@@ -31,15 +31,15 @@ _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\
 _loaded: dict = {}
 
 
-def _encoder(path: str):
-    """A function from texts to the bytes of their ids, and the type of an id.
+def _encoder(path: str, special_as_text: bool = True):
+    """A function from texts to the bytes of their ids, and the type of an id; strings of special tokens in a text are ordinary text or, without special_as_text, get their own ids.
 
     The byte-level splitting pattern always cuts between a character that is not white space and one that is, so a text is the
     sequence of its chunks "white space, then other characters". The library encodes a chunk when it is first seen; a slot then
     holds its bytes (compared in full) and ids, until another chunk needs the slot.
     """
-    if path in _loaded:
-        return _loaded[path]
+    if (path, special_as_text) in _loaded:
+        return _loaded[path, special_as_text]
     import os
     import re
 
@@ -48,7 +48,7 @@ def _encoder(path: str):
     from tokenizers import Tokenizer
 
     tokenizer = Tokenizer.from_file(path)
-    tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+    tokenizer.encode_special_tokens = special_as_text
     dtype = np.dtype("<u2" if tokenizer.get_vocab_size(with_added_tokens=True) <= 2**16 else "<u4")
     spaces = [chr(i) for i in range(0x3001) if re.fullmatch(f"[{_SPACE}]", chr(i))]
     ascii_space = np.zeros(256, bool)
@@ -152,11 +152,11 @@ def _encoder(path: str):
             chars += len(x)
         return done + encode_part(part)
 
-    _loaded[path] = encode, dtype
-    return _loaded[path]
+    _loaded[path, special_as_text] = encode, dtype
+    return _loaded[path, special_as_text]
 
 
-def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 0) -> DataFrame:
+def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 0, special_as_text: bool = True) -> DataFrame:
     """Encode documents (doc_id, text) into shards below out_dir; the manifest (shard, file, width, n_docs, n_tokens, base).
 
     The texts are dealt once, by ranges of doc_id, so shards hold consecutive documents.
@@ -170,7 +170,7 @@ def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_i
         import pandas as pd
         from pyspark import TaskContext
 
-        encode, dtype = _encoder(tokenizer_path)
+        encode, dtype = _encoder(tokenizer_path, special_as_text)
         end = np.array([end_id], dtype).tobytes()
         shard, name, files, count = TaskContext.get().partitionId(), "", None, 0
         offsets = [np.zeros(1, "<u8")]
@@ -232,7 +232,7 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
 
 
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Contract query: shards of the whole documents table, written and read back."""
+    """Contract query: shards of the whole documents table, written and read back; ids as Tokenizer.encode(text, add_special_tokens=False) gives them."""
     import public_tokenizers
 
-    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), scratch(spark, "op9"), public_tokenizers.path("byte_bpe_50k.json")))
+    return read_token_shards(write_token_shards(table(spark, sf_dir, "documents"), scratch(spark, "op9"), public_tokenizers.path("byte_bpe_50k.json"), special_as_text=False))

@@ -329,3 +329,18 @@ def test_token_chunks_equal_the_library_with_few_slots_and_cut_texts(monkeypatch
     want = [np.array(lib.encode(t, add_special_tokens=False).ids, dtype).tobytes() for t in texts]
     assert encode(texts) == want and encode(texts) == want
     assert encode([]) == []
+
+
+def test_token_query_gives_special_tokens_their_ids(spark, tmp_path):
+    import numpy as np
+    from tokenizers import Tokenizer
+
+    lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["ab <|endoftext|> cd", "a<|endoftext|><|endoftext|>b  <|endoftext|>\n\n<|endoftext|> c", "<|endoftext|", "plain text"]
+    docs(spark, texts).write.parquet(f"file://{tmp_path}/documents.parquet")
+    want, start = [], 0
+    for i, t in enumerate(texts):
+        ids = np.array([*lib.encode(t, add_special_tokens=False).ids, 0], "<u4")
+        want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
+        start += len(ids)
+    assert sorted(tuple(r) for r in tokens.op9_token_binary(spark, f"file://{tmp_path}").collect()) == want
