@@ -3,8 +3,9 @@
 The model's pieces and scores are read once a worker; encoding is our own. A text becomes "▁" + text with every space as "▁". No
 piece of a supported model has "▁" after another character, so a text is cut before each run of "▁" and each cut part is encoded
 on its own and remembered. A part is encoded by backtracking: the automaton gives the longest piece at a position, a piece is kept
-if re-merging it with the piece before it leaves the two apart, a bitfield holds the positions from which no ending was found, and
-shorter pieces or the piece before are tried next. Characters in no piece become their bytes' pieces.
+if re-merging it with the piece before it leaves the two apart, a set holds the positions from which no ending was found, and
+shorter pieces or the piece before are tried next. No more than the longest piece's length is looked ahead, so memory is in
+proportion to the text. Parts with a run of white space are merged with a heap instead. Characters in no piece become their bytes' pieces.
 
 Nulls and ties: a null text is empty (no ids); rows with equal doc_id are all returned. Empty tables give no rows.
 """
@@ -67,6 +68,7 @@ class PieceCodec:
         for x in self.part:
             self.automaton.add_word(x, x)
         self.automaton.make_automaton()
+        self.ahead = max(map(len, self.part))
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.part), None) for x in self.part}
         self.memo: dict[str, tuple] = {}
         self.old: dict[str, tuple] = {}
@@ -112,7 +114,7 @@ class PieceCodec:
                 limit, b = rb + 1, part[b][0]
 
     def _longest(self, rest: str) -> str:
-        """The longest piece that starts the rest of a part, or its first character; remembered, since endings recur."""
+        """The longest piece that starts the next ``ahead`` characters of a part, or the first one; remembered, since they recur."""
         n = self.automaton.longest_prefix(rest)  # of some piece's beginning
         while n > 1 and rest[:n] not in self.part:
             n -= 1
@@ -125,11 +127,12 @@ class PieceCodec:
         if SPACE * 2 in text:
             return self._merge_heap(text)
         apart, longest, shorter = self.apart, self.longest, self.shorter
-        n, at, failed, out = len(text), 0, 0, []
-        token, last = longest.get(text) or self._longest(text), ""
+        n, at, failed, out, ahead = len(text), 0, set(), [], self.ahead
+        rest = text[:ahead]
+        token, last = longest.get(rest) or self._longest(rest), ""
         while True:
             while token is not None:
-                if not (failed and failed >> (at + len(token)) & 1):
+                if not (failed and at + len(token) in failed):
                     ok = apart.get((last, token))
                     if ok is None:
                         ok = self._pair((last, token))
@@ -141,10 +144,10 @@ class PieceCodec:
                 at += len(token)
                 if at == n:
                     return out
-                last, rest = token, text[at:]
+                last, rest = token, text[at : at + ahead]
                 token = longest.get(rest) or self._longest(rest)
             else:
-                failed |= 1 << at
+                failed.add(at)
                 token = out.pop()
                 at -= len(token)
                 last = out[-1] if out else ""

@@ -344,3 +344,14 @@ def test_token_query_gives_special_tokens_their_ids(spark, tmp_path):
         want.append((i, start, len(ids), zlib.crc32(ids.tobytes())))
         start += len(ids)
     assert sorted(tuple(r) for r in tokens.op9_token_binary(spark, f"file://{tmp_path}").collect()) == want
+
+
+def test_pieces_of_text_without_spaces_take_bounded_memory():
+    import sentencepiece
+
+    where = public_tokenizers.path("piece_bpe_32k.model")
+    lib, codec, rng = sentencepiece.SentencePieceProcessor(model_file=where), pieces.PieceCodec(where), random.Random(5)
+    for some in ([chr(i) for i in range(0x4E00, 0x5200)], "abcdefghinorstABC0123+/", ["the", "tion", "ing", "日本", "é"]):
+        text = "".join(rng.choice(some) for _ in range(20_000))
+        assert codec.encode(text) == lib.encode(text)
+    assert max(map(len, codec.longest)) <= max(map(len, codec.piece)) < 100
