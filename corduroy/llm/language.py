@@ -27,18 +27,15 @@ SHARPNESS = 40.0
 
 
 def learn_languages(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
-    """Dictionaries by language from docs (text, lang): at most docs_per_language documents each, picked by a hash of the text."""
+    """Dictionaries by language from docs (text, lang): at most docs_per_language distinct texts each, those with the smallest hashes."""
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).limit(MAX_LANGUAGES + 1).collect()}
-    if len(counts) > MAX_LANGUAGES:
+    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
+    if hashed.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages")
-    if not counts:
-        return {}
-    share = F.create_map(*[F.lit(x) for lang, n in sorted(counts.items()) for x in (lang, min(1.0, 4.0 * docs_per_language / n))])
-    hashed = rows.withColumn("h", F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / F.lit(float(1 << 30))).where(F.col("h") < share[F.col("lang")])
-    few = hashed.select("lang", "h", F.substring("text", 1, CHARS_PER_DOC).alias("text"))
-    order = Window.partitionBy("lang").orderBy("h", "text")
-    picked = few.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language).collect()
+    order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
+    few = hashed.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    held = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "h"])  # docs_per_language rows a language
+    picked = held.groupBy("lang", "n").agg(F.min(F.substring("text", 1, CHARS_PER_DOC)).alias("text")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
         found.setdefault(r["lang"], []).append(r["text"])

@@ -263,6 +263,14 @@ def test_language_edge_cases_and_accuracy(spark):
     assert language.learn_languages(sf.limit(0)) == {}
 
 
+def test_languages_are_learnt_from_distinct_texts(spark):
+    rows = spark.createDataFrame([(f"l{k}", f"only text {k}") for k in range(20)], "lang string, text string")
+    copies = rows.crossJoin(spark.range(2000)).select("lang", "text")
+    assert language.learn_languages(copies) == {f"l{k}": f"only text {k}".encode() for k in range(20)}
+    mixed = copies.where("lang = 'l0'").union(spark.range(100).selectExpr("'l0'", "concat('text ', id)"))
+    assert len(set(language.learn_languages(mixed)["l0"].split(b"\n"))) == language.DOCS_PER_LANGUAGE
+
+
 def test_quality_accuracy_and_edges(spark):
     sf = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
