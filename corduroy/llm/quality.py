@@ -113,16 +113,22 @@ def score_texts(model: dict, texts: list[bytes]):
     blocks = np.array([max(2, -(-len(x) // BLOCK)) for x in texts])
     data = np.frombuffer(b"".join(x.ljust(n * BLOCK, b"\0") for x, n in zip(texts, blocks)) + b"\0" * WIDTH, np.uint8)
     places, tops = int(blocks.sum()) * BLOCK // STEP, []
+    ends = np.cumsum(blocks)
+    edge = (ends[:, None] * BLOCK // STEP - np.arange(WIDTH // STEP - 1, 0, -1)).reshape(-1)  # places that reach beyond their document
+    reach = edge[:, None] * STEP + np.arange(WIDTH)
+    own = np.where(reach < np.repeat(ends * BLOCK, WIDTH // STEP - 1)[:, None], data[reach], 0)
+    edge_out = sum(model["tables"][j][own[:, j]] for j in range(WIDTH))
     per = 1024 * BLOCK // STEP  # so many places at a time keep the arrays in the cache's reach
     for at in range(0, places, per):
         n = min(per, places - at)
         acc = model["tables"][0].take(data[at * STEP : (at + n) * STEP : STEP], 0)
         for j in range(1, WIDTH):
             acc += model["tables"][j].take(data[at * STEP + j : (at + n) * STEP + j : STEP][:n], 0)
+        here = (edge >= at) & (edge < at + n)
+        acc[edge[here] - at] = edge_out[here]
         tops.append(acc.reshape(-1, BLOCK // STEP, FILTERS).max(1))
     block = np.concatenate(tops)
     chunk = np.maximum(block[:-1], block[1:])  # overlapping chunks; those across two documents are left out below
-    ends = np.cumsum(blocks)
     keep = np.ones(len(chunk), bool)
     keep[ends[:-1] - 1] = False
     h = np.maximum(chunk[keep] + model["bias"], 0).astype(float)

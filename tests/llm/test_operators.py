@@ -284,6 +284,16 @@ def test_quality_accuracy_and_edges(spark):
     assert quality.score_quality(docs(spark, ["a"]).limit(0), model).count() == 0
 
 
+def test_quality_score_does_not_depend_on_the_next_text():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    model = {"tables": [rng.normal(0, 1, (256, quality.FILTERS)).astype(np.float32) for _ in range(quality.WIDTH)], "bias": np.zeros(quality.FILTERS, np.float32), "out": rng.normal(0, 0.05, 3 * quality.FILTERS), "base": 0.0}
+    texts = [rng.bytes(n) for n in (512, 1024, 511, 768, 3, 0, 512) * 20]
+    alone = [quality.score_texts(model, [x])[0] for x in texts]
+    assert np.allclose(quality.score_texts(model, texts), alone, rtol=0, atol=1e-9)
+
+
 # --- 9 and 10 tokens
 
 
