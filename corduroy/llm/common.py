@@ -14,14 +14,16 @@ from pyspark.sql import types as T
 WORD_SPACE = "[\\x20\\x09-\\x0D]+"
 
 #: Bytes of an Arrow batch sent to a Python worker, so that long texts don't add up to gigabytes.
-BATCH_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 8 * 1024 * 1024
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir, which driver and executors share; a temporary one where it is unset (tests)."""
+    """The folder of spark.checkpoint.dir, which driver and executors share; in local mode, where it is unset, a temporary one."""
     conf = spark.sparkContext.getConf()
     base = conf.get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not conf.get("spark.master", "local").split("[")[0] == "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="corduroy-")
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
@@ -66,7 +68,46 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Calls that empty what a worker keeps between rows; see keep_for_a_partition.
+_release: list = []
+
+
+def keep_for_a_partition(clear) -> None:
+    """Have ``clear`` called at the end of every partition that map_rows goes through, since workers are used again."""
+    _release.append(clear)
+
+
+def partition_end() -> None:
+    """Free what a worker keeps, and Arrow's unused memory, when a partition has been gone through."""
+    import pyarrow as pa
+
+    for clear in _release:
+        clear()
+    pa.default_memory_pool().release_unused()
+
+
+def frame(rows: list, columns: list[str]):
+    """A pandas frame of objects: integers stay exact beside nulls."""
+    import pandas as pd
+
+    return pd.DataFrame(rows, columns=columns, dtype=object)
+
+
 def map_rows(df: DataFrame, fn, schema: str | T.StructType) -> DataFrame:
-    """mapInPandas with byte-bounded batches."""
+    """fn from an iterator of pandas frames to one, in byte-bounded Arrow batches; 64-bit integers stay exact beside nulls."""
+    from pyspark.sql.pandas.types import to_arrow_schema
+
+    kind = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    arrow = to_arrow_schema(kind)
+
+    def run(batches):
+        import pyarrow as pa
+
+        try:
+            for frame in fn(b.to_pandas(integer_object_nulls=True) for b in batches):
+                yield pa.RecordBatch.from_pandas(frame, schema=arrow, preserve_index=False)
+        finally:
+            partition_end()
+
     bounded_batches(df.sparkSession)
-    return df.mapInPandas(fn, schema)
+    return df.mapInArrow(run, kind)

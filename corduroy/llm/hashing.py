@@ -2,12 +2,26 @@
 
 from __future__ import annotations
 
-MEMO_LIMIT = 500_000
+from .common import keep_for_a_partition
+
+#: Bytes of words whose hashes a worker keeps, at about 150 bytes of overhead each.
+MEMO_BYTES = 24 << 20
 _memo: dict[bytes, int] = {}
+_size = [0]
 _BASE = 0x9E3779B97F4A7C15
 _table: dict = {}
 
 
+def forget() -> None:
+    """Empty the kept hashes and tables."""
+    _memo.clear()
+    _table.clear()
+    _size[0] = 0
+
+
+keep_for_a_partition(forget)
+
+
 def word_hashes(words: list[bytes]):
     """A 64-bit hash of each word."""
     import numpy as np
@@ -15,12 +29,15 @@ def word_hashes(words: list[bytes]):
 
     got = list(map(_memo.get, words))
     if None in got:
-        if len(_memo) > MEMO_LIMIT:
-            _memo.clear()
+        if _size[0] > MEMO_BYTES:
+            forget()
         for i, x in enumerate(got):
             if x is None:
                 w = words[i]
-                got[i] = _memo[w] = xxhash.xxh3_64_intdigest(w)
+                got[i] = xxhash.xxh3_64_intdigest(w)
+                if len(w) <= 64:
+                    _memo[w] = got[i]
+                    _size[0] += len(w) + 150
     return np.array(got, np.uint64)
 
 

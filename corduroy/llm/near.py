@@ -1,16 +1,18 @@
 """Near-duplicate groups by MinHash bands, odd sketches and full sets (operator 5).
 
-1. A document's set of word shingles gives MinHash samples. ROWS samples make a band key; all samples are folded into an odd
-   sketch, a bitmap in which each sample flips one bit: the ones in two sketches' XOR tell how many samples differ, most precisely
-   where few do.
+1. A document's set of word shingles gives MinHash samples: ROWS of them make a band key. One more sample for each of BINS parts of
+   the hash range (the least hash in it) is folded into an odd sketch, a bitmap in which each sample flips one bit: the ones in two
+   sketches' XOR tell how many samples differ, most precisely where few do.
 2. Documents with equal sets are one class; its smallest doc_id stands for it. Classes that share a band key are candidates.
 3. In every bucket the members are compared with one hub, the member whose own buckets are the fullest: a bitmap test first, then
-   the full sets. Links give components.
-4. Buckets whose members are still in several components are compared fully across components, in blocks: a document takes part
-   only if enough of its shingles occur in another such document, pairs must pass the bitmap test, and full sets confirm.
+   the full sets. Links give components. Buckets whose members are still in several components have HUBS further hubs each, which
+   are compared with the members of other components.
+4. Larger buckets that still hold several components are compared fully across them, in blocks: first the bitmaps, which leave the
+   members that may have a link, then the full sets of those. A task joins what it links at once and returns only links between
+   two of its components, so the links returned grow with the members, not with the pairs.
 
-Two documents at the threshold share none of the BANDS band keys with probability under 1e-7, and their bitmaps fail the test
-(CUT, over five standard deviations below) more rarely still. A pair inside one component is never expanded.
+Two documents at the threshold share none of the BANDS band keys with probability under 1e-7; their bitmaps fail the test
+(SIGMAS standard deviations, see most_ones) more rarely still. A pair inside one component is never expanded.
 
 Nulls and ties: documents without text or words have an empty set and no links; a null doc_id is in no group (component_id null,
 kept); rows with one doc_id are judged by their own texts. Empty tables give no rows.
@@ -18,15 +20,20 @@ kept); rows with one doc_id are judged by their own texts. Empty tables give no
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from .common import map_rows, materialize, scratch, table
+from .common import frame, map_rows, materialize, partition_end, scratch, table
 from .components import components
 
-BANDS, ROWS, BITS, BLOCK = 32, 4, 1024, 256
-#: Similarity that a pair's bitmaps must promise, for a threshold of 0.8.
-CUT_BELOW = 0.2
+BANDS, ROWS, BINS, BITS = 32, 4, 1024, 2048
+#: Further hubs of an unsettled bucket; members, and shingles, of a block.
+HUBS, BLOCK, BLOCK_SHINGLES = 4, 256, 1_000_000
+#: Standard deviations by which a pair's bitmaps may exceed the ones expected at the threshold.
+SIGMAS = 5.5
 _state: dict = {}
 
 
@@ -61,21 +68,20 @@ def _samples(values):
 
 
 def signatures(docs: DataFrame, size: int) -> DataFrame:
-    """doc_id, n (set size), d1, d2 (digests of the set), bands (array<long>), sketch (array<long>)."""
+    """doc_id, n (set size), d1, d2 (digests of the set), bands (array<long>), bins (samples in the sketch), sketch (array<long>)."""
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         from .hashing import mix, signed
 
-        band, place = np.arange(BANDS, dtype=np.uint64), np.arange(BANDS * ROWS, dtype=np.uint64)
+        band = np.arange(BANDS, dtype=np.uint64)
         for pdf in batches:
             out = []
             for doc_id, text in zip(pdf["doc_id"], pdf["text"]):
                 s = shingle_set(text, size)
                 if not len(s):
-                    out.append((doc_id, 0, 0, 0, None, None))
+                    out.append((doc_id, 0, 0, 0, None, 0, None))
                     continue
                 with np.errstate(over="ignore"):
                     d1, d2 = mix(s, 101).sum(dtype=np.uint64), mix(s, 202).sum(dtype=np.uint64)
@@ -83,45 +89,68 @@ def signatures(docs: DataFrame, size: int) -> DataFrame:
                     key = band
                     for r in range(ROWS):
                         key = mix(key * np.uint64(31) + m[r::ROWS], r + 1)
-                    bit = (mix(m + place * np.uint64(0x9E3779B97F4A7C15), 5) % np.uint64(BITS)).astype(int)
-                odd = np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
-                out.append((doc_id, len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), signed(key), odd))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "bands", "sketch"]).astype({"doc_id": "Int64"})
+                bins, odd = odd_sketch(s)
+                out.append((doc_id, len(s), int(d1.view(np.int64)), int(d2.view(np.int64)), signed(key), bins, odd))
+            yield frame(out, ["doc_id", "n", "d1", "d2", "bands", "bins", "sketch"])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, d1 long, d2 long, bands array<long>, sketch array<long>")
+    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text"), run, "doc_id long, n long, d1 long, d2 long, bands array<long>, bins int, sketch array<long>")
 
 
-def most_bits(similarity: float) -> int:
-    """The most ones that two sketches' XOR may have for the pair to reach the similarity."""
-    return int(BITS / 2 * (1 - (1 - 2 / BITS) ** (2 * BANDS * ROWS * (1 - similarity))))
+def odd_sketch(values):
+    """(number of samples, bitmap) of a set of 64-bit hashes: the least hash of each of BINS parts of their range flips a bit."""
+    import numpy as np
 
+    from .hashing import mix
 
-def _linked(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets have 100 * intersection >= percent * union."""
+    h = np.sort(mix(values, 303))
+    part = h >> np.uint64(64 - (BINS - 1).bit_length())
+    least = h[np.flatnonzero(np.concatenate([[True], part[1:] != part[:-1]]))]
+    bit = (mix(least, 5) % np.uint64(BITS)).astype(int)
+    return len(least), np.packbits((np.bincount(bit, minlength=BITS) & 1).astype(np.uint8)).view(np.int64)
 
-    def run(batches):
-        import numpy as np
-        import pandas as pd
 
-        held: dict = {}
+def most_ones(na, nb, ba, bb, percent: int, root):
+    """The most ones that two sketches' XOR may have for the sets to reach the similarity; for numbers, arrays and columns.
 
-        def of(key, text):
-            if key not in held:
-                if len(held) > 2000:
-                    held.clear()
-                held[key] = shingle_set(text, size)
-            return held[key]
+    na, nb are the sets' sizes, ba, bb the numbers of samples. At the threshold the union has u elements; the parts that it fills
+    follow from those that either set fills, and the least elements of filled parts are a random choice of the union's elements, so
+    the samples in common are hypergeometric. The samples that differ flip bits at random.
+    """
+    t, empty, once, twice = percent / 100, math.log1p(-1 / BINS), math.log1p(-2 / BITS), math.log1p(-4 / BITS)
+    u = (na + nb) / (1 + t)
+    filled = BINS - ((BINS - ba) * math.e ** ((u - na) * empty) + (BINS - bb) * math.e ** ((u - nb) * empty)) / 2
+    spread = (2 * u - na - nb) / 2 * (ba + bb) / (2 * BINS) * (1 - (ba + bb) / (2 * BINS))
+    vary = filled * t * (1 - t) * (1 - filled / u) + t * t * spread
+    differ = ba + bb - 2 * t * filled
+    p, q = math.e ** (differ * once), math.e ** (differ * twice)
+    flips = BITS / 4 * (1 + (BITS - 1) * q - BITS * p * p)
+    vary = flips + 4 * p * p * vary
+    return BITS / 2 * (1 - p) + SIGMAS * root(vary + 1e-6) + 2
+
+
+def _linked(pairs: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """The pairs (a, b) that pass the bitmap test and whose full sets have 100 * intersection >= percent * union."""
+    both = pairs.join(facts.toDF("a", "na", "ba", "sa"), "a").join(facts.toDF("b", "nb", "bb", "sb"), "b")
+    ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
+    most = _most_ones_column(percent)
+    passed = both.where((100 * F.least("na", "nb") >= percent * F.greatest("na", "nb")) & (ones <= most)).select("a", "b")
+    passed = materialize(passed, f"{path}/passed")
+    held = passed.join(sets.toDF("a", "x"), "a").join(sets.toDF("b", "y"), "b")
+    common = F.size(F.array_intersect("x", "y"))
+    return materialize(held.where(100 * common >= percent * (F.size("x") + F.size("y") - common)).select("a", "b"), f"{path}/links")
 
-        for pdf in batches:
-            keep = []
-            for a, b, ta, tb in zip(pdf["a"], pdf["b"], pdf["ta"], pdf["tb"]):
-                x, y = shingle_set(ta, size), of(b, tb)
-                common = len(np.intersect1d(x, y, assume_unique=True))
-                keep.append(100 * common >= percent * (len(x) + len(y) - common))
-            yield pdf.loc[keep, ["a", "b"]]
 
-    one = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    return map_rows(one.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb"), run, "a long, b long").distinct()
+def _most_ones_column(percent: int):
+    return most_ones(*(F.col(c) for c in ("na", "nb", "ba", "bb")), percent, F.sqrt)
+
+
+def _open(members: DataFrame, found: DataFrame, done: int, path: str) -> DataFrame:
+    """key, m, rep, component of the buckets of more than ``done`` members that hold several components."""
+    some = members.where(F.col("m") > done).select("key", "m", "rep")
+    placed = some.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "m", "rep", F.coalesce("component", "rep").alias("component"))
+    placed = materialize(placed, f"{path}/placed")
+    several = materialize(placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key"), f"{path}/several")
+    return materialize(placed.join(several, "key"), f"{path}/open")
 
 
 def near_groups(docs: DataFrame, path: str, size: int = 5, percent: int = 80) -> DataFrame:
@@ -130,33 +159,36 @@ def near_groups(docs: DataFrame, path: str, size: int = 5, percent: int = 80) ->
     Links join documents whose sets of ``size``-word shingles have 100 * intersection >= percent * union.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    most = most_bits(max(0.0, percent / 100 - CUT_BELOW))
     sig = materialize(signatures(docs, size), f"{path}/signatures")
     classes = materialize(sig.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "d1", "d2").agg(F.min("doc_id").alias("rep")), f"{path}/classes")
-    reps = materialize(sig.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), ["doc_id", "n", "d1", "d2"], "left_semi").dropDuplicates(["doc_id", "n", "d1", "d2"]).select(F.col("doc_id").alias("rep"), "n", "bands", "sketch"), f"{path}/reps")
+    same = ["doc_id", "n", "d1", "d2"]
+    reps = sig.join(classes.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), same, "left_semi").dropDuplicates(same)
+    reps = materialize(reps.select(F.col("doc_id").alias("rep"), "n", "d1", "d2", "bins", "bands", "sketch"), f"{path}/reps")
+    facts = reps.select("rep", "n", "bins", "sketch")
 
     band = reps.select("rep", F.explode("bands").alias("key"))
     shared = materialize(band.groupBy("key").agg(F.count("*").alias("m")).where("m > 1"), f"{path}/shared")
     members = materialize(band.join(shared, "key"), f"{path}/members")
     central = materialize(members.groupBy("rep").agg(F.sum("m").alias("c")), f"{path}/central")
-    hubs = materialize(members.join(central, "rep").groupBy("key").agg((-F.max(F.struct("c", (-F.col("rep")).alias("r")))["r"]).alias("hub")), f"{path}/hubs")
-    texts = materialize(docs.where("text IS NOT NULL").join(central.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi"), f"{path}/texts")
-
-    near = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
-    sketch = reps.select("rep", "n", "sketch")
-    both = near.join(sketch.toDF("a", "na", "sa"), "a").join(sketch.toDF("b", "nb", "sb"), "b")
-    ones = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda t, x: t + x)
-    passed = both.where((ones <= most) & (100 * F.least("na", "nb") >= percent * F.greatest("na", "nb"))).select("a", "b").distinct()
-    links = materialize(_linked(materialize(passed, f"{path}/passed"), texts, size, percent), f"{path}/links")
-    found = materialize(components(links, f"{path}/first"), f"{path}/found")
+    sets = materialize(_own_sets(docs, reps, central, size), f"{path}/sets")
 
-    placed = members.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("key", "rep", F.coalesce("component", "rep").alias("component"))
-    placed = materialize(placed, f"{path}/placed")
-    unsettled = materialize(placed.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", "m"), f"{path}/unsettled")
-    open_ = materialize(placed.join(unsettled, "key"), f"{path}/open")
-    extra = _across(open_, reps, texts, size, percent, most, path)
-    more = materialize(_linked(materialize(extra, f"{path}/across"), texts, size, percent), f"{path}/more")
-    found = materialize(components(links.unionByName(more), f"{path}/last"), f"{path}/all")
+    hubs = materialize(members.join(central, "rep").groupBy("key").agg((-F.max(F.struct("c", (-F.col("rep")).alias("r")))["r"]).alias("hub")), f"{path}/hubs")
+    first = members.join(hubs, "key").where("rep <> hub").select(F.col("rep").alias("a"), F.col("hub").alias("b")).distinct()
+    links = _linked(first, facts, sets, percent, f"{path}/first")
+    found = materialize(components(links, f"{path}/first"), f"{path}/first/found")
+
+    left = _open(members, found, 2, f"{path}/second")
+    order = Window.partitionBy("key").orderBy(F.xxhash64("rep", "key"), "rep")
+    few = left.select("key", "rep", "component", F.row_number().over(order).alias("place")).where(F.col("place") <= HUBS)
+    hubs = materialize(few.select("key", F.col("rep").alias("hub"), F.col("component").alias("of")), f"{path}/second/hubs")
+    met = left.join(hubs, "key").where("component <> of")
+    second = met.select(F.greatest("rep", "hub").alias("a"), F.least("rep", "hub").alias("b")).distinct()
+    links = _linked(second, facts, sets, percent, f"{path}/second")
+    found = _merged(found, links, f"{path}/second")
+
+    left = _open(members, found, HUBS + 1, f"{path}/third")
+    links = materialize(_across(left, facts, sets, percent, f"{path}/third"), f"{path}/third/links")
+    found = _merged(found, links, f"{path}/third")
 
     named = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select("n", "d1", "d2", F.coalesce("component", "rep").alias("component_id"))
     named = materialize(named, f"{path}/named")
@@ -165,54 +197,111 @@ def near_groups(docs: DataFrame, path: str, size: int = 5, percent: int = 80) ->
     return rows.select("doc_id", F.col("n").alias("n_shingles"), group.alias("component_id"), F.coalesce(F.col("doc_id") == group, F.lit(True)).alias("kept"))
 
 
-def _across(open_: DataFrame, reps: DataFrame, texts: DataFrame, size: int, percent: int, most: int, path: str) -> DataFrame:
-    """Pairs (a, b) of different components in one bucket that sizes, shared shingles and bitmaps don't rule out."""
-    who = materialize(open_.select("rep").distinct(), f"{path}/who")
+def _own_sets(docs: DataFrame, reps: DataFrame, central: DataFrame, size: int) -> DataFrame:
+    """rep and s of the classes that share a bucket; of rows with one doc_id, the set that its digest names."""
+    chosen = reps.join(central, "rep", "left_semi").select("rep", "n", "d1", "d2")
+    texts = docs.where("text IS NOT NULL").join(chosen.select(F.col("rep").alias("doc_id"), "n", "d1", "d2"), "doc_id")
 
-    def sets(batches):
-        import pandas as pd
+    def run(batches):
+        import numpy as np
 
-        from .hashing import signed
+        from .hashing import mix, signed
 
         for pdf in batches:
-            yield pd.DataFrame({"rep": pdf["doc_id"], "s": [signed(shingle_set(t, size)) for t in pdf["text"]]})
-
-    held = texts.join(who.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi")
-    single = map_rows(held, sets, "rep long, s array<long>").select("rep", F.explode("s").alias("s")).groupBy("s").agg(F.min("rep").alias("rep"), F.max("rep").alias("other")).where("rep = other")
-    lonely = materialize(single.groupBy("rep").agg(F.count("*").alias("single")), f"{path}/single")
-    facts = reps.join(who, "rep", "left_semi").join(lonely, "rep", "left").select("rep", "n", (F.col("n") - F.coalesce("single", F.lit(0))).alias("common"), "sketch", "bands")
-    facts = materialize(facts.where(100 * F.col("common") >= percent * F.col("n")), f"{path}/facts")
-    left = materialize(open_.select("key", "rep", "component").join(facts, "rep"), f"{path}/left")
-    count = materialize(left.groupBy("key").agg(F.count("*").alias("m"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key", F.ceil(F.col("m") / BLOCK).alias("blocks")), f"{path}/count")
-    dealt = left.join(count, "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
-    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1))).select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "common", "sketch", "bands")
-
-    def meet(pdf):
+            kept = []
+            for doc_id, text, n, d1, d2 in zip(pdf["doc_id"], pdf["text"], pdf["n"], pdf["d1"], pdf["d2"]):
+                s = shingle_set(text, size)
+                if len(s) == n and (int(mix(s, 101).sum(dtype=np.uint64).view(np.int64)), int(mix(s, 202).sum(dtype=np.uint64).view(np.int64))) == (d1, d2):
+                    kept.append((doc_id, signed(s)))
+            yield frame(kept, ["rep", "s"])
+
+    return map_rows(texts, run, "rep long, s array<long>").dropDuplicates(["rep"])
+
+
+def _merged(found: DataFrame, links: DataFrame, path: str) -> DataFrame:
+    """found (node, component) after further links between its nodes or new ones."""
+    if links.isEmpty():
+        return found
+    trees = found.select(F.col("node").alias("a"), F.col("component").alias("b")).where("a <> b")
+    return materialize(components(trees.unionByName(links), f"{path}/components"), f"{path}/found")
+
+
+def _near_pairs(p, q, percent: int):
+    """Places (i, j) in frames p and q of pairs of different components that sizes and bitmaps don't rule out."""
+    import numpy as np
+
+    def col(x, c):
+        return x[c].to_numpy()
+
+    n, m = col(p, "n")[:, None], col(q, "n")[None]
+    ok = (col(p, "component")[:, None] != col(q, "component")[None]) & (100 * np.minimum(n, m) >= percent * np.maximum(n, m))
+    i, j = np.nonzero(ok)
+    x, y = np.stack(p["sketch"].to_list()).view(np.uint64), np.stack(q["sketch"].to_list()).view(np.uint64)
+    keep = [np.empty(0, bool)]
+    for k in range(0, len(i), 32768):
+        a, b = i[k : k + 32768], j[k : k + 32768]
+        most = most_ones(col(p, "n")[a], col(q, "n")[b], col(p, "bins")[a], col(q, "bins")[b], percent, np.sqrt)
+        keep.append(np.bitwise_count(x[a] ^ y[b]).sum(1) <= most)
+    near = np.concatenate(keep)
+    return i[near], j[near]
+
+
+def _sides(pdf):
+    p = pdf[pdf["own"] == pdf["i"]]
+    return p, pdf[pdf["own"] == pdf["j"]] if pdf["i"].iat[0] != pdf["j"].iat[0] else p
+
+
+def _across(left: DataFrame, facts: DataFrame, sets: DataFrame, percent: int, path: str) -> DataFrame:
+    """Verified links (a, b) that join components within a bucket of ``left`` (key, m, rep, component)."""
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # comparing costs more than its bytes tell
+    with_n = left.join(facts.select("rep", "n"), "rep")
+    count = with_n.groupBy("key").agg(F.ceil(F.greatest(F.count("*") / BLOCK, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    dealt = left.join(materialize(count, f"{path}/count"), "key").withColumn("own", F.pmod(F.xxhash64("rep"), F.col("blocks")))
+    dealt = materialize(dealt.join(facts, "rep").select("key", "blocks", "own", "rep", "component", "n", "bins", "sketch"), f"{path}/dealt")
+    sent = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    sent = sent.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "rep", "component", "n", "bins", "sketch")
+
+    def may_link(pdf):
+        """The rows that have a partner by their bitmaps."""
         import numpy as np
-        import pandas as pd
 
-        p = pdf[pdf["own"] == pdf["i"]]
-        q = pdf[pdf["own"] == pdf["j"]] if pdf["i"].iat[0] != pdf["j"].iat[0] else p
+        p, q = _sides(pdf)
         if not len(p) or not len(q):
-            return pd.DataFrame({"a": [], "b": []}, dtype="int64")
-        col = lambda x, c: x[c].to_numpy()
-        n, m = col(p, "n")[:, None], col(q, "n")[None]
-        ok = col(p, "component")[:, None] != col(q, "component")[None]
-        ok &= 100 * np.minimum(n, m) >= percent * np.maximum(n, m)
-        # intersection * (100 + percent) >= percent * (n + m), and no more than either one's common shingles
-        ok &= np.minimum(col(p, "common")[:, None], col(q, "common")[None]) * (100 + percent) >= percent * (n + m)
-        i, j = np.nonzero(ok)
-        x, y = np.stack(p["sketch"].to_list()).view(np.uint64), np.stack(q["sketch"].to_list()).view(np.uint64)
-        near = np.concatenate([np.bitwise_count(x[i[k : k + 65536]] ^ y[j[k : k + 65536]]).sum(1) <= most for k in range(0, len(i), 65536)] or [np.empty(0, bool)])
-        i, j = i[near], j[near]
-        # a pair is named in the bucket of the first band that it shares, not in the others
-        bx, by, key = np.stack(p["bands"].to_list()), np.stack(q["bands"].to_list()), pdf["key"].iat[0]
-        first = [bx[i[k : k + 65536], (bx[i[k : k + 65536]] == by[j[k : k + 65536]]).argmax(1)] == key for k in range(0, len(i), 65536)]
-        first = np.concatenate(first or [np.empty(0, bool)])
-        a, b = col(p, "rep")[i[first]], col(q, "rep")[j[first]]
-        return pd.DataFrame({"a": np.maximum(a, b), "b": np.minimum(a, b)}).drop_duplicates()
-
-    return sent.groupBy("key", "i", "j").applyInPandas(meet, "a long, b long").distinct()
+            return pdf.iloc[:0]
+        i, j = _near_pairs(p, q, percent)
+        return pdf.loc[np.unique(np.concatenate([p.index[i], q.index[j]]))] if len(i) else pdf.iloc[:0]
+
+    def link(pdf):
+        """Of the pairs with full sets alike, those that join two components; pairs inside one by then are passed over."""
+        import numpy as np
+        import pandas as pd
+
+        p, q = _sides(pdf)
+        parent = {c: c for c in pdf["component"].tolist()}
+
+        def root(c):
+            while parent[c] != c:
+                parent[c] = c = parent[parent[c]]
+            return c
+
+        out = []
+        if len(p) and len(q):
+            x, y = ([np.asarray(s).view(np.uint64) for s in side["s"]] for side in (p, q))
+            for i, j in zip(*(k.tolist() for k in _near_pairs(p, q, percent))):
+                a, b = root(p["component"].iat[i]), root(q["component"].iat[j])
+                if a == b:
+                    continue
+                both = len(np.intersect1d(x[i], y[j], assume_unique=True))
+                if 100 * both >= percent * (len(x[i]) + len(y[j]) - both):
+                    parent[a] = b
+                    out.append((p["rep"].iat[i], q["rep"].iat[j]))
+        partition_end()
+        return pd.DataFrame(out, columns=["a", "b"], dtype="int64")
+
+    keys = ["key", "i", "j"]
+    likely = materialize(sent.repartition(tasks, *keys).groupBy(*keys).applyInPandas(may_link, sent.schema), f"{path}/likely")
+    whole = likely.join(sets, "rep").select(*sent.columns, "s")
+    return whole.repartition(tasks, *keys).groupBy(*keys).applyInPandas(link, "a long, b long").distinct()
 
 
 def op5_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, scratch, table
+from .common import frame, map_rows, materialize, scratch, table
 
 GRAM, FAN_IN, BATCHES = 12, 2, 3
 
@@ -54,7 +54,6 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
     def run(batches):
         import numpy as np
-        import pandas as pd
 
         from .hashing import signed, window_hashes, word_hashes
 
@@ -68,7 +67,7 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
                     grams = window_hashes(hashes, GRAM)
                     anchors = signed(np.unique(grams[winnowed(grams, window - GRAM + 1)]))
                 out.append((doc_id, len(words), *_digests(hashes), hashlib.sha256(b" ".join(words)).hexdigest(), anchors))
-            yield pd.DataFrame(out, columns=["doc_id", "n", "d1", "d2", "sha", "anchors"]).astype({"doc_id": "Int64"})
+            yield frame(out, ["doc_id", "n", "d1", "d2", "sha", "anchors"])
 
     return map_rows(docs, run, "doc_id long, n long, d1 long, d2 long, sha string, anchors array<long>")
 
@@ -169,7 +168,6 @@ def remove_repeats(docs: DataFrame, path: str, window: int = 50, batches: int =
 
     def cut(rows):
         import numpy as np
-        import pandas as pd
 
         from .hashing import word_hashes
 
@@ -186,7 +184,7 @@ def remove_repeats(docs: DataFrame, path: str, window: int = 50, batches: int =
                 gone = np.cumsum(edge[:-1]) > 0
                 kept = b" ".join([w for w, g in zip(words, gone) if not g])
                 out.append((row.doc_id, row.d1, row.d2, int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode() if text else None))
-            yield pd.DataFrame(out, columns=["doc_id", "d1", "d2", "cut", "cut_sha", "kept_text"])
+            yield frame(out, ["doc_id", "d1", "d2", "cut", "cut_sha", "kept_text"])
 
     changed = map_rows(texts.select("doc_id", "d1", "d2", "text").join(starts, ["doc_id", "d1", "d2"]), cut, "doc_id long, d1 long, d2 long, cut long, cut_sha string, kept_text string")
     changed = materialize(changed.unionByName(copies.select("doc_id", "d1", "d2", F.lit(None).cast("long").alias("cut"), F.lit(hashlib.sha256(b"").hexdigest()).alias("cut_sha"), F.lit("" if text else None).cast("string").alias("kept_text"))).dropDuplicates(["doc_id", "d1", "d2"]), f"{path}/changed")

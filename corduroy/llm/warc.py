@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, materialize, open_fs, scratch, table
+from .common import frame, map_rows, materialize, open_fs, scratch, table
 
 FILE_BYTES, GAP_BYTES, SPAN_BYTES, READ_BYTES = 256 << 20, 256 << 10, 16 << 20, 128 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -79,7 +79,7 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0) -> Da
                 url = " ".join(url.split()) or "about:blank"
                 page_id = None if pd.isna(page_id) else int(page_id)
                 out.append((page_id, url, sha, digest, len(payload), _member(page_id, url, payload, digest, len(payload))))
-            yield pd.DataFrame(out, columns=["page_id", "url", "sha", "digest", "size", "member"]).astype({"page_id": "Int64"})
+            yield frame(out, ["page_id", "url", "sha", "digest", "size", "member"])
 
     packed = map_rows(rows, pack, "page_id long, url string, sha string, digest string, size long, member binary")
     joined = packed.join(first, "sha", "left").withColumn("refers_to", F.when(F.col("page_id").isNull() | (F.col("page_id") != F.col("first_id")), F.col("first_id"))).drop("first_id", "sha")
@@ -107,7 +107,7 @@ def write_warc(pages: DataFrame, out_dir: str, min_revisit_bytes: int = 0) -> Da
                 sink.write(member)
                 out.append((page_id, f"{out_dir}/archives/{name}", at, len(member), row.url, row.digest, "response" if refers is None else "revisit", refers))
                 at += len(member)
-            yield pd.DataFrame(out, columns=["page_id", "file", "offset", "length", "url", "payload_digest", "record_type", "refers_to"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield frame(out, ["page_id", "file", "offset", "length", "url", "payload_digest", "record_type", "refers_to"])
         if sink is not None:
             sink.close()
 
@@ -124,8 +124,6 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
         import base64
         import hashlib
 
-        import pandas as pd
-
         def number(text):
             text = text.strip("<>").removeprefix(URN)
             return int(text) if text else None
@@ -150,7 +148,7 @@ def read_warc(index: DataFrame, payloads: bool = True) -> DataFrame:
                             digest = base64.b32encode(hashlib.sha1(payload).digest()).decode() if response else got["warc-payload-digest"].removeprefix("sha1:")
                             out.append((number(got["warc-record-id"]), got["warc-target-uri"], len(payload) if response else int(got["x-payload-length"]), digest, got["warc-type"], None if response else number(got["warc-refers-to"]), payload if response and payloads else None))
                         at = to + 1
-            yield pd.DataFrame(out, columns=["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"]).astype({"page_id": "Int64", "refers_to": "Int64"})
+            yield frame(out, ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to", "payload"])
 
     size = index.agg(F.sum("length")).first()[0] or 0  # what is read, not the index's own size, sets the number of tasks
     tasks = max(-(-size // READ_BYTES), min(index.sparkSession.sparkContext.defaultParallelism, 1 + size // GAP_BYTES))

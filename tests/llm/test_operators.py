@@ -223,8 +223,42 @@ def test_near_groups_of_nulls_and_nothing(spark):
     assert near.near_groups(rows.limit(0), path(spark, "t5c")).count() == 0
 
 
-def test_odd_sketch_estimates(spark):
-    assert near.most_bits(1.0) == 0 and near.most_bits(0.8) < near.most_bits(0.6) < near.BITS / 2
+def test_near_groups_of_a_large_bucket_in_blocks(spark, monkeypatch):
+    """Near copies of one text of which many are alike by less than the threshold, compared in several blocks after the hubs."""
+    monkeypatch.setattr(near, "BLOCK", 16)
+    monkeypatch.setattr(near, "HUBS", 1)
+    rng = random.Random(5)
+    base, texts = prose(rng, 150).split(), []
+    for _ in range(90):
+        w = list(base)
+        for _ in range(rng.randrange(0, 18)):
+            w[rng.randrange(len(w))] = rng.choice(WORDS)
+        texts.append(" ".join(w))
+    got = sorted(tuple(r) for r in near.near_groups(docs(spark, texts), path(spark, "t5d"), size=4).collect())
+    assert got == brute_groups(texts, 4, 80)
+    assert 1 < len({r[2] for r in got}) < 90
+
+
+def test_near_groups_of_rows_with_one_doc_id_and_large_ids(spark):
+    a, b = "a b c d e f g h", "p q r s t u v w"
+    big = 2**53 + 1
+    rows = spark.createDataFrame([(big, a), (big, b), (None, a), (big + 1, a), (big + 2, b), (big + 2, None)], "doc_id long, text string")
+    got = sorted((tuple(r) for r in near.near_groups(rows, path(spark, "t5e")).collect()), key=repr)
+    assert got == sorted([(big, 4, big, True), (big, 4, big, True), (None, 4, None, True), (big + 1, 4, big, False), (big + 2, 4, big, False), (big + 2, 0, big + 2, True)], key=repr)
+
+
+@pytest.mark.parametrize("size", [3, 9, 40, 150, 1000, 5000])
+def test_odd_sketches_of_pairs_at_the_threshold_pass(size):
+    import numpy as np
+
+    rng = np.random.default_rng(size)
+    for _ in range(100):
+        common = -(-8 * size // 9)  # 0.8 of the union
+        h = rng.integers(0, 2**63, 2 * size - common, dtype=np.uint64) * np.uint64(2)
+        a, b = np.sort(h[:size]), np.sort(np.concatenate([h[:common], h[size:]]))
+        (x, p), (y, q) = near.odd_sketch(a), near.odd_sketch(b)
+        ones = int(np.bitwise_count(p.view(np.uint64) ^ q.view(np.uint64)).sum())
+        assert ones <= near.most_ones(size, size, x, y, 80, np.sqrt) < near.BITS / 4
 
 
 # --- 6 top k
