@@ -3,9 +3,9 @@
 The model's pieces and scores are read once a worker; encoding is our own. A text becomes "▁" + text with every space as "▁". No
 piece of a supported model has "▁" after another character, so a text is cut before each run of "▁" and each cut part is encoded
 on its own and remembered. A part is encoded by backtracking: the automaton gives the longest piece at a position, a piece is kept
-if re-merging it with the piece before it leaves the two apart, a set holds the positions from which no ending was found, and
+if re-merging it with the piece before it leaves the two apart, a bitfield holds the positions from which no ending was found, and
 shorter pieces or the piece before are tried next. No more than the longest piece's length is looked ahead, so memory is in
-proportion to the text. Parts with a run of white space are merged with a heap instead. Characters in no piece become their bytes' pieces.
+proportion to the text. Characters in no piece become their bytes' pieces.
 
 Nulls and ties: a null text is empty (no ids); rows with equal doc_id are all returned. Empty tables give no rows.
 """
@@ -17,11 +17,14 @@ import hashlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import map_rows, table
+from .common import keep_for_a_partition, map_rows, table
 
-#: Entries of a worker's memo of encoded parts and of compared neighbours; each is emptied when full.
-MEMO_LIMIT = 400_000
+#: Entries of each of a worker's memos (encoded words, compared neighbours, longest pieces), some 35 MB at most each: words have
+#: fewer than WORD_CHARS characters, the others no more than the longest pieces. All are emptied at a partition's end.
+MEMO_LIMIT, WORD_CHARS = 100_000, 64
 SPACE = "▁"
+#: Texts that other normalisers change; a model that encodes them otherwise is not supported.
+PROBES = (" a  b ", "ﬁ ① Ａ", "e\u0301 é", "\ta\n b\u3000c", "ÀB ß")
 
 _loaded: dict = {}
 
@@ -74,6 +77,8 @@ class PieceCodec:
         self.old: dict[str, tuple] = {}
         self.apart: dict[tuple[str, str], bool] = {}
         self.longest: dict[str, str] = {}
+        if any(self.encode(x) != model.encode(x) for x in PROBES):
+            raise ValueError("the model's normaliser is another than white space to ▁ with one in front")
 
     def _merge(self, text: str, log: list | None = None) -> list[str]:
         """Merge neighbours, best score first and leftmost among equals, until no pair is a piece."""
@@ -124,15 +129,13 @@ class PieceCodec:
         return got
 
     def _pieces(self, text: str) -> list[str]:
-        if SPACE * 2 in text:
-            return self._merge_heap(text)
         apart, longest, shorter = self.apart, self.longest, self.shorter
-        n, at, failed, out, ahead = len(text), 0, set(), [], self.ahead
+        n, at, failed, out, ahead = len(text), 0, b"", [], self.ahead
         rest = text[:ahead]
         token, last = longest.get(rest) or self._longest(rest), ""
         while True:
             while token is not None:
-                if not (failed and at + len(token) in failed):
+                if not (failed and failed[at + len(token)]):
                     ok = apart.get((last, token))
                     if ok is None:
                         ok = self._pair((last, token))
@@ -147,7 +150,8 @@ class PieceCodec:
                 last, rest = token, text[at : at + ahead]
                 token = longest.get(rest) or self._longest(rest)
             else:
-                failed.add(at)
+                failed = failed or bytearray(n + 1)
+                failed[at] = 1
                 token = out.pop()
                 at -= len(token)
                 last = out[-1] if out else ""
@@ -156,39 +160,14 @@ class PieceCodec:
     def _pair(self, pair: tuple[str, str]) -> bool:
         if len(self.apart) > MEMO_LIMIT:
             self.apart.clear()
-        ok = self.apart[pair] = not pair[0] or self._stay_apart(*pair)
+        left, right = pair
+        if SPACE * 2 in left + right:  # runs of white space have one score, and the leftmost of equal merges comes first
+            ok = not left or self._merge(left + right) == [left, right]
+        else:
+            ok = not left or self._stay_apart(left, right)
+        self.apart[pair] = ok
         return ok
 
-    def _merge_heap(self, text: str) -> list[str]:
-        """_merge with a heap: for parts with a run of white space, whose pieces have equal scores, so that order matters."""
-        import heapq
-
-        parts, level, n = list(text), self.level, len(text)
-        nxt, prv = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = []
-
-        def offer(i):
-            j = nxt[i]
-            if j < n and (r := level.get(parts[i] + parts[j])) is not None:
-                heapq.heappush(heap, (r, i, len(parts[i]), len(parts[j])))
-
-        for i in range(n - 1):
-            offer(i)
-        while heap:
-            _, i, a, b = heapq.heappop(heap)
-            j = nxt[i] if parts[i] is not None else n
-            if j >= n or len(parts[i]) != a or len(parts[j]) != b:
-                continue
-            parts[i] += parts[j]
-            parts[j] = None
-            nxt[i] = nxt[j]
-            if nxt[j] < n:
-                prv[nxt[j]] = i
-            if prv[i] >= 0:
-                offer(prv[i])
-            offer(i)
-        return [x for x in parts if x is not None]
-
     def _ids(self, pieces: list[str]) -> list[int]:
         out = []
         for x in pieces:
@@ -236,7 +215,7 @@ class PieceCodec:
                 self.old = dict(self.memo)
                 self.memo.clear()
             got = self.old.pop(word, None) or self._part(SPACE + word)
-            if len(word) < 64:
+            if len(word) < WORD_CHARS:
                 self.memo[word] = got
         return got
 
@@ -286,6 +265,16 @@ class PieceCodec:
         return text[1:] if first is not None and self.piece[first].startswith(SPACE) else text
 
 
+def forget() -> None:
+    """Empty the memos of the loaded models."""
+    for work in _loaded.values():
+        for memo in (work.memo, work.old, work.apart, work.longest):
+            memo.clear()
+
+
+keep_for_a_partition(forget)
+
+
 def codec(path: str) -> PieceCodec:
     if path not in _loaded:
         _loaded[path] = PieceCodec(path)
