@@ -1,12 +1,12 @@
 """Benchmark decontamination by template windows, with DataFrame functions only (operator 1).
 
-Texts become templates: words in lower case without punctuation, in which numbers, names (capitalised words inside a sentence) and
-units after a number are typed placeholders that still carry their values for later. Windows are WINDOW consecutive template
+Texts become templates: words in lower case without punctuation, in which numbers, names (capitalised words, at the start of
+a sentence as well) and units after a number are typed placeholders that still carry their values for later. Windows are WINDOW consecutive template
 words. A window with at least MIN_FIXED words that are no placeholders is matched as a template; one with fewer is matched by its
 words and values as they are, so that it counts for verbatim copies only. All windows of items and of documents are looked up; the
-documents so found are compared with the items, aligned by the difference of places. Two readings count. As a template: within an
-alignment each value of the item stands for one value in the document, the one that most windows bear out, windows with another
-value are dropped, and a document holds an item if at least ``coverage`` of the item's template windows are matched, or RUN words
+documents so found are compared with the items, window by window with their texts, aligned by the difference of places. Two readings count. As a template: within an
+alignment each value of the item stands for one value in the document, the one that most windows bear out, and no other item value
+stands for that one; windows that say otherwise are dropped, and a document holds an item if at least ``coverage`` of the item's template windows are matched, or RUN words
 of it in a row. As a copy: the same, over all windows, of those that are matched with their values. ``n_windows``, ``n_matched``
 and ``coverage`` are those of the template reading where it suffices; ``kind`` tells copies from re-parameterised ones.
 
@@ -37,7 +37,7 @@ _MARK = "\\u0001"
 
 def template(text: Column) -> Column:
     """The text's template words, joined by single spaces; placeholders are U+0001, their type (d, n or u) and the value."""
-    named = F.regexp_replace(text, "\\p{Lu}(?<=(?:[\\p{L}\\p{N},;]|\\p{N}%)[ \\t\\n]\\p{Lu})(?=\\p{Ll})", "\u0001n$0")
+    named = F.regexp_replace(text, "(?<![\\p{L}\\p{N}])\\p{Lu}(?=\\p{Ll})", "\u0001n$0")
     numbered = F.regexp_replace(named, "(?<![\\p{L}\\p{N}\u0001.,])(?=[0-9])|(?<=[$€£])(?=[0-9])", "\u0001d")
     measured = F.regexp_replace(numbered, f"(?i)(\u0001d[0-9][0-9.,:/]*+)[ \\t\\-]?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", "$1 \u0001u$2")
     marked = F.when(text.rlike("[0-9]"), measured).otherwise(named)
@@ -63,7 +63,12 @@ def _valued(words: DataFrame, sizes: list[int]) -> DataFrame:
 
 def _hash_sql(size: int, valued: bool) -> str:
     """SQL for the hash of the window at place i (from 0); values count without their types, which a text's beginning can change."""
-    return f"xxhash64('values', regexp_replace(array_join(slice(w, i + 1, {size}), ' '), '\\u0001[dnu]', ''))" if valued else f"xxhash64(slice(h, i + 1, {size}))"
+    return f"xxhash64('values', {_text_sql(size, True)})" if valued else f"xxhash64(slice(h, i + 1, {size}))"
+
+
+def _text_sql(size: int, valued: bool) -> str:
+    """SQL for the text that the window's hash stands for."""
+    return f"regexp_replace(array_join(slice(w, i + 1, {size}), ' '), '\\u0001[dnu]', '')" if valued else f"array_join(slice(c, i + 1, {size}), ' ')"
 
 
 def _hashes(docs: DataFrame, sizes: list[int]) -> DataFrame:
@@ -73,13 +78,13 @@ def _hashes(docs: DataFrame, sizes: list[int]) -> DataFrame:
 
 
 def _windows(docs: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
-    """key, n, size, at, hash, valued, slots of all windows; with whole, of texts of fewer than WINDOW words only the whole text."""
+    """key, n, size, at, hash, valued, window (its text), slots of all windows; with whole, of texts of fewer than WINDOW words only the whole text."""
     each = []
     for s in sizes:
         held = f"n >= {s}" if not whole or s == WINDOW else f"n = {s}"
         for valued, places in ((False, f"array_except(sequence(0, n - {s}), valued_{s})"), (True, f"valued_{s}")):
             slots = "slice(w, 1, 0)" if valued else f"filter(slice(w, i + 1, {s}), x -> x like '\\u0001%')"
-            each.append(f"transform(if({held}, {places}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'at', i, 'hash', {_hash_sql(s, valued)}, 'valued', {str(valued).lower()}, 'slots', {slots}))")
+            each.append(f"transform(if({held}, {places}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'at', i, 'hash', {_hash_sql(s, valued)}, 'valued', {str(valued).lower()}, 'window', {_text_sql(s, valued)}, 'slots', {slots}))")
     return _valued(_words(docs, key), sizes).selectExpr(key, "n", f"inline(concat({', '.join(each)}))")
 
 
@@ -89,7 +94,10 @@ _LONGEST = "aggregate(array_sort(places), named_struct('last', -2, 'now', 0, 'mo
 
 #: SQL for the value that each item value stands for in an alignment: the one in most windows, then the item's own, then the smallest.
 _COUNTED = "transform(array_distinct(flatten(windows.slots)), v -> named_struct('item', v.item, 'doc', v.doc, 'n', size(filter(flatten(windows.slots), x -> x = v))))"
-_CHOSEN = "filter(counted, v -> NOT exists(counted, u -> u.item = v.item AND (u.n > v.n OR (u.n = v.n AND u.doc != v.doc AND (u.doc = u.item OR (v.doc != v.item AND u.doc < v.doc))))))"
+_PICKED = "filter(counted, v -> NOT exists(counted, u -> u.item = v.item AND (u.n > v.n OR (u.n = v.n AND u.doc != v.doc AND (u.doc = u.item OR (v.doc != v.item AND u.doc < v.doc))))))"
+
+#: Of those, the ones whose document value no other item value claims with more windows (then its own value, then the smallest).
+_CHOSEN = "filter(picked, v -> NOT exists(picked, u -> u.doc = v.doc AND u.item != v.item AND (u.n > v.n OR (u.n = v.n AND (u.doc = u.item OR (v.doc != v.item AND u.item < v.item))))))"
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: float = COVERAGE) -> DataFrame:
@@ -105,10 +113,10 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: flo
     found = materialize(_hashes(docs, sizes).join(known, ["size", "hash"], "left_semi").select("doc_id").distinct(), f"{path}/found")
 
     held = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left_semi")
-    windows = _windows(held, "doc_id", sizes).selectExpr("doc_id", "size", "at AS place", "hash", "valued", "slots AS values")
-    pairs = windows.join(items, ["size", "hash", "valued"]).selectExpr("doc_id", "item_id", "place - at AS shift", "at", "valued", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
+    windows = _windows(held, "doc_id", sizes).selectExpr("doc_id", "size", "at AS place", "hash", "valued", "window", "slots AS values")
+    pairs = windows.join(items, ["size", "hash", "valued", "window"]).selectExpr("doc_id", "item_id", "place - at AS shift", "at", "valued", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
     aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "valued", "slots")).alias("windows"))
-    chosen = aligned.withColumn("counted", F.expr(_COUNTED)).withColumn("chosen", F.expr(f"transform({_CHOSEN}, v -> named_struct('item', v.item, 'doc', v.doc))"))
+    chosen = aligned.withColumn("counted", F.expr(_COUNTED)).withColumn("picked", F.expr(_PICKED)).withColumn("chosen", F.expr(f"transform({_CHOSEN}, v -> named_struct('item', v.item, 'doc', v.doc))"))
     fits = "filter(windows, x -> NOT x.valued AND forall(x.slots, v -> array_contains(chosen, v)))"
     copied = "filter(windows, x -> forall(x.slots, v -> v.item = v.doc))"
     readings = chosen.selectExpr("doc_id", "item_id", f"inline(array(named_struct('verbatim', false, 'kept', {fits}), named_struct('verbatim', true, 'kept', {copied})))")
