@@ -58,6 +58,29 @@ def test_inconsistent_slots_don_t_count(spark):
     assert [r.doc_id for r in df.collect()] == [1]
 
 
+def test_names_at_the_start_of_a_sentence_are_placeholders(spark):
+    item = "Natalia sold 48 clips to her friends in April. Natalia gave 7 more clips away in May. How many clips did she hand out altogether?"
+    text = item.replace("Natalia", "Weng").replace("48", "36").replace(" 7 ", " 3 ")
+    got = decontaminate.contaminated(docs(spark, [text, "Noise first. " + text + " Noise last."]), spark.createDataFrame([(1, item)], "item_id long, text string"), path(spark, "t1n")).collect()
+    assert sorted((r.doc_id, r.kind) for r in got) == [(0, "reparameterised"), (1, "reparameterised")]
+
+
+def test_values_of_an_item_that_become_one_value_are_inconsistent(spark):
+    item = "then Ann met Ben and later Ann told Ben that Ann saw Ben where Ann left Ben before Ann called Ben"
+    one = re.sub("Ann|Ben", "Zoe", item)
+    two = item.replace("Ann", "Zoe").replace("Ben", "Lev")
+    df = decontaminate.contaminated(docs(spark, [one, two]), spark.createDataFrame([(1, item)], "item_id long, text string"), path(spark, "t1o"))
+    assert [(r.doc_id, r.coverage) for r in df.collect()] == [(1, 1.0)]
+
+
+@pytest.mark.parametrize("shift", range(6))
+def test_items_with_few_template_windows_at_every_place(spark, shift):
+    items = ["sum 1 2 plus 3 minus 4 5 6 7 8 9", "Find the median of 3, 7, 9, 12, 15, 18, 21", "What is 48 + 17 + 93 + 25?"]
+    texts = [" ".join(["pad"] * shift) + f" {x} end" for x in items]
+    df = decontaminate.contaminated(docs(spark, texts), spark.createDataFrame(list(enumerate(items)), "item_id long, text string"), path(spark, f"t1p{shift}"))
+    assert sorted((r.doc_id, r.item_id) for r in df.collect()) == [(0, 0), (1, 1), (2, 2)]
+
+
 def test_planted_items_by_brute_force(spark):
     rng = random.Random(2)
     items = [prose(rng, 30) for _ in range(12)]
