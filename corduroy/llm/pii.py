@@ -97,15 +97,15 @@ def pseudonym_sql(key: str) -> str:
     part = lambda n: f"cast(split(m, '[.]')[{n}] as bigint)"
     ip = f"if(exists(split(m, '[.]'), o -> cast(o as int) > 255), {none}, " + _let(_feistel("ipv4", f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", "65536", "65536", k), "p", answer("ipv4", "concat_ws('.', cast(p.l div 256 as string), cast(p.l % 256 as string), cast(p.r div 256 as string), cast(p.r % 256 as string))")) + ")"
 
-    # 73,049 days from 1900-01-01 to 2099-12-31 are 319 x 229
+    # the 73,049 days from 1900-01-01 to 2099-12-31 are all but two of the ranks in Z_319 x Z_229: a rank beyond them is permuted again
     def date(form: str, otherwise: str) -> str:
         day = f"datediff(cast(try_to_timestamp(m, '{form}') as date), date'1900-01-01')"
-        moved = _let(_feistel("date", "t div 229", "t % 229", "319", "229", k), "p", answer("date", f"date_format(date_add(date'1900-01-01', cast(p.l * 229 + p.r as int)), '{form}')"))
-        return _let(day, "t", f"if(t between 0 and 73048, {moved}, {otherwise})")
+        once = _let(_feistel("date", "v div 229", "v % 229", "319", "229", k), "p", "p.l * 229 + p.r")
+        moved = f"aggregate(sequence(1, 3), cast(t as bigint), (v, i) -> if(i > 1 and v < 73049, v, {once}))"
+        return _let(day, "t", f"if(t between 0 and 73048, {answer('date', f"date_format(date_add(date'1900-01-01', cast({moved} as int)), '{form}')")}, {otherwise})")
 
     dates = f"case when m like '____-__-__' then {date('yyyy-MM-dd', none)} when m like '__/__/____' then {date('dd/MM/yyyy', date('MM/dd/yyyy', none))} else {date('dd.MM.yyyy', none)} end"
 
-    line = lambda at: f"cast(substr(d, {at}) as bigint)"
     ten = "right(d, 10)"
     area, rest = f"cast(substr({ten}, 1, 3) as bigint)", f"(cast(substr({ten}, 4, 3) as bigint) - 200) * 10000 + cast(substr({ten}, 7, 4) as bigint)"
     american = _let(_feistel("phone", f"{area} - 200", rest, "800", "8000000", k), "p", _let(f"concat(substr(d, 1, length(d) - 10), cast(p.l + 200 as string), {_padded('p.r + 2000000', '7')})", "w", answer("phone", _refill("m", "w"))))
@@ -115,11 +115,9 @@ def pseudonym_sql(key: str) -> str:
     serial = "cast(substr(d, 4, 2) as bigint) between 1 and 99 and cast(substr(d, 6) as bigint) between 1 and 9999 and substr(d, 1, 3) not in ('000', '666') and d < '9'"
     rank = "cast(substr(d, 1, 3) as bigint) - if(substr(d, 1, 3) > '666', 2, 1)"
     ssn = _let(digits, "d", f"if({serial}, " + _let(_feistel("ssn", rank, "(cast(substr(d, 4, 2) as bigint) - 1) * 9999 + cast(substr(d, 6) as bigint) - 1", "898", "989901", k), "p", answer("ssn", f"concat({_padded('p.l + if(p.l >= 665, 2, 1)', '3')}, '-', {_padded('p.r div 9999 + 1', '2')}, '-', {_padded('p.r % 9999 + 1', '4')})")) + f", {none})")
-    body = "substr(d, 2, length(d) - 2)"
     u = "((length(d) - 2) div 2)"
     card_digits = _let(_feistel("card", f"cast(substr(d, 2, {u}) as bigint)", f"cast(substr(d, 2 + {u}, length(d) - 2 - {u}) as bigint)", _pow10(u), _pow10(f"length(d) - 2 - {u}"), k), "p", f"concat(substr(d, 1, 1), {_padded('p.l', u)}, {_padded('p.r', f'length(d) - 2 - {u}')})")
     card = _let(digits, "d", f"if(length(d) between 13 and 19 and {_luhn('d', 0)} % 10 = 0, " + _let(card_digits, "w", _let(f"concat(w, cast(pmod(10 - {_luhn('w', 1)} % 10, 10) as string))", "c", answer("card", _refill("m", "c")))) + f", {none})")
-    del line, body
     return (
         f"case when m like '%@%' then {answer('email', email)} when m rlike '^A[KS]IA[A-Z0-9]+$' then {answer('secret', access)} when m rlike '[=:]' then {answer('secret', secret)}"
         f" when m rlike '^[0-9]+([.][0-9]+){{3}}$' then {ip} when m rlike '^([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{2}}[/.][0-9]{{2}}[/.][0-9]{{4}})$' then {dates}"
@@ -135,17 +133,18 @@ def pseudonymise(docs: DataFrame, key: str, counts: bool = True) -> DataFrame:
     """docs with personal data in ``text`` replaced; with counts, n_values and n_<kind> for each kind as well."""
     pattern = F.lit(PATTERN)
     columns = [c for c in docs.columns if c != "text" and not (counts and (c == "n_values" or c in [f"n_{x}" for x in KINDS]))]
+    taken = {c.lower() for c in docs.columns}
+    found, values = ("_" * next(i for i in range(1, len(taken) + 3) if "_" * i + x not in taken) + x for x in ("found", "values"))
     has = F.col("text").rlike(HINT)
-    rows = docs.select(*columns, "text", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).alias("__found__"))
-    some = F.size(F.coalesce("__found__", F.array())) > 0
-    values = F.when(some, F.expr(f"transform(__found__, m -> {pseudonym_sql(key)})"))
-    rows = rows.withColumn("__values__", values)
+    rows = docs.select(*columns, "text", F.when(has, F.regexp_extract_all("text", pattern, F.lit(0))).alias(found))
+    some = F.size(F.coalesce(found, F.array())) > 0
+    rows = rows.withColumn(values, F.when(some, F.expr(f"transform({found}, m -> {pseudonym_sql(key)})")))
     gaps = F.split("text", PATTERN, -1)
     # one gap more than values: text = gap, value, gap, value, ..., gap
-    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size("__found__")), F.col("__values__.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
+    filled = F.concat(F.array_join(F.zip_with(F.slice(gaps, F.lit(1), F.size(found)), F.col(f"{values}.value"), lambda g, v: F.concat(g, v)), ""), F.element_at(gaps, -1))
     out = [*columns, F.when(some, filled).otherwise(F.col("text")).alias("text")]
     if counts:
-        kinds = F.coalesce(F.col("__values__.kind"), F.array().cast("array<string>"))
+        kinds = F.coalesce(F.col(f"{values}.kind"), F.array().cast("array<string>"))
         out.append(F.size(F.filter(kinds, lambda k: k.isNotNull())).cast("long").alias("n_values"))
         out += [F.size(F.filter(kinds, _is(x))).cast("long").alias(f"n_{x}") for x in KINDS]
     return rows.select(*out)
