@@ -1,8 +1,8 @@
 """Language identification by compression (operator 7).
 
 Each language has a raw-content zstandard dictionary made of a bounded sample of its documents, in lower case as all texts are
-here. A text is cut into pieces of
-PIECE_BYTES that cover all of it, every piece is compressed with every dictionary, and the language whose sizes add up to least
+here: of the DOCS_PER_LANGUAGE distinct texts with the smallest hashes, the shorter ones that fit into DICTIONARY_BYTES as wholes
+(one at least). A text is cut into pieces of PIECE_BYTES that cover all of it, every piece is compressed with every dictionary, and the language whose sizes add up to least
 wins; equal sums go to the smaller language name. A margin narrower than ``margin`` marks the answer as rejected.
 
 Nulls and ties: a null text or one without a letter is ``und`` with score 0; rows without language or text teach nothing; rows
@@ -18,28 +18,29 @@ from pyspark.sql.window import Window
 from .common import crc32_mod, map_rows, table
 
 PIECE_BYTES = 2048
-#: Bounds of the sample: documents a language, characters of each, and languages (their dictionaries sit in every task).
-DOCS_PER_LANGUAGE, CHARS_PER_DOC, MAX_LANGUAGES = 64, 2000, 400
+#: Bounds of the sample: whole documents a language, bytes of a language's dictionary, and of all (they sit in every task).
+DOCS_PER_LANGUAGE, DICTIONARY_BYTES, ALL_BYTES = 64, 128 << 10, 48 << 20
 #: Match finder: short matches count, since the words of a language differ by a few letters.
 SEARCH = {"window_log": 18, "hash_log": 17, "chain_log": 16, "search_log": 4, "min_match": 3}
 #: How fast the score falls with the relative excess of the other languages' sizes.
 SHARPNESS = 40.0
 
 
-def learn_languages(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE) -> dict[str, bytes]:
-    """Dictionaries by language from docs (text, lang): at most docs_per_language distinct texts each, those with the smallest hashes."""
-    rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}"))
-    hashed = rows.select("lang", F.xxhash64("text").alias("h"))
-    if hashed.select("lang").distinct().limit(MAX_LANGUAGES + 1).count() > MAX_LANGUAGES:
-        raise ValueError(f"more than {MAX_LANGUAGES} languages")
+def learn_languages(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE, dictionary_bytes: int = DICTIONARY_BYTES) -> dict[str, bytes]:
+    """Dictionaries by language from docs (text, lang): whole distinct texts, docs_per_language and dictionary_bytes at most each (one text at least)."""
+    rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
+    distinct = rows.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("size"))
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
-    few = hashed.distinct().withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
-    held = rows.withColumn("h", F.xxhash64("text")).join(F.broadcast(few), ["lang", "h"])  # docs_per_language rows a language
-    picked = held.groupBy("lang", "n").agg(F.min(F.substring("text", 1, CHARS_PER_DOC)).alias("text")).collect()
+    few = distinct.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
+    by_size = Window.partitionBy("lang").orderBy("size", "n").rowsBetween(Window.unboundedPreceding, -1)
+    fit = few.withColumn("before", F.coalesce(F.sum("size").over(by_size), F.lit(0))).where(f"before = 0 OR before + size <= {dictionary_bytes}")
+    held = rows.join(F.broadcast(fit), ["lang", "h"])  # docs_per_language rows a language
+    picked = held.groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    return {lang: "\n".join(texts).lower().encode("utf-8", "replace") for lang, texts in found.items()}
+    share = ALL_BYTES // max(1, len(found))  # a language's part of what every task holds, where there are very many languages
+    return {lang: "\n".join(texts).lower().encode("utf-8", "replace")[:share] for lang, texts in found.items()}
 
 
 def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01) -> DataFrame:
@@ -47,10 +48,9 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin:
     names = sorted(dictionaries)
 
     def run(batches):
-        import re
-
         import numpy as np
         import pandas as pd
+        import regex
         import zstandard
 
         coders = []
@@ -59,7 +59,7 @@ def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin:
             how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False, **SEARCH)
             d.precompute_compress(compression_params=how)
             coders.append(zstandard.ZstdCompressor(dict_data=d, compression_params=how).compress)
-        letter = re.compile(r"[^\W\d_]").search
+        letter = regex.compile(r"\p{L}").search
         for pdf in batches:
             out = []
             for text in pdf["text"]:

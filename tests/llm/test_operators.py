@@ -364,19 +364,38 @@ def test_odd_sketches_of_pairs_at_the_threshold_pass(size):
 def test_top_k_equals_brute_force(spark):
     rng = random.Random(6)
     rows = [(i, [rng.gauss(0, 1) * 3 ** (i % 5) for _ in range(8)]) for i in range(300)]
-    rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [0.0] * 8), (400, [1.0] * 8), (401, [1.0] * 8), (402, [1.0, 2.0]), (500, [1e30] * 8)]
+    rows += [(300, None), (301, [1.0, None] + [0.0] * 6), (302, [float("nan")] * 8), (303, [float("inf")] * 8), (304, [0.0] * 8), (400, [1.0] * 8), (401, [1.0] * 8), (402, [1.0, 2.0]), (500, [1e30] * 8), (501, [2.0**22] + [0.001] * 7)]
     v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 100 = 0"), 10, path(spark, "t6")).collect())
     import math
 
-    ints = {i: [max(-(2**31), min(2**31, math.floor(1024 * x))) for x in e] for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)}
+    ints = {i: [math.floor(1024 * x) for x in e] for i, e in rows if e and all(x is not None and math.isfinite(x) for x in e)}
     want = []
     for q in ints:
         if q % 100 == 0:
-            best = sorted((-sum(a * b for a, b in zip(ints[q], p)), i) for i, p in ints.items() if i != q and len(p) == len(ints[q]))[:10]
+            best = sorted((-max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(ints[q], p)))), i) for i, p in ints.items() if i != q and len(p) == len(ints[q]))[:10]
             want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
     assert got == sorted(want)
     assert topk.top_k(v.limit(0), v, 10, path(spark, "t6b")).count() == 0
+    assert topk.top_k(v, v.limit(0), 10, path(spark, "t6c")).count() == 0
+
+
+def test_top_k_in_many_chunks_with_repeated_rows(spark, monkeypatch):
+    monkeypatch.setattr(topk, "CHUNK", 16)
+    monkeypatch.setattr(topk, "BLOCK", 8)
+    rng = random.Random(7)
+    rows = [(i, [float(rng.randrange(-9, 10)) * 1.3 ** (i % 20) for _ in range(4)]) for i in range(400)]
+    rows += [rows[7], rows[7], (9, [50.0, 50.0, 50.0, 50.0]), (9, [1.0, 0.0, 0.0, 0.0])]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = sorted(tuple(r) for r in topk.top_k(v, v.where("vec_id % 10 = 0"), 10, path(spark, "t6d")).collect())
+    import math
+
+    ints, want = [(i, [math.floor(1024 * x) for x in e]) for i, e in rows], []
+    for q, a in ints:
+        if q % 10 == 0:
+            best = sorted((-sum(x * y for x, y in zip(a, p)), i) for i, p in ints if i != q)[:10]
+            want += [(q, r + 1, i, -s) for r, (s, i) in enumerate(best)]
+    assert got == sorted(want)
 
 
 # --- 7 and 8 classifiers
@@ -400,6 +419,26 @@ def test_languages_are_learnt_from_distinct_texts(spark):
     assert language.learn_languages(copies) == {f"l{k}": f"only text {k}".encode() for k in range(20)}
     mixed = copies.where("lang = 'l0'").union(spark.range(100).selectExpr("'l0'", "concat('text ', id)"))
     assert len(set(language.learn_languages(mixed)["l0"].split(b"\n"))) == language.DOCS_PER_LANGUAGE
+    long_ = spark.createDataFrame([("a", "x" * 500), ("a", "y" * 900), ("b", "z " * 5000)], "lang string, text string")
+    assert language.learn_languages(long_, dictionary_bytes=1000) == {"a": b"x" * 500, "b": b"z " * 5000}
+
+
+def test_languages_equal_plain_compression(spark):
+    """Sizes by the library's own calls; ties and repeated rows, very long texts, signs that are no letters."""
+    import zstandard
+
+    d = {"aa": b"the cat sat on the mat and the dog ran", "bb": b"der hund und die katze auf der matte", "cc": b"der hund und die katze auf der matte"}
+    texts = ["the dog sat", "Die Katze und der Hund", "Die Katze und der Hund", "\u00bd \u00b2 \u2460", "katze " * 20000, "\u01c5"]
+    got = [r.lang_pred for r in language.identify_languages(docs(spark, texts), d).orderBy("doc_id").collect()]
+
+    def size(name, text):
+        how = zstandard.ZstdCompressionParameters(strategy=zstandard.STRATEGY_LAZY, write_content_size=False, write_checksum=False, write_dict_id=False, **language.SEARCH)
+        one = zstandard.ZstdCompressionDict(d[name], dict_type=zstandard.DICT_TYPE_RAWCONTENT)
+        data, n = text.lower().encode(), language.PIECE_BYTES
+        return sum(len(zstandard.ZstdCompressor(dict_data=one, compression_params=how).compress(data[i : i + n])) for i in range(0, len(data), n))
+
+    assert got == ["und" if t == texts[3] else min(d, key=lambda name: (size(name, t), name)) for t in texts]
+    assert got[:3] == ["aa", "bb", "bb"]
 
 
 def test_quality_accuracy_and_edges(spark):
