@@ -4,12 +4,12 @@ Bytes have learned vectors; learned filters of WIDTH bytes slide over the whole
 max-pooled within overlapping chunks of 2 * BLOCK bytes (each shares half with the next), rectified, and the chunks' mean,
 maximum and minimum go into one logistic probability. A document is padded with zero bytes to whole blocks, two at least.
 
-It is trained on the driver from a bounded sample: at most TRAIN_DOCS labelled documents, picked by a hash, and at most
-TRAIN_CHUNKS evenly spaced chunks of each. Scoring covers every byte of every text.
+It is trained on the driver from a bounded sample of whole texts: at most TRAIN_DOCS labelled documents, those with the smallest
+hashes of doc_id, of which the shorter ones up to TRAIN_BYTES together. Scoring covers every byte of every text.
 
-Nulls and ties: a null text counts as empty and is scored as such; rows with equal doc_id are all scored; labels that are null
-teach nothing. With no labels, or labels of one kind only, the score is the share of label 1 (0.5 without labels). Empty tables
-give no rows.
+Nulls and ties: a null text counts as empty and is scored as such; rows with equal doc_id are all scored, and the one with the
+smallest hash teaches; labels that are null teach nothing. With no labels, or labels of one kind only, the score is the share of
+label 1 (0.5 without labels). Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -17,44 +17,70 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
-from .common import bounded_batches, crc32_mod, map_rows, table
+from .common import bounded_batches, crc32_mod, partition_end, table
 
 BLOCK, WIDTH, STEP, FILTERS, DIMS = 256, 6, 2, 24, 8
-TRAIN_DOCS, TRAIN_CHUNKS, EPOCHS = 1500, 6, 14
+#: Bounds of the sample: documents, and bytes of their texts.
+TRAIN_DOCS, TRAIN_BYTES, EPOCHS = 1500, 8 << 20, 14
 THRESHOLD = 0.3
 
 
-def _chunks_of(data: bytes, most: int) -> list[bytes]:
-    """At most so many chunks of 2 * BLOCK bytes, evenly spaced over the document."""
-    size = 2 * BLOCK
-    last = max(0, len(data) - size)
-    n = min(most, 1 + (last + BLOCK - 1) // BLOCK)
-    return [data[i : i + size].ljust(size, b"\0") for i in (last * k // max(1, n - 1) for k in range(n))]
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS, most_bytes: int = TRAIN_BYTES) -> list[tuple[int, bytes]]:
+    """(label, text) of at most ``most`` documents with a label, picked by a hash of the id, most_bytes in all (the shorter ones)."""
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
+    few = known.distinct().orderBy(F.xxhash64(F.lit("quality"), "doc_id"), "quality").limit(most)
+    joined = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(few), "doc_id")  # at most ``most`` rows
+    one = joined.groupBy("doc_id", "quality").agg(F.min_by("text", F.struct(F.xxhash64("text"), "text")).alias("text"))
+    size = F.octet_length("text")
+    upto = F.sum(size).over(Window.orderBy(size, "doc_id", "quality").rowsBetween(Window.unboundedPreceding, 0))  # at most ``most`` rows
+    rows = one.withColumn("upto", upto).where(F.col("upto") <= most_bytes).orderBy("doc_id", "quality").collect()
+    return [(r["quality"], r["text"].encode("utf-8", "replace")) for r in rows]
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, most: int = TRAIN_DOCS) -> list[tuple[int, list[bytes]]]:
-    """(label, chunks) of at most ``most`` documents that have a label, picked by a hash of the id."""
-    known = labels.select("doc_id", F.col("quality").cast("int").alias("quality")).where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull())
-    n = known.count()
-    if not n:
-        return []
-    share = int(min(1.0, 1.5 * most / n) * (1 << 30))
-    few = known.where(F.pmod(F.xxhash64(F.lit("quality"), "doc_id"), F.lit(1 << 30)) < share).orderBy(F.xxhash64("doc_id"), "quality").limit(most)
+def _padded(texts: list[bytes]):
+    """(bytes of all texts, each padded to whole blocks and the last by WIDTH bytes more; blocks of each)."""
+    import numpy as np
+
+    blocks = np.array([max(2, -(-len(x) // BLOCK)) for x in texts])
+    return np.frombuffer(b"".join(x.ljust(n * BLOCK, b"\0") for x, n in zip(texts, blocks)) + b"\0" * WIDTH, np.uint8), blocks
+
+
+def _edges(data, blocks):
+    """Places whose filters reach beyond their document, and the bytes that they see: zeros there."""
+    import numpy as np
 
-    def cut(batches):
-        import pandas as pd
+    ends = np.cumsum(blocks)
+    edge = (ends[:, None] * BLOCK // STEP - np.arange(WIDTH // STEP - 1, 0, -1)).reshape(-1)
+    reach = edge[:, None] * STEP + np.arange(WIDTH)
+    return edge, np.where(reach < np.repeat(ends * BLOCK, WIDTH // STEP - 1)[:, None], data[reach], 0)
+
+
+def _filtered(tables, data, blocks, per_slice: int = 1024):
+    """Yields (first block, outputs of all filters at all places: block, place, filter) for a slice of blocks after another."""
+    n_blocks, each = int(blocks.sum()), BLOCK // STEP
+    edge, own = _edges(data, blocks)
+    edge_out = sum(tables[j][own[:, j]] for j in range(WIDTH))
+    for at in range(0, n_blocks, per_slice):
+        n = min(per_slice, n_blocks - at)
+        part = data[at * BLOCK : (at + n) * BLOCK + WIDTH]
+        acc = tables[0].take(part[: n * BLOCK : STEP], 0)
+        for j in range(1, WIDTH):
+            acc += tables[j].take(part[j : n * BLOCK + j : STEP], 0)
+        here = (edge >= at * each) & (edge < (at + n) * each)
+        acc[edge[here] - at * each] = edge_out[here]
+        yield at, acc.reshape(n, each, -1)
 
-        for pdf in batches:
-            rows = [_chunks_of((x or "").encode("utf-8", "replace"), TRAIN_CHUNKS) for x in pdf["text"]]
-            yield pd.DataFrame({"doc_id": pdf["doc_id"], "quality": pdf["quality"], "chunks": rows})
 
-    joined = docs.select("doc_id", "text").join(F.broadcast(few), "doc_id")  # at most ``most`` rows
-    rows = map_rows(joined, cut, "doc_id long, quality int, chunks array<binary>").limit(4 * most).collect()
-    return [(r["quality"], [bytes(x) for x in r["chunks"]]) for r in sorted(rows, key=lambda r: (r["doc_id"], r["quality"], r["chunks"]))]
+def _tables(embed, filters):
+    """A row of filter outputs for each byte value, for each of the WIDTH places of a filter."""
+    import numpy as np
 
+    return [(embed @ filters.reshape(WIDTH, DIMS, FILTERS)[j]).astype(np.float32) for j in range(WIDTH)]
 
-def train(sample: list[tuple[int, list[bytes]]], seed: int = 7) -> dict:
+
+def train(sample: list[tuple[int, bytes]], seed: int = 7) -> dict:
     """The network's weights: tables (a row of filter outputs for each byte value and place), bias, and the logistic layer."""
     import numpy as np
 
@@ -62,46 +88,62 @@ def train(sample: list[tuple[int, list[bytes]]], seed: int = 7) -> dict:
     if not len(y) or y.min() == y.max():
         return {"constant": float(y.mean()) if len(y) else 0.5}
     rng = np.random.default_rng(seed)
-    chunks = [np.frombuffer(b"".join(c), np.uint8).reshape(-1, 2 * BLOCK) for _, c in sample]
     p = {"embed": rng.normal(0, 0.5, (256, DIMS)), "filters": rng.normal(0, 0.3, (WIDTH * DIMS, FILTERS)), "bias": np.zeros(FILTERS), "out": rng.normal(0, 0.1, 3 * FILTERS), "base": np.array([np.log(y.mean() / (1 - y.mean()))])}
     p = {k: v.astype(np.float32) for k, v in p.items()}
     m, v, step = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
-    starts = np.arange(0, 2 * BLOCK - WIDTH + 1, STEP)
     for _ in range(EPOCHS):
         order = rng.permutation(len(y))
         for at in range(0, len(order), 64):
             some = order[at : at + 64]
-            x = np.concatenate([chunks[i] for i in some])
-            counts = np.array([len(chunks[i]) for i in some])
-            first = np.concatenate([[0], np.cumsum(counts)[:-1]])
-            owner = np.repeat(np.arange(len(some)), counts)
-            windows = x[:, starts[:, None] + np.arange(WIDTH)]  # chunk, place, byte
-            out = p["embed"][windows].reshape(-1, WIDTH * DIMS) @ p["filters"]
-            out = out.reshape(len(x), len(starts), FILTERS)
-            where = out.argmax(1)
-            top = np.take_along_axis(out, where[:, None], 1)[:, 0] + p["bias"]
-            h = np.maximum(top, 0)
-            mean = np.add.reduceat(h, first) / counts[:, None]
-            peak, least = np.maximum.reduceat(h, first), np.minimum.reduceat(h, first)
-            z = np.concatenate([mean, peak, least], 1) @ p["out"] + p["base"]
-            d = (1 / (1 + np.exp(-z)) - y[some]) / len(some)
-            g = {"out": np.concatenate([mean, peak, least], 1).T @ d + 1e-4 * p["out"], "base": np.array([d.sum()])}
-            dh = (d[:, None] * p["out"][:FILTERS] / counts[:, None])[owner] + (d[:, None] * p["out"][FILTERS:-FILTERS])[owner] * (h == peak[owner])
-            dh += (d[:, None] * p["out"][-FILTERS:])[owner] * (h == least[owner])
-            dh *= top > 0
-            g["bias"] = dh.sum(0)
-            best = windows[np.arange(len(x))[:, None], where]
-            vectors = p["embed"][best].reshape(len(x), FILTERS, WIDTH * DIMS)
-            g["filters"] = np.einsum("nf,nfk->kf", dh, vectors, optimize=True)
-            g["embed"] = np.zeros_like(p["embed"])
-            np.add.at(g["embed"], best.reshape(-1), (dh[:, :, None] * p["filters"].T).reshape(-1, DIMS))
+            g = _gradient(p, [sample[i][1] for i in some], y[some])
             step += 1
             for k in p:
                 m[k] = 0.9 * m[k] + 0.1 * g[k]
                 v[k] = 0.999 * v[k] + 0.001 * g[k] ** 2
                 p[k] = (p[k] - 0.01 * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)).astype(np.float32)
-    tables = [(p["embed"] @ p["filters"].reshape(WIDTH, DIMS, FILTERS)[j]).astype(np.float32) for j in range(WIDTH)]
-    return {"tables": tables, "bias": p["bias"], "out": p["out"].astype(float), "base": float(p["base"][0])}
+    return {"tables": _tables(p["embed"], p["filters"]), "bias": p["bias"], "out": p["out"].astype(float), "base": float(p["base"][0])}
+
+
+def _gradient(p: dict, texts: list[bytes], y) -> dict:
+    """The loss's gradient on a batch of whole texts; only the places with a chunk's greatest outputs bear on it."""
+    import numpy as np
+
+    data, blocks = _padded(texts)
+    top, place = [], []
+    for at, out in _filtered(_tables(p["embed"], p["filters"]), data, blocks, 128):
+        best = out.argmax(1)
+        top.append(np.take_along_axis(out, best[:, None], 1)[:, 0])
+        place.append(best + (at + np.arange(len(out)))[:, None] * (BLOCK // STEP))
+    top, place = np.concatenate(top), np.concatenate(place)
+    keep = np.ones(len(top) - 1, bool)
+    keep[np.cumsum(blocks)[:-1] - 1] = False  # chunks across two documents
+    second = top[1:] > top[:-1]
+    top, place = np.where(second, top[1:], top[:-1])[keep], np.where(second, place[1:], place[:-1])[keep]
+    counts = blocks - 1
+    first, owner = np.concatenate([[0], np.cumsum(counts)[:-1]]), np.repeat(np.arange(len(texts)), counts)
+    h = np.maximum(top + p["bias"], 0)
+    mean = np.add.reduceat(h, first) / counts[:, None]
+    peak, least = np.maximum.reduceat(h, first), np.minimum.reduceat(h, first)
+    pooled = np.concatenate([mean, peak, least], 1)
+    d = (1 / (1 + np.exp(-(pooled @ p["out"] + p["base"]))) - y) / len(y)
+    g = {"out": pooled.T @ d + 1e-4 * p["out"], "base": np.array([d.sum()])}
+    dh = (d[:, None] * p["out"][:FILTERS] / counts[:, None])[owner] + (d[:, None] * p["out"][FILTERS:-FILTERS])[owner] * (h == peak[owner])
+    dh += (d[:, None] * p["out"][-FILTERS:])[owner] * (h == least[owner])
+    dh *= h > 0
+    g["bias"] = dh.sum(0)
+    edge, own = _edges(data, blocks)
+    seen = data[place[:, :, None] * STEP + np.arange(WIDTH)]  # chunk, filter, byte
+    found = np.minimum(np.searchsorted(edge, place), len(edge) - 1)
+    seen = np.where((edge[found] == place)[:, :, None], own[found], seen)
+    g["filters"], g["embed"] = np.zeros_like(p["filters"]), np.zeros_like(p["embed"])
+    weights = p["filters"].reshape(WIDTH, DIMS, FILTERS)
+    for j in range(WIDTH):
+        byte = seen[:, :, j]
+        hits = np.zeros((256, FILTERS), np.float32)  # the gradient of each byte value at place j, for each filter
+        np.add.at(hits, (byte, np.arange(FILTERS)[None]), dh)
+        g["filters"].reshape(WIDTH, DIMS, FILTERS)[j] = p["embed"].T @ hits
+        g["embed"] += hits @ weights[j].T
+    return g
 
 
 def score_texts(model: dict, texts: list[bytes]):
@@ -110,23 +152,9 @@ def score_texts(model: dict, texts: list[bytes]):
 
     if "constant" in model:
         return np.full(len(texts), model["constant"])
-    blocks = np.array([max(2, -(-len(x) // BLOCK)) for x in texts])
-    data = np.frombuffer(b"".join(x.ljust(n * BLOCK, b"\0") for x, n in zip(texts, blocks)) + b"\0" * WIDTH, np.uint8)
-    places, tops = int(blocks.sum()) * BLOCK // STEP, []
+    data, blocks = _padded(texts)
     ends = np.cumsum(blocks)
-    edge = (ends[:, None] * BLOCK // STEP - np.arange(WIDTH // STEP - 1, 0, -1)).reshape(-1)  # places that reach beyond their document
-    reach = edge[:, None] * STEP + np.arange(WIDTH)
-    own = np.where(reach < np.repeat(ends * BLOCK, WIDTH // STEP - 1)[:, None], data[reach], 0)
-    edge_out = sum(model["tables"][j][own[:, j]] for j in range(WIDTH))
-    per = 1024 * BLOCK // STEP  # so many places at a time keep the arrays in the cache's reach
-    for at in range(0, places, per):
-        n = min(per, places - at)
-        acc = model["tables"][0].take(data[at * STEP : (at + n) * STEP : STEP], 0)
-        for j in range(1, WIDTH):
-            acc += model["tables"][j].take(data[at * STEP + j : (at + n) * STEP + j : STEP][:n], 0)
-        here = (edge >= at) & (edge < at + n)
-        acc[edge[here] - at] = edge_out[here]
-        tops.append(acc.reshape(-1, BLOCK // STEP, FILTERS).max(1))
+    tops = [out.max(1) for _, out in _filtered(model["tables"], data, blocks)]
     block = np.concatenate(tops)
     chunk = np.maximum(block[:-1], block[1:])  # overlapping chunks; those across two documents are left out below
     keep = np.ones(len(chunk), bool)
@@ -159,6 +187,7 @@ def score_quality(docs: DataFrame, model: dict, keep: list[str] | None = None, n
                 at = to
             arrays = [batch.column(c) for c in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array([float(x) for s in scores for x in s], pa.float64())], names=[*keep, name])
+        partition_end()
 
     bounded_batches(docs.sparkSession)
     return rows.mapInArrow(run, schema)

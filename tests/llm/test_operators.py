@@ -450,7 +450,7 @@ def test_quality_accuracy_and_edges(spark):
     assert right > 0.9
     odd = quality.score_quality(docs(spark, ODD), model, keep=["doc_id", "score", "n"], name="p").collect()
     assert len(odd) == len(ODD) and all(0 <= r.p <= 1 for r in odd) and odd[0].p == odd[1].p and odd[0].score == 2
-    assert quality.train([]) == {"constant": 0.5} and quality.train([(1, [b"x" * 512])]) == {"constant": 1.0}
+    assert quality.train([]) == {"constant": 0.5} and quality.train([(1, b"x" * 512)]) == {"constant": 1.0}
     assert quality.score_quality(docs(spark, ["a"]).limit(0), model).count() == 0
 
 
@@ -464,6 +464,30 @@ def test_quality_score_does_not_depend_on_the_next_text():
     assert np.allclose(quality.score_texts(model, texts), alone, rtol=0, atol=1e-9)
 
 
+def test_quality_equals_a_plain_convolution():
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    model = {"tables": [rng.normal(0, 1, (256, quality.FILTERS)) for _ in range(quality.WIDTH)], "bias": rng.normal(0, 1, quality.FILTERS), "out": rng.normal(0, 0.05, 3 * quality.FILTERS), "base": 0.1}
+    for n in (0, 1, 251, 252, 253, 254, 255, 256, 257, 512, 513, 700, 5000):
+        x = rng.bytes(n)
+        blocks = max(2, -(-n // quality.BLOCK))
+        padded = x.ljust(blocks * quality.BLOCK, b"\0") + bytes(quality.WIDTH)
+        outs = [sum(model["tables"][j][padded[at + j]] for j in range(quality.WIDTH)) for at in range(0, blocks * quality.BLOCK, quality.STEP)]
+        per = quality.BLOCK // quality.STEP
+        h = np.array([np.maximum(np.max(outs[b * per : (b + 2) * per], 0) + model["bias"], 0) for b in range(blocks - 1)])
+        want = 1 / (1 + np.exp(-(np.concatenate([h.mean(0), h.max(0), h.min(0)]) @ model["out"] + model["base"])))
+        assert np.allclose(quality.score_texts(model, [b"before " * 90, x, b"after"])[1], want, rtol=0, atol=1e-9)
+
+
+def test_quality_sample_of_repeated_and_null_rows(spark):
+    rows = docs(spark, ["good text"] * 3 + [None, "other"]).withColumn("doc_id", F.when(F.col("doc_id") < 3, 7).otherwise(F.col("doc_id")))
+    labels = spark.createDataFrame([(7, 1), (7, 1), (3, 0), (4, None), (None, 1), (99, 0)], "doc_id long, quality int")
+    assert sorted(quality.labelled_sample(rows, labels)) == [(0, b""), (1, b"good text")]
+    assert len(quality.labelled_sample(rows, labels, most_bytes=5)) == 1
+    assert quality.labelled_sample(rows, labels.limit(0)) == [] and quality.labelled_sample(rows.limit(0), labels) == []
+
+
 # --- 9 and 10 tokens
 
 
