@@ -28,6 +28,11 @@ def in_box(lat: Column, lon: Column, box: tuple[float, float, float, float]) ->
     return lat.between(box[0], box[1]) & lon.between(box[2], box[3])
 
 
+def valid_place(lat: Column, lon: Column, box: tuple[float, float, float, float]) -> Column:
+    """Whether both coordinates are there and in the box."""
+    return F.coalesce(in_box(lat, lon, box), F.lit(False))
+
+
 def edge_place(px: Column, py: Column, x0: Column, y0: Column, x1: Column, y1: Column) -> tuple[Column, Column]:
     """(t, distance) of a point against an edge: t from 0 to 1 is the nearest place along it."""
     dx, dy = x1 - x0, y1 - y0

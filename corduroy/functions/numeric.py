@@ -26,6 +26,53 @@ def right_bins(c: Column, edges: list[float], labels: list[str]) -> Column:
     return out
 
 
+def whole_or_zero(c: Column) -> Column:
+    """The whole part of a number that may be quoted; 0 for anything else."""
+    text = F.regexp_replace(F.trim(c.cast("string")), "^[\"']+|[\"']+$", "")
+    return F.coalesce(F.replace(text, F.lit(","), F.lit("")).try_cast("double").try_cast("bigint"), F.lit(0).cast("long"))
+
+
+def count_or_zero(c: Column) -> Column:
+    """A count: 0 where it is missing, no number or negative."""
+    return F.greatest(F.coalesce(c.try_cast("double"), F.lit(0.0)), F.lit(0.0))
+
+
+def span_km(km0: Column, km1: Column) -> Column:
+    """Length of a segment whichever way it runs; null where it has none."""
+    return F.nullif(F.abs(km1.cast("double") - km0.cast("double")), F.lit(0.0))
+
+
+def log1p_of(c: Column) -> Column:
+    """ln(1 + x) of a count; null below 0."""
+    return F.when(c >= 0, F.log1p(c.cast("double")))
+
+
+def mid_month(year: Column, month: Column) -> Column:
+    """The 15th of a month, for events of which only year and month are known; null for an impossible month."""
+    return F.when(month.between(1, 12), F.make_date(year.cast("int"), F.when(month.between(1, 12), month).cast("int"), F.lit(15)))
+
+
+# The surface that counts as good, and the prefix of the main coastal route.
+GOOD_SURFACE, MAIN_ROUTE = "ASFALTADO", "PE-1"
+
+
+def over_limit(speed: Column, limit: Column) -> Column:
+    """Whether a speed exceeds its limit; false where either is missing."""
+    return F.coalesce(speed > limit, F.lit(False))
+
+
+def good_surface(surface: Column) -> Column:
+    return F.coalesce(F.upper(F.trim(surface)).startswith(GOOD_SURFACE), F.lit(False)).cast("long")
+
+
+def on_main_route(route: Column) -> Column:
+    """Whether a route is the main one or one of its branches (a letter after its name), not one with another number."""
+    return F.coalesce(F.upper(F.trim(route)).rlike(f"^{MAIN_ROUTE}(?![0-9])"), F.lit(False)).cast("long")
+
+
+# Fixed values below: bins, factors and their labels.
+
+
 def day_part(hour: Column) -> Column:
     return right_bins(hour, [-1, 6, 12, 18, 23], ["madrugada", "manana", "tarde", "noche"])
 

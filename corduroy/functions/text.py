@@ -30,6 +30,18 @@ def first_number(c: Column) -> Column:
     return F.replace(F.regexp_extract(c, "(\\d+(?:[.,]\\d+)?)", 1), F.lit(","), F.lit(".")).try_cast("double")
 
 
+def kilometre(c: Column) -> Column:
+    """A kilometre from text, with a decimal comma or point; null unless the whole text is a number."""
+    text = F.replace(F.trim(c.cast("string")), F.lit(","), F.lit("."))
+    return F.when(text.rlike("^-?[0-9]+([.][0-9]+)?$"), text.try_cast("double"))
+
+
+def hour_of(c: Column) -> Column:
+    """The hour at the beginning of a time of day; null if it is beyond 23 or missing."""
+    hour = F.regexp_extract(c, "(\\d{1,2})", 1).try_cast("int")
+    return F.when(hour <= 23, hour)
+
+
 def classify(c: Column, patterns: dict[str, str], default: str) -> Column:
     """The label of the first pattern (in order) found in the text, whatever its case."""
     out = None

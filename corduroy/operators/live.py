@@ -32,6 +32,19 @@ def check_reports(reports: DataFrame, kinds: list[str], severities: list[str], b
     return reports.withColumn("motivo", reason).withColumn("descripcion", text).withColumn("severidad", severity)
 
 
+def repeated_reports(reports: DataFrame, radius_km: float, seconds: int) -> DataFrame:
+    """reports (id, tipo, lat, lon, t in seconds) with ``repeated``: whether a smaller id of the type lies near in place and time.
+
+    Distances are exact, also across the edges of the cells and of the spans of time in which candidates meet.
+    """
+    r = reports.select("id", "tipo", "lat", "lon", "t", F.floor(F.col("t") / seconds).alias("span"))
+    old = r.select(F.col("id").alias("o_id"), "tipo", F.col("lat").alias("o_lat"), F.col("lon").alias("o_lon"), F.col("t").alias("o_t"), F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)).alias("span"))
+    pairs = radius_pairs(r, old, ("lat", "lon"), ("o_lat", "o_lon"), radius_km / KM_PER_DEGREE * 2, also=["tipo", "span"])
+    far = haversine_km(F.col("o_lat"), F.col("o_lon"), F.col("lat"), F.col("lon"))
+    hit = pairs.where((F.col("o_id") < F.col("id")) & (F.abs(F.col("t") - F.col("o_t")) <= seconds) & (far <= radius_km))
+    return reports.join(hit.select("id").distinct().withColumn("_hit", F.lit(True)), "id", "left").withColumn("repeated", F.coalesce("_hit", F.lit(False))).drop("_hit")
+
+
 def report_statistics(reports: DataFrame, stamp: str, day: str) -> DataFrame:
     return reports.agg(F.count("*").alias("total"), F.count_if(F.to_date(stamp) == F.lit(day).cast("date")).alias("hoy"), F.count_if(F.col("foto").isNotNull()).alias("con_foto"))
 
@@ -91,16 +104,6 @@ def warnings_on_route(polygons: DataFrame, samples: DataFrame, buffer_deg: float
     return near.where(hit).select("polygon_id", "route_id").distinct()
 
 
-def first_containing(names: DataFrame, places: DataFrame) -> DataFrame:
-    """names (name) with the first place (by ord) whose key contains the name or lies in it; null where none does.
-
-    ``places`` is a gazetteer: the smaller side, which Spark sends to every task only under its size limit.
-    """
-    hit = places.join(names, F.col("key").contains(F.col("name")) | F.col("name").contains(F.col("key")))
-    best = hit.groupBy("name").agg(F.min_by("place", "ord").alias("place"))
-    return names.join(best, "name", "left")
-
-
 def claims(rows: list[tuple[str, bool | None, str, str]], spark) -> DataFrame:
     """A table of checked claims: claim, verdict (SI, NO or NO CONCLUYENTE), evidence, limit."""
     say = {True: "SI", False: "NO", None: "NO CONCLUYENTE"}

@@ -10,30 +10,92 @@ from .spatial import radius_pairs
 
 
 def candidates(a: DataFrame, b: DataFrame, radius_km: float, days: int) -> DataFrame:
-    """(a_id, b_id, dist_km, gap_days) of events (id, fecha, lat, lon) near in place and time; nulls match nothing."""
-    left = b.where("fecha IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("b_id"), F.col("fecha").alias("b_day"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    right = a.where("fecha IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL").select(F.col("id").alias("a_id"), F.col("fecha").alias("a_day"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    near = radius_pairs(left, right, ("b_lat", "b_lon"), ("a_lat", "a_lon"), radius_km / KM_PER_DEGREE)
-    gap = F.abs(F.datediff("a_day", "b_day"))
-    return near.where(gap <= days).select("a_id", "b_id", local_km(F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon")).alias("dist_km"), gap.cast("long").alias("gap_days"))
+    """(a_id, b_id, dist_km, gap_days) of events (id, fecha, lat, lon) near in place and time; nulls match nothing.
+
+    Pairs meet by cell and day: every a goes to the days within the tolerance, so a busy place's history is no bucket of its own.
+    """
+    known = "fecha IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"
+    left = b.where(known).select(F.col("id").alias("b_id"), F.to_date("fecha").alias("day"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
+    right = a.where(known).select(F.col("id").alias("a_id"), F.to_date("fecha").alias("a_day"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    right = right.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("a_day", k))))
+    near = radius_pairs(left, right, ("b_lat", "b_lon"), ("a_lat", "a_lon"), radius_km / KM_PER_DEGREE, also=["day"])
+    dist = local_km(F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon"))
+    return near.select("a_id", "b_id", dist.alias("dist_km"), F.abs(F.datediff("a_day", "day")).cast("long").alias("gap_days"))
+
+
+#: Pairs that one task settles at the end of one_to_one, some 3 MB.
+LAST_PAIRS = 100_000
 
 
 def one_to_one(pairs: DataFrame, write) -> DataFrame:
     """Each b takes its nearest a that no b before it took (b in id order; equal distances: smaller a).
 
-    Deferred acceptance gives the same pairs in parallel: all free b propose to their best a left, each a keeps the smallest b,
-    refused pairs go, until nothing is refused. ``write`` materialises a step (a function of DataFrame and name).
+    A pair is settled when its a is the b's nearest one left and its b the smallest one left for that a: nothing before it can
+    change that. Settled a and b leave with all their pairs, round after round, until a bounded rest is settled in one task.
+    ``write`` materialises a step (a function of DataFrame and name).
     """
-    left, n = write(pairs.select("a_id", "b_id", "dist_km"), "pairs-0"), 0
-    while True:
-        best = left.groupBy("b_id").agg(F.min(F.struct("dist_km", "a_id")).alias("m")).select("b_id", F.col("m.a_id").alias("a_id"))
-        best = write(best, f"best-{n}")
-        winner = best.groupBy("a_id").agg(F.min("b_id").alias("winner"))
-        refused = write(best.join(winner, "a_id").where("b_id <> winner").select("a_id", "b_id"), f"refused-{n}")
-        if refused.isEmpty():
-            return left.join(best, ["a_id", "b_id"])
+    left, done, n = write(pairs.select("a_id", "b_id", "dist_km"), "pairs-0"), None, 0
+    while left.count() > LAST_PAIRS:
+        best = left.groupBy("b_id").agg(F.min(F.struct("dist_km", "a_id")).alias("m")).select("b_id", "m.*")
+        first = left.groupBy("a_id").agg(F.min("b_id").alias("b_id"))
+        settled = write(best.join(first, ["a_id", "b_id"]).select("a_id", "b_id", "dist_km"), f"settled-{n}")
+        done = settled if done is None else done.unionByName(settled)
         n += 1
-        left = write(left.join(refused, ["a_id", "b_id"], "left_anti"), f"pairs-{n}")
+        rest = left.join(settled.select("a_id"), "a_id", "left_anti").join(settled.select("b_id"), "b_id", "left_anti")
+        left = write(rest.select("a_id", "b_id", "dist_km"), f"pairs-{n}")
+    last = left.coalesce(1).sortWithinPartitions("b_id", "dist_km", "a_id").mapInPandas(_settle, left.schema)
+    return last if done is None else done.unionByName(last)
+
+
+def _settle(batches):
+    """The bounded rest, sorted by b and distance: each b takes its first free a."""
+    import pandas as pd
+
+    taken: set = set()
+    served = None
+    for pdf in batches:
+        keep = []
+        for a, b in zip(pdf["a_id"], pdf["b_id"]):
+            free = b != served and a not in taken
+            keep.append(free)
+            if free:
+                served = b
+                taken.add(a)
+        yield pd.DataFrame(pdf[keep])
+
+
+def sensitivity(a: DataFrame, b: DataFrame, radii: list[float], days: list[int], write) -> DataFrame:
+    """radius_km, days and n_both for each cell of a grid of tolerances; candidates are looked up once, at the widest."""
+    near = write(candidates(a, b, max(radii), max(days)), "candidates")
+    cells = None
+    for i, r in enumerate(radii):
+        for t in days:
+            some = near.where((F.col("dist_km") <= r) & (F.col("gap_days") <= t))
+            pairs = one_to_one(some, lambda df, name, at=f"cell-{i}-{t}": write(df, f"{at}/{name}"))
+            row = pairs.agg(F.lit(r).alias("radius_km"), F.lit(t).alias("days"), F.count("*").alias("n_both"))
+            cells = row if cells is None else cells.unionByName(row)
+    return cells
+
+
+def independence(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:
+    """column, n_a, n_only_a and pct_only_a: the distinct values of source a that source b never has, for each column."""
+    rows = None
+    for c in columns:
+        x, y = a.select(F.col(c).alias("v")).where("v IS NOT NULL").distinct(), b.select(F.col(c).alias("v")).where("v IS NOT NULL").distinct()
+        both = x.join(y.withColumn("ok", F.lit(1)), "v", "left")
+        share = F.round(100.0 * F.try_divide(F.count_if(F.col("ok").isNull()), F.count("*")), 4)
+        row = both.agg(F.lit(c).alias("column"), F.count("*").alias("n_a"), F.count_if(F.col("ok").isNull()).alias("n_only_a"), share.alias("pct_only_a"))
+        rows = row if rows is None else rows.unionByName(row)
+    return rows
+
+
+def coverage(parts: DataFrame, whole: DataFrame, key: str, amount: str | None = None) -> DataFrame:
+    """One row: keys of the whole, keys that parts also has and their share in per cent; with ``amount``, the share of it as well."""
+    seen = parts.select(key).where(F.col(key).isNotNull()).distinct().withColumn("_ok", F.lit(True))
+    each = whole.where(F.col(key).isNotNull()).groupBy(key).agg((F.sum(amount) if amount else F.lit(1)).alias("_x")).join(seen, key, "left")
+    hit = F.coalesce("_ok", F.lit(False))
+    out = each.agg(F.count("*").alias("n_keys"), F.count_if(hit).alias("n_both"), F.round(100.0 * F.try_divide(F.count_if(hit), F.count("*")), 4).alias("pct_keys"), F.round(100.0 * F.try_divide(F.sum(F.when(hit, F.col("_x"))), F.sum("_x")), 4).alias("pct_amount"))
+    return out if amount else out.drop("pct_amount")
 
 
 def common_window(a: DataFrame, b: DataFrame):
@@ -62,12 +124,9 @@ def match_summary(union: DataFrame) -> DataFrame:
     return union.agg(n("A", "A+B").alias("n_a"), n("B", "A+B").alias("n_b"), n("A+B").alias("n_ab"), F.count("*").alias("n_union")).withColumn("n_naive", F.col("n_a") + F.col("n_b")).withColumn("n_avoided", F.col("n_naive") - F.col("n_union"))
 
 
-def lincoln_petersen(n1: float, n2: float, m: float, z: float = 1.96) -> dict:
-    """Population size from two captures with a log-normal interval; without recaptures nothing can be said."""
-    import math
-
-    if not m:
-        return {"n": None, "low": None, "high": None}
-    n = n1 * n2 / m
-    spread = math.exp(z * math.sqrt(max(0.0, math.log(1 + (n1 - m) * (n2 - m) / (n1 * n2 * m)))))
-    return {"n": n, "low": n / spread, "high": n * spread}
+def lincoln_petersen(counts: DataFrame, n1: str, n2: str, m: str, z: float = 1.96) -> DataFrame:
+    """counts with n_hat, low and high: the size of a population from two captures, with a log-normal interval; null without recaptures."""
+    x, y, both = (F.col(c).cast("double") for c in (n1, n2, m))
+    n = F.when(both > 0, x * y / both)
+    spread = F.exp(z * F.sqrt(F.greatest(F.lit(0.0), F.ln(1 + (x - both) * (y - both) / (x * y * both)))))
+    return counts.withColumn("n_hat", n).withColumn("low", F.when(both > 0, n / spread)).withColumn("high", F.when(both > 0, n * spread))

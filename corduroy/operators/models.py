@@ -7,6 +7,12 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.numeric import good_surface, log1p_of, on_main_route
+from ..functions.text import corridor
+from ..session import steps
+from .cleaning import impute
+from .ranks import quantiles
+
 
 def _linear(columns: list[str], beta, offset: str | None):
     eta = sum((F.col(c) * float(b) for c, b in zip(columns, beta)), F.lit(0.0))
@@ -46,26 +52,25 @@ def predict(df: DataFrame, model: dict, name: str = "mu") -> DataFrame:
 
 
 def log_likelihood(df: DataFrame, y: str, mu: str, alphas: list[float]) -> dict[float, float]:
-    """NB2 log-likelihood for each alpha, from counts of equal (y, mu rounded) pairs summed in Arrow batches."""
+    """NB2 (alpha > 0) or Poisson (alpha = 0) log-likelihood for each alpha.
 
-    def part(batches):
-        import numpy as np
-        import pandas as pd
+    The logarithms of gamma functions depend on the count alone, so they are taken once for each distinct count, whose number is
+    small; all else is one aggregate a count.
+    """
+    m = F.greatest(F.col(mu).cast("double"), F.lit(1e-12))
 
-        lgamma = np.frompyfunc(math.lgamma, 1, 1)
-        total = np.zeros(len(alphas))
-        for pdf in batches:
-            yv, m = pdf[y].to_numpy(float), np.maximum(pdf[mu].to_numpy(float), 1e-12)
-            for i, a in enumerate(alphas):
-                if a > 0:
-                    r = 1 / a
-                    total[i] += (lgamma(yv + r) - math.lgamma(r) - lgamma(yv + 1)).astype(float).sum() + (r * np.log(r / (r + m)) + yv * np.log(m / (r + m))).sum()
-                else:
-                    total[i] += (yv * np.log(m) - m - lgamma(yv + 1).astype(float)).sum()
-        yield pd.DataFrame({"a": alphas, "l": total})
+    def by_mean(a: float):
+        if a <= 0:
+            return F.col("_y") * F.ln(m) - m
+        return (1 / a) * F.ln((1 / a) / (1 / a + m)) + F.col("_y") * F.ln(m / (1 / a + m))
 
-    rows = df.select(F.col(y).cast("double").alias(y), mu).mapInPandas(part, "a double, l double").groupBy("a").agg(F.sum("l").alias("l")).collect()
-    return {r["a"]: r["l"] for r in rows}
+    rows = df.select(F.col(y).cast("double").alias("_y"), mu).groupBy("_y").agg(F.count("*").alias("n"), *[F.sum(by_mean(a)).alias(f"l{i}") for i, a in enumerate(alphas)]).collect()
+    total = dict.fromkeys(alphas, 0.0)
+    for r in rows:
+        for i, a in enumerate(alphas):
+            gamma = math.lgamma(r["_y"] + 1 / a) - math.lgamma(1 / a) if a > 0 else 0.0
+            total[a] += r[f"l{i}"] + r["n"] * (gamma - math.lgamma(r["_y"] + 1))
+    return total
 
 
 def fit_negative_binomial(df: DataFrame, y: str, columns: list[str], offset: str | None = None, grid: int = 60) -> dict:
@@ -133,21 +138,116 @@ def interval_coverage(df: DataFrame, y: str, mu: str, alpha: float, level: float
     """Share of counts within the central NB2 interval (size 1 / alpha, p 1 / (1 + alpha mu)), in per cent."""
 
     def inside(batches):
+        import numpy as np
         import pandas as pd
 
-        lo, hi = (1 - level) / 2, 1 - (1 - level) / 2
+        lo, hi, r = (1 - level) / 2, 1 - (1 - level) / 2, 1 / alpha
         for pdf in batches:
-            out = []
-            for yy, m in zip(pdf[y], pdf[mu]):
-                r, p = 1 / alpha, 1 / (1 + alpha * m)
-                term = cdf = p**r
-                before, k = 0.0, 0
-                while k < int(yy):
-                    before = cdf
-                    k += 1
-                    term *= (k - 1 + r) / k * (1 - p)
-                    cdf += term
-                out.append(cdf >= lo and (before < hi))
-            yield pd.DataFrame({"ok": out})
+            counts, p = pdf[y].to_numpy().astype(int), 1 / (1 + alpha * pdf[mu].to_numpy(float))
+            term = p**r
+            cdf, before = term.copy(), np.zeros(len(p))
+            for k in range(1, counts.max(initial=0) + 1):  # all rows at once, each up to its own count
+                more = counts >= k
+                before[more] = cdf[more]
+                term[more] *= (k - 1 + r) / k * (1 - p[more])
+                cdf[more] += term[more]
+            yield pd.DataFrame({"ok": (cdf >= lo) & (before < hi)})
 
     return 100.0 * df.select(y, mu).mapInPandas(inside, "ok boolean").agg(F.avg(F.col("ok").cast("double"))).first()[0]
+
+
+# --- checks before a fit, and what is reported after it
+
+
+def checked_design(df: DataFrame, columns: list[str], exposure: str) -> tuple[DataFrame, list[str], list[str]]:
+    """(df with ``log_expo``, columns that vary, constant ones): the design for an offset regression, from one pass.
+
+    An exposure that is null, not finite or not positive raises ValueError instead of being clipped.
+    """
+    x = F.col(exposure).cast("double")
+    bad = F.count_if(x.isNull() | F.isnan(x) | (x <= 0) | (x == math.inf))
+    row = df.agg(bad.alias("_bad"), F.count("*").alias("_n"), F.min(x).alias("_low"), *[(F.min(c).eqNullSafe(F.max(c)) & (F.count(c).isin(0) | (F.count(c) == F.count("*")))).alias(c) for c in columns]).first()
+    if row["_bad"]:
+        raise ValueError(f"exposure not positive or not finite in {row['_bad']} of {row['_n']} rows (least {row['_low']})")
+    vary = [c for c in columns if not row[c]]
+    return df.withColumn("log_expo", F.ln(x)), vary, [c for c in columns if row[c]]
+
+
+def segment_design(segments: DataFrame) -> DataFrame:
+    """Features of a segment for the count models: one, log_near, log_dist, sup_buena, main, log_vel, expo and corredor.
+
+    segments: seg_id, y, ruta, superficie, n_near (points near by), dist_km (to the nearest toll), vel_proy, expo.
+    """
+    near, dist = log1p_of(F.col("n_near")), log1p_of(F.col("dist_km"))
+    shown = ["seg_id", "y", F.lit(1.0).alias("one"), near.alias("log_near"), dist.alias("log_dist"), good_surface(F.col("superficie")).cast("double").alias("sup_buena"), on_main_route(F.col("ruta")).cast("double").alias("main"), log1p_of(F.col("vel_proy")).alias("log_vel")]
+    return segments.select(*shown, "expo", corridor(F.col("ruta")).alias("corredor"))
+
+
+def pearson(df: DataFrame, y: str, mu: str, alpha: float = 0.0) -> DataFrame:
+    """df with ``pearson``: (y - mu) over the model's standard deviation."""
+    m = F.col(mu)
+    return df.withColumn("pearson", (F.col(y) - m) / F.sqrt(m + alpha * m * m))
+
+
+def dispersion(df: DataFrame, y: str, mu: str, n_columns: int, alpha: float = 0.0) -> DataFrame:
+    """One row: n, chi2 and chi2 over the degrees of freedom; about 1 for a model that fits."""
+    rows = pearson(df, y, mu, alpha).agg(F.count("*").alias("n"), F.sum(F.col("pearson") * F.col("pearson")).alias("chi2"))
+    return rows.withColumn("chi2_df", F.try_divide(F.col("chi2"), (F.col("n") - n_columns).cast("double")))
+
+
+def residual_spots(df: DataFrame, y: str, mu: str, alpha: float = 0.0, least: int = 5, above: float = 1.5) -> DataFrame:
+    """Rows with at least so many events and a Pearson residual above the limit."""
+    return pearson(df, y, mu, alpha).where((F.col(y) >= least) & (F.col("pearson") > above))
+
+
+# --- validation
+
+
+def baselines(train: DataFrame, test: DataFrame, y: str) -> DataFrame:
+    """test with ``media`` and ``mediana``: the training rows' mean and median of y as predictions."""
+    mean = train.agg(F.avg(F.col(y).cast("double")).alias("media"))
+    median = quantiles(train, y, [0.5]).select(F.col("q")[0].alias("mediana"))
+    return test.join(F.broadcast(mean)).join(F.broadcast(median))  # one row each
+
+
+def persistence(history: DataFrame, test: DataFrame, key: str, year: str, y: str) -> DataFrame:
+    """test with ``persistencia``: the same key's y of the year before, null without history."""
+    before = history.select(F.col(key), (F.col(year) + 1).alias(year), F.col(y).cast("double").alias("persistencia"))
+    return test.join(before, [key, year], "left")
+
+
+def temporal_holdout(df: DataFrame, year: str, last: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of the years up to ``last``, rows after it)."""
+    return df.where(F.col(year) <= last), df.where(F.col(year) > last)
+
+
+def grouped_validation(df: DataFrame, y: str, columns: list[str], exposure: str, group: str, k: int = 5) -> DataFrame:
+    """model and metrics of k-fold validation with whole groups held out: the offset model and the baselines.
+
+    Missing values of a column become the median of the fold's training rows, so that no held-out row has a part in it.
+    """
+    folds = group_folds({r[group]: r["n"] for r in df.groupBy(group).agg(F.count("*").alias("n")).collect()}, k)  # a row a group
+    write = steps(df.sparkSession)
+    placed = df.withColumn("_fold", F.create_map(*[F.lit(x) for g, f in folds.items() for x in (g, f)])[F.col(group)])
+    scored = None
+    for fold in range(k):
+        train, test = placed.where(F.col("_fold") != fold), placed.where(F.col("_fold") == fold)
+        if test.isEmpty() or train.isEmpty():
+            continue
+        plan = dict.fromkeys(columns, "median")
+        fitted, vary, _ = checked_design(write(impute(train, plan), f"train-{fold}"), columns, exposure)
+        held = impute(test, plan, fit=train).withColumn("log_expo", F.ln(F.col(exposure).cast("double")))
+        model = fit_counts(fitted.withColumn("_one", F.lit(1.0)), y, ["_one", *vary], "log_expo")
+        out = baselines(train, predict(held.withColumn("_one", F.lit(1.0)), model, "glm"), y).select(F.col(y).cast("double").alias("_y"), "glm", "media", "mediana")
+        scored = out if scored is None else scored.unionByName(out)
+    return compare(scored, "_y", ["glm", "media", "mediana"])
+
+
+def compare(df: DataFrame, y: str, predictions: list[str]) -> DataFrame:
+    """model, n and metrics() of each prediction, over the rows that have one."""
+    rows = None
+    for name in predictions:
+        some = df.where(F.col(name).isNotNull())
+        row = metrics(some, y, name).join(F.broadcast(some.agg(F.count("*").alias("n")))).withColumn("model", F.lit(name))  # one row each
+        rows = row if rows is None else rows.unionByName(row)
+    return rows

@@ -6,6 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ranks import quantiles
+
 
 def build_panel(segments: DataFrame, years: list[int], events: DataFrame) -> DataFrame:
     """Every segment (seg_id, long_km) x year with explicit zeros: n_eventos, n_fallecidos, expo_km, expo_km_anio, densidad_anual.
@@ -52,13 +54,25 @@ def shrink(df: DataFrame, k: DataFrame, events: str, exposure: str) -> DataFrame
     return rows.withColumn("excess", F.try_divide(F.col("eb") - p, F.nullif(p, F.lit(0.0)))).drop("k")
 
 
-def black_spots(df: DataFrame, region: str, events: str, exposure: str, min_events: int = 3, q: float = 0.95) -> DataFrame:
-    """Rows of shrink() that meet one criterion at least: rate over the region's q-quantile, excess or residual over the table's."""
+def black_spots(df: DataFrame, region: str, events: str, exposure: str, min_events: int = 3, q: float = 0.95, sources: dict[str, str] | None = None) -> DataFrame:
+    """Rows of shrink() that meet one criterion at least: rate over the region's q-quantile, excess or residual over the table's.
+
+    With ``sources`` (column of counts -> name), ``fuente`` names the one with most events, the first among equals.
+    """
     x, p = F.col(exposure).cast("double"), F.col("prior")
     rows = df.withColumn("rate", F.col(events) / x).withColumn("residual", (F.col(events) - p * x) / F.sqrt(F.greatest(p * x, F.lit(1e-9))))
-    limits = rows.agg(F.percentile("excess", F.lit(q)).alias("_qe"), F.percentile("residual", F.lit(q)).alias("_qr"))
-    local = rows.groupBy(region).agg(F.percentile("rate", F.lit(q)).alias("_ql"))
-    rows = rows.join(local, region).join(F.broadcast(limits))  # one row
+    excess, residual = (quantiles(rows, c, [q]).select(F.col("q")[0].alias(name)) for c, name in (("excess", "_qe"), ("residual", "_qr")))
+    local = quantiles(rows, "rate", [q], [region]).select(region, F.col("q")[0].alias("_ql"))
+    rows = rows.join(local, region).join(F.broadcast(excess)).join(F.broadcast(residual))  # one row each
     c = {"c_p95": F.col("rate") > F.col("_ql"), "c_eb": F.col("excess") > F.col("_qe"), "c_residual": F.col("residual") > F.col("_qr")}
     rows = rows.withColumns(c).withColumn("n_criteria", sum((F.col(k).cast("long") for k in c), F.lit(0).cast("long")))
+    if sources:
+        most = F.greatest(*[F.coalesce(F.col(k), F.lit(0)) for k in sources]) if len(sources) > 1 else F.col(next(iter(sources)))
+        rows = rows.withColumn("fuente", F.coalesce(*[F.when(F.coalesce(F.col(k), F.lit(0)) == most, name) for k, name in sources.items()]))
     return rows.where((F.col("n_criteria") > 0) & (F.col(events) >= min_events)).drop("_qe", "_qr", "_ql")
+
+
+def panel_years(panel: DataFrame) -> DataFrame:
+    """anio, n_eventos, n_fallecidos, pct_zero and densidad (events over exposure) of each year."""
+    year = panel.groupBy("anio").agg(F.sum("n_eventos").alias("n_eventos"), F.sum("n_fallecidos").alias("n_fallecidos"), F.round(100.0 * F.avg((F.col("n_eventos") == 0).cast("double")), 4).alias("pct_zero"), F.sum("expo_km").alias("_km"))
+    return year.withColumn("densidad", F.round(F.try_divide(F.col("n_eventos").cast("double"), F.col("_km").cast("double")), 8)).drop("_km")

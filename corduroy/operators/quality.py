@@ -11,7 +11,10 @@ from pyspark.sql.window import Window
 
 from ..functions.geo import in_box
 from ..functions.text import fold, record_id
+from ..session import steps
+from .ranks import quantiles
 
+# The numeric types, and the weights of the score's dimensions.
 NUMERIC = ("tinyint", "smallint", "int", "bigint", "float", "double", "decimal")
 WEIGHTS = {"completeness": 0.22, "validity": 0.22, "uniqueness": 0.15, "consistency": 0.15, "integrity": 0.18, "freshness": 0.08}
 
@@ -23,36 +26,63 @@ def _numeric(df: DataFrame, c: str) -> bool:
 # --- contract ---------------------------------------------------------------------------------------------------------------
 
 
+def _typed(df: DataFrame, name: str, kind: str) -> Column | None:
+    """An aggregate that counts values of another kind than the contract's; None where the column's type can hold no other."""
+    c, held = F.col(name), dict(df.dtypes)[name]
+    fits = {
+        "integer": _numeric(df, name),
+        "float": _numeric(df, name),
+        "string": held == "string",
+        "datetime": held in ("date", "timestamp", "timestamp_ntz"),
+        "boolean": held == "boolean",
+    }
+    if kind not in fits:
+        raise ValueError(f"unknown type {kind!r} for column {name!r}")
+    if not fits[kind]:
+        return F.count(c)
+    return F.count_if(c.isNotNull() & (c % 1 != 0)) if kind == "integer" else None
+
+
+def _bounded(df: DataFrame, name: str, low: bool, bound) -> Column:
+    """Whether a value is beyond a bound: as a number, as a date (also for texts that are dates), else as text."""
+    c = F.col(name)
+    beyond = (lambda v, x: v < x) if low else (lambda v, x: v > x)
+    if _numeric(df, name):
+        return beyond(c.try_cast("double"), F.lit(bound))
+    if dict(df.dtypes)[name] in ("date", "timestamp", "timestamp_ntz"):
+        return beyond(c.cast("date"), F.lit(str(bound)).try_cast("date"))
+    text, limit = c.cast("string"), F.lit(str(bound))
+    return F.coalesce(beyond(text.try_cast("date"), limit.try_cast("date")), beyond(text, limit))
+
+
 def _rule_columns(df: DataFrame, contract: dict, as_of: str | None) -> dict[tuple[str, str], Column]:
     """An aggregate that counts the offending rows, for each (column, rule)."""
     out: dict[tuple[str, str], Column] = {}
     for name, spec in contract["columns"].items():
         if name not in df.columns:
             continue
-        c, kind = F.col(name), spec.get("type")
+        c = F.col(name)
         if spec.get("nullable") is False:
             out[name, "nullable"] = F.count_if(c.isNull())
-        if kind == "integer" and _numeric(df, name):
-            out[name, "type"] = F.count_if(c.isNotNull() & (c % 1 != 0))
-        elif kind and {"integer": _numeric(df, name), "float": _numeric(df, name), "string": dict(df.dtypes)[name] == "string", "datetime": dict(df.dtypes)[name] in ("date", "timestamp", "timestamp_ntz"), "boolean": dict(df.dtypes)[name] == "boolean"}[kind] is False:
-            out[name, "type"] = F.count(c)
+        if spec.get("type") and (wrong := _typed(df, name, spec["type"])) is not None:
+            out[name, "type"] = wrong
         if spec.get("unique"):
-            out[name, "unique"] = F.count("*") - F.count_distinct(c) - F.coalesce(F.max(c.isNull().cast("long")), F.lit(0))  # nulls are one value
-        value = c.try_cast("double") if _numeric(df, name) else c
-        for rule, bad in (("min", lambda v, x: v < x), ("max", lambda v, x: v > x)):
+            out[name, "unique"] = F.count("*") - F.count_distinct(F.struct(c))  # nulls are one value
+        for rule in ("min", "max"):
             if rule in spec:
-                out[name, rule] = F.count_if(bad(value, F.lit(spec[rule])))
+                out[name, rule] = F.count_if(_bounded(df, name, rule == "min", spec[rule]))
         for rule, bad in (("min_date", lambda v, x: v < x), ("max_date", lambda v, x: v > x)):
             if rule in spec:
                 out[name, rule] = F.count_if(bad(c.try_cast("date"), F.lit(spec[rule]).cast("date")))
         if "max_before_today_days" in spec:
-            out[name, "max_before_today_days"] = F.count_if(c.try_cast("date") > F.date_sub(F.lit(as_of).cast("date"), spec["max_before_today_days"]))
+            if as_of is None:
+                raise ValueError(f"column {name!r}: max_before_today_days needs as_of")
+            latest = F.date_sub(F.lit(as_of).cast("date"), spec["max_before_today_days"])
+            out[name, "max_before_today_days"] = F.count_if(c.try_cast("date") > latest)
         if "pattern" in spec:
             out[name, "pattern"] = F.count_if(c.isNotNull() & ~c.cast("string").rlike(f"^(?:{spec['pattern']})"))
         if "allowed_values" in spec:
-            allowed = spec["allowed_values"]
-            ok = c.isin(allowed) if _numeric(df, name) else fold(c).isin([x for (x,) in _folded(df, allowed)])
-            out[name, "allowed_values"] = F.count_if(c.isNotNull() & ~F.coalesce(ok, F.lit(False)))
+            out[name, "allowed_values"] = F.count_if(_disallowed(df, name, spec["allowed_values"]))
         if "min_length" in spec:
             out[name, "min_length"] = F.count_if(F.length(c) < spec["min_length"])
         if "max_length" in spec:
@@ -60,10 +90,14 @@ def _rule_columns(df: DataFrame, contract: dict, as_of: str | None) -> dict[tupl
     return out
 
 
-def _folded(df: DataFrame, values: list) -> list:
-    """The catalogue's values as fold() gives them; a catalogue is configuration, so its size is the file's."""
-    spark = df.sparkSession
-    return [tuple(r) for r in spark.createDataFrame([(str(v),) for v in values], "v string").select(fold(F.col("v"))).collect()]
+def in_catalog(c: Column, values: list) -> Column:
+    """Whether a value is one of the catalogue's, folded on both sides; a catalogue is configuration, so its size is the file's."""
+    return F.coalesce(fold(c).isin([fold(F.lit(str(v))) for v in values]), F.lit(False))
+
+
+def _disallowed(df: DataFrame, name: str, allowed: list) -> Column:
+    c = F.col(name)
+    return c.isNotNull() & ~(F.coalesce(c.isin(allowed), F.lit(False)) if _numeric(df, name) else in_catalog(c, allowed))
 
 
 def contract_report(df: DataFrame, contract: dict, as_of: str | None = None) -> DataFrame:
@@ -80,6 +114,60 @@ def contract_report(df: DataFrame, contract: dict, as_of: str | None = None) ->
     return start.unionByName(counts.select(F.explode(rows).alias("x")).select("x.*").where("n > 0"))
 
 
+def contract_errors(report: DataFrame) -> DataFrame:
+    """report with a message for each broken rule."""
+    text = F.format_string("%s: %d %s", F.col("column"), F.col("n"), F.concat(F.lit("break rule "), F.col("rule")))
+    message = F.when(F.col("rule") == "missing", F.concat("column", F.lit(": missing"))).when(F.col("rule") == "extra", F.concat("column", F.lit(": not in the contract")))
+    return report.withColumn("message", message.otherwise(text))
+
+
+def contract_valid(report: DataFrame) -> DataFrame:
+    """One row: valid, n_errors (broken rules) and n_values (offending values)."""
+    return report.agg((F.count("*") == 0).alias("valid"), F.count("*").alias("n_errors"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_values"))
+
+
+def disallowed_examples(df: DataFrame, contract: dict, most: int = 5) -> DataFrame:
+    """column and examples: the first distinct values, in order, that a column's allowed_values lack."""
+    found = None
+    for name, spec in contract["columns"].items():
+        if name in df.columns and "allowed_values" in spec:
+            bad = df.where(_disallowed(df, name, spec["allowed_values"])).select(F.lit(name).alias("column"), F.col(name).cast("string").alias("value"))
+            found = bad if found is None else found.unionByName(bad)
+    if found is None:
+        return df.sparkSession.createDataFrame([], "`column` string, examples array<string>")
+    first = Window.partitionBy("column").orderBy("value")
+    few = found.distinct().withColumn("n", F.row_number().over(first)).where(F.col("n") <= most)
+    return few.groupBy("column").agg(F.array_sort(F.collect_list("value")).alias("examples"))
+
+
+def contract_ranges(contract: dict) -> dict[str, tuple[float, float]]:
+    """(low, high) of the numeric columns of a contract that declare a bound; an open side is infinite."""
+    out = {}
+    for name, spec in contract["columns"].items():
+        if spec.get("type") in ("integer", "float") and (spec.get("min") is not None or spec.get("max") is not None):
+            low, high = spec.get("min"), spec.get("max")
+            out[name] = (-math.inf if low is None else low, math.inf if high is None else high)
+    return out
+
+
+def resolve_catalogs(columns: list[str], catalogs: dict[str, list], aliases: dict[str, str]) -> dict[str, list]:
+    """Catalogues by the column that their name stands for; empty ones and those of absent columns are left out."""
+    named = {aliases.get(name, name): values for name, values in catalogs.items() if values}
+    return {c: values for c, values in named.items() if c in columns}
+
+
+def contract_spec(df: DataFrame, contract: dict, catalogs: dict[str, list] | None = None, aliases: dict[str, str] | None = None, **more) -> dict:
+    """The score's spec that a contract implies: required and numeric columns, ranges, catalogues and the primary key."""
+    cols = contract["columns"]
+    return {
+        "required": [c for c, r in cols.items() if r.get("nullable", True) is False and c in df.columns],
+        "numeric": [c for c, r in cols.items() if r.get("type") in ("integer", "float") and c in df.columns],
+        "ranges": contract_ranges(contract),
+        "catalogs": resolve_catalogs(df.columns, catalogs or {}, aliases or {}),
+        "key": contract.get("primary_key", []),
+    } | more
+
+
 # --- domain rules -----------------------------------------------------------------------------------------------------------
 
 
@@ -101,9 +189,11 @@ def rule_flags(df: DataFrame, rules: list[dict], as_of: str) -> list[tuple[dict,
         elif kind == "no_negativos":
             out += [(r, x, F.col(x) < 0) for x in r["columns"]]
         elif kind == "catalogo":
-            out.append((r, c, col.isNotNull() & ~F.coalesce(fold(col).isin([x for (x,) in _folded(df, r["values"])]), F.lit(False))))
+            out.append((r, c, col.isNotNull() & ~in_catalog(col, r["values"])))
         elif kind == "rango":
-            out.append((r, c, (col < r["min"]) | (col > r["max"])))
+            beyond = (col < r["min"]) | (col > r["max"])
+            other = r.get("limit")  # (column, greatest value) of the limit that the value is held against
+            out.append((r, c, F.coalesce(beyond, F.lit(False)) | F.coalesce(F.col(other[0]) > other[1], F.lit(False)) if other else beyond))
         elif kind == "formato":
             out.append((r, c, col.isNotNull() & ~col.rlike(r["pattern"])))
         elif kind == "consistencia":
@@ -121,8 +211,14 @@ def violations(df: DataFrame, rules: list[dict], row_id: str, as_of: str) -> Dat
     return marked.select("row_id", F.explode(F.filter(found, lambda x: x.isNotNull())).alias("x")).select("row_id", "x.*")
 
 
-def violation_table(found: DataFrame) -> DataFrame:
-    return found.groupBy("rule", "column", "severity").agg(F.count("*").alias("n"))
+def violation_table(found: DataFrame, most: int = 0) -> DataFrame:
+    """rule, column, severity, n; with ``most``, also ``rows``: the smallest row ids, so many at most."""
+    keys = ["rule", "column", "severity"]
+    n = found.groupBy(*keys).agg(F.count("*").alias("n"))
+    if not most:
+        return n
+    few = found.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy("row_id"))).where(F.col("_n") <= most)
+    return n.join(few.groupBy(*keys).agg(F.array_sort(F.collect_list("row_id")).alias("rows")), keys)
 
 
 def quarantine(df: DataFrame, found: DataFrame, row_id: str, dataset: str) -> DataFrame:
@@ -135,34 +231,73 @@ def quarantine(df: DataFrame, found: DataFrame, row_id: str, dataset: str) -> Da
 # --- score ------------------------------------------------------------------------------------------------------------------
 
 
-def _percent(ok: Column, over: Column | None = None) -> Column:
-    share = F.avg(F.when(over if over is not None else F.lit(True), ok.cast("double")))
-    return 100.0 * F.coalesce(share, F.lit(1.0))
+def _flags(df: DataFrame, spec: dict, as_of: str) -> dict[str, list[Column]]:
+    """For each dimension that rows bear on, a flag for each check; null where the row doesn't count."""
+    cols, ranges = df.columns, spec.get("ranges", {})
+    default = {c: (0.0, math.inf) for c in spec.get("numeric", []) if c not in ranges}
+    checks = [F.col(c).between(*r) for c, r in {**default, **ranges}.items() if c in cols]
+    checks += [F.when(F.col(c).isNotNull(), in_catalog(F.col(c), v)) for c, v in spec.get("catalogs", {}).items() if c in cols]
+    out = {
+        "completeness": [F.col(c).isNotNull() for c in spec["required"] if c in cols],
+        "validity": checks,
+        "consistency": [F.col(c) == F.upper(F.col(c)) for c in spec.get("nominal", []) if c in cols],
+    }
+    if spec.get("date"):
+        since = F.date_sub(F.lit(as_of).cast("date"), spec.get("window_days", 365))
+        out["freshness"] = [F.col(spec["date"]).try_cast("date") >= since]
+    return out
+
+
+def _mean_share(flags: list[Column], empty: float) -> Column:
+    """The mean over the flags, in per cent, of the share of rows that meet each; flags that count nowhere are left out."""
+    shares = [F.avg(x.cast("double")) for x in flags]
+    seen = sum((x.isNotNull().cast("int") for x in shares), F.lit(0))
+    return 100.0 * F.coalesce(F.try_divide(sum((F.coalesce(x, F.lit(0.0)) for x in shares), F.lit(0.0)), seen), F.lit(empty))
+
+
+def _keys(spec: dict, columns: list[str]) -> list[str]:
+    keys = spec.get("key") or []
+    return [k for k in ([keys] if isinstance(keys, str) else keys) if k in columns]
 
 
 def dimensions(df: DataFrame, spec: dict, as_of: str) -> DataFrame:
     """One row of the six dimensions (0 to 100, two decimals) and the weighted score ``dqs``, from one pass.
 
-    spec: required, ranges {column: (low, high)}, catalogs {column: values}, key, nominal, date, window_days, and weights.
+    spec: required, numeric (0 or more where no range is given), ranges {column: (low, high)}, catalogs {column: values}, key (one
+    column or several), nominal, date, window_days, integrity and weights. Checks of columns without values are left out; without
+    any check a dimension is 100, but without any date freshness is 0.
     """
-    cols = df.columns
-    mean = lambda xs: sum(xs[1:], xs[0]) / len(xs) if xs else F.lit(100.0)
-    complete = mean([_percent(F.col(c).isNotNull()) for c in spec["required"] if c in cols])
-    checks = [_percent(F.col(c).between(*r), F.col(c).isNotNull()) for c, r in spec.get("ranges", {}).items() if c in cols]
-    checks += [_percent(F.coalesce(fold(F.col(c)).isin([x for (x,) in _folded(df, v)]), F.lit(False)), F.col(c).isNotNull()) for c, v in spec.get("catalogs", {}).items() if c in cols]
-    distinct = F.count_distinct(F.struct(F.coalesce(F.col(spec["key"]).cast("string"), F.lit(""))))
-    unique = 100.0 * (1 - (F.count("*") - distinct) / F.count("*"))
-    nominal = [_percent(F.col(c) == F.upper(F.col(c)), F.col(c).isNotNull()) for c in spec.get("nominal", []) if c in cols]
-    fresh = _percent(F.col(spec["date"]) >= F.date_sub(F.lit(as_of).cast("date"), spec.get("window_days", 365)), F.col(spec["date"]).isNotNull()) if spec.get("date") else F.lit(100.0)
-    row = df.agg(F.round(complete, 2).alias("completeness"), F.round(mean(checks), 2).alias("validity"), F.round(unique, 2).alias("uniqueness"), F.round(mean(nominal), 2).alias("consistency"), F.lit(float(spec.get("integrity", 100.0))).alias("integrity"), F.round(fresh, 2).alias("freshness"))
-    weights = spec.get("weights", WEIGHTS)
-    return row.withColumn("dqs", F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 2))
+    flags, keys = _flags(df, spec, as_of), _keys(spec, df.columns)
+    repeats = F.count("*") - F.count_distinct(F.struct(*keys)) if keys else F.lit(0)
+    unique = 100.0 * (1 - F.coalesce(F.try_divide(repeats, F.count("*")), F.lit(0.0)))
+    row = df.agg(
+        F.round(_mean_share(flags["completeness"], 1.0), 2).alias("completeness"),
+        F.round(_mean_share(flags["validity"], 1.0), 2).alias("validity"),
+        F.round(unique, 2).alias("uniqueness"),
+        F.round(_mean_share(flags["consistency"], 1.0), 2).alias("consistency"),
+        F.lit(float(spec.get("integrity", 100.0))).alias("integrity"),
+        F.round(_mean_share(flags["freshness"], 0.0) if "freshness" in flags else F.lit(100.0), 2).alias("freshness"),
+    )
+    return row.withColumn("dqs", weighted(spec.get("weights", WEIGHTS)))
+
+
+def weighted(weights: dict[str, float]) -> Column:
+    """The score of a row of dimensions under some weights."""
+    return F.round(sum((F.col(k) * w for k, w in weights.items()), F.lit(0.0)), 2)
+
+
+def weight_scenarios(dims: DataFrame, scenarios: dict[str, dict[str, float]], weights: dict[str, float] = WEIGHTS) -> DataFrame:
+    """scenario, dqs and delta (against the given weights) of a row of dimensions, for named weights that add up to 1."""
+    fair = {name: w for name, w in scenarios.items() if abs(sum(w.values()) - 1.0) <= 1e-3}
+    rows = [F.struct(F.lit(name).alias("scenario"), weighted(w).alias("dqs"), F.round(weighted(w) - weighted(weights), 2).alias("delta")) for name, w in fair.items()]
+    return dims.select(F.explode(F.array(*rows)).alias("x")).select("x.*")
 
 
 def integrity_share(df: DataFrame, fk: str, ref: DataFrame, key: str) -> DataFrame:
-    """Percentage of non-null foreign keys that exist."""
+    """Percentage of non-null foreign keys that exist; 100 without any."""
     known = ref.select(F.col(key).alias(fk)).distinct().withColumn("_ok", F.lit(True))
-    return df.where(F.col(fk).isNotNull()).join(known, fk, "left").agg(F.round(_percent(F.coalesce("_ok", F.lit(False))), 2).alias("integrity"))
+    held = df.where(F.col(fk).isNotNull()).join(known, fk, "left")
+    return held.agg(F.round(100.0 * F.coalesce(F.avg(F.coalesce("_ok", F.lit(False)).cast("double")), F.lit(1.0)), 2).alias("integrity"))
 
 
 def gate(dqs: float, critical: int, threshold: float = 90.0) -> str:
@@ -170,6 +305,11 @@ def gate(dqs: float, critical: int, threshold: float = 90.0) -> str:
     return "FAILED" if critical else "WARNING" if dqs < threshold else "PASSED"
 
 
+def gate_column(dqs: Column, critical: Column, threshold: float = 90.0) -> Column:
+    """gate() as an expression."""
+    return F.when(critical > 0, "FAILED").when(dqs < threshold, "WARNING").otherwise("PASSED")
+
+
 def model_ready(contract_ok: bool, gate_status: str, lineage: bool, critical: int, dqs: float, version: str | None, min_dqs: float = 90.0) -> dict:
     checks = {"contract": contract_ok, "gate": gate_status == "PASSED", "lineage": lineage, "no_critical": not critical, "dqs": dqs >= min_dqs, "version": bool(version)}
     return checks | {"model_ready": all(checks.values())}
@@ -178,24 +318,52 @@ def model_ready(contract_ok: bool, gate_status: str, lineage: bool, critical: in
 # --- profile and audit ------------------------------------------------------------------------------------------------------
 
 
-def profile(df: DataFrame) -> DataFrame:
-    """A row per column: dtype, n_rows, n_null, pct_null, n_unique, and for numbers min, max, mean, q25, q75; one pass."""
-    aggs, rows = [F.count("*").alias("n_rows")], []
-    for i, (c, kind) in enumerate(df.dtypes):
-        number = _numeric(df, c)
-        x = F.col(c).cast("double") if number else F.lit(None).cast("double")
-        aggs += [F.count(c).alias(f"c{i}"), F.count_distinct(c).alias(f"u{i}"), F.min(x).alias(f"lo{i}"), F.max(x).alias(f"hi{i}"), F.avg(x).alias(f"m{i}"), (F.percentile(x, F.array(F.lit(0.25), F.lit(0.75))) if number else F.lit(None).cast("array<double>")).alias(f"q{i}")]
-        rows.append(F.struct(F.lit(c).alias("column"), F.lit(kind).alias("dtype"), F.col("n_rows"), (F.col("n_rows") - F.col(f"c{i}")).alias("n_null"), F.round(100.0 * F.try_divide(F.col("n_rows") - F.col(f"c{i}"), F.col("n_rows")), 2).alias("pct_null"), F.col(f"u{i}").alias("n_unique"), F.col(f"lo{i}").alias("min"), F.col(f"hi{i}").alias("max"), F.round(F.col(f"m{i}"), 4).alias("mean"), F.get(F.col(f"q{i}"), F.lit(0)).alias("q25"), F.get(F.col(f"q{i}"), F.lit(1)).alias("q75")))
-    return df.agg(*aggs).select(F.explode(F.array(*rows)).alias("x")).select("x.*")
+def profile(df: DataFrame, top: int = 0) -> DataFrame:
+    """A row per column: dtype, n_rows, n_null, pct_null, n_unique, and for numbers min, max, mean, std, q25, q75 (with ``top``, top_values too).
+
+    The table is melted once into counted (column, value) pairs, which are written and then summed: no task holds a column's values.
+    """
+    kinds = F.create_map(*[F.lit(x) for c, k in df.dtypes for x in (c, k)])
+    order = F.create_map(*[F.lit(x) for i, c in enumerate(df.columns) for x in (c, i)])
+    cells = [F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value"), (F.col(c).cast("double") if _numeric(df, c) else F.lit(None).cast("double")).alias("x")) for c in df.columns]
+    melted = df.select(F.explode(F.array(*cells)).alias("c")).select("c.*")
+    counted = steps(df.sparkSession)(melted.groupBy("column", "value", "x").agg(F.count("*").alias("n")), "counted")
+    known, x, n = F.col("value").isNotNull(), F.col("x"), F.col("n")
+    held = F.sum(F.when(x.isNotNull(), n))
+    mean = F.try_divide(F.sum(x * n), held)
+    rows = counted.groupBy("column").agg(
+        F.sum("n").alias("n_rows"), F.sum(F.when(known, 0).otherwise(n)).alias("n_null"), F.count_if(known).alias("n_unique"),
+        F.min("x").alias("min"), F.max("x").alias("max"), mean.alias("mean"), held.alias("_held"),
+    )
+    centred = counted.where("x IS NOT NULL").join(F.broadcast(rows.select("column", F.col("mean").alias("_m"))), "column")  # a row a column
+    spread = centred.groupBy("column").agg(F.sqrt(F.try_divide(F.sum(F.pow(x - F.col("_m"), F.lit(2)) * n), F.sum("n") - 1)).alias("std"))
+    q = quantiles(counted, "x", [0.25, 0.75], ["column"], "n").select("column", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q75"))
+    out = rows.join(spread, "column", "left").join(q, "column", "left")
+    if top:
+        few = top_values(df, df.columns, top).groupBy("column").agg(F.array_sort(F.collect_list(F.struct(-F.col("n"), "value"))).alias("_t"))
+        out = out.join(few.select("column", F.col("_t.value").alias("top_values")), "column", "left")
+    pct = F.round(100.0 * F.try_divide(F.col("n_null"), F.col("n_rows")), 2)
+    shown = ["column", kinds[F.col("column")].alias("dtype"), "n_rows", "n_null", pct.alias("pct_null"), "n_unique", "min", "max", F.round("mean", 4).alias("mean"), F.round("std", 4).alias("std"), "q25", "q75"]
+    return out.orderBy(order[F.col("column")]).select(*shown, *(["top_values"] if top else []))
+
+
+def describe(df: DataFrame, columns: list[str]) -> DataFrame:
+    """column, count, mean, std, min, q25, q50, q75 and max of numeric columns."""
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("x")) for c in columns])).alias("c")
+    melted = df.select(cells).select("c.*")
+    rows = melted.groupBy("column").agg(F.count("x").alias("count"), F.round(F.avg("x"), 6).alias("mean"), F.round(F.stddev_samp("x"), 6).alias("std"), F.min("x").alias("min"), F.max("x").alias("max"))
+    q = quantiles(melted, "x", [0.25, 0.5, 0.75], ["column"])
+    return rows.join(q, "column", "left").select("column", "count", "mean", "std", "min", F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q75"), "max")
 
 
 def top_values(df: DataFrame, columns: list[str], k: int = 10) -> DataFrame:
     """column, value, n, pct of the k most frequent values of each column (ties: smaller value)."""
-    melted = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")).select("x.*").where("value IS NOT NULL")
-    n = melted.groupBy("column", "value").agg(F.count("*").alias("n"))
-    every = Window.partitionBy("column")
-    ranked = n.withColumn("total", F.sum("n").over(every)).withColumn("rank", F.row_number().over(every.orderBy(F.desc("n"), "value")))
-    return ranked.where(F.col("rank") <= k).select("column", "value", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))
+    cells = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns])).alias("x")
+    n = df.select(cells).select("x.*").where("value IS NOT NULL").groupBy("column", "value").agg(F.count("*").alias("n"))
+    total = n.groupBy("column").agg(F.sum("n").alias("total"))
+    first = Window.partitionBy("column").orderBy(F.desc("n"), "value")
+    few = n.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+    return few.join(F.broadcast(total), "column").select("column", "value", "n", F.round(100.0 * F.col("n") / F.col("total"), 4).alias("pct"))  # a row a column
 
 
 def null_delta(before: DataFrame, after: DataFrame, renames: dict[str, str]) -> DataFrame:
@@ -218,21 +386,75 @@ def weight_sensitivity(dims: dict[str, float], weights: dict[str, float] = WEIGH
     return {"p05": at(0.05), "p50": at(0.50), "p95": at(0.95), "spread": at(0.95) - at(0.05)}
 
 
+def sensitivity_verdict(spread: float, robust: float = 5.0, fragile: float = 12.0) -> str:
+    """ALTA for a score that weights hardly move, BAJA for one that they move much, else MEDIA."""
+    return "ALTA" if spread <= robust else "BAJA" if spread >= fragile else "MEDIA"
+
+
 def bootstrap_interval(df: DataFrame, flags: list[Column], draws: int = 300, seed: int = 7) -> dict:
     """95 % interval of the mean of 0/1 flags (null: not counted), by resampling counts of equal flag rows.
 
     Rows with equal flags are interchangeable, so a multinomial draw of their counts is a bootstrap of the rows; what comes to the
     driver has at most 3 ** len(flags) rows.
     """
+    n, shares = _flag_counts(df, {"flags": flags})
+    score = lambda c: 100 * shares(c)["flags"]
+    drawn = sorted(score(c) for c in _resampled(n, draws, seed))
+    return {"point": score(n), "low": drawn[int(0.025 * draws)], "high": drawn[min(draws - 1, int(0.975 * draws))]}
+
+
+def _flag_counts(df: DataFrame, flags: dict[str, list[Column]]):
+    """(rows of each combination of flags, a function from such counts to each group's mean share, None where nothing counts)."""
     import numpy as np
 
-    table = df.groupBy(*[x.cast("int").alias(f"f{i}") for i, x in enumerate(flags)]).agg(F.count("*").alias("n")).toPandas()
-    n, f = table["n"].to_numpy(), table.drop(columns="n").astype(float).to_numpy()
+    names = [(group, f"f{i}") for i, group in enumerate(g for g, xs in flags.items() for _ in xs)]
+    columns = [x.cast("int").alias(name) for x, (_, name) in zip((x for xs in flags.values() for x in xs), names)]
+    table = df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*[name for _, name in names]).toPandas()
+    n, f = table["n"].to_numpy(), table[[name for _, name in names]].astype(float).to_numpy()
     seen, good = ~np.isnan(f), np.nan_to_num(f)
-    score = lambda c: 100 * float(np.mean((c @ good) / np.maximum(1, c @ seen)))
-    rng = np.random.default_rng(seed)
-    drawn = sorted(score(c) for c in rng.multinomial(n.sum(), n / n.sum(), draws))
-    return {"point": score(n), "low": drawn[int(0.025 * draws)], "high": drawn[min(draws - 1, int(0.975 * draws))]}
+
+    def shares(c) -> dict[str, float | None]:
+        held, met = c @ seen, c @ good
+        out = {}
+        for group in flags:
+            each = [met[i] / held[i] for i, (g, _) in enumerate(names) if g == group and held[i]]
+            out[group] = float(np.mean(each)) if each else None
+        return out
+
+    return n, shares
+
+
+def _resampled(n, draws: int, seed: int):
+    import numpy as np
+
+    return np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), draws) if n.sum() else []
+
+
+def bootstrap_score(df: DataFrame, spec: dict, as_of: str, draws: int = 300, seed: int = 42) -> DataFrame:
+    """dimension, point, low, high, width, std and centred: 95 % intervals of the score and of its dimensions, from whole-table counts.
+
+    Uniqueness and integrity stay at what was observed, since resampling rows would repeat their keys.
+    """
+    import numpy as np
+
+    spark, weights = df.sparkSession, spec.get("weights", WEIGHTS)
+    schema = "dimension string, point double, low double, high double, width double, std double, centred boolean"
+    observed = dimensions(df, spec, as_of).first().asDict()
+    flags = {k: x for k, x in _flags(df, spec, as_of).items() if x}
+    n, shares = _flag_counts(df, flags)
+    empty = {"freshness": 0.0}
+    drawn: dict[str, list[float]] = {k: [] for k in [*weights, "dqs"]}
+    for c in _resampled(n, draws, seed):
+        now = dict(observed) | {k: round(100 * (empty.get(k, 1.0) if v is None else v), 2) for k, v in shares(c).items()}
+        now["dqs"] = round(sum(now[k] * w for k, w in weights.items()), 2)
+        for k in drawn:
+            drawn[k].append(now[k])
+    rows = []
+    for k, values in drawn.items():
+        low, high = (float(np.percentile(values, x)) for x in (2.5, 97.5)) if values else (observed[k], observed[k])
+        point = float(observed[k])
+        rows.append((k, point, round(low, 2), round(high, 2), round(high - low, 2), round(float(np.std(values)) if values else 0.0, 3), bool(round(low, 2) <= point <= round(high, 2))))
+    return spark.createDataFrame(rows, schema)
 
 
 def run_drift(runs: DataFrame, min_runs: int = 2, tolerance: float = 0.5) -> DataFrame:

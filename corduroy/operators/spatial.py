@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.geo import edge_place
+from ..functions.geo import edge_place, planar_m
+from ..session import steps
 
 
 def interval_join(events: DataFrame, segments: DataFrame, key: str, at: str, low: str, high: str, seg_id: str, order: str, event_id: str, bucket: float) -> DataFrame:
@@ -27,14 +28,14 @@ def _cells(df: DataFrame, x: str, y: str, size: float, reach: int = 0) -> DataFr
     return df.withColumn("_cx", F.explode(F.sequence(cx - reach, cx + reach))).withColumn("_cy", F.explode(F.sequence(cy - reach, cy + reach)))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, distance: Column | None = None) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, distance: Column | None = None, also: list[str] | None = None) -> DataFrame:
     """All pairs within the radius (inclusive), with ``_d``: planar distance, or the expression given.
 
-    Cells are as wide as the radius and the right side goes to its 3 x 3 neighbours.
+    Cells are as wide as the radius and the right side goes to its 3 x 3 neighbours; ``also`` names further columns to join on.
     """
     a, b = _cells(left, *left_xy, radius), _cells(right, *right_xy, radius, reach=1)
     d = F.hypot(F.col(left_xy[0]) - F.col(right_xy[0]), F.col(left_xy[1]) - F.col(right_xy[1])) if distance is None else distance
-    return a.join(b, ["_cx", "_cy"]).withColumn("_d", d).where(F.col("_d") <= radius).drop("_cx", "_cy")
+    return a.join(b, ["_cx", "_cy", *(also or [])]).withColumn("_d", d).where(F.col("_d") <= radius).drop("_cx", "_cy")
 
 
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float) -> DataFrame:
@@ -44,21 +45,44 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return left.join(best, left_id, "left")
 
 
-def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], start: float) -> DataFrame:
-    """The nearest right point at any distance: the radius doubles for what has no neighbour yet, until every row has one."""
-    todo, done, radius = left.select(left_id, *left_xy), None, start
-    if right.isEmpty():
-        return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
+def _widening(todo: DataFrame, found_at, start: float) -> DataFrame:
+    """What found_at(rows, radius) gives, for ever wider radii, until every row has been found; each round is written.
+
+    found_at returns a row for each row that has a partner within the radius, under the same first column.
+    """
+    write, done, radius, n = steps(todo.sparkSession), None, start, 0
+    key = todo.columns[0]
+    todo = write(todo, "todo-0")
     while True:
-        step = nearest_join(todo, right, left_id, right_id, left_xy, right_xy, radius)
-        hit = step.where(F.col(right_id).isNotNull()).select(left_id, right_id, "dist")
+        hit = write(found_at(todo, radius), f"hit-{n}")
         done = hit if done is None else done.unionByName(hit)
-        todo = step.where(F.col(right_id).isNull() & F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull()).select(left_id, *left_xy)
+        n += 1
+        todo = write(todo.join(hit.select(key), key, "left_anti"), f"todo-{n}")
         if todo.isEmpty():
-            return left.join(done, left_id, "left")
+            return done
         radius *= 2
 
 
+def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], start: float) -> DataFrame:
+    """The nearest right point at any distance: the radius doubles for what has no neighbour yet, until every row has one."""
+    right = right.where(F.col(right_xy[0]).isNotNull() & F.col(right_xy[1]).isNotNull())
+    if right.isEmpty():
+        return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
+
+    def found_at(todo: DataFrame, radius: float) -> DataFrame:
+        return nearest_join(todo, right, left_id, right_id, left_xy, right_xy, radius).where(F.col(right_id).isNotNull()).select(left_id, right_id, "dist")
+
+    todo = left.where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull()).select(left_id, *left_xy)
+    return left.join(_widening(todo, found_at, start), left_id, "left")
+
+
+def nearest_metres(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limit_m: float = 2000.0, lat0: float = -10.0) -> DataFrame:
+    """left (lat, lon) with the id and ``dist_m`` of the nearest right point (lat2, lon2) in projected metres, null beyond the limit."""
+    (x, y), (u, v) = planar_m(F.col("lat"), F.col("lon"), lat0), planar_m(F.col("lat2"), F.col("lon2"), lat0)
+    a, b = left.withColumns({"_x": x, "_y": y}), right.select(right_id, u.alias("_u"), v.alias("_v"))
+    return nearest_join(a, b, left_id, right_id, ("_x", "_y"), ("_u", "_v"), limit_m).drop("_x", "_y").withColumnRenamed("dist", "dist_m")
+
+
 def box_counts(left: DataFrame, right: DataFrame, left_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], half: float) -> DataFrame:
     """left_id and the number of right points within a square of +- half around it, zeros included."""
     a, b = _cells(left.select(left_id, *left_xy), *left_xy, half), _cells(right.select(*right_xy), *right_xy, half, reach=1)
@@ -67,10 +91,46 @@ def box_counts(left: DataFrame, right: DataFrame, left_id: str, left_xy: tuple[s
     return left.select(left_id).join(n, left_id, "left").select(left_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def project_on_route(points: DataFrame, edges: DataFrame, point_id: str, route: str) -> DataFrame:
-    """Nearest edge of the same route for each point (x, y): edges hold edge_id, km0, km1, x0, y0, x1, y1; gives km and dist."""
-    both = points.join(edges, route)
-    t, d = edge_place(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-    km = F.col("km0") + t * (F.col("km1") - F.col("km0"))
-    best = both.select(point_id, F.struct(d.alias("dist"), F.col("edge_id"), km.alias("km")).alias("_m")).groupBy(point_id).agg(F.min("_m").alias("_m"))
-    return best.select(point_id, "_m.edge_id", "_m.km", "_m.dist")
+def project_on_route(points: DataFrame, edges: DataFrame, point_id: str, route: str, start: float) -> DataFrame:
+    """Nearest edge of the same route for each point (x, y): edges hold edge_id, km0, km1, x0, y0, x1, y1; gives km and dist.
+
+    Edges go to the cells that their boxes, widened by a radius, touch; the radius doubles for points without an edge in it. Equal
+    distances (to nine decimals) go to the smaller edge_id; points without place or whose route has no edge are left out.
+    """
+    km = F.col("km0") + F.col("_t") * (F.col("km1") - F.col("km0"))
+
+    def found_at(todo: DataFrame, radius: float) -> DataFrame:
+        def cells(low: str, high: str) -> Column:
+            return F.explode(F.sequence(F.floor((F.least(low, high) - radius) / radius), F.floor((F.greatest(low, high) + radius) / radius)))
+
+        spread = edges.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
+        at = todo.withColumn("_cx", F.floor(F.col("x") / radius)).withColumn("_cy", F.floor(F.col("y") / radius))
+        t, d = edge_place(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+        near = at.join(spread, [route, "_cx", "_cy"]).withColumn("_t", t).withColumn("_d", d).where(F.col("_d") <= radius)
+        best = near.groupBy(point_id).agg(F.min(F.struct(F.round("_d", 9).alias("tie"), "edge_id", km.alias("km"), F.col("_d").alias("dist"))).alias("_m"))
+        return best.select(point_id, "_m.edge_id", "_m.km", "_m.dist")
+
+    known = points.where("x IS NOT NULL AND y IS NOT NULL").select(point_id, route, "x", "y").join(edges.select(route).distinct(), route, "left_semi")
+    return _widening(known.select(point_id, route, "x", "y"), found_at, start)
+
+
+def first_containing(names: DataFrame, places: DataFrame) -> DataFrame:
+    """names (name) with the first place (place, by ord) whose key contains the name or lies in it; null where none does.
+
+    The shorter text begins with some three letters (or is shorter): the pairs that meet have them in common, and are then compared.
+    """
+    a, b = names.select("name").where("length(name) > 0").distinct(), places.select("key", "place", "ord").where("length(key) > 0")
+
+    def start(c: str) -> Column:
+        return F.substring(c, 1, 3)
+
+    def grams(c: str) -> Column:
+        def of(n: int) -> Column:
+            return F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(c) - (n - 1))), lambda i: F.substring(F.col(c), i, F.lit(n)))
+
+        return F.explode(F.array_distinct(F.concat(of(1), of(2), of(3))))
+
+    inner = a.select("name", start("name").alias("g")).join(b.select("key", "place", "ord", grams("key").alias("g")), "g").where(F.col("key").contains(F.col("name")))
+    outer = b.select("key", "place", "ord", start("key").alias("g")).join(a.select("name", grams("name").alias("g")), "g").where(F.col("name").contains(F.col("key")))
+    best = inner.unionByName(outer).groupBy("name").agg(F.min_by("place", F.struct("ord", "place")).alias("place"))
+    return names.join(best, "name", "left")

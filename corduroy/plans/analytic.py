@@ -2,12 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
+import uuid
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from ..functions.geo import haversine_km
 from ..operators import aggregates as A
 from ..operators import cleaning as C
 from ..operators import matching as M
@@ -16,7 +14,9 @@ from ..operators import panel as P
 from ..operators import quality as Q
 from ..operators import routes as R
 from ..operators import spatial as S
-from .base import DIRTY, NATION_ROADS, POINTS, ROAD_EVENTS, SEGMENTS, SOURCE, query, r6, rows, table
+from ..operators.ranks import every_nth
+from ..session import shared_folder, steps
+from .base import DIRTY, NATION_ROADS, POINTS, ROAD_EVENTS, SEGMENTS, SOURCE, TOLLS, query, r6, rows, table
 
 AS_OF = "2000-06-30"
 CONTRACT = {
@@ -55,20 +55,6 @@ DIMENSIONS = f"""SELECT round(100.0::DOUBLE * (count(code) + count(fecha) + coun
 DQS = "round(0.22 * completeness + 0.22 * validity + 0.15 * uniqueness + 0.15 * consistency + 0.18 * integrity + 0.08 * freshness, 2)"
 
 
-def _writer(spark):
-    """Steps of an iteration as Parquet in the session's shared folder (a temporary one where none is set)."""
-    import uuid
-
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp(prefix="corduroy-")
-    root = f"{base.rstrip('/')}/corduroy/steps-{uuid.uuid4().hex[:12]}"
-
-    def write(df, name):
-        df.write.parquet(f"{root}/{name}")
-        return spark.read.schema(df.schema).parquet(f"{root}/{name}")
-
-    return write
-
-
 @query(f"""WITH x AS ({DIRTY}), n AS (SELECT count(*) FILTER (WHERE fecha IS NULL) AS a, count(*) FILTER (WHERE fecha > DATE '{AS_OF}' - 10) AS b, count(*) FILTER (WHERE fecha > DATE '2001-01-01') AS c,
   count(*) FILTER (WHERE upper(clase) NOT IN ('1-URGENT', '2-HIGH', '3-MEDIUM', '5-LOW')) AS e, count(*) FILTER (WHERE length(clase) > 10) AS f, count(*) FILTER (WHERE NOT regexp_matches(estado, '^(?:[FO])')) AS g,
   count(*) FILTER (WHERE fallecidos < 0) AS h, count(*) FILTER (WHERE fallecidos > 5) AS i, count(*) FILTER (WHERE velocidad > 300) AS j, count(*) - count(DISTINCT code) AS k FROM x)
@@ -94,20 +80,28 @@ def q_dqs(spark, d):
     return Q.dimensions(rows(spark, d, DIRTY), SPEC, AS_OF)
 
 
-@query(f"WITH f AS ({FLAGS}), v AS ({VIOLATIONS}) SELECT dqs, critical, CASE WHEN critical > 0 THEN 'FAILED' WHEN dqs < 90 THEN 'WARNING' ELSE 'PASSED' END AS gate FROM (SELECT {DQS} AS dqs FROM ({DIMENSIONS})), (SELECT CAST(count(*) AS BIGINT) AS critical FROM v WHERE severity = 'critical')")
+@query(f"""WITH f AS ({FLAGS}), v AS ({VIOLATIONS})
+SELECT dqs, critical, CASE WHEN critical > 0 THEN 'FAILED' WHEN dqs < 90 THEN 'WARNING' ELSE 'PASSED' END AS gate
+FROM (SELECT {DQS} AS dqs FROM ({DIMENSIONS})), (SELECT CAST(count(*) AS BIGINT) AS critical FROM v WHERE severity = 'critical')""")
 def q_gate(spark, d):
     df = rows(spark, d, DIRTY)
     critical = Q.violations(df, RULES, "row_id", AS_OF).where("severity = 'critical'").agg(F.count("*").alias("critical"))
     both = Q.dimensions(df, SPEC, AS_OF).select("dqs").join(F.broadcast(critical))  # one row each
-    return both.withColumn("gate", F.when(F.col("critical") > 0, "FAILED").when(F.col("dqs") < 90, "WARNING").otherwise("PASSED"))
+    return both.withColumn("gate", Q.gate_column(F.col("dqs"), F.col("critical")))
+
+
+SCENARIOS = {
+    "uniforme": dict.fromkeys(Q.WEIGHTS, 1 / 6),
+    "frescura": {k: 0.5 if k == "freshness" else 0.1 for k in Q.WEIGHTS},
+}
 
 
-@query(f"SELECT round((completeness + validity + uniqueness + consistency + integrity + freshness) / 6, 2) AS uniforme, round(0.1 * (completeness + validity + uniqueness + consistency + integrity) + 0.5 * freshness, 2) AS frescura FROM ({DIMENSIONS})")
+@query(f"""WITH d AS (SELECT *, {DQS} AS dqs FROM ({DIMENSIONS})), s AS (
+  SELECT 'uniforme' AS scenario, round((completeness + validity + uniqueness + consistency + integrity + freshness) / 6, 2) AS x, dqs FROM d
+  UNION ALL SELECT 'frescura', round(0.1 * (completeness + validity + uniqueness + consistency + integrity) + 0.5 * freshness, 2), dqs FROM d)
+SELECT scenario, x AS dqs, round(x - dqs, 2) AS delta FROM s""")
 def q_scenarios(spark, d):
-    row = Q.dimensions(rows(spark, d, DIRTY), SPEC, AS_OF)
-    names = ["completeness", "validity", "uniqueness", "consistency", "integrity", "freshness"]
-    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    return row.select(F.round(total / 6, 2).alias("uniforme"), F.round(0.1 * (total - F.col("freshness")) + 0.5 * F.col("freshness"), 2).alias("frescura"))
+    return Q.weight_scenarios(Q.dimensions(rows(spark, d, DIRTY), SPEC, AS_OF), SCENARIOS)
 
 
 @query("SELECT round(100.0 * count(c_custkey) / count(*), 2) AS integrity FROM (SELECT CASE WHEN o_orderkey % 11 = 0 THEN -1 ELSE o_custkey END AS fk FROM orders) LEFT JOIN customer ON fk = c_custkey")
@@ -116,11 +110,11 @@ def q_integrity(spark, d):
     return Q.integrity_share(o, "fk", table(spark, d, "customer"), "c_custkey")
 
 
-@query("SELECT round(100.0 * (SELECT count(*) FROM (SELECT DISTINCT n_name FROM nation WHERE n_nationkey < 20 INTERSECT SELECT n_name FROM nation WHERE n_nationkey > 4)) / (SELECT count(DISTINCT n_name) FROM nation WHERE n_nationkey < 20), 4) AS circularidad")
+@query("""WITH a AS (SELECT DISTINCT n_name FROM nation WHERE n_nationkey < 20), b AS (SELECT n_name FROM nation WHERE n_nationkey > 4)
+SELECT round(100.0 * (SELECT count(*) FROM a WHERE n_name IN (SELECT n_name FROM b)) / (SELECT count(*) FROM a), 4) AS circularidad""")
 def q_circularity(spark, d):
     n = table(spark, d, "nation")
-    seen, catalog = n.where("n_nationkey < 20").select("n_name").distinct(), n.where("n_nationkey > 4").select("n_name").distinct().withColumn("ok", F.lit(1))
-    return seen.join(catalog, "n_name", "left").agg(F.round(100.0 * F.count("ok") / F.count("*"), 4).alias("circularidad"))
+    return A.overlap(n.where("n_nationkey < 20"), n.where("n_nationkey > 4"), "n_name")
 
 
 @query("SELECT dataset, fingerprint, n_runs, dqs_range, CASE WHEN n_runs < 2 THEN 'insufficient' WHEN dqs_range <= 40 THEN 'stable' ELSE 'drift' END AS verdict FROM (SELECT r_name AS dataset, CAST(n_nationkey % 2 AS BIGINT) AS fingerprint, CAST(count(*) AS BIGINT) AS n_runs, round(max(q) - min(q), 4) AS dqs_range FROM (SELECT r_name, n_nationkey, CAST(n_nationkey * 7 % 50 AS DOUBLE) AS q FROM nation JOIN region ON n_regionkey = r_regionkey) GROUP BY 1, 2)")
@@ -133,11 +127,20 @@ def w_drift_range(spark, d):
 PROFILED = ["row_id", "fecha", "clase", "fallecidos"]
 
 
-@query(f"""WITH x AS ({DIRTY}) SELECT 'row_id' AS "column", CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count(row_id) AS BIGINT) AS n_null, CAST(count(DISTINCT row_id) AS BIGINT) AS n_unique, CAST(min(row_id) AS DOUBLE) AS min, CAST(max(row_id) AS DOUBLE) AS max, quantile_cont(CAST(row_id AS DOUBLE), 0.25) AS q25 FROM x
-UNION ALL SELECT 'fecha', count(*), count(*) - count(fecha), count(DISTINCT fecha), NULL, NULL, NULL FROM x UNION ALL SELECT 'clase', count(*), count(*) - count(clase), count(DISTINCT clase), NULL, NULL, NULL FROM x
-UNION ALL SELECT 'fallecidos', count(*), count(*) - count(fallecidos), count(DISTINCT fallecidos), min(fallecidos), max(fallecidos), quantile_cont(CAST(fallecidos AS DOUBLE), 0.25) FROM x""")
+def _profile_sql(column: str, number: bool) -> str:
+    x = f"CAST({column} AS DOUBLE)" if number else "CAST(NULL AS DOUBLE)"
+    q = f"quantile_cont({x}, 0.25) AS q25, quantile_cont({x}, 0.75) AS q75" if number else "NULL AS q25, NULL AS q75"
+    kind = {"row_id": "bigint", "fecha": "date", "clase": "string", "fallecidos": "bigint"}[column]
+    top = f"""(SELECT list(v) FROM (SELECT CAST({column} AS VARCHAR) AS v FROM x WHERE {column} IS NOT NULL GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 3))"""
+    return f"""SELECT '{column}' AS "column", '{kind}' AS dtype, CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) - count({column}) AS BIGINT) AS n_null,
+      round(100.0 * (count(*) - count({column})) / count(*), 2) AS pct_null, CAST(count(DISTINCT {column}) AS BIGINT) AS n_unique,
+      min({x}) AS min, max({x}) AS max, round(avg({x}), 4) AS mean, round(stddev_samp({x}), 4) AS std, {q}, array_to_string({top}, '|') AS top FROM x"""
+
+
+@query(f"WITH x AS ({DIRTY}) " + " UNION ALL ".join(_profile_sql(c, c in ("row_id", "fallecidos")) for c in PROFILED))
 def a_profile(spark, d):
-    return Q.profile(rows(spark, d, DIRTY).select(*PROFILED)).select("column", "n_rows", "n_null", "n_unique", "min", "max", "q25")
+    p = Q.profile(rows(spark, d, DIRTY).select(*PROFILED), top=3)
+    return p.withColumn("top", F.array_join("top_values", "|")).drop("top_values")
 
 
 @query("SELECT 'o_orderpriority' AS \"column\", o_orderpriority AS value, CAST(count(*) AS BIGINT) AS n, round(100.0 * count(*) / sum(count(*)) OVER (), 4) AS pct FROM orders GROUP BY 2 QUALIFY row_number() OVER (ORDER BY count(*) DESC, o_orderpriority) <= 3")
@@ -243,13 +246,13 @@ def j_match_candidates(spark, d):
 
 @query()
 def j_one_to_one(spark, d):
-    return M.one_to_one(M.candidates(*_sources(spark, d), 0.25, 1), _writer(spark)).select("a_id", "b_id", r6("dist_km").alias("dist_km"))
+    return M.one_to_one(M.candidates(*_sources(spark, d), 0.25, 1), steps(spark)).select("a_id", "b_id", r6("dist_km").alias("dist_km"))
 
 
 @query()
 def m_match_union(spark, d):
     a, b = _sources(spark, d)
-    return M.union_events(a, b, M.one_to_one(M.candidates(a, b, 0.25, 1), _writer(spark)))
+    return M.union_events(a, b, M.one_to_one(M.candidates(a, b, 0.25, 1), steps(spark)))
 
 
 @query()
@@ -257,40 +260,80 @@ def a_match_summary(spark, d):
     return M.match_summary(m_match_union(spark, d))
 
 
-@query("SELECT round(CAST(n1 AS DOUBLE) * n2 / m, 4) AS n_hat FROM (SELECT count(*) FILTER (WHERE user_id % 2 = 0) AS n1, count(*) FILTER (WHERE user_id % 3 = 0) AS n2, count(*) FILTER (WHERE user_id % 6 = 0) AS m FROM events)")
+@query("""SELECT n1, n2, m, round(n, 4) AS n_hat, round(n / s, 4) AS low, round(n * s, 4) AS high FROM (
+  SELECT *, CAST(n1 AS DOUBLE) * n2 / m AS n, exp(1.96 * sqrt(ln(1 + CAST(n1 - m AS DOUBLE) * (n2 - m) / (CAST(n1 AS DOUBLE) * n2 * m)))) AS s FROM (
+    SELECT count(*) FILTER (WHERE user_id % 2 = 0) AS n1, count(*) FILTER (WHERE user_id % 3 = 0) AS n2, count(*) FILTER (WHERE user_id % 6 = 0) AS m FROM events))""")
 def m_lincoln_petersen(spark, d):
     n = table(spark, d, "events").agg(*[F.count_if(F.col("user_id") % k == 0).alias(c) for k, c in ((2, "n1"), (3, "n2"), (6, "m"))])
-    return n.select(F.round(F.col("n1").cast("double") * F.col("n2") / F.col("m"), 4).alias("n_hat"))
+    out = M.lincoln_petersen(n, "n1", "n2", "m")
+    return out.select("n1", "n2", "m", *[F.round(c, 4).alias(c) for c in ("n_hat", "low", "high")])
+
+
+def _independence_sql(column: str) -> str:
+    return f"""SELECT '{column}' AS "column", count(*) AS n_a, count(*) FILTER (WHERE v NOT IN (SELECT {column} FROM b)) AS n_only_a,
+      round(100.0 * count(*) FILTER (WHERE v NOT IN (SELECT {column} FROM b)) / count(*), 4) AS pct_only_a FROM (SELECT DISTINCT {column} AS v FROM a)"""
 
 
-@query("WITH a AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 0 AND user_id % 5 <> 0), b AS (SELECT DISTINCT user_id FROM events WHERE event_id % 2 = 1 AND user_id % 7 <> 0) SELECT round(100.0 * (SELECT count(*) FROM a WHERE user_id NOT IN (SELECT user_id FROM b)) / (SELECT count(*) FROM a), 4) AS pct_solo_a")
+HALVES = "SELECT user_id AS ruta, CAST(floor(value) AS BIGINT) AS mes FROM events WHERE event_id % 2 = "
+
+
+@query(f"WITH a AS ({HALVES}0), b AS ({HALVES}1) {_independence_sql('ruta')} UNION ALL {_independence_sql('mes')}")
 def m_independence(spark, d):
-    e = table(spark, d, "events")
-    a = e.where("event_id % 2 = 0 AND user_id % 5 <> 0").select("user_id").distinct()
-    b = e.where("event_id % 2 = 1 AND user_id % 7 <> 0").select("user_id").distinct().withColumn("ok", F.lit(1))
-    return a.join(b, "user_id", "left").agg(F.round(100.0 * F.count_if(F.col("ok").isNull()) / F.count("*"), 4).alias("pct_solo_a"))
+    return M.independence(rows(spark, d, HALVES + "0"), rows(spark, d, HALVES + "1"), ["ruta", "mes"])
+
 
+#: Routes (one a nation) through two points each; customers as events of two sources, suppliers as alerts and tolls.
+TWO_POINTS = """SELECT CAST(n_nationkey AS BIGINT) AS route_id, CAST(i AS BIGINT) AS i, CAST((n_nationkey * 5) % 23 + i AS DOUBLE) AS s_lat,
+  CAST((n_nationkey * 3) % 16 AS DOUBLE) AS s_lon FROM nation CROSS JOIN (SELECT r_regionkey AS i FROM region WHERE r_regionkey < 2)"""
+LENGTHS = "SELECT CAST(n_nationkey AS BIGINT) AS route_id, CAST(10 + n_nationkey AS DOUBLE) AS longitud_km FROM nation"
+KM = "2 * 6371 * asin(sqrt(power(sin((radians(s_lat) - radians(lat)) / 2), 2) + cos(radians(lat)) * cos(radians(s_lat)) * power(sin((radians(s_lon) - radians(lon)) / 2), 2)))"
 
-@query(f"SELECT c_nationkey, round(sum(3 * (c_custkey % 3) + c_custkey % 4 + 1) * 1.25, 6) AS score, CAST(count(*) AS BIGINT) AS n FROM ({POINTS}) WHERE sqrt(power(lat - 10, 2) + power(lon - 8, 2)) <= 4 GROUP BY 1")
+
+@query(f"""WITH s AS ({TWO_POINTS}), l AS ({LENGTHS}),
+e AS (SELECT c_custkey AS id, lat, lon, CAST(3 * (c_custkey % 3) + c_custkey % 4 + 1 AS DOUBLE) AS peso, CASE WHEN c_custkey % 2 = 0 THEN 'A' ELSE 'B' END AS fuente FROM ({POINTS})),
+t AS (SELECT s_suppkey AS id, lat2 AS lat, lon2 AS lon, CAST(1 + s_suppkey % 5 AS DOUBLE) AS peso, CAST(100 * s_suppkey AS DOUBLE) AS aadt FROM ({TOLLS})),
+en AS (SELECT route_id, count(*) AS n, sum(peso) AS g, count(*) FILTER (WHERE fuente = 'A') AS a, count(*) FILTER (WHERE fuente = 'B') AS b FROM (SELECT DISTINCT route_id, id, peso, fuente FROM s, e WHERE {KM} <= 60) GROUP BY 1),
+tn AS (SELECT route_id, count(*) AS n, sum(peso) AS g, max(aadt) AS m FROM (SELECT DISTINCT route_id, id, peso, aadt FROM s, t WHERE {KM} <= 60) GROUP BY 1)
+SELECT l.route_id, CAST(coalesce(en.n, 0) AS BIGINT) AS n, CAST(coalesce(a, 0) AS BIGINT) AS n_a, CAST(coalesce(b, 0) AS BIGINT) AS n_b, coalesce(en.g, 0) AS gravedad,
+  CAST(coalesce(tn.n, 0) AS BIGINT) AS n_peajes, coalesce(m, 0) AS aadt_max, round((coalesce(en.n, 0) + 0.5 * coalesce(en.g, 0)) / longitud_km + 2 * coalesce(tn.g, 0) / longitud_km, 4) AS score_km
+FROM l LEFT JOIN en ON l.route_id = en.route_id LEFT JOIN tn ON l.route_id = tn.route_id""")
 def m_route_score(spark, d):
     from ..functions.numeric import severity_weight
 
-    near = rows(spark, d, POINTS).where(F.hypot(F.col("lat") - 10, F.col("lon") - 8) <= 4)
-    w = severity_weight(F.col("c_custkey") % 3, F.col("c_custkey") % 4)
-    return near.groupBy("c_nationkey").agg(r6(F.sum(w) * 1.25).alias("score"), F.count("*").alias("n"))
+    id_ = F.col("c_custkey")
+    events = rows(spark, d, POINTS).select(id_.alias("id"), "lat", "lon", severity_weight(id_ % 3, id_ % 4).cast("double").alias("peso"), F.when(id_ % 2 == 0, "A").otherwise("B").alias("fuente"))
+    tolls = rows(spark, d, TOLLS).select(F.col("s_suppkey").alias("id"), F.col("lat2").alias("lat"), F.col("lon2").alias("lon"), (1 + F.col("s_suppkey") % 5).cast("double").alias("peso"), (100 * F.col("s_suppkey")).cast("double").alias("aadt"))
+    out = R.route_risk(rows(spark, d, LENGTHS), rows(spark, d, TWO_POINTS), events, tolls, tolls, 60.0)
+    return out.select("route_id", "n", "n_a", "n_b", "gravedad", "n_peajes", "aadt_max", "score_km")
 
 
-@query("SELECT n_nationkey, CAST(i AS BIGINT) AS i, round(n_nationkey + (i + 0.5) / (1 + n_nationkey % 7)::DOUBLE, 6) AS km FROM (SELECT n_nationkey, unnest(range(0, 1 + n_nationkey % 7)) AS i FROM nation)")
+@query("""SELECT seg_id, CAST(i AS BIGINT) AS i, round(lat0 + i * (lat1 - lat0) / n, 6) AS lat, round(lon0 + i * (lon1 - lon0) / n, 6) AS lon, round(total / n, 6) AS peso FROM (
+  SELECT *, unnest(range(0, n)) AS i FROM (SELECT p_partkey AS seg_id, greatest(1, p_size) AS n, CAST(p_partkey % 10 AS DOUBLE) AS lat0, CAST(p_partkey % 7 AS DOUBLE) AS lat1,
+    CAST(p_partkey % 5 AS DOUBLE) AS lon0, CAST(p_partkey % 3 AS DOUBLE) AS lon1, p_retailprice AS total FROM part))""")
 def m_synthetic_points(spark, d):
-    n = 1 + F.col("n_nationkey") % 7
-    p = table(spark, d, "nation").withColumn("n", n).withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n") - 1)))
-    return p.select("n_nationkey", F.col("i").cast("long").alias("i"), r6(F.col("n_nationkey") + (F.col("i") + 0.5) / F.col("n").cast("double")).alias("km"))
+    k = F.col("p_partkey")
+    s = table(spark, d, "part").select(k.alias("seg_id"), (F.col("p_size") + 0.5).alias("longitud_km"), *[(k % m).cast("double").alias(c) for c, m in (("lat0", 10), ("lat1", 7), ("lon0", 5), ("lon1", 3))], F.col("p_retailprice").alias("total"))
+    return R.synthetic_points(s).select("seg_id", "i", *[r6(c).alias(c) for c in ("lat", "lon", "peso")])
+
+
+BY_YEAR = "SELECT c.c_nationkey AS k, CAST(year(o.o_orderdate) AS BIGINT) AS anio, CAST(count(*) AS BIGINT) AS y FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey GROUP BY c.c_nationkey, year(o.o_orderdate)"
 
 
-@query("WITH x AS (SELECT CAST(p_size % 6 AS DOUBLE) AS y, CAST(1 + p_partkey % 4 AS DOUBLE) AS mu FROM part) SELECT round(avg(abs(y - mu)), 6) AS mae, round(sqrt(avg(power(y - mu, 2))), 6) AS rmse, round(1 - sum(power(y - mu, 2)) / (sum(y * y) - power(sum(y), 2) / count(*)), 6) AS r2, round(avg(2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu))), 6) AS deviance, round(avg(mu - y), 6) AS bias FROM x")
+def _metrics_sql(name: str) -> str:
+    return f"""SELECT '{name}' AS model, CAST(count(*) AS BIGINT) AS n, round(avg(abs(y - mu)), 6) AS mae, round(sqrt(avg(power(y - mu, 2))), 6) AS rmse,
+      round(1 - sum(power(y - mu, 2)) / nullif(sum(CAST(y * y AS DOUBLE)) - power(sum(y), 2) / count(*), 0), 6) AS r2,
+      round(avg(2 * (CASE WHEN y > 0 THEN y * ln(y / mu) ELSE 0 END - (y - mu))), 6) AS deviance, round(avg(mu - y), 6) AS bias
+      FROM (SELECT y, CAST({name} AS DOUBLE) AS mu FROM t) WHERE mu IS NOT NULL"""
+
+
+@query(f"""WITH p AS ({BY_YEAR}), m AS (SELECT avg(y) AS media, quantile_cont(CAST(y AS DOUBLE), 0.5) AS mediana FROM p WHERE anio <= 1999),
+t AS (SELECT p.k, p.anio, p.y, media, mediana, b.y AS persistencia FROM p CROSS JOIN m LEFT JOIN p b ON p.k = b.k AND p.anio = b.anio + 1 WHERE p.anio > 1999)
+""" + " UNION ALL ".join(_metrics_sql(m) for m in ("media", "mediana", "persistencia")))
 def m_baseline_metrics(spark, d):
-    x = table(spark, d, "part").select((F.col("p_size") % 6).cast("double").alias("y"), (1 + F.col("p_partkey") % 4).cast("double").alias("mu"))
-    return G.metrics(x, "y", "mu").select(*[r6(c).alias(c) for c in ("mae", "rmse", "r2", "deviance", "bias")])
+    p = rows(spark, d, BY_YEAR)
+    train, test = G.temporal_holdout(p, "anio", 1999)
+    scored = G.persistence(p, G.baselines(train, test, "y"), "k", "anio", "y")
+    return G.compare(scored, "y", ["media", "mediana", "persistencia"]).select("model", "n", *[r6(c).alias(c) for c in ("mae", "rmse", "r2", "deviance", "bias")])
 
 
 def _design(spark, d):
@@ -309,17 +352,15 @@ def m_poisson_glm(spark, d):
 
 @query()
 def m_negbin_glm(spark, d):
-    return _coefficients(spark, G.fit_negative_binomial(_design(spark, d), "y", ["one", "x"], "off", grid=20))
+    return _coefficients(spark, G.fit_negative_binomial(_design(spark, d), "y", ["one", "x"], "off"))
 
 
 @query()
 def m_bootstrap_ci(spark, d):
-    df = rows(spark, d, DIRTY)
-    r = Q.bootstrap_interval(df, [F.col("fecha").isNotNull(), F.when(F.col("fallecidos").isNotNull(), F.col("fallecidos") >= 0)])
-    return spark.createDataFrame([(r["point"], r["low"], r["high"])], "point double, low double, high double")
+    return Q.bootstrap_score(rows(spark, d, DIRTY), SPEC, AS_OF)
 
 
-ROUTE = "SELECT CAST(c_nationkey AS BIGINT) AS route_id, c_custkey AS i, CAST(c_custkey % 17 AS DOUBLE) / 10 AS lat, CAST(c_custkey * 7 % 13 AS DOUBLE) / 10 AS lon FROM customer WHERE c_custkey <= 150"
+ROUTE = "SELECT CAST(c_nationkey AS BIGINT) AS route_id, c_custkey AS i, CAST(c_custkey % 17 AS DOUBLE) / 10 AS lat, CAST(c_custkey * 7 % 13 AS DOUBLE) / 10 AS lon FROM customer"
 STEPS = f"SELECT *, coalesce(2 * 6371 * asin(sqrt(power(sin((radians(lat) - radians(lag(lat) OVER w)) / 2), 2) + cos(radians(lag(lat) OVER w)) * cos(radians(lat)) * power(sin((radians(lon) - radians(lag(lon) OVER w)) / 2), 2))), 0) AS step FROM ({ROUTE}) WINDOW w AS (PARTITION BY route_id ORDER BY i)"
 
 
@@ -328,9 +369,13 @@ def w_cumdist(spark, d):
     return R.cumulative(rows(spark, d, ROUTE)).select("route_id", "i", F.round("cum_km", 4).alias("cum_km"))
 
 
-@query(f"WITH c AS (SELECT route_id, sum(step) AS total FROM ({STEPS}) GROUP BY 1) SELECT route_id, CAST(floor(total / 5) + 1 AS BIGINT) AS n FROM c WHERE total > 0")
+@query(f"""WITH c AS (SELECT *, sum(step) OVER (PARTITION BY route_id ORDER BY i) AS a FROM ({STEPS})),
+e AS (SELECT route_id, i, a, lead(a) OVER w AS b, lat, lon, lead(lat) OVER w AS lat2, lead(lon) OVER w AS lon2, row_number() OVER w AS n FROM c WINDOW w AS (PARTITION BY route_id ORDER BY i)),
+k AS (SELECT *, unnest(generate_series(CASE WHEN n = 1 THEN 0 ELSE CAST(floor(a / 5) + 1 AS BIGINT) END, CAST(floor(b / 5) AS BIGINT))) AS k FROM e WHERE b > a)
+SELECT route_id, k, round(lat + (k * 5 - a) / (b - a) * (lat2 - lat), 5) AS lat, round(lon + (k * 5 - a) / (b - a) * (lon2 - lon), 5) AS lon FROM k""")
 def w_resample(spark, d):
-    return R.resample(rows(spark, d, ROUTE), 5.0).groupBy("route_id").agg(F.count("*").alias("n"))
+    at = R.resample(rows(spark, d, ROUTE), 5.0)
+    return at.select("route_id", "k", F.round("lat", 5).alias("lat"), F.round("lon", 5).alias("lon"))
 
 
 @query(f"SELECT ruta, win, CAST(count(*) AS BIGINT) AS n FROM (SELECT ruta, unnest(CASE WHEN hm % 500 = 0 AND hm > 0 THEN [hm // 500 - 1, hm // 500] ELSE [hm // 500] END) AS win FROM ({ROAD_EVENTS})) GROUP BY 1, 2")
@@ -340,7 +385,7 @@ def w_segment_5km(spark, d):
 
 @query("SELECT p_partkey FROM (SELECT p_partkey, row_number() OVER (ORDER BY p_partkey) - 1 AS i, count(*) OVER () AS t FROM part) WHERE t <= 500 OR floor((i + 1) * 500 / t::DOUBLE) > floor(i * 500 / t::DOUBLE)")
 def w_systematic_sample(spark, d):
-    return R.every_nth(table(spark, d, "part").select("p_partkey"), "p_partkey", 500)
+    return every_nth(table(spark, d, "part").select("p_partkey"), "p_partkey", 500)
 
 
 @query("SELECT time_bucket(INTERVAL 1 HOUR, ts) AS start, event_type, CAST(count(*) AS BIGINT) AS n FROM events GROUP BY 1, 2")
@@ -364,11 +409,8 @@ def t_session(spark, d):
 @query()
 def t_dedupe_watermark(spark, d):
     """The stream of reports drained once: one report a type and cell within ten minutes."""
-    from ..streaming.live import run_to_table, suppress_duplicates
+    from ..streaming.live import drained, suppress_duplicates
 
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events.parquet").parquet(d)
     reports = source.select(F.col("ts").cast("timestamp").alias("ts"), F.col("event_type").alias("tipo"), (F.col("user_id") % 7).cast("double").alias("lat"), (F.col("user_id") % 5).cast("double").alias("lon"))
-    return run_to_table(suppress_duplicates(reports), "corduroy_reports").select("ts", "tipo", "cell_lat", "cell_lon")
-
-
-__all__ = ["A", "Window", "haversine_km"]
+    return drained(suppress_duplicates(reports), f"{shared_folder(spark)}/corduroy/reports-{uuid.uuid4().hex[:12]}").select("ts", "tipo", "cell_lat", "cell_lon")

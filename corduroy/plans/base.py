@@ -24,9 +24,9 @@ DIRTY = """SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 29 = 0 THEN o_ord
   CAST((o_custkey * 7) % 140 AS DOUBLE) / CAST(10 AS DOUBLE) - CAST(81.5 AS DOUBLE) AS lon FROM orders"""
 #: Events on five routes, at whole hundredths of a kilometre.
 ROAD_EVENTS = "SELECT event_id, ts, user_id, event_type AS ruta, CAST(floor(value * CAST(100 AS DOUBLE)) AS BIGINT) AS hm, CAST(floor(value * CAST(100 AS DOUBLE)) AS DOUBLE) / CAST(100 AS DOUBLE) AS km, value FROM events"
-#: 80 segments of 25 km on the five routes, to km 400: what lies beyond stays unassigned.
+#: Segments of 25 km on the five routes, one a part; those of every 17th part are missing, and what lies there stays unassigned.
 SEGMENTS = """SELECT CAST((p_partkey - 1) AS BIGINT) AS seg_id, CASE (p_partkey - 1) % 5 WHEN 0 THEN 'click' WHEN 1 THEN 'view' WHEN 2 THEN 'purchase' WHEN 3 THEN 'error' ELSE 'signup' END AS ruta,
-  CAST(((p_partkey - 1) - (p_partkey - 1) % 5) * 5 AS DOUBLE) AS km0, CAST(((p_partkey - 1) - (p_partkey - 1) % 5) * 5 + 25 AS DOUBLE) AS km1, CAST(25 AS BIGINT) AS long_km FROM part WHERE p_partkey <= 80"""
+  CAST(((p_partkey - 1) - (p_partkey - 1) % 5) * 5 AS DOUBLE) AS km0, CAST(((p_partkey - 1) - (p_partkey - 1) % 5) * 5 + 25 AS DOUBLE) AS km1, CAST(25 AS BIGINT) AS long_km FROM part WHERE p_partkey % 17 <> 0"""
 POINTS = "SELECT c_custkey, CAST(c_custkey % 187 AS DOUBLE) / CAST(8 AS DOUBLE) AS lat, CAST((c_custkey * 7) % 130 AS DOUBLE) / CAST(8 AS DOUBLE) AS lon, c_nationkey, c_mktsegment FROM customer"
 TOLLS = "SELECT s_suppkey, CAST((s_suppkey * 11) % 187 AS DOUBLE) / CAST(8 AS DOUBLE) AS lat2, CAST((s_suppkey * 29) % 130 AS DOUBLE) / CAST(8 AS DOUBLE) AS lon2 FROM supplier"
 #: Two sources of events with a day, a place and deaths.

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytic, relational
+from . import analytic, more, relational
 from .base import REGISTRY
 
-__all__ = ["all_queries", "analytic", "relational"]
+__all__ = ["all_queries", "analytic", "more", "relational"]
 
 
 def all_queries() -> dict:

@@ -11,6 +11,7 @@ from ..functions.geo import in_box
 from ..operators import aggregates as A
 from ..operators import spatial as S
 from ..operators.cleaning import keep_first
+from ..operators.ranks import quantiles
 from .base import DIRTY, POINTS, ROAD_EVENTS, SEGMENTS, TOLLS, query, r6, rows, table
 
 FOLD = "nullif(upper(strip_accents(regexp_replace(trim({0}), '\\s+', ' ', 'g'))), '')"
@@ -55,12 +56,14 @@ def sk_upsert_latest(spark, d):
     return A.upsert(old, new, ["k"], "stamp")
 
 
-@query("SELECT DISTINCT user_id, event_type, 'now' AS primera_vista FROM events WHERE event_id % 3 = 0 AND (user_id, event_type) NOT IN (SELECT (user_id, event_type) FROM events WHERE event_id < 40)")
+NEW_KEYS = "SELECT user_id, event_type, CAST(floor(value) AS BIGINT) AS v FROM events WHERE event_id % 2 = "
+
+
+@query(f"SELECT DISTINCT user_id, event_type, v, 'now' AS primera_vista FROM ({NEW_KEYS}1) WHERE (user_id, event_type, v) NOT IN (SELECT (user_id, event_type, v) FROM ({NEW_KEYS}0))")
 def sk_archive_dedupe(spark, d):
     from ..sources.sinks import archive_new
 
-    e = table(spark, d, "events")
-    return archive_new(e.where("event_id < 40").select("user_id", "event_type"), e.where("event_id % 3 = 0").select("user_id", "event_type"), ["user_id", "event_type"], "now")
+    return archive_new(rows(spark, d, NEW_KEYS + "0"), rows(spark, d, NEW_KEYS + "1"), ["user_id", "event_type", "v"], "now")
 
 
 @query("SELECT o_orderkey, TRY_CAST(CASE WHEN o_orderkey % 23 = 0 THEN 'n/a' ELSE CAST(o_orderkey AS VARCHAR) END AS DOUBLE) AS x FROM orders")
@@ -126,7 +129,7 @@ def p_weight_lookup(spark, d):
 @query("SELECT p_partkey, least(greatest(CAST(p_size - 5 AS DOUBLE), 0), (SELECT quantile_cont(p_size, 0.99) FROM part)) AS v FROM part")
 def p_clip_p99(spark, d):
     p = table(spark, d, "part")
-    top = p.agg(F.percentile("p_size", F.lit(0.99)).alias("top"))
+    top = quantiles(p, "p_size", [0.99]).select(F.col("q")[0].alias("top"))
     return p.join(F.broadcast(top)).select("p_partkey", N.clip((F.col("p_size") - 5).cast("double"), 0.0, F.col("top")).alias("v"))  # one row
 
 
@@ -140,16 +143,19 @@ def f_in_list(spark, d):
     return table(spark, d, "orders").where(F.col("o_orderpriority").isin("1-URGENT", "2-HIGH") & F.col("o_orderstatus").isin("O")).select("o_orderkey")
 
 
-@query("SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem WHERE l_extendedprice > (SELECT quantile_cont(l_extendedprice, 0.75) + 1.5 * (quantile_cont(l_extendedprice, 0.75) - quantile_cont(l_extendedprice, 0.25)) FROM lineitem)")
+@query("""WITH q AS (SELECT quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.75) AS b FROM events)
+SELECT event_id, value FROM events, q WHERE value > b + 1.5 * (b - a)""")
 def f_iqr_outliers(spark, d):
-    li = table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice")
-    q = li.agg(F.percentile("l_extendedprice", F.array(F.lit(0.25), F.lit(0.75))).alias("q"))
-    return li.join(F.broadcast(q)).where(F.col("l_extendedprice") > F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).drop("q")  # one row
+    e = table(spark, d, "events").select("event_id", "value")
+    q = quantiles(e, "value", [0.25, 0.75])
+    return e.join(F.broadcast(q)).where(F.col("value") > F.col("q")[1] + 1.5 * (F.col("q")[1] - F.col("q")[0])).drop("q")  # one row
 
 
 @query("SELECT o_orderkey FROM orders WHERE o_orderdate >= TIMESTAMP '2001-08-01' - INTERVAL 30 DAY")
 def f_recent_window(spark, d):
-    return table(spark, d, "orders").where("o_orderdate >= timestamp_ntz'2001-08-01' - INTERVAL 30 DAYS").select("o_orderkey")
+    from ..operators.live import recent
+
+    return recent(table(spark, d, "orders"), "o_orderdate", "2001-08-01", 30).select("o_orderkey")
 
 
 @query(f"SELECT code, CAST(count(*) - 1 AS BIGINT) AS repeats FROM ({DIRTY}) GROUP BY code HAVING count(*) > 1")
@@ -212,20 +218,24 @@ XY = "SELECT c_custkey, CAST(c_nationkey % 5 AS BIGINT) AS r, CAST(c_custkey % 1
 @query(f"""WITH b AS (SELECT c_custkey, edge_id, km0, km1, x, y, x0, y0, x1 - x0 AS dx, y1 - y0 AS dy FROM ({XY}) p JOIN ({EDGES}) e ON p.r = e.r),
 t AS (SELECT *, least(1, greatest(0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx + dy * dy))) AS t FROM b),
 q AS (SELECT c_custkey, edge_id, km0 + t * (km1 - km0) AS km, sqrt(power(x - (x0 + t * dx), 2) + power(y - (y0 + t * dy), 2)) AS dist FROM t)
-SELECT c_custkey, round(min(dist), 6) AS dist FROM q GROUP BY 1""")
+SELECT c_custkey, edge_id, round(km, 6) AS km, round(dist, 6) AS dist FROM q QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(dist, 9), edge_id) = 1""")
 def j_polyline_project(spark, d):
-    return S.project_on_route(rows(spark, d, XY), rows(spark, d, EDGES), "c_custkey", "r").select("c_custkey", r6("dist").alias("dist"))
+    at = S.project_on_route(rows(spark, d, XY), rows(spark, d, EDGES), "c_custkey", "r", 2.0)
+    return at.select("c_custkey", "edge_id", r6("km").alias("km"), r6("dist").alias("dist"))
 
 
-@query("SELECT n_name, r_name FROM nation JOIN region ON contains(n_name || r_name, 'A') AND n_regionkey = r_regionkey AND contains(lower(r_name), lower(substr(n_name, 1, 1)))")
+@query("""WITH n AS (SELECT DISTINCT substr(n_name, 2, 3) AS name FROM nation UNION SELECT 'QQQ')
+SELECT name, (SELECT min_by(n_name, n_nationkey) FROM nation WHERE contains(n_name, name) OR contains(name, n_name)) AS place FROM n""")
 def j_substring(spark, d):
-    n, r = table(spark, d, "nation"), table(spark, d, "region")
-    return n.join(r, F.concat("n_name", "r_name").contains("A") & (F.col("n_regionkey") == F.col("r_regionkey")) & F.lower("r_name").contains(F.lower(F.substring("n_name", 1, 1)))).select("n_name", "r_name")
+    n = table(spark, d, "nation")
+    names = n.select(F.substring("n_name", 2, 3).alias("name")).distinct().union(spark.createDataFrame([("QQQ",)], "name string"))
+    return S.first_containing(names, n.select(F.col("n_name").alias("key"), F.col("n_name").alias("place"), F.col("n_nationkey").alias("ord")))
 
 
-@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders)")
+@query("SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_totalprice > 250000)")
 def j_anti(spark, d):
-    return table(spark, d, "customer").join(table(spark, d, "orders"), F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
+    dear = table(spark, d, "orders").where("o_totalprice > 250000")
+    return table(spark, d, "customer").join(dear, F.col("c_custkey") == F.col("o_custkey"), "left_anti").select("c_custkey")
 
 
 @query("SELECT c_custkey FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders WHERE o_totalprice > 200000)")
@@ -291,13 +301,13 @@ def a_mode(spark, d):
 
 @query("SELECT quantile_cont(l_quantity, 0.25) AS q25, quantile_cont(l_quantity, 0.5) AS q50, quantile_cont(l_quantity, 0.95) AS q95 FROM lineitem")
 def a_quantiles(spark, d):
-    q = table(spark, d, "lineitem").agg(F.percentile("l_quantity", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.95))).alias("q"))
+    q = quantiles(table(spark, d, "lineitem"), "l_quantity", [0.25, 0.5, 0.95])
     return q.select(F.col("q")[0].alias("q25"), F.col("q")[1].alias("q50"), F.col("q")[2].alias("q95"))
 
 
-@query("SELECT round(corr(l_quantity, l_extendedprice), 8) AS r FROM lineitem")
+@query(" UNION ALL ".join(f"SELECT '{c}' AS \"column\", round(corr(l_quantity, {c}), 8) AS r FROM lineitem" for c in ("l_extendedprice", "l_discount", "l_tax")))
 def a_corr(spark, d):
-    return table(spark, d, "lineitem").agg(F.round(F.corr("l_quantity", "l_extendedprice"), 8).alias("r"))
+    return A.correlations(table(spark, d, "lineitem"), "l_quantity", ["l_extendedprice", "l_discount", "l_tax"])
 
 
 @query("SELECT l_returnflag, CAST(count(*) FILTER (WHERE l_linestatus = 'F') AS BIGINT) AS F, CAST(count(*) FILTER (WHERE l_linestatus = 'O') AS BIGINT) AS O FROM lineitem GROUP BY 1")
@@ -336,21 +346,23 @@ def a_coverage_years(spark, d):
     return A.year_coverage(rows(spark, d, DIRTY), "fecha")
 
 
-@query("SELECT anio, n, round(avg(n) OVER (ORDER BY anio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 6) AS media_previa FROM (SELECT CAST(year(o_orderdate) AS BIGINT) AS anio, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1)")
+@query("""WITH y AS (SELECT CAST(year(o_orderdate) AS BIGINT) AS anio, CAST(count(*) AS BIGINT) AS n FROM orders GROUP BY 1),
+m AS (SELECT *, avg(n) OVER (ORDER BY anio ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m FROM y)
+SELECT anio, n, round(m, 6) AS media_previa, round(100.0 * (1 - n / m), 4) AS caida_pct FROM m""")
 def a_annual_drop(spark, d):
-    n = table(spark, d, "orders").groupBy(F.year("o_orderdate").cast("long").alias("anio")).agg(F.count("*").alias("n"))
-    return n.withColumn("media_previa", r6(F.avg("n").over(Window.orderBy("anio").rowsBetween(Window.unboundedPreceding, -1))))  # a row a year
+    return A.annual_drop(A.rows_by_year(table(spark, d, "orders"), "o_orderdate"))
 
 
 @query(f"SELECT k, anio, round(n / 365.0, 6) AS imd FROM (SELECT *, row_number() OVER (PARTITION BY k ORDER BY anio DESC) AS r FROM ({YEARLY})) WHERE r = 1")
 def a_aadt(spark, d):
-    return A.latest(rows(spark, d, YEARLY), "k", "anio").select("k", "anio", r6(F.col("n") / 365.0).alias("imd"))
+    return A.daily_traffic(rows(spark, d, YEARLY).withColumnRenamed("n", "v"), "k", "anio", "v")
 
 
-@query(f"WITH e AS (SELECT abs(lat - round(lat)) AS e FROM ({POINTS})) SELECT round(avg(e), 6) AS media, quantile_cont(e, 0.5) AS p50, quantile_cont(e, 0.9) AS p90, round(100.0 * count(*) FILTER (WHERE e < 0.3) / count(*), 4) AS pct_cerca FROM e")
+@query(f"""WITH e AS (SELECT abs(lat - round(lat)) AS e FROM ({POINTS})) SELECT round(avg(e), 6) AS media,
+  {', '.join(f'round(quantile_cont(e, 0.{p}), 9) AS p{p}' for p in (50, 90, 95, 99))},
+  round(100.0 * count(*) FILTER (WHERE e < 0.3) / count(*), 4) AS pct_cerca FROM e""".replace("0.50)", "0.5)"))
 def a_error_dist(spark, d):
-    e = rows(spark, d, POINTS).select(F.abs(F.col("lat") - F.round("lat")).alias("e"))
-    return e.agg(r6(F.avg("e")).alias("media"), F.percentile("e", F.lit(0.5)).alias("p50"), F.percentile("e", F.lit(0.9)).alias("p90"), F.round(100.0 * F.count_if(F.col("e") < 0.3) / F.count("*"), 4).alias("pct_cerca"))
+    return A.error_summary(rows(spark, d, POINTS).select(F.abs(F.col("lat") - F.round("lat")).alias("e")), "e", 0.3)
 
 
 @query("SELECT c_custkey, round(c_acctbal / sum(abs(c_acctbal)) OVER (PARTITION BY c_nationkey), 8) AS parte FROM customer")
@@ -361,8 +373,7 @@ def w_group_share(spark, d):
 @query("SELECT c_custkey FROM customer JOIN (SELECT c_nationkey AS k, quantile_cont(c_acctbal, 0.95) AS q FROM customer GROUP BY 1) ON c_nationkey = k WHERE c_acctbal > q")
 def w_group_p95(spark, d):
     c = table(spark, d, "customer")
-    q = c.groupBy("c_nationkey").agg(F.percentile("c_acctbal", F.lit(0.95)).alias("q"))
-    return c.join(q, "c_nationkey").where("c_acctbal > q").select("c_custkey")
+    return c.join(quantiles(c, "c_acctbal", [0.95], ["c_nationkey"]), "c_nationkey").where(F.col("c_acctbal") > F.col("q")[0]).select("c_custkey")
 
 
 PARTS = "SELECT c_custkey, c_nationkey AS g, CAST(1000 + c_nationkey AS BIGINT) AS total, CAST(1 + c_custkey % 9 AS BIGINT) AS w FROM customer"
@@ -404,21 +415,21 @@ def s_intersect_except(spark, d):
     return a.intersect(b).withColumn("lado", F.lit("ambos")).unionByName(a.subtract(b).withColumn("lado", F.lit("solo cliente")))
 
 
-@query("WITH a AS (SELECT DISTINCT c_nationkey AS k FROM customer WHERE c_custkey % 3 = 0), b AS (SELECT DISTINCT s_nationkey AS k FROM supplier) SELECT round(CAST((SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS DOUBLE) / (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)), 6) AS jaccard")
+@query("""WITH a AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus = 'F'), b AS (SELECT DISTINCT o_custkey AS k FROM orders WHERE o_orderstatus <> 'F')
+SELECT round(CAST((SELECT count(*) FROM (SELECT k FROM a INTERSECT SELECT k FROM b)) AS DOUBLE) / (SELECT count(*) FROM (SELECT k FROM a UNION SELECT k FROM b)), 6) AS jaccard""")
 def s_jaccard(spark, d):
-    a = table(spark, d, "customer").where("c_custkey % 3 = 0").agg(F.collect_set("c_nationkey").alias("a"))
-    b = table(spark, d, "supplier").agg(F.collect_set("s_nationkey").alias("b"))
-    return a.join(F.broadcast(b)).select(r6(A.jaccard(F.col("a"), F.col("b"))).alias("jaccard"))  # one row each
+    o = table(spark, d, "orders")
+    return A.jaccard(o.where("o_orderstatus = 'F'"), o.where("o_orderstatus <> 'F'"), "o_custkey")
 
 
-@query(f"SELECT doc_id, {FOLD.format("replace(substr(text, 1, 200), 'ß', 'ss')")} AS t FROM documents".replace("\\s+", "[ \\t\\n\\r\\f\\v]+"))
+@query(f"SELECT doc_id, {FOLD.format("replace(text, 'ß', 'ss')")} AS t FROM documents".replace("\\s+", "[ \\t\\n\\r\\f\\v]+"))
 def x_fold(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.fold(F.substring("text", 1, 200)).alias("t"))
+    return table(spark, d, "documents").select("doc_id", T.fold(F.col("text")).alias("t"))
 
 
-@query("SELECT doc_id, regexp_replace(lower(strip_accents(substr(text, 1, 200))), '[^a-z0-9]', '', 'g') AS k FROM documents")
+@query("SELECT doc_id, regexp_replace(lower(strip_accents(text)), '[^a-z0-9]', '', 'g') AS k FROM documents")
 def x_alnum_key(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.alnum_key(F.substring("text", 1, 200)).alias("k"))
+    return table(spark, d, "documents").select("doc_id", T.alnum_key(F.col("text")).alias("k"))
 
 
 @query("SELECT conv_id, turn, CASE WHEN regexp_matches(text, '(?i)err|fail') THEN 'fallo' WHEN regexp_matches(text, '(?i)\\?') THEN 'pregunta' WHEN regexp_matches(text, '(?i)the') THEN 'ingles' ELSE 'otro' END AS clase FROM conversations")
@@ -436,9 +447,12 @@ def x_corridor(spark, d):
     return table(spark, d, "nation").select("n_nationkey", T.corridor(F.col("n_name")).alias("c"))
 
 
-@query("SELECT doc_id, CAST(len(list_filter(list_transform(string_split_regex(regexp_replace(substr(text, 1, 300), '[ \\t\\n\\r\\f\\v]+[yYeE][ \\t\\n\\r\\f\\v]+|[-–—:()]', '|', 'g'), '\\|'), lambda x: trim(x)), lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^sector\\s*\\d+$'))) AS BIGINT) AS n FROM documents")
+@query("""SELECT doc_id, CAST(len(t) AS BIGINT) AS n, md5(array_to_string(t, '|')) AS tokens FROM (SELECT doc_id, list_filter(list_transform(
+  string_split_regex(regexp_replace(text, '[ \\t\\n\\r\\f\\v]+[yYeE][ \\t\\n\\r\\f\\v]+|[-–—:()]', '|', 'g'), '\\|'), lambda x: trim(x, ' ')),
+  lambda x: x <> '' AND NOT regexp_matches(x, '(?i)^sector\\s*\\d+$')) AS t FROM documents)""")
 def x_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(T.place_tokens(F.substring("text", 1, 300))).cast("long").alias("n"))
+    t = table(spark, d, "documents").select("doc_id", T.place_tokens(F.col("text")).alias("t"))
+    return t.select("doc_id", F.size("t").cast("long").alias("n"), F.md5(F.array_join("t", "|").cast("binary")).alias("tokens"))
 
 
 @query(f"SELECT c_custkey, round(2 * 6371 * asin(sqrt(power(sin((radians(lat) - radians(10)) / 2), 2) + cos(radians(10)) * cos(radians(lat)) * power(sin((radians(lon) - radians(5)) / 2), 2))), 4) AS km FROM ({POINTS})")
@@ -458,10 +472,13 @@ def x_poisson_dev(spark, d):
     return table(spark, d, "part").select("p_partkey", r6(N.poisson_deviance((F.col("p_size") % 6).cast("double"), F.lit(2.5))).alias("dev"))
 
 
-@query("SELECT k, round(path / nullif(sqrt(power(lx - fx, 2) + power(ly - fy, 2)), 0), 6) AS s FROM (SELECT k, sum(step) AS path, first(x ORDER BY i) AS fx, last(x ORDER BY i) AS lx, first(y ORDER BY i) AS fy, last(y ORDER BY i) AS ly FROM (SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM (SELECT c_nationkey AS k, c_custkey AS i, CAST(c_custkey % 17 AS DOUBLE) AS x, CAST(c_custkey * 7 % 13 AS DOUBLE) AS y FROM customer WHERE c_custkey <= 120) WINDOW w AS (PARTITION BY k ORDER BY i)) GROUP BY k HAVING count(*) > 1)")
+@query("""SELECT k, round(path / nullif(sqrt(power(lx - fx, 2) + power(ly - fy, 2)), 0), 6) AS s FROM (
+  SELECT k, sum(step) AS path, first(x ORDER BY i) AS fx, last(x ORDER BY i) AS lx, first(y ORDER BY i) AS fy, last(y ORDER BY i) AS ly FROM (
+    SELECT *, sqrt(power(x - lag(x) OVER w, 2) + power(y - lag(y) OVER w, 2)) AS step FROM (
+      SELECT c_nationkey AS k, c_custkey AS i, CAST(c_custkey % 17 AS DOUBLE) AS x, CAST(c_custkey * 7 % 13 AS DOUBLE) AS y FROM customer) WINDOW w AS (PARTITION BY k ORDER BY i))
+  GROUP BY k HAVING count(*) > 1)""")
 def x_sinuosity(spark, d):
-    from ..functions.geo import sinuosity
+    from ..operators.routes import sinuosity_by_route
 
-    c = table(spark, d, "customer").where("c_custkey <= 120").select(F.col("c_nationkey").alias("k"), F.struct(F.col("c_custkey").alias("i"), (F.col("c_custkey") % 17).cast("double").alias("x"), (F.col("c_custkey") * 7 % 13).cast("double").alias("y")).alias("p"))
-    g = c.groupBy("k").agg(F.array_sort(F.collect_list("p")).alias("ps")).where(F.size("ps") > 1)
-    return g.select("k", r6(sinuosity(F.col("ps"))).alias("s"))
+    c = table(spark, d, "customer").select(F.col("c_nationkey").alias("k"), F.col("c_custkey").alias("i"), (F.col("c_custkey") % 17).cast("double").alias("x"), (F.col("c_custkey") * 7 % 13).cast("double").alias("y"))
+    return sinuosity_by_route(c, "k").select("k", r6("s").alias("s"))
\ No newline at end of file

@@ -169,3 +169,28 @@ def read_shapefile(spark: SparkSession, path: str, attributes: list[str]) -> Dat
                 yield pd.DataFrame([[r.get(c) for c in attributes] + [r["coords"]] for r in rows], columns=[*attributes, "coords"])
 
     return pairs.mapInPandas(run, ", ".join(f"`{c}` string" for c in attributes) + ", coords array<array<double>>")
+
+
+def query_files(spark: SparkSession, sql: str, **paths: str) -> DataFrame:
+    """The rows of a SQL text over Parquet folders, each under the name given to it: query_files(spark, "SELECT * FROM {a}", a=path)."""
+    return spark.sql(sql, **{name: spark.read.parquet(path) for name, path in paths.items()})
+
+
+def read_table(spark: SparkSession, name: str, columns: list[str] | None = None) -> DataFrame:
+    """A table of the session's catalogue, read only."""
+    df = spark.table(name)
+    return df.select(*columns) if columns else df
+
+
+def read_configs(folder: str) -> dict[str, dict]:
+    """The YAML files of a local folder by name without ending, in order of their names."""
+    import glob
+    import os
+
+    import yaml
+
+    out = {}
+    for path in sorted(glob.glob(os.path.join(folder, "*.y*ml"))):
+        with open(path, encoding="utf-8") as f:
+            out[os.path.splitext(os.path.basename(path))[0]] = yaml.safe_load(f) or {}
+    return out

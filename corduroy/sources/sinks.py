@@ -12,24 +12,63 @@ from ..operators.aggregates import upsert
 
 
 def exists(spark: SparkSession, path: str) -> bool:
-    from pyspark.errors import AnalysisException
-
-    try:
-        spark.read.parquet(path).schema
-        return True
-    except AnalysisException:
-        return False
-
-
-def write_bronze(df: DataFrame, root: str, dataset: str, version: str, md5: str) -> tuple[str, bool]:
-    """(path, written): a source with a known checksum is not written again; another one gets a folder of its own beside it."""
-    path = f"{root}/bronze/{dataset}/v={version}/md5={md5}"
-    if exists(df.sparkSession, path):
+    """Whether a folder (or a pattern of folders) holds a whole write: one that ended with its success file."""
+    jvm = spark.sparkContext._jvm
+    at = jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    found = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(at)
+    return found is not None and len(found) > 0
+
+
+def write_bronze(df: DataFrame, root: str, dataset: str, version: str, md5: str, stamp: str = "") -> tuple[str, bool]:
+    """(path, written): a source with a known checksum is not written again; another one gets a folder of its own beside it.
+
+    Every write adds a row to the register below the dataset (path, version, source_md5, stamp, superseded); the rows of earlier
+    checksums are then marked as superseded by it.
+    """
+    spark, base = df.sparkSession, f"{root}/bronze/{dataset}"
+    path = f"{base}/v={version}/md5={md5}"
+    if exists(spark, path):
         return path, False
     df.write.mode("overwrite").parquet(path)
+    row = spark.createDataFrame([(path, version, md5, stamp)], "path string, version string, source_md5 string, stamp string")
+    row.write.mode("append").parquet(f"{base}/register")
     return path, True
 
 
+def bronze_register(spark: SparkSession, root: str, dataset: str) -> DataFrame:
+    """The register of a dataset's writes with ``superseded``: whether a later stamp has another checksum."""
+    rows = spark.read.parquet(f"{root}/bronze/{dataset}/register")
+    last = rows.agg(F.max_by("source_md5", F.struct("stamp", "path")).alias("_last"))
+    return rows.join(F.broadcast(last)).withColumn("superseded", F.col("source_md5") != F.col("_last")).drop("_last")  # one row
+
+
+def write_csv(df: DataFrame, path: str, bom: bool = True) -> None:
+    """Rows as CSV with a header, in UTF-8; with bom, the header line begins with a byte-order mark for spreadsheet programs."""
+    names = {c: f"\ufeff{c}" for c in df.columns[:1]} if bom else {}
+    df.withColumnsRenamed(names).write.mode("overwrite").option("header", True).option("encoding", "UTF-8").csv(path)
+
+
+def write_json(df: DataFrame, path: str, nested: dict[str, list[str]] | None = None) -> None:
+    """Rows as JSON lines; ``nested`` gathers columns into objects by name."""
+    nested = nested or {}
+    inner = {c for cols in nested.values() for c in cols}
+    shown = [F.col(c) for c in df.columns if c not in inner] + [F.struct(*cols).alias(name) for name, cols in nested.items()]
+    df.select(*shown).write.mode("overwrite").option("ignoreNullFields", False).json(path)
+
+
+def segments_json(segments: DataFrame, vertices: DataFrame) -> DataFrame:
+    """segments with ``coords``, the array of [lon, lat] of their vertices (seg_id, i, lat, lon) in order."""
+    lines = vertices.groupBy("seg_id").agg(F.array_sort(F.collect_list(F.struct("i", "lon", "lat"))).alias("_p"))  # one segment's own vertices
+    points = F.transform(F.col("_p"), lambda p: F.array(p["lon"], p["lat"]))
+    return segments.join(lines.select("seg_id", points.alias("coords")), "seg_id", "left")
+
+
+def flat_routes(routes: DataFrame) -> DataFrame:
+    """A row for each vertex of routes (route_id, geometry: array of [lon, lat]): route_id, orden, lat, lon."""
+    at = routes.select("route_id", F.posexplode("geometry").alias("orden", "p"))
+    return at.select("route_id", F.col("orden").cast("long").alias("orden"), F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"))
+
+
 def write_layer(df: DataFrame, root: str, layer: str, dataset: str, version: str) -> str:
     path = f"{root}/{layer}/{dataset}/v={version}"
     df.write.mode("overwrite").parquet(path)
@@ -56,10 +95,11 @@ def fingerprint(*parts: object) -> str:
 
 
 def record_lineage(spark: SparkSession, path: str, rows: DataFrame, keys: list[str], stamp: str = "created_at") -> DataFrame:
-    """Upsert rows into a lineage table kept as Parquet below path; each state is a new version folder."""
-    versions = 0
-    while exists(spark, f"{path}/v={versions}"):
-        versions += 1
-    now = upsert(spark.read.parquet(f"{path}/v={versions - 1}"), rows, keys, stamp) if versions else rows
-    now.write.parquet(f"{path}/v={versions}")
-    return spark.read.parquet(f"{path}/v={versions}")
+    """Add rows to a lineage table, kept as appended Parquet below path; gives its present state, the latest row of each key."""
+    rows.write.mode("append").parquet(path)
+    return lineage(spark, path, keys, stamp)
+
+
+def lineage(spark: SparkSession, path: str, keys: list[str], stamp: str = "created_at") -> DataFrame:
+    every = spark.read.parquet(path)
+    return upsert(every, every.limit(0), keys, stamp)

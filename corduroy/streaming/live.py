@@ -42,3 +42,10 @@ def run_to_table(stream: DataFrame, name: str, mode: str = "append") -> DataFram
     query = stream.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def drained(stream: DataFrame, path: str) -> DataFrame:
+    """What is there now, written as Parquet below path by a stream of its own and read back."""
+    query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/rows")
+    query.awaitTermination()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

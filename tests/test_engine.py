@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from corduroy.functions import numeric, text
 from corduroy.operators import aggregates, cleaning, matching, models, panel, quality, routes, spatial
-from corduroy.plans.analytic import _writer
+from corduroy.session import steps as _writer
 from corduroy.sources import files, sinks
 
 EVENT = "id long, fecha date, lat double, lon double, ruta string, fallecidos long"

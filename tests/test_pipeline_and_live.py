@@ -5,7 +5,7 @@ import json
 from pyspark.sql import functions as F
 
 from corduroy import pipeline
-from corduroy.operators import live, quality
+from corduroy.operators import live, quality, spatial
 
 SPEC = {
     "clean": {"rename": {"CÓDIGO": "codigo"}, "fold": ["region"], "numeric": ["velocidad"], "dates": {"fecha": ["yyyyMMdd"]}, "key": ["codigo"], "order": "codigo"},
@@ -59,4 +59,4 @@ def test_near_route_and_polygons(spark):
     ring = "array<struct<x: double, y: double>>"
     poly = spark.createDataFrame([(1, [(-78.0, -13.0), (-76.0, -13.0), (-76.0, -11.0), (-78.0, -11.0)]), (2, [(0.0, 0.0), (1.0, 0.0), (1.0, 1.0)]), (3, [(4.0, 4.9), (6.0, 4.9), (6.0, 4.8)])], f"polygon_id long, ring {ring}")
     assert sorted((r.polygon_id, r.route_id) for r in live.warnings_on_route(poly, samples, 0.15).collect()) == [(1, "r"), (3, "q")]
-    assert live.first_containing(spark.createDataFrame([("ATE",), ("ZZ",)], "name string"), spark.createDataFrame([("LIMA ATE", "p1", 2), ("ATE VITARTE", "p2", 1)], "key string, place string, ord int")).where("name = 'ATE'").first().place == "p2"
+    assert spatial.first_containing(spark.createDataFrame([("ATE",), ("ZZ",)], "name string"), spark.createDataFrame([("LIMA ATE", "p1", 2), ("ATE VITARTE", "p2", 1)], "key string, place string, ord int")).where("name = 'ATE'").first().place == "p2"
