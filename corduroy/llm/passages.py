@@ -3,7 +3,7 @@
 A document's fingerprints are hashes of GRAM words, picked by winnowing: of every run of words as long as a window, at least the
 least hash is picked, so equal windows in two documents always share a fingerprint. Batches of documents in ascending doc_id go
 through the index: a batch becomes a sorted immutable run (fingerprint, smallest and largest doc_id), which is merge-joined with
-the runs of earlier batches; runs are compacted into one when there are FAN_IN of them. Only windows around fingerprints that
+the runs of earlier batches; more than FAN_IN of them are compacted into one before the next batch. Only windows around fingerprints that
 occur in two documents are then compared, by 96-bit hashes of whole windows, with the smallest doc_id of each: that verifies every
 fingerprint match exactly where a passage begins and ends. Documents whose words repeat a smaller one's in full are found by a
 digest of all words and need no windows.
@@ -15,13 +15,14 @@ other's words and are told apart by their words. Empty tables give no rows.
 from __future__ import annotations
 
 import hashlib
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import frame, map_rows, materialize, scratch, table
 
-GRAM, FAN_IN, BATCHES = 12, 2, 3
+GRAM, FAN_IN, BATCHES = 12, 1, 3
 
 
 def _slide(x, width: int, best):
@@ -73,34 +74,58 @@ def fingerprints(docs: DataFrame, window: int) -> DataFrame:
 
 
 class FingerprintLog:
-    """Sorted immutable runs (fp, lo, hi) below a folder; ``add`` returns the fingerprints of a batch that two documents hold."""
+    """Sorted immutable runs (fp, lo, hi) below a shared folder; ``add`` returns the fingerprints of a batch that two documents hold.
 
-    def __init__(self, spark: SparkSession, path: str, fan_in: int = FAN_IN):
-        self.spark, self.path, self.fan_in, self.runs, self.n = spark, path, fan_in, [], 0
+    A manifest names the runs in force after each batch, so a log opened on the same folder goes on where the last batch ended.
+    A batch finds at most ``fan_in`` runs of history: more are merged into one before it, and that run is what it is joined with.
+    """
 
-    def _write(self, run: DataFrame) -> DataFrame:
-        self.n += 1
-        return materialize(run, f"{self.path}/run-{self.n:06d}", sort="fp")
+    MANIFEST = "batch long, runs array<string>"
+
+    def __init__(self, spark: SparkSession, path: str, fan_in: int = FAN_IN, new: bool = False):
+        self.spark, self.path, self.fan_in, self.n = spark, path, fan_in, 0
+        self.runs: list[str] = []
+        if not new and (last := self._manifest()):
+            self.n, self.runs = last["batch"], list(last["runs"])
+
+    def _manifest(self):
+        from pyspark.errors import AnalysisException
+
+        try:
+            return self.spark.read.schema(self.MANIFEST).json(f"{self.path}/manifest").orderBy(F.desc("batch")).first()
+        except AnalysisException:  # no manifest: an empty log
+            return None
+
+    def _read(self, run: str) -> DataFrame:
+        return self.spark.read.schema("fp long, lo long, hi long").parquet(f"{self.path}/{run}")
+
+    def _write(self, run: DataFrame, name: str) -> str:
+        name = f"{name}-{uuid.uuid4().hex[:8]}"
+        materialize(run, f"{self.path}/{name}", sort="fp")
+        return name
 
     def add(self, batch: DataFrame) -> DataFrame:
         """Take in a batch (fp, doc_id); returns fp of those now known from two documents with this batch's part in it."""
-        run = self._write(batch.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")))
+        if len(self.runs) > self.fan_in:
+            self.compact()
+        self.n += 1
+        name = self._write(batch.groupBy("fp").agg(F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi")), f"run-{self.n:06d}")
+        run = self._read(name)
         found = run.where("lo < hi").select("fp")
         for older in self.runs:
-            both = run.join(older.toDF("fp", "old_lo", "old_hi"), "fp").where("least(lo, old_lo) < greatest(hi, old_hi)")
+            both = run.join(self._read(older).toDF("fp", "old_lo", "old_hi"), "fp").where("least(lo, old_lo) < greatest(hi, old_hi)")
             found = found.unionByName(both.select("fp"))
-        found = materialize(found.distinct(), f"{self.path}/found-{self.n:06d}")
-        self.runs.append(run)
-        if len(self.runs) > self.fan_in:
-            self.compact()
+        found = materialize(found.distinct(), f"{self.path}/found-{self.n:06d}-{uuid.uuid4().hex[:8]}")
+        self.runs.append(name)
+        self.spark.createDataFrame([(self.n, self.runs)], self.MANIFEST).coalesce(1).write.mode("append").json(f"{self.path}/manifest")
         return found
 
     def compact(self) -> None:
         """Merge all runs into one; the old ones are left to whoever still reads them."""
-        merged = self.runs[0]
+        merged = self._read(self.runs[0])
         for run in self.runs[1:]:
-            merged = merged.unionByName(run)
-        self.runs = [self._write(merged.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")))]
+            merged = merged.unionByName(self._read(run))
+        self.runs = [self._write(merged.groupBy("fp").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")), f"merged-{self.n:06d}")]
 
 
 def _windows(texts: DataFrame, window: int) -> DataFrame:
@@ -148,7 +173,7 @@ def remove_repeats(docs: DataFrame, path: str, window: int = 50, batches: int =
     copies = materialize(long_.select("doc_id", "n", "d1", "d2").join(twice, ["n", "d1", "d2"]).where("doc_id > lo").select("doc_id", "d1", "d2").distinct(), f"{path}/copies")
     anchors = long_.join(copies, ["doc_id", "d1", "d2"], "left_anti").select("doc_id", "d1", "d2", F.explode("anchors").alias("fp"))
 
-    log = FingerprintLog(docs.sparkSession, f"{path}/index")
+    log = FingerprintLog(docs.sparkSession, f"{path}/index", new=True)
     bounds = [x for x in long_.approxQuantile("doc_id", [k / batches for k in range(1, batches)], 0.01)] if batches > 1 else []
     found = None
     for low, high in zip([None, *bounds], [*bounds, None]):

@@ -28,6 +28,9 @@ PART_CHARS = 1_000_000
 #: White space of the tokenizer's splitting pattern (Unicode White_Space), as a character class.
 _SPACE = "\\x09-\\x0d\\x20\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
 
+#: Texts of which every tokenizer with a byte-level splitting pattern gives the ids of their chunks.
+PROBES = ("a b  c\td", "It's 12,34 \n\n  end", "é日本\u00a0x\u3000y", " lead and trail ")
+
 _loaded: dict = {}
 
 
@@ -152,6 +155,9 @@ def _encoder(path: str, special_as_text: bool = True):
             chars += len(x)
         return done + encode_part(part)
 
+    for probe in PROBES:
+        if encode([probe])[0] != np.array(tokenizer.encode(probe, add_special_tokens=False).ids, dtype).tobytes():
+            raise ValueError("the tokenizer does not always cut a text before white space that follows other characters")
     _loaded[path, special_as_text] = encode, dtype
     return _loaded[path, special_as_text]
 
@@ -214,21 +220,27 @@ def read_token_shards(manifest: DataFrame) -> DataFrame:
             for row in pdf.itertuples():
                 fs, path = open_fs(row.file)
                 local = fs.type_name == "local"
-                arrays = {}
-                for kind, dtype in (("bin", f"<u{row.width}"), ("off", "<u8"), ("doc", "<i8")):
-                    arrays[kind] = np.memmap(f"{path}.{kind}", dtype, "r") if local else np.frombuffer(fs.open_input_file(f"{path}.{kind}").read(), dtype)
-                ids, offsets, names = arrays["bin"], arrays["off"].astype("int64"), arrays["doc"]
+
+                def held(kind, dtype):
+                    """A whole file of the shard: mapped, or read where the file system can't map it."""
+                    return np.memmap(f"{path}.{kind}", dtype, "r") if local else np.frombuffer(fs.open_input_file(f"{path}.{kind}").read(), dtype)
+
+                offsets, names = held("off", "<u8").astype("int64"), held("doc", "<i8")
+                source = held("bin", f"<u{row.width}") if local else fs.open_input_file(f"{path}.bin")
                 for at in range(0, row.n_docs, 4096):
                     span = range(at, min(at + 4096, row.n_docs))
+                    first, last = int(offsets[span.start]), int(offsets[span.stop])
+                    # off a local file system, one range of the ids at a time
+                    ids = source[first:last] if local else np.frombuffer(source.read_at((last - first) * row.width, first * row.width), f"<u{row.width}")
                     yield pd.DataFrame({
                         "doc_id": pd.array([None if names[i] == NULL_ID else int(names[i]) for i in span], "Int64"),
                         "start": [row.base + int(offsets[i]) for i in span],
                         "n_tokens": [int(offsets[i + 1] - offsets[i]) for i in span],
-                        "ids_crc32": [zlib.crc32(ids[offsets[i] : offsets[i + 1]].astype("<u4").tobytes()) for i in span],
+                        "ids_crc32": [zlib.crc32(ids[offsets[i] - first : offsets[i + 1] - first].astype("<u4").tobytes()) for i in span],
                     })
 
     n = max(1, manifest.count())
-    return manifest.repartition(min(n, 100_000)).mapInPandas(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    return map_rows(manifest.repartition(min(n, 100_000)), read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op9_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:

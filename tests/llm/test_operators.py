@@ -270,6 +270,19 @@ def test_passages_equal_brute_force(spark, batches):
     assert got == brute_passages(texts, 50)
 
 
+def test_fingerprint_log_goes_on_where_it_was_left(spark):
+    where = path(spark, "t4log")
+    batch = lambda *pairs: spark.createDataFrame(pairs, "fp long, doc_id long")
+    log = passages.FingerprintLog(spark, where)
+    assert log.add(batch((1, 1), (2, 1), (2, 2))).collect() == [(2,)]
+    assert sorted(r.fp for r in log.add(batch((1, 3), (5, 3))).collect()) == [1]
+    again = passages.FingerprintLog(spark, where)
+    assert again.runs == log.runs and len(again.runs) == 2
+    assert sorted(r.fp for r in again.add(batch((5, 4), (2, 4), (7, 4))).collect()) == [2, 5]
+    assert len(again.runs) == 2 and again.runs[0].startswith("merged")  # the merged run is what the third batch met
+    assert passages.FingerprintLog(spark, path(spark, "t4none")).runs == []
+
+
 def test_passages_of_an_empty_table(spark):
     assert passages.remove_repeats(docs(spark, ["a"]).limit(0), path(spark, "t4b")).count() == 0
 
