@@ -1,7 +1,9 @@
 """The corpus pipeline: documents through five training-data operators, each stage written as Parquet and read again.
 
 doc_id names a document: where several rows bear one doc_id, a stage that drops documents keeps or drops them together, and rows
-without doc_id are never dropped for another document's sake. Extra columns pass through to the last stage.
+without doc_id are never dropped for another document's sake. Extra columns pass through to the last stage, whatever their names.
+Null and empty texts are scored as empty ones, have no near duplicates and hold no benchmark item; their last row has no ids. Of
+equal texts the smallest doc_id stays. Empty tables give no rows, and without labels every document has the score 0.5 and stays.
 """
 
 from __future__ import annotations
@@ -20,7 +22,8 @@ from corduroy.llm.quality import THRESHOLD, quality_model, score_quality
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose quality score reaches the threshold; learnt from the labels outside the held-out fifth."""
     model = quality_model(docs, table(spark, sf_dir, "labels"))
-    return score_quality(docs, model, keep=docs.columns, name="__score__").where(F.col("__score__") >= THRESHOLD).drop("__score__")
+    score = "_" * (1 + max(map(len, docs.columns))) + "score"  # longer than any column's name
+    return score_quality(docs, model, keep=docs.columns, name=score).where(F.col(score) >= THRESHOLD).drop(score)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
