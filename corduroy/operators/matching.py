@@ -34,6 +34,21 @@ def one_to_one(pairs: DataFrame, write) -> DataFrame:
     change that. Settled a and b leave with all their pairs, round after round, until a bounded rest is settled in one task.
     ``write`` materialises a step (a function of DataFrame and name).
     """
+
+    def settle(batches):
+        """The bounded rest, sorted by b and distance: each b takes its first free a."""
+        taken: set = set()
+        served = None
+        for pdf in batches:
+            keep = []
+            for a, b in zip(pdf["a_id"], pdf["b_id"]):
+                free = b != served and a not in taken
+                keep.append(free)
+                if free:
+                    served = b
+                    taken.add(a)
+            yield pdf[keep]
+
     left, done, n = write(pairs.select("a_id", "b_id", "dist_km"), "pairs-0"), None, 0
     while left.count() > LAST_PAIRS:
         best = left.groupBy("b_id").agg(F.min(F.struct("dist_km", "a_id")).alias("m")).select("b_id", "m.*")
@@ -43,27 +58,10 @@ def one_to_one(pairs: DataFrame, write) -> DataFrame:
         n += 1
         rest = left.join(settled.select("a_id"), "a_id", "left_anti").join(settled.select("b_id"), "b_id", "left_anti")
         left = write(rest.select("a_id", "b_id", "dist_km"), f"pairs-{n}")
-    last = left.coalesce(1).sortWithinPartitions("b_id", "dist_km", "a_id").mapInPandas(_settle, left.schema)
+    last = left.coalesce(1).sortWithinPartitions("b_id", "dist_km", "a_id").mapInPandas(settle, left.schema)
     return last if done is None else done.unionByName(last)
 
 
-def _settle(batches):
-    """The bounded rest, sorted by b and distance: each b takes its first free a."""
-    import pandas as pd
-
-    taken: set = set()
-    served = None
-    for pdf in batches:
-        keep = []
-        for a, b in zip(pdf["a_id"], pdf["b_id"]):
-            free = b != served and a not in taken
-            keep.append(free)
-            if free:
-                served = b
-                taken.add(a)
-        yield pd.DataFrame(pdf[keep])
-
-
 def sensitivity(a: DataFrame, b: DataFrame, radii: list[float], days: list[int], write) -> DataFrame:
     """radius_km, days and n_both for each cell of a grid of tolerances; candidates are looked up once, at the widest."""
     near = write(candidates(a, b, max(radii), max(days)), "candidates")
