@@ -19,9 +19,9 @@ from pyspark.sql import functions as F
 
 from .common import keep_for_a_partition, map_rows, table
 
-#: Entries of each of a worker's memos (encoded words, compared neighbours, longest pieces), some 35 MB at most each: words have
-#: fewer than WORD_CHARS characters, the others no more than the longest pieces. All are emptied at a partition's end.
-MEMO_LIMIT, WORD_CHARS = 100_000, 64
+#: Entries of each of a worker's memos (encoded words, and as many old ones; compared neighbours), some 45 MB at most each: words
+#: have fewer than WORD_CHARS characters, pieces are short. All are emptied at a partition's end.
+MEMO_LIMIT, WORD_CHARS = 200_000, 64
 SPACE = "▁"
 #: Texts that other normalisers change; a model that encodes them otherwise is not supported.
 PROBES = (" a  b ", "ﬁ ① Ａ", "e\u0301 é", "\ta\n b\u3000c", "ÀB ß")
@@ -73,10 +73,19 @@ class PieceCodec:
         self.automaton.make_automaton()
         self.ahead = max(map(len, self.part))
         self.shorter = {x: next((x[:n] for n in range(len(x) - 1, 0, -1) if x[:n] in self.part), None) for x in self.part}
-        self.memo: dict[str, tuple] = {}
-        self.old: dict[str, tuple] = {}
+        self.memo: dict[str, str] = {}
+        self.old: dict[str, str] = {}
+        self.odd: dict[str, str] = {}
         self.apart: dict[tuple[str, str], bool] = {}
+        #: The longest piece that each beginning of a piece begins with.
         self.longest: dict[str, str] = {}
+        for x in sorted(self.part, key=len):
+            for n in range(1, len(x) + 1):
+                start = x[:n]
+                if start in self.part:
+                    self.longest[start] = start
+                elif start not in self.longest:
+                    self.longest[start] = self.longest.get(x[: n - 1], x[0])
         if any(self.encode(x) != model.encode(x) for x in PROBES):
             raise ValueError("the model's normaliser is another than white space to ▁ with one in front")
 
@@ -118,21 +127,12 @@ class PieceCodec:
             else:
                 limit, b = rb + 1, part[b][0]
 
-    def _longest(self, rest: str) -> str:
-        """The longest piece that starts the next ``ahead`` characters of a part, or the first one; remembered, since they recur."""
-        n = self.automaton.longest_prefix(rest)  # of some piece's beginning
-        while n > 1 and rest[:n] not in self.part:
-            n -= 1
-        if len(self.longest) > MEMO_LIMIT:
-            self.longest.clear()
-        got = self.longest[rest] = rest[: n or 1]
-        return got
-
     def _pieces(self, text: str) -> list[str]:
-        apart, longest, shorter = self.apart, self.longest, self.shorter
+        apart, longest, shorter, reach = self.apart, self.longest, self.shorter, self.automaton.longest_prefix
         n, at, failed, out, ahead = len(text), 0, b"", [], self.ahead
         rest = text[:ahead]
-        token, last = longest.get(rest) or self._longest(rest), ""
+        k = reach(rest)  # characters that begin some piece
+        token, last = longest[rest[:k]] if k else rest[0], ""
         while True:
             while token is not None:
                 if not (failed and failed[at + len(token)]):
@@ -148,7 +148,8 @@ class PieceCodec:
                 if at == n:
                     return out
                 last, rest = token, text[at : at + ahead]
-                token = longest.get(rest) or self._longest(rest)
+                k = reach(rest)
+                token = longest[rest[:k]] if k else rest[0]
             else:
                 failed = failed or bytearray(n + 1)
                 failed[at] = 1
@@ -175,57 +176,70 @@ class PieceCodec:
             out.extend([i] if i is not None else [self.bytes[b] for b in x.encode("utf-8", "surrogatepass")])
         return out
 
-    def parts(self, text: str) -> list[tuple]:
-        """(number of ids, ids as decimal text, decoded text) of each part of the text."""
-        if not text:
-            return []
-        out, get = [], self.memo.get
-        for n, line in enumerate(text.split("\n")):
+    def parts(self, text: str) -> tuple[list[str], list[str]]:
+        """(ids as decimal text, decoded text) of the text's parts, each list in order."""
+        ids: list[str] = []
+        shown: list[str] = []
+
+        def add(part: str) -> None:
+            i, t = self._part(part)
+            ids.append(i)
+            shown.append(t)
+
+        get = self.memo.get
+        for n, line in enumerate(text.split("\n") if text else []):
             if n:
-                out.append(self._part("\n"))
+                add("\n")
                 if not line:
                     continue
             if SPACE in line:
                 line = line.replace(SPACE, " ")
             words = line.split(" ")
             if n:  # only the text's beginning gets a "▁" of its own
-                out.append(self._part(words[0])) if words[0] else None
+                if words[0]:
+                    add(words[0])
                 words = words[1:]
             if "" in words:  # runs of white space belong to the word after them
                 run = ""
                 for x in words:
                     run += SPACE
                     if x:
-                        out.append(self._part(run + x))
+                        add(run + x)
                         run = ""
                 if run:
-                    out.append(self._part(run))
+                    add(run)
                 continue
             got = list(map(get, words))
             if None in got:
                 got = [x or self._word(w) for x, w in zip(got, words)]
-            out += got
-        return out
+            ids += got
+            shown += [self.odd.get(w) or " " + w for w in words] if self.odd else [" " + w for w in words]
+        return ids, shown
 
-    def _word(self, word: str) -> tuple:
-        """The part "▁" + word, remembered by the word."""
+    def _word(self, word: str) -> str:
+        """The ids of "▁" + word, remembered by the word; ``odd`` holds what is decoded to anything but the word after a space."""
         got = self.memo.get(word)
         if got is None:
             if len(self.memo) > MEMO_LIMIT:  # words of the last full memo come back without work
                 self.old = dict(self.memo)
                 self.memo.clear()
-            got = self.old.pop(word, None) or self._part(SPACE + word)
+            got = self.old.pop(word, None)
+            if got is None:
+                got, text = self._part(SPACE + word)
+                if text != " " + word:
+                    self.odd[word] = text
             if len(word) < WORD_CHARS:
                 self.memo[word] = got
         return got
 
-    def _part(self, text: str) -> tuple:
+    def _part(self, text: str) -> tuple[str, str]:
+        """(ids, decoded text) of a part."""
         pieces = self._pieces(text)
         try:
-            return len(pieces), ",".join([self.decimal[x] for x in pieces]), "".join([self.shown[x] for x in pieces])
+            return ",".join([self.decimal[x] for x in pieces]), "".join([self.shown[x] for x in pieces])
         except KeyError:
             ids = self._ids(pieces)
-            return len(ids), ",".join(map(str, ids)), self._text(ids)
+            return ",".join(map(str, ids)), self._text(ids)
 
     def _text(self, ids) -> str:
         """The pieces' text with white space back; runs of byte pieces become characters, broken ones U+FFFD for each byte."""
@@ -257,7 +271,7 @@ class PieceCodec:
         return "".join(out)
 
     def encode(self, text: str) -> list[int]:
-        return [int(i) for _, ids, _ in self.parts(text) for i in ids.split(",")]
+        return [int(i) for ids in self.parts(text)[0] for i in ids.split(",")]
 
     def decode(self, ids) -> str:
         text = self._text(ids)
@@ -268,7 +282,7 @@ class PieceCodec:
 def forget() -> None:
     """Empty the memos of the loaded models."""
     for work in _loaded.values():
-        for memo in (work.memo, work.old, work.apart, work.longest):
+        for memo in (work.memo, work.old, work.odd, work.apart):
             memo.clear()
 
 
@@ -301,8 +315,9 @@ def _mapped(docs: DataFrame, model_path: str, schema: str, columns) -> DataFrame
             for at in range(0, len(pdf), 256):
                 some, rows = pdf.iloc[at : at + 256], []
                 for text in some["text"]:
-                    counts, ids, shown = zip(*work.parts(text)) if text else ((), (), ())
-                    rows.append({"n_tokens": sum(counts)} | columns(",".join(ids), "".join(shown)[1:]))
+                    parts, shown = work.parts(text)
+                    ids = ",".join(parts)
+                    rows.append({"n_tokens": ids.count(",") + 1 if parts else 0} | columns(ids, "".join(shown)[1:]))
                 out = pd.DataFrame(rows)
                 out.insert(0, "doc_id", some["doc_id"].to_numpy())
                 yield out
