@@ -2,15 +2,28 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Latin letters with diacritics and their plain letters, in the same order.
-ACCENTED = "ÀÁÂÃÄÅÇÈÉÊËÌÍÎÏÑÒÓÔÕÖÙÚÛÜÝàáâãäåçèéêëìíîïñòóôõöùúûüýÿ"
-PLAIN = "AAAAAACEEEEIIIINOOOOOUUUUYaaaaaaceeeeiiiinooooouuuuyy"
+
+
+def _plain_letters() -> tuple[str, str]:
+    """Letters of the Latin blocks that decompose to one ASCII letter and marks, with that letter; then the marks, which have none."""
+    letters = {}
+    for code in (*range(0xC0, 0x250), *range(0x1E00, 0x1F00)):
+        base = "".join(c for c in unicodedata.normalize("NFKD", chr(code)) if not unicodedata.combining(c))
+        if len(base) == 1 and base.isascii() and base.isalpha():
+            letters[chr(code)] = base
+    return "".join(letters) + "".join(map(chr, range(0x300, 0x370))), "".join(letters.values())
+
+
+ACCENTED, PLAIN = _plain_letters()
 
 
 def strip_accents(c: Column) -> Column:
+    """Latin letters without their diacritics; marks of their own are removed."""
     return F.translate(c, ACCENTED, PLAIN)
 
 
@@ -81,9 +94,13 @@ def lenient_double(c: Column, noise: str = "[°º, ]") -> Column:
     return F.regexp_replace(c.cast("string"), noise, "").try_cast("double")
 
 
-def parse_date(c: Column, formats: list[str]) -> Column:
-    """The first format that fits, in order."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in formats])
+#: Forms that are tried last, the day before the month.
+DAY_FIRST = ["d/M/yyyy", "d-M-yyyy", "d.M.yyyy", "d/M/yy"]
+
+
+def parse_date(c: Column, formats: list[str], day_first: bool = False) -> Column:
+    """The first format that fits, in order; with day_first, the usual forms with the day in front as a last resort."""
+    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)).cast("date") for f in [*formats, *(DAY_FIRST if day_first else [])]])
 
 
 def lat_lon(c: Column) -> Column:

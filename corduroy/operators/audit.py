@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.text import fold
 from .aggregates import year_coverage
 from .live import claims
-from .quality import bootstrap_interval, dimensions, weight_sensitivity
+from .quality import bootstrap_score, dimensions, sensitivity_verdict, weight_sensitivity
 
 
 def catalog_circularity(df: DataFrame, column: str, catalog: list[str]) -> DataFrame:
@@ -43,10 +43,10 @@ def assess(df: DataFrame, spec: dict, as_of: str, spread_limit: float = 5.0) ->
     dims = dimensions(df, spec, as_of).first().asDict()
     dqs = dims.pop("dqs")
     spread = weight_sensitivity(dims, spec.get("weights", None) or {k: 1 / len(dims) for k in dims})["spread"]
-    boot = bootstrap_interval(df, [F.col(c).isNotNull() for c in spec["required"] if c in df.columns])
+    boot = bootstrap_score(df, spec, as_of).where("dimension = 'dqs'").first().asDict()
     rows = [
-        ("El puntaje no depende de los pesos", spread <= spread_limit, f"p05-p95 {spread:.2f}", f"{spread_limit} puntos"),
-        ("El intervalo contiene al puntaje", boot["low"] <= boot["point"] <= boot["high"], f"{boot['low']:.2f} a {boot['high']:.2f}", "95 %"),
+        ("El puntaje no depende de los pesos", spread <= spread_limit, f"p05-p95 {spread:.2f}, robustez {sensitivity_verdict(spread, spread_limit)}", f"{spread_limit} puntos"),
+        ("El intervalo contiene al puntaje", boot["centred"], f"{boot['low']:.2f} a {boot['high']:.2f}", "95 %"),
         ("La integridad se mide", "integrity" in spec, f"{dims['integrity']:.2f}", "100 fijo si no hay llave"),
         ("El puntaje alcanza el umbral", dqs >= 90, f"{dqs:.2f}", "90"),
     ]

@@ -16,6 +16,13 @@ def fresh(df: DataFrame, stamp: str, now: str, seconds: int) -> DataFrame:
     return df.where((age >= 0) & (age < seconds))
 
 
+def fresh_by(df: DataFrame, stamp: str, now: str, source: str, seconds: dict[str, int]) -> DataFrame:
+    """fresh() with a time to live for each source; rows of other sources are not kept."""
+    age = F.unix_timestamp(F.lit(now).cast("timestamp")) - F.unix_timestamp(F.col(stamp).cast("timestamp"))
+    limit = F.create_map(*[F.lit(x) for kv in seconds.items() for x in kv])[F.col(source)]
+    return df.where((age >= 0) & (age < limit))
+
+
 def recent(df: DataFrame, stamp: str, now: str, days: int) -> DataFrame:
     return df.where(F.col(stamp).cast("timestamp") >= F.lit(now).cast("timestamp") - F.make_interval(days=F.lit(days)))
 

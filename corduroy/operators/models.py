@@ -11,7 +11,7 @@ from ..functions.numeric import good_surface, log1p_of, on_main_route
 from ..functions.text import corridor
 from ..session import steps
 from .cleaning import impute
-from .ranks import quantiles
+from .ranks import numbered, quantiles
 
 
 def _linear(columns: list[str], beta, offset: str | None):
@@ -134,6 +134,13 @@ def split(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFra
     return df.withColumn("is_test", F.pmod(F.xxhash64(F.col(key), F.lit(seed)), F.lit(1_000_000)) < int(test * 1_000_000))
 
 
+def split_exactly(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) -> DataFrame:
+    """df with ``is_test``: the first floor(n * test) rows of a repeatable shuffle (by a hash of the unique key)."""
+    n = df.agg(F.count("*").alias("_n"))
+    at = numbered(df.withColumn("_h", F.xxhash64(F.col(key), F.lit(seed))), ["_h", key], "_i").join(F.broadcast(n))  # one row
+    return at.withColumn("is_test", F.col("_i") < F.floor(F.col("_n") * test)).drop("_h", "_i", "_n")
+
+
 def interval_coverage(df: DataFrame, y: str, mu: str, alpha: float, level: float) -> float:
     """Share of counts within the central NB2 interval (size 1 / alpha, p 1 / (1 + alpha mu)), in per cent."""
 

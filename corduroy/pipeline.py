@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from .operators import aggregates, cleaning, quality
 from .sources import files, sinks
 
+# The names of a run's stages, in order.
 STAGES = ("start", "extract", "register_raw", "profiling_before", "clean", "schema_validation", "transform", "data_quality", "quarantine", "quality_gate", "load_silver", "build_gold", "profiling_after", "generate_report", "finish")
 
 
@@ -49,6 +50,7 @@ def run_dataset(spark: SparkSession, name: str, spec: dict, root: str, as_of: st
         cleaning.clean(state["raw"], spec.get("clean", {})).write.mode("overwrite").parquet(path)
         state["clean"] = spark.read.parquet(path)
         cleaning.change_log(state["raw"], state["clean"]).write.mode("overwrite").json(f"{base}/changes")
+        cleaning.operation_log(state["raw"], spec.get("clean", {})).coalesce(1).write.mode("overwrite").json(f"{base}/operations")
 
     def schema_validation():
         broken = quality.contract_report(state["clean"], spec["contract"], as_of)
@@ -76,16 +78,23 @@ def run_dataset(spark: SparkSession, name: str, spec: dict, root: str, as_of: st
         out["model_ready"] = quality.model_ready(not out["contract_errors"], out["gate"], True, state["critical"], out["dqs"], version)["model_ready"]
 
     def load_silver():
-        out["silver"] = sinks.write_layer(state["rows"], root, "silver", name, version)
+        out["silver"] = sinks.write_layer(state["rows"], root, "silver", name, version, as_of)
 
     def build_gold():
         if out["gate"] != "FAILED":
-            out["gold"] = sinks.write_layer(spark.read.parquet(out["silver"]), root, "gold", name, version)
+            out["gold"] = sinks.write_layer(spark.read.parquet(out["silver"]), root, "gold", name, version, as_of)
+            if out["model_ready"]:
+                out["model_ready_path"] = sinks.write_layer(spark.read.parquet(out["silver"]), root, "model_ready", name, version, as_of)
             for a in spec.get("aggregations", []):
                 aggregates.aggregate(spark.read.parquet(out["silver"]), a).write.mode("overwrite").json(f"{root}/aggregations/{name}/{aggregates.safe_name(a['name'])}")
 
     def profiled(which, at):
-        return lambda: quality.profile(state[which]).write.mode("overwrite").json(f"{base}/profile_{at}")
+        def write():
+            found = quality.profile(state[which])
+            found.write.mode("overwrite").json(f"{base}/profile_{at}")
+            sinks.write_csv(spark.read.schema(found.schema).json(f"{base}/profile_{at}"), f"{base}/profile_{at}_csv")
+
+        return write
 
     def finish():
         row = spark.createDataFrame([(run_id, name, float(out["dqs"]), out["gate"], as_of)], "run_id string, dataset string, dqs double, gate string, created_at string")
@@ -100,7 +109,7 @@ def run_dataset(spark: SparkSession, name: str, spec: dict, root: str, as_of: st
             out["stages"][stage] = f"FAILED: {type(e).__name__}: {str(e)[:300]}"
             break
     out["status"] = "OK" if len(out["stages"]) == len(STAGES) and all(v == "OK" for v in out["stages"].values()) else "FAILED"
-    manifest = {k: v for k, v in out.items() if k != "report"} | {"measurement_fingerprint": sinks.fingerprint(spec)}
+    manifest = {k: v for k, v in out.items() if k != "report"} | {"measurement_fingerprint": sinks.fingerprint(spec, sinks.code_digest(quality, cleaning))}
     spark.createDataFrame([(json.dumps(manifest, default=str),)], "value string").write.mode("overwrite").text(f"{base}/manifest")
     return out
 
@@ -111,9 +120,34 @@ def manifests(spark: SparkSession, root: str) -> DataFrame:
     return m.select("m.*").withColumnRenamed("measurement_fingerprint", "fingerprint")
 
 
-def main() -> None:
+def run_all(spark: SparkSession, datasets: dict, root: str, as_of: str, only: list[str] | None = None, retries: int = 1) -> list[dict]:
+    """run_dataset() for each dataset (or those named), a failed one again up to ``retries`` times; one result each, in order."""
+    out, run_id = [], new_run_id()
+    for name in only or datasets:
+        for attempt in range(retries + 1):
+            result = run_dataset(spark, name, datasets[name], root, as_of, f"{run_id}-{attempt}" if attempt else run_id)
+            if result["status"] == "OK":
+                break
+        out.append(result)
+    return out
+
+
+def load_config(path: str) -> dict:
+    """The datasets of a YAML file, or of all YAML files in a folder (a file's own ``datasets``, else one named like the file)."""
+    import os
+
     import yaml
 
+    if os.path.isdir(path):
+        found: dict = {}
+        for name, config in files.read_configs(path).items():
+            found |= config.get("datasets") or {name: config}
+        return found
+    with open(path, encoding="utf-8") as f:
+        return yaml.safe_load(f)["datasets"]
+
+
+def main() -> None:
     from .session import build_session
 
     p = argparse.ArgumentParser(description=__doc__)
@@ -121,12 +155,10 @@ def main() -> None:
     p.add_argument("--root", required=True)
     p.add_argument("--as-of", required=True)
     p.add_argument("--dataset", action="append")
+    p.add_argument("--retries", type=int, default=1)
     args = p.parse_args()
-    with open(args.config) as f:
-        config = yaml.safe_load(f)
-    spark, run_id = build_session("pipeline"), new_run_id()
-    for name in args.dataset or config["datasets"]:
-        print(json.dumps(run_dataset(spark, name, config["datasets"][name], args.root, args.as_of, run_id), default=str))
+    for result in run_all(build_session("pipeline"), load_config(args.config), args.root, args.as_of, args.dataset, args.retries):
+        print(json.dumps(result, default=str))
 
 
 if __name__ == "__main__":

@@ -69,9 +69,13 @@ def flat_routes(routes: DataFrame) -> DataFrame:
     return at.select("route_id", F.col("orden").cast("long").alias("orden"), F.col("p")[1].alias("lat"), F.col("p")[0].alias("lon"))
 
 
-def write_layer(df: DataFrame, root: str, layer: str, dataset: str, version: str) -> str:
+def write_layer(df: DataFrame, root: str, layer: str, dataset: str, version: str, stamp: str = "") -> str:
+    """Rows of a dataset in a layer; a row about each write goes to the layer's register of the dataset."""
     path = f"{root}/{layer}/{dataset}/v={version}"
     df.write.mode("overwrite").parquet(path)
+    spark = df.sparkSession
+    about = [(path, version, stamp, spark.read.parquet(path).count(), [f"{c} {kind}" for c, kind in df.dtypes])]
+    spark.createDataFrame(about, "path string, version string, stamp string, n_rows long, columns array<string>").coalesce(1).write.mode("append").json(f"{root}/{layer}/{dataset}/register")
     return path
 
 
@@ -89,6 +93,15 @@ def archive_new(archive: DataFrame, batch: DataFrame, keys: list[str], stamp: st
     return batch.dropDuplicates(keys).join(archive.select(*keys).distinct(), keys, "left_anti").withColumn("primera_vista", F.lit(stamp))
 
 
+def code_digest(*modules) -> str:
+    """A hash of the source files of modules, so that a fingerprint tells runs of different code apart."""
+    digest = hashlib.sha256()
+    for m in modules:
+        with open(m.__file__, "rb") as f:
+            digest.update(f.read())
+    return digest.hexdigest()
+
+
 def fingerprint(*parts: object) -> str:
     """Hash of code and configuration that took part in a measurement."""
     return hashlib.sha256(json.dumps(parts, sort_keys=True, default=str).encode()).hexdigest()[:16]

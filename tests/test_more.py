@@ -178,3 +178,33 @@ def test_flags_of_segments_and_empty_years(spark):
     df = spark.createDataFrame([("2020-05-01",), ("2023-01-01",), (None,)], "d string").select(F.to_date("d").alias("d"))
     assert sorted(r.anio for r in aggregates.years_without(df, "d").collect()) == [2021, 2022]
     assert aggregates.years_without(df.limit(0), "d").count() == 0
+
+
+def test_an_exact_share_is_held_out(spark):
+    df = spark.range(103).withColumnRenamed("id", "k")
+    one, two = ({r.k for r in models.split_exactly(t, "k").where("is_test").collect()} for t in (df, df.repartition(5)))
+    assert one == two and len(one) == 20
+
+
+def test_letters_with_marks_and_dates_with_the_day_first(spark):
+    from corduroy.functions import text
+
+    df = spark.createDataFrame([("Ṽi\u0301ctor  Şahin ǎ", "3/2/2021"), (None, "2021-02-03")], "t string, d string")
+    got = df.select(text.fold(F.col("t")).alias("t"), text.parse_date(F.col("d"), ["yyyy-MM-dd"], day_first=True).cast("string").alias("d")).collect()
+    assert [tuple(r) for r in got] == [("VICTOR SAHIN A", "2021-02-03"), (None, "2021-02-03")]
+
+
+def test_each_source_has_its_time_to_live(spark):
+    from corduroy.operators import live
+
+    df = spark.createDataFrame([("a", "2024-01-01 00:00:00"), ("b", "2024-01-01 00:00:00"), ("c", "2024-01-01 00:00:00")], "s string, at string")
+    assert [r.s for r in live.fresh_by(df, "at", "2024-01-01 00:10:00", "s", {"a": 900, "b": 300}).collect()] == ["a"]
+
+
+def test_runs_of_a_folder_of_configurations_are_tried_again(spark, tmp_path):
+    from corduroy import pipeline
+
+    (tmp_path / "x.yaml").write_text("source: {source_type: nothing, path: none}\ncontract: {columns: {}}\nquality: {required: []}\nrow_id: id\n")
+    datasets = pipeline.load_config(str(tmp_path))
+    (result,) = pipeline.run_all(spark, datasets, f"file://{tmp_path}/lake", "2024-01-01")
+    assert list(datasets) == ["x"] and result["status"] == "FAILED" and result["run_id"].endswith("-1")
