@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontaminate, language, near, passages, pieces, pii, quality, tokens, topk, warc
+from . import decontaminate, divergence, filters, language, mixing, near, passages, pieces, pii, quality, tokens, topk, warc
 
-ORACLE: dict[str, str] = {"op6_topk": topk.ORACLE}
+ORACLE: dict[str, str] = {
+    "op6_topk": topk.ORACLE,
+    "op11_mix_sources": mixing.ORACLE,
+    "op12_filter_audit": filters.ORACLE,
+    "op13_source_divergence": divergence.ORACLE,
+}
 
 
 def queries() -> dict:
@@ -19,6 +24,9 @@ def queries() -> dict:
         "op8_quality": quality.op8_quality,
         "op9_token_binary": tokens.op9_token_binary,
         "op10_sentencepiece": pieces.op10_sentencepiece,
+        "op11_mix_sources": mixing.op11_mix_sources,
+        "op12_filter_audit": filters.op12_filter_audit,
+        "op13_source_divergence": divergence.op13_source_divergence,
     }
 
 
