@@ -4,9 +4,10 @@ One pattern finds candidates in whole texts; each is validated by its kind and r
 equal values stay equal in every document. Numbers and dates go through a keyed Feistel network: the value's rank in its format is
 a pair (l, r) from Z_a x Z_b, and ROUNDS rounds add keyed digests of one half to the other, which permutes the format's values.
 
-* card: 13 to 19 digits with a right Luhn sum; the first digit stays, the check digit is made anew, separators stay.
+* card: 13 to 19 digits with a right Luhn sum, in one, in fours or as 4-6-5 and 4-6-4; the first digit stays, the check digit is made anew, separators stay.
 * phone: North American numbers within (area, exchange, line), with or without +1; other international ones keep two digits.
-* ssn: valid area, group and serial. ipv4: four octets. date: yyyy-mm-dd, dd/mm/yyyy or mm/dd/yyyy (also with dots), 1900 to 2099.
+* ssn: valid area, group and serial. ipv4: four octets. date: yyyy-mm-dd, dd/mm/yyyy, dd.mm.yyyy, or mm/dd/yyyy where it can't be
+  dd/mm/yyyy, 1900 to 2099; each written form is permuted in itself.
 * email: keyed digests for name and host. secret: access keys and values given to password, token, secret or api_key, by keyed
   digests of the same length.
 
@@ -24,9 +25,10 @@ from .common import table
 ROUNDS = 8
 KINDS = ("card", "date", "email", "ipv4", "phone", "secret", "ssn")
 
-_ADDRESS = "A-Za-z0-9._%+\\-"
+_ADDRESS = "\\p{L}\\p{M}\\p{N}._%+\\-"
+_HOST = "[\\p{L}\\p{M}\\p{N}\\-]++"
 PATTERN = "|".join([
-    f"(?<![{_ADDRESS}])[{_ADDRESS}]{{1,64}}+@[A-Za-z0-9\\-]++(?:\\.[A-Za-z0-9\\-]++)*\\.[A-Za-z]{{2,24}}",
+    f"(?<![{_ADDRESS}])[{_ADDRESS}]{{1,64}}+@{_HOST}(?:\\.{_HOST})*\\.\\p{{L}}{{2,24}}",
     "(?<![A-Za-z0-9])(?:AKIA|ASIA)[A-Z0-9]{16}(?![A-Za-z0-9])",
     "(?i:password|passwd|pwd|token|secret|api[_\\-]?key)[\"']?[ \\t]{0,3}[=:][ \\t]{0,3}[\"']?(?=[A-Za-z_\\-]{0,60}[0-9])[A-Za-z0-9_\\-]{8,}+",
     "(?<![0-9.])(?:[0-9]{1,3}\\.){3}[0-9]{1,3}(?![0-9]|\\.[0-9])",
@@ -39,6 +41,7 @@ PATTERN = "|".join([
     "(?<![0-9A-Za-z\\-])[0-9]{3}[.\\-][0-9]{3}[.\\-][0-9]{4}(?![0-9\\-])",
     "(?<![0-9A-Za-z\\-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9\\-])",
     "(?<![0-9A-Za-z])[0-9]{4}([ \\-])[0-9]{4}[ \\-][0-9]{4}[ \\-][0-9]{1,7}(?![0-9A-Za-z])",
+    "(?<![0-9A-Za-z])[0-9]{4}([ \\-])[0-9]{6}[ \\-][0-9]{4,5}(?![0-9A-Za-z])",
     "(?<![0-9A-Za-z])[0-9]{13,19}(?![0-9A-Za-z])",
 ])
 #: What every candidate holds at least; texts without it are not searched.
@@ -97,14 +100,17 @@ def pseudonym_sql(key: str) -> str:
     part = lambda n: f"cast(split(m, '[.]')[{n}] as bigint)"
     ip = f"if(exists(split(m, '[.]'), o -> cast(o as int) > 255), {none}, " + _let(_feistel("ipv4", f"{part(0)} * 256 + {part(1)}", f"{part(2)} * 256 + {part(3)}", "65536", "65536", k), "p", answer("ipv4", "concat_ws('.', cast(p.l div 256 as string), cast(p.l % 256 as string), cast(p.r div 256 as string), cast(p.r % 256 as string))")) + ")"
 
-    # the 73,049 days from 1900-01-01 to 2099-12-31 are all but two of the ranks in Z_319 x Z_229: a rank beyond them is permuted again
-    def date(form: str, otherwise: str) -> str:
+    # The 73,049 days from 1900-01-01 to 2099-12-31 are all but two of the ranks in Z_319 x Z_229: a rank beyond them is permuted
+    # again. mm/dd/yyyy is read only where the day is over 12, as dd/mm/yyyy goes first; such days are permuted again until they come
+    # to one of their own, so that they stay apart from all that dd/mm/yyyy can be (a walk of over 64 steps has odds under 1e-25).
+    def date(form: str, otherwise: str, own: str = "") -> str:
         day = f"datediff(cast(try_to_timestamp(m, '{form}') as date), date'1900-01-01')"
         once = _let(_feistel("date", "v div 229", "v % 229", "319", "229", k), "p", "p.l * 229 + p.r")
-        moved = f"aggregate(sequence(1, 3), cast(t as bigint), (v, i) -> if(i > 1 and v < 73049, v, {once}))"
+        moved = f"aggregate(sequence(1, {64 if own else 3}), cast(t as bigint), (v, i) -> if(i > 1 and v < 73049{own}, v, {once}))"
         return _let(day, "t", f"if(t between 0 and 73048, {answer('date', f"date_format(date_add(date'1900-01-01', cast({moved} as int)), '{form}')")}, {otherwise})")
 
-    dates = f"case when m like '____-__-__' then {date('yyyy-MM-dd', none)} when m like '__/__/____' then {date('dd/MM/yyyy', date('MM/dd/yyyy', none))} else {date('dd.MM.yyyy', none)} end"
+    american_day = date("MM/dd/yyyy", none, " and day(date_add(date'1900-01-01', cast(v as int))) > 12")
+    dates = f"case when m like '____-__-__' then {date('yyyy-MM-dd', none)} when m like '__/__/____' then {date('dd/MM/yyyy', american_day)} else {date('dd.MM.yyyy', none)} end"
 
     ten = "right(d, 10)"
     area, rest = f"cast(substr({ten}, 1, 3) as bigint)", f"(cast(substr({ten}, 4, 3) as bigint) - 200) * 10000 + cast(substr({ten}, 7, 4) as bigint)"

@@ -217,6 +217,27 @@ def test_dates_are_permuted_among_themselves(spark):
     assert tuple(out) == (73049, "1900-01-01", "2099-12-31", 1)
 
 
+@pytest.mark.parametrize("form", ["/", "."])
+def test_dates_of_one_written_form_never_meet(spark, form):
+    """All days as dd/mm/yyyy and, where that reads as no date, as mm/dd/yyyy: as many outputs as inputs, each of its own reading."""
+    days = [datetime.date(1900, 1, 1) + datetime.timedelta(i) for i in range(73049)]
+    values = [d.strftime(f"%d{form}%m{form}%Y") for d in days] + [d.strftime("%m/%d/%Y") for d in days if d.day > 12 and form == "/"]
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.text for r in pii.pseudonymise(rows, "k").collect()}
+    assert len(set(got.values())) == len(values) == len(set(values)) and set(got.values()) == set(values)
+    assert all((int(got[i][3:5]) > 12) == (int(v[3:5]) > 12) for i, v in enumerate(values))
+
+
+def test_grouped_cards_and_foreign_hosts(spark):
+    texts = ["pay 3782 822463 10005 now", "pay 3782-822463-10005.", "pay 3056 930902 5904 now", "pay 3782 822463 10006 now", "write to x@münchen.de, please", "an josé@correo.example.es."]
+    got = [r.text for r in pii.pseudonymise(docs(spark, texts), "k").orderBy("doc_id").collect()]
+    assert all(a != b for a, b, i in zip(got, texts, range(9)) if i != 3) and got[3] == texts[3]
+    for g in got[:3]:
+        d = re.sub("[^0-9]", "", g)
+        assert luhn(d) and d[0] == "3"
+    assert re.fullmatch("pay [0-9]{4} [0-9]{6} [0-9]{5} now", got[0]) and "münchen" not in got[4] and got[4].endswith(".example, please") and "josé" not in got[5]
+
+
 # --- 3 WARC
 
 
