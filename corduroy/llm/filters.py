@@ -91,12 +91,15 @@ def repeated_texts(docs: DataFrame, facts: DataFrame, path: str, hashed=F.xxhash
         shared = materialize(left.groupBy(*key).agg(F.count("*").alias("m")).where("m > 1").drop("m"), f"{path}/shared-{k + 1}")
         left = materialize(left.join(shared, key, "left_semi"), f"{path}/left-{k + 1}")
     left = left.select("doc_id", "n", "c")
-    texts = _digested(docs, hashed).select("doc_id", "n", "c", "text").join(left.distinct(), ["doc_id", "n", "c"], "left_semi")
+    # by merging at every size: all texts are shuffled once, those that share nothing are dropped before they are grouped
+    texts = _digested(docs, hashed).select("doc_id", "n", "c", "text").join(left.distinct().hint("merge"), ["doc_id", "n", "c"], "left_semi")
     classes = materialize(texts.groupBy("n", "c", "text").agg(F.min("doc_id").alias("first")), f"{path}/classes")
     count = materialize(classes.groupBy("n", "c").agg(F.count("*").alias("texts"), F.min("first").alias("first")), f"{path}/count")
-    alike = left.join(count.where("texts = 1"), ["n", "c"])
-    clash = texts.join(classes.join(count.where("texts > 1").select("n", "c"), ["n", "c"], "left_semi"), ["n", "c", "text"])
-    return alike.select("doc_id", "n", "c", "first").unionByName(clash.select("doc_id", "n", "c", "first")).where("doc_id > first").select("doc_id", "n", "c").distinct()
+    found = left.join(count.where("texts = 1"), ["n", "c"]).select("doc_id", "n", "c", "first")
+    clashes = count.where("texts > 1").select("n", "c")
+    if not clashes.isEmpty():  # different texts with equal hashes of all blocks: found by the text itself
+        found = found.unionByName(texts.join(classes.join(clashes, ["n", "c"], "left_semi"), ["n", "c", "text"]).select("doc_id", "n", "c", "first"))
+    return found.where("doc_id > first").select("doc_id", "n", "c").distinct()
 
 
 def interactions(counts: DataFrame) -> DataFrame:
