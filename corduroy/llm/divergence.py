@@ -222,7 +222,7 @@ def source_divergence(docs: DataFrame, path: str) -> DataFrame:
     numbers.repartition("deck").write.partitionBy("deck").parquet(f"{path}/decks")
     found = materialize(occurrences(docs.join(size, "lang"), f"{path}/decks"), f"{path}/found")
 
-    langs = found.groupBy("lang").agg(F.sum("n").alias("total"))
+    langs = materialize(found.groupBy("lang").agg(F.sum("n").alias("total")).join(size.select("lang", "v"), "lang"), f"{path}/langs")
     own = found.groupBy("lang", "source").agg(F.sum("n").alias("n_source"))
     occurring = docs.groupBy("lang", "source").agg(F.count("*").alias("rows")).drop("rows")
     groups = occurring.join(own, ["lang", "source"], "left").join(size.select("lang", "v"), "lang", "left")
@@ -236,7 +236,7 @@ def source_divergence(docs: DataFrame, path: str) -> DataFrame:
     pairs = materialize(_pair_sums(postings.drop("n"), groups, counted, kept, path), f"{path}/pairs")
     pairs = pairs.select("lang", F.explode(F.array(F.struct(F.col("a").alias("source"), F.col("b").alias("item")), F.struct(F.col("b").alias("source"), F.col("a").alias("item")))).alias("x"), "value").select("lang", "x.source", F.lit("pair").alias("part"), "x.item", "value")
 
-    whole = postings.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(langs.join(size.select("lang", "v"), "lang"), "lang")
+    whole = postings.groupBy("lang", "term").agg(F.sum("n").alias("n")).join(langs, "lang")
     whole = whole.select("lang", "term", probability(F.col("n"), F.col("total"), F.col("v")).alias("q"))
     more = postings.join(whole, ["lang", "term"]).where("p > q").select("lang", "source", F.lit("term").alias("part"), F.col("term").alias("item"), (F.col("p") - F.col("q")).alias("value"))
 
