@@ -6,73 +6,143 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.geo import KM_PER_DEGREE, local_km
+from .graph import components
 from .spatial import radius_pairs
 
 
 def candidates(a: DataFrame, b: DataFrame, radius_km: float, days: int) -> DataFrame:
-    """(a_id, b_id, dist_km, gap_days) of events (id, fecha, lat, lon) near in place and time; nulls match nothing.
+    """(a_id, b_id, dist_km, gap_days, at_a, at_b) of events (id, fecha, lat, lon) near in place and time; nulls match nothing.
 
-    Pairs meet by cell and day: every a goes to the days within the tolerance, so a busy place's history is no bucket of its own.
+    at_a and at_b number the cell and block of days in which either event lies.
+
+    Pairs meet by cell and block of days, as wide as the tolerances, so a busy place's history is no bucket of its own.
     """
     known = "fecha IS NOT NULL AND lat IS NOT NULL AND lon IS NOT NULL"
-    left = b.where(known).select(F.col("id").alias("b_id"), F.to_date("fecha").alias("day"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon"))
-    right = a.where(known).select(F.col("id").alias("a_id"), F.to_date("fecha").alias("a_day"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
-    right = right.withColumn("day", F.explode(F.transform(F.sequence(F.lit(-days), F.lit(days)), lambda k: F.date_add("a_day", k))))
-    near = radius_pairs(left, right, ("b_lat", "b_lon"), ("a_lat", "a_lon"), radius_km / KM_PER_DEGREE, also=["day"])
-    dist = local_km(F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon"))
-    return near.select("a_id", "b_id", dist.alias("dist_km"), F.abs(F.datediff("a_day", "day")).cast("long").alias("gap_days"))
-
-
-#: Pairs that one task settles at the end of one_to_one, some 3 MB.
-LAST_PAIRS = 100_000
+    day, block = F.datediff(F.to_date("fecha"), F.lit("1970-01-01").cast("date")), F.floor(F.col("day") / max(days, 1))
+    left = b.where(known).select(F.col("id").alias("b_id"), day.alias("day"), F.col("lat").alias("b_lat"), F.col("lon").alias("b_lon")).withColumn("block", block)
+    right = a.where(known).select(F.col("id").alias("a_id"), day.alias("day"), F.col("lat").alias("a_lat"), F.col("lon").alias("a_lon"))
+    right = right.withColumn("block", F.explode(F.sequence(block - 1, block + 1)) if days else block).withColumnRenamed("day", "a_day")
+    near = radius_pairs(left, right, ("b_lat", "b_lon"), ("a_lat", "a_lon"), radius_km / KM_PER_DEGREE, also=["block"], tasks=_tasks(a))
+    dist, gap = local_km(F.col("b_lat"), F.col("b_lon"), F.col("a_lat"), F.col("a_lon")), F.abs(F.col("a_day") - F.col("day"))
+    at = lambda side, on: F.xxhash64(*[F.floor(F.col(f"{side}_{c}") / (radius_km / KM_PER_DEGREE)) for c in ("lat", "lon")], F.floor(F.col(on) / max(days, 1)))
+    return near.where(gap <= days).select("a_id", "b_id", dist.alias("dist_km"), gap.cast("long").alias("gap_days"), at("a", "a_day").alias("at_a"), at("b", "day").alias("at_b"))
+
+
+def _tasks(df: DataFrame) -> int:
+    """Tasks for steps whose work their bytes don't tell."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+#: Pairs that one task settles: those of a component, or all if there are no more.
+SETTLED_PAIRS = 1_000_000
+
+
+def _settle(batches):
+    """Of pairs sorted by group, b, distance and a: each b takes its first free a, in each cell of the pair's bits at once."""
+    group, served, b, taken = object(), 0, object(), {}
+    for pdf in batches:
+        out = []
+        for g, x, y, cells in zip(pdf["part"].tolist(), pdf["a_id"].tolist(), pdf["b_id"].tolist(), pdf["cells"].tolist()):
+            if g != group:
+                group, b, taken = g, object(), {}
+            if y != b:
+                b, served = y, 0
+            free = cells & ~served
+            if free:
+                was = taken.get(x, 0)
+                free &= ~was
+                served |= free
+                taken[x] = was | free
+            out.append(free)
+        pdf["cells"] = out
+        yield pdf[pdf["cells"] != 0]
+
+
+def _parts(pairs: DataFrame, write) -> tuple[DataFrame, DataFrame]:
+    """pairs with ``part``, a number of the connected component of their at_a and at_b; part and size."""
+    edges = write(pairs.groupBy(F.col("at_a").alias("u"), F.col("at_b").alias("v")).agg(F.count("*").alias("n")), "edges")
+    sides = edges.select("u", F.bitwise_not("v").alias("v"))  # a number of one side is no number of the other
+    linked = components(sides, lambda df, name: write(df, f"components/{name}"))
+    sizes = write(edges.join(linked, F.col("u") == F.col("node")).groupBy(F.col("component").alias("part")).agg(F.sum("n").alias("size")), "sizes")
+    parts = pairs.join(linked.withColumnRenamed("component", "part"), F.col("at_a") == F.col("node")).drop("node")
+    return parts, sizes
+
+
+def settled(pairs: DataFrame, write) -> DataFrame:
+    """Per cell (bit of ``cells``), each b takes its nearest a that no b before it took (b in id order; equal distances: smaller a).
+
+    pairs: a_id, b_id, dist_km and cells, the tolerances that the pair meets; the result has the bits in which it is chosen. What
+    happens in a connected component of the pairs depends on nothing else: one task goes through it in order, holding the a that
+    are taken. In larger ones the pairs whose a is the b's nearest and whose b is the a's smallest are settled first; that takes
+    their a and b out, and what is left is decomposed again. Components are first looked for among groups of events, where pairs
+    bring their numbers (at_a, at_b), then among the events themselves; a digest that two events share only joins components,
+    which changes no result. ``write`` materialises a step.
+    """
+    columns = ["part", "a_id", "b_id", "dist_km", "cells"]
+    own = {"at_a": F.xxhash64("a_id"), "at_b": F.xxhash64("b_id")}
+    grouped = "at_a" in pairs.columns and "at_b" in pairs.columns
+    left, done, n = write((pairs if grouped else pairs.withColumns(own)).select(*columns[1:], *own), "pairs"), [], 0
+
+    def in_order(df: DataFrame) -> DataFrame:
+        df = df.select(*columns)
+        return df.sortWithinPartitions("part", "b_id", "dist_km", "a_id").mapInPandas(_settle, df.schema)
+
+    while True:
+        here = lambda df, name, at=n: write(df, f"round-{at}/{name}")
+        if left.count() <= SETTLED_PAIRS:
+            done.append(in_order(left.withColumn("part", F.lit(0).cast("long")).coalesce(1)))
+            break
+        parts, sizes = _parts(left, here)
+        most = sizes.agg(F.max("size")).first()[0]
+        small = parts if most <= SETTLED_PAIRS else parts.join(sizes.where(F.col("size") <= SETTLED_PAIRS), "part", "left_semi")
+        done.append(here(in_order(small.repartition(_tasks(parts), "part")), "settled"))
+        if most <= SETTLED_PAIRS:
+            break
+        large = here(parts.join(sizes.where(F.col("size") > SETTLED_PAIRS), "part", "left_semi").select(*columns), "large")
+        if grouped:
+            left, grouped, n = here(large.select(*columns[1:]).withColumns(own), "finer"), False, n + 1
+            continue
+        each = here(large.withColumn("cell", F.explode(_bits("cells"))).drop("cells", "part"), "cells")
+        best = each.groupBy("cell", "b_id").agg(F.min(F.struct("dist_km", "a_id")).alias("m")).select("cell", "b_id", "m.*")
+        first = each.groupBy("cell", "a_id").agg(F.min("b_id").alias("b_id"))
+        chosen = here(best.join(first, ["cell", "a_id", "b_id"]), "chosen")
+        one = F.call_function("shiftleft", F.lit(1).cast("long"), F.col("cell"))
+        done.append(chosen.select(F.lit(0).cast("long").alias("part"), "a_id", "b_id", "dist_km", one.alias("cells")))
+        rest = each.join(chosen.select("cell", "a_id"), ["cell", "a_id"], "left_anti").join(chosen.select("cell", "b_id"), ["cell", "b_id"], "left_anti")
+        left, n = here(rest.groupBy("a_id", "b_id", "dist_km").agg(F.bit_or(one).alias("cells")).withColumns(own), "left"), n + 1
+    out = done[0].drop("part")
+    for more in done[1:]:
+        out = out.unionByName(more.drop("part"))
+    return out
+
+
+def _bits(column: str):
+    """The numbers of the bits that are set."""
+    return F.filter(F.sequence(F.lit(0), F.lit(62)), lambda i: F.call_function("shiftright", F.col(column), i).bitwiseAND(F.lit(1)) == 1)
 
 
 def one_to_one(pairs: DataFrame, write) -> DataFrame:
-    """Each b takes its nearest a that no b before it took (b in id order; equal distances: smaller a).
-
-    A pair is settled when its a is the b's nearest one left and its b the smallest one left for that a: nothing before it can
-    change that. Settled a and b leave with all their pairs, round after round, until a bounded rest is settled in one task.
-    ``write`` materialises a step (a function of DataFrame and name).
-    """
-
-    def settle(batches):
-        """The bounded rest, sorted by b and distance: each b takes its first free a."""
-        taken: set = set()
-        served = None
-        for pdf in batches:
-            keep = []
-            for a, b in zip(pdf["a_id"], pdf["b_id"]):
-                free = b != served and a not in taken
-                keep.append(free)
-                if free:
-                    served = b
-                    taken.add(a)
-            yield pdf[keep]
-
-    left, done, n = write(pairs.select("a_id", "b_id", "dist_km"), "pairs-0"), None, 0
-    while left.count() > LAST_PAIRS:
-        best = left.groupBy("b_id").agg(F.min(F.struct("dist_km", "a_id")).alias("m")).select("b_id", "m.*")
-        first = left.groupBy("a_id").agg(F.min("b_id").alias("b_id"))
-        settled = write(best.join(first, ["a_id", "b_id"]).select("a_id", "b_id", "dist_km"), f"settled-{n}")
-        done = settled if done is None else done.unionByName(settled)
-        n += 1
-        rest = left.join(settled.select("a_id"), "a_id", "left_anti").join(settled.select("b_id"), "b_id", "left_anti")
-        left = write(rest.select("a_id", "b_id", "dist_km"), f"pairs-{n}")
-    last = left.coalesce(1).sortWithinPartitions("b_id", "dist_km", "a_id").mapInPandas(settle, left.schema)
-    return last if done is None else done.unionByName(last)
+    """a_id, b_id, dist_km: each b with its nearest a that no b before it took; see settled."""
+    return settled(pairs.withColumn("cells", F.lit(1).cast("long")), write).drop("cells")
 
 
 def sensitivity(a: DataFrame, b: DataFrame, radii: list[float], days: list[int], write) -> DataFrame:
-    """radius_km, days and n_both for each cell of a grid of tolerances; candidates are looked up once, at the widest."""
-    near = write(candidates(a, b, max(radii), max(days)), "candidates")
-    cells = None
-    for i, r in enumerate(radii):
-        for t in days:
-            some = near.where((F.col("dist_km") <= r) & (F.col("gap_days") <= t))
-            pairs = one_to_one(some, lambda df, name, at=f"cell-{i}-{t}": write(df, f"{at}/{name}"))
-            row = pairs.agg(F.lit(r).alias("radius_km"), F.lit(t).alias("days"), F.count("*").alias("n_both"))
-            cells = row if cells is None else cells.unionByName(row)
-    return cells
+    """radius_km, days, n_both, n_union, n_naive (without matching) and n_avoided for each cell of a grid of tolerances (63 at most).
+
+    Candidates are looked up once, at the widest, and one pass settles all cells.
+    """
+    grid = [(float(r), int(t)) for r in radii for t in days]
+    if len(grid) > 63:
+        raise ValueError("a grid has 63 cells at most")
+    near = candidates(a, b, max(radii), max(days))
+    bit = lambda i, r, t: F.when((F.col("dist_km") <= r) & (F.col("gap_days") <= t), 1 << i).otherwise(0)
+    cells = sum((bit(i, r, t) for i, (r, t) in enumerate(grid)), F.lit(0).cast("long"))
+    found = settled(near.withColumn("cells", cells), write)  # all candidates lie in the widest cell
+    n = found.select(F.explode(_bits("cells")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n_both"))
+    naive = a.agg(F.count("*").alias("x")).crossJoin(b.agg(F.count("*").alias("y"))).select((F.col("x") + F.col("y")).alias("n_naive"))  # one row each
+    every = naive.select("n_naive", F.explode(F.array(*[F.struct(F.lit(i).alias("cell"), F.lit(r).alias("radius_km"), F.lit(t).alias("days")) for i, (r, t) in enumerate(grid)])).alias("g")).select("n_naive", "g.*")
+    both = F.coalesce("n_both", F.lit(0))
+    return every.join(n, "cell", "left").select("radius_km", "days", both.alias("n_both"), (F.col("n_naive") - both).alias("n_union"), "n_naive", both.alias("n_avoided"))
 
 
 def independence(a: DataFrame, b: DataFrame, columns: list[str]) -> DataFrame:

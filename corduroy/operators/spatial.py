@@ -4,9 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from ..functions.geo import edge_place, planar_m
 from ..session import steps
+from .ranks import numbered
 
 
 def interval_join(events: DataFrame, segments: DataFrame, key: str, at: str, low: str, high: str, seg_id: str, order: str, event_id: str, bucket: float) -> DataFrame:
@@ -28,12 +31,15 @@ def _cells(df: DataFrame, x: str, y: str, size: float, reach: int = 0) -> DataFr
     return df.withColumn("_cx", F.explode(F.sequence(cx - reach, cx + reach))).withColumn("_cy", F.explode(F.sequence(cy - reach, cy + reach)))
 
 
-def radius_pairs(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, distance: Column | None = None, also: list[str] | None = None) -> DataFrame:
+def radius_pairs(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float, distance: Column | None = None, also: list[str] | None = None, tasks: int | None = None) -> DataFrame:
     """All pairs within the radius (inclusive), with ``_d``: planar distance, or the expression given.
 
     Cells are as wide as the radius and the right side goes to its 3 x 3 neighbours; ``also`` names further columns to join on.
+    With ``tasks`` the cells are dealt to so many, where pairs are many times their events and sizes in bytes tell little.
     """
     a, b = _cells(left, *left_xy, radius), _cells(right, *right_xy, radius, reach=1)
+    if tasks:
+        a, b = (x.repartition(tasks, "_cx", "_cy", *(also or [])) for x in (a, b))
     d = F.hypot(F.col(left_xy[0]) - F.col(right_xy[0]), F.col(left_xy[1]) - F.col(right_xy[1])) if distance is None else distance
     return a.join(b, ["_cx", "_cy", *(also or [])]).withColumn("_d", d).where(F.col("_d") <= radius).drop("_cx", "_cy")
 
@@ -45,35 +51,88 @@ def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     return left.join(best, left_id, "left")
 
 
-def _widening(todo: DataFrame, found_at, start: float) -> DataFrame:
-    """What found_at(rows, radius) gives, for ever wider radii, until every row has been found; each round is written.
+#: Points of a leaf at least, leaves at most (of which all tasks get the boxes, some 3 MB) and leaves under one box above them.
+LEAF_POINTS, MOST_LEAVES, FANOUT = 64, 65_536, 256
 
-    found_at returns a row for each row that has a partner within the radius, under the same first column.
+
+def _leaves(points: DataFrame, x: str, y: str, key: str) -> tuple[DataFrame, list]:
+    """points with ``leaf``, and the box (leaf, x0, y0, x1, y1) of each leaf in order of leaves.
+
+    Points are sorted along a curve through a grid of 2 ** 24 columns and rows, in ranges, and cut into leaves of equal size: an
+    outlier or a dense place changes the boxes' sizes, but never how many points one holds.
     """
-    write, done, radius, n = steps(todo.sparkSession), None, start, 0
-    key = todo.columns[0]
-    todo = write(todo, "todo-0")
-    while True:
-        hit = write(found_at(todo, radius), f"hit-{n}")
-        done = hit if done is None else done.unionByName(hit)
-        n += 1
-        todo = write(todo.join(hit.select(key), key, "left_anti"), f"todo-{n}")
-        if todo.isEmpty():
-            return done
-        radius *= 2
-
-
-def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], start: float) -> DataFrame:
-    """The nearest right point at any distance: the radius doubles for what has no neighbour yet, until every row has one."""
-    right = right.where(F.col(right_xy[0]).isNotNull() & F.col(right_xy[1]).isNotNull())
+    low = points.agg(F.min(x).alias("x0"), F.max(x).alias("x1"), F.min(y).alias("y0"), F.max(y).alias("y1"), F.count("*").alias("n")).first()
+
+    def bits(c: str, least: float, most: float) -> Column:
+        """The column's place in the grid with a zero bit after each of its bits."""
+        v = F.floor((F.col(c) - least) / (most - least) * F.lit(float(2**24 - 1))) if most > least else F.lit(0).cast("long")
+        for shift, mask in ((16, 0x0000FFFF0000FFFF), (8, 0x00FF00FF00FF00FF), (4, 0x0F0F0F0F0F0F0F0F), (2, 0x3333333333333333), (1, 0x5555555555555555)):
+            v = v.bitwiseOR(F.shiftleft(v, shift)).bitwiseAND(F.lit(mask))
+        return v
+
+    size = max(LEAF_POINTS, -(-low.n // MOST_LEAVES))
+    coded = points.withColumn("_code", bits(x, low.x0, low.x1).bitwiseOR(F.shiftleft(bits(y, low.y0, low.y1), 1)))
+    placed = numbered(coded, ["_code", x, y, key], "_i").withColumn("leaf", F.floor(F.col("_i") / size)).drop("_code", "_i")
+    placed = steps(points.sparkSession)(placed, "leaves")
+    boxes = placed.groupBy("leaf").agg(F.min(x).alias("x0"), F.min(y).alias("y0"), F.max(x).alias("x1"), F.max(y).alias("y1"))
+    return placed, sorted(tuple(r) for r in boxes.collect())  # MOST_LEAVES rows at most
+
+
+def _bounds(x, y, x0, y0, x1, y1):
+    """Least distance of a place to a box, and a distance within which something in it lies, as each side of a box touches something."""
+    import numpy as np
+
+    zero = np.zeros(1)
+    least = np.hypot(np.maximum(zero, np.maximum(x0 - x, x - x1)), np.maximum(zero, np.maximum(y0 - y, y - y1)))
+    ax, bx, ay, by = np.abs(x - x0), np.abs(x - x1), np.abs(y - y0), np.abs(y - y1)
+    return least, np.minimum(np.hypot(np.minimum(ax, bx), np.maximum(ay, by)), np.hypot(np.maximum(ax, bx), np.minimum(ay, by)))
+
+
+def near_leaves(x, y, boxes):
+    """Numbers (i, k) of places and boxes that may hold a place's nearest neighbour; boxes are looked up in two levels."""
+    import numpy as np
+
+    starts = np.arange(0, len(boxes), FANOUT)
+    above = np.concatenate([np.minimum.reduceat(boxes[:, :2], starts), np.maximum.reduceat(boxes[:, 2:], starts)], 1)
+    least, within = _bounds(x[:, None], y[:, None], *above.T[:, None])
+    i, j = np.nonzero(least <= within.min(1)[:, None] * (1 + 1e-9))
+    n = np.minimum(starts[j] + FANOUT, len(boxes)) - starts[j]
+    k = np.repeat(starts[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+    i = np.repeat(i, n)
+    least, within = _bounds(x[i], y[i], *boxes[k].T)
+    first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
+    best = np.repeat(np.minimum.reduceat(within, first), np.diff(np.append(first, len(i))))
+    keep = least <= best * (1 + 1e-9)
+    return i[keep], k[keep]
+
+
+def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str]) -> DataFrame:
+    """left with the id and ``dist`` of the nearest right point at any distance (ties: smaller id); null without place or neighbours.
+
+    Right points are cut into leaves with boxes. A place goes to the leaves whose box is no farther than the nearest point can be,
+    one to three as a rule, and meets their points only.
+    """
+    right = right.select(right_id, *right_xy).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in right_xy))
     if right.isEmpty():
         return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
+    placed, found = _leaves(right, *right_xy, right_id)
+    todo = left.select(left_id, *[F.col(c).cast("double").alias(c) for c in left_xy]).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in left_xy))
+    shared = left.sparkSession.sparkContext.broadcast(found)
+
+    def meet(batches):
+        import numpy as np
 
-    def found_at(todo: DataFrame, radius: float) -> DataFrame:
-        return nearest_join(todo, right, left_id, right_id, left_xy, right_xy, radius).where(F.col(right_id).isNotNull()).select(left_id, right_id, "dist")
+        boxes = np.array([b[1:] for b in shared.value], float)
+        for pdf in batches:
+            for at in range(0, len(pdf), 512):
+                some = pdf.iloc[at : at + 512]
+                i, k = near_leaves(some[left_xy[0]].to_numpy(float), some[left_xy[1]].to_numpy(float), boxes)
+                yield some.iloc[i].assign(leaf=k)
 
-    todo = left.where(F.col(left_xy[0]).isNotNull() & F.col(left_xy[1]).isNotNull()).select(left_id, *left_xy)
-    return left.join(_widening(todo, found_at, start), left_id, "left")
+    sent = todo.mapInPandas(meet, T.StructType([*todo.schema.fields, T.StructField("leaf", T.LongType())]))
+    d = F.hypot(F.col(left_xy[0]) - F.col(right_xy[0]), F.col(left_xy[1]) - F.col(right_xy[1]))
+    best = sent.join(placed, "leaf").withColumn("_d", d).groupBy(left_id).agg(F.min(F.struct("_d", right_id)).alias("_m"))
+    return left.join(best.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m._d").alias("dist")), left_id, "left")
 
 
 def nearest_metres(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limit_m: float = 2000.0, lat0: float = -10.0) -> DataFrame:
@@ -91,27 +150,34 @@ def box_counts(left: DataFrame, right: DataFrame, left_id: str, left_xy: tuple[s
     return left.select(left_id).join(n, left_id, "left").select(left_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
-def project_on_route(points: DataFrame, edges: DataFrame, point_id: str, route: str, start: float) -> DataFrame:
+def project_on_route(points: DataFrame, edges: DataFrame, point_id: str, route: str) -> DataFrame:
     """Nearest edge of the same route for each point (x, y): edges hold edge_id, km0, km1, x0, y0, x1, y1; gives km and dist.
 
-    Edges go to the cells that their boxes, widened by a radius, touch; the radius doubles for points without an edge in it. Equal
-    distances (to nine decimals) go to the smaller edge_id; points without place or whose route has no edge are left out.
+    A route's edges are cut, in order of km0, into about as many stretches as each has edges, with a box around each. A point goes
+    to the stretches whose box is no farther than its nearest edge can be. Equal distances (to nine decimals) go to the smaller
+    edge_id; points without place or whose route has no edge are left out.
     """
+    n = edges.groupBy(route).agg(F.count("*").alias("_n"))
+    order = Window.partitionBy(route).orderBy("km0", "edge_id")
+    placed = edges.join(n, route).withColumn("_leaf", F.floor((F.row_number().over(order) - 1) / F.ceil(F.sqrt("_n")))).drop("_n")
+    placed = steps(edges.sparkSession)(placed, "edges")
+    sides = (F.min(F.least("x0", "x1")).alias("x0"), F.min(F.least("y0", "y1")).alias("y0"), F.max(F.greatest("x0", "x1")).alias("x1"), F.max(F.greatest("y0", "y1")).alias("y1"))
+    boxes = placed.groupBy(route, "_leaf").agg(*sides).groupBy(route).agg(F.collect_list(F.struct("_leaf", "x0", "y0", "x1", "y1")).alias("_boxes"))
+
+    zero = F.lit(0.0)
+    far = lambda c, a, b: F.greatest(F.abs(F.col(c) - a), F.abs(F.col(c) - b))
+    near = lambda c, a, b: F.least(F.abs(F.col(c) - a), F.abs(F.col(c) - b))
+    out = lambda c, a, b: F.greatest(zero, a - F.col(c), F.col(c) - b)
+    least = lambda b: F.hypot(out("x", b["x0"], b["x1"]), out("y", b["y0"], b["y1"]))
+    within = lambda b: F.least(F.hypot(near("x", b["x0"], b["x1"]), far("y", b["y0"], b["y1"])), F.hypot(far("x", b["x0"], b["x1"]), near("y", b["y0"], b["y1"])))
+    known = points.where("x IS NOT NULL AND y IS NOT NULL AND NOT isnan(x) AND NOT isnan(y)").select(point_id, route, "x", "y")
+    bound = known.join(boxes, route).withColumn("_most", F.array_min(F.transform("_boxes", within)))
+    sent = bound.select(point_id, route, "x", "y", F.explode(F.transform(F.filter("_boxes", lambda b: least(b) <= F.col("_most") * (1 + 1e-9) + 1e-9), lambda b: b["_leaf"])).alias("_leaf"))
+    t, d = edge_place(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
     km = F.col("km0") + F.col("_t") * (F.col("km1") - F.col("km0"))
-
-    def found_at(todo: DataFrame, radius: float) -> DataFrame:
-        def cells(low: str, high: str) -> Column:
-            return F.explode(F.sequence(F.floor((F.least(low, high) - radius) / radius), F.floor((F.greatest(low, high) + radius) / radius)))
-
-        spread = edges.withColumn("_cx", cells("x0", "x1")).withColumn("_cy", cells("y0", "y1"))
-        at = todo.withColumn("_cx", F.floor(F.col("x") / radius)).withColumn("_cy", F.floor(F.col("y") / radius))
-        t, d = edge_place(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
-        near = at.join(spread, [route, "_cx", "_cy"]).withColumn("_t", t).withColumn("_d", d).where(F.col("_d") <= radius)
-        best = near.groupBy(point_id).agg(F.min(F.struct(F.round("_d", 9).alias("tie"), "edge_id", km.alias("km"), F.col("_d").alias("dist"))).alias("_m"))
-        return best.select(point_id, "_m.edge_id", "_m.km", "_m.dist")
-
-    known = points.where("x IS NOT NULL AND y IS NOT NULL").select(point_id, route, "x", "y").join(edges.select(route).distinct(), route, "left_semi")
-    return _widening(known.select(point_id, route, "x", "y"), found_at, start)
+    each = sent.join(placed, [route, "_leaf"]).withColumn("_t", t).withColumn("_d", d)
+    best = each.groupBy(point_id).agg(F.min(F.struct(F.round("_d", 9).alias("tie"), "edge_id", km.alias("km"), F.col("_d").alias("dist"))).alias("_m"))
+    return best.select(point_id, "_m.edge_id", "_m.km", "_m.dist")
 
 
 def first_containing(names: DataFrame, places: DataFrame) -> DataFrame:

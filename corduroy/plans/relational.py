@@ -193,7 +193,7 @@ def j_nearest_bounded(spark, d):
 
 @query(f"SELECT c_custkey, s_suppkey, round(dist, 6) AS dist FROM (SELECT c_custkey, s_suppkey, sqrt(power(lat - lat2, 2) + power(lon - lon2, 2)) AS dist, row_number() OVER (PARTITION BY c_custkey ORDER BY sqrt(power(lat - lat2, 2) + power(lon - lon2, 2)), s_suppkey) AS n FROM ({POINTS}), ({TOLLS})) WHERE n = 1")
 def j_nearest_unbounded(spark, d):
-    return S.nearest_any(rows(spark, d, POINTS), rows(spark, d, TOLLS), "c_custkey", "s_suppkey", ("lat", "lon"), ("lat2", "lon2"), 2.0).select("c_custkey", "s_suppkey", r6("dist").alias("dist"))
+    return S.nearest_any(rows(spark, d, POINTS), rows(spark, d, TOLLS), "c_custkey", "s_suppkey", ("lat", "lon"), ("lat2", "lon2")).select("c_custkey", "s_suppkey", r6("dist").alias("dist"))
 
 
 @query(f"SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM ({POINTS}), ({TOLLS}) WHERE sqrt(power(lat - lat2, 2) + power(lon - lon2, 2)) <= 1.0 GROUP BY 1")
@@ -220,7 +220,7 @@ t AS (SELECT *, least(1, greatest(0, ((x - x0) * dx + (y - y0) * dy) / (dx * dx
 q AS (SELECT c_custkey, edge_id, km0 + t * (km1 - km0) AS km, sqrt(power(x - (x0 + t * dx), 2) + power(y - (y0 + t * dy), 2)) AS dist FROM t)
 SELECT c_custkey, edge_id, round(km, 6) AS km, round(dist, 6) AS dist FROM q QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(dist, 9), edge_id) = 1""")
 def j_polyline_project(spark, d):
-    at = S.project_on_route(rows(spark, d, XY), rows(spark, d, EDGES), "c_custkey", "r", 2.0)
+    at = S.project_on_route(rows(spark, d, XY), rows(spark, d, EDGES), "c_custkey", "r")
     return at.select("c_custkey", "edge_id", r6("km").alias("km"), r6("dist").alias("dist"))
 
 

@@ -1,9 +1,14 @@
-"""Live events as streams: windows, duplicate suppression, incremental archive."""
+"""Live events as streams: windows, counters, duplicate suppression, incremental archive, replays of what is stored."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor
+
+from ..functions.geo import KM_PER_DEGREE
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -16,12 +21,95 @@ def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def counters(alerts: DataFrame, by: str = "estado") -> DataFrame:
+    """Live counters: alerts so far by state (for update or complete mode)."""
+    return alerts.groupBy(by).agg(F.count("*").alias("n"))
+
+
+def new_alerts(alerts: DataFrame, keys: list[str], stamp: str = "polled_at", keep: str = "30 days") -> DataFrame:
+    """Alerts whose key has not been seen within the time; what is seen is kept as state and expires with the watermark."""
+    return alerts.withWatermark(stamp, keep).dropDuplicatesWithinWatermark(keys)
+
+
 def suppress_duplicates(reports: DataFrame, cell: float = 0.0015, within: str = "10 minutes") -> DataFrame:
-    """The first report of a type in a cell within the time; neighbours across a cell's edge are not compared."""
+    """The first report of a type in a cell within the time; neighbours across a cell's edge are not compared (see repeated_stream)."""
     cells = reports.withColumn("cell_lat", F.floor(F.col("lat") / cell)).withColumn("cell_lon", F.floor(F.col("lon") / cell))
     return cells.withWatermark("ts", within).dropDuplicatesWithinWatermark(["tipo", "cell_lat", "cell_lon"])
 
 
+REPORT = "id long, tipo string, lat double, lon double, ts timestamp"
+
+
+class NearReports(StatefulProcessor):
+    """Of the reports of a type that reach a cell, those that live in it, each with whether a smaller id lies near in place and time.
+
+    A report waits until the watermark has passed its time by ``seconds``, so that all it is compared with have come; it is kept for
+    as long again for the sake of those that still wait. State is a cell's reports of four times ``seconds`` at most.
+    """
+
+    def __init__(self, radius_km: float, seconds: int):
+        self.radius_km, self.seconds = radius_km, seconds
+
+    def init(self, handle) -> None:
+        from pyspark.sql import types as T
+
+        self.handle = handle
+        kinds = {"id": T.LongType(), "lat": T.DoubleType(), "lon": T.DoubleType(), "t": T.DoubleType(), "own": T.BooleanType(), "told": T.BooleanType()}
+        self.kept = handle.getListState("kept", T.StructType([T.StructField(*x) for x in kinds.items()]))
+
+    def _rows(self) -> list:
+        return [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator:
+        new = [(int(i), float(y), float(x), float(t), bool(o), False) for pdf in rows for i, y, x, t, o in zip(pdf["id"], pdf["lat"], pdf["lon"], pdf["t"], pdf["own"])]
+        self.kept.appendList(new)
+        for t in {r[3] for r in new if r[4]}:
+            self.handle.registerTimer(int((t + self.seconds) * 1000) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
+        import pandas as pd
+
+        rows, now = self._rows(), timerValues.getCurrentWatermarkInMs() / 1000
+        due = [r for r in rows if r[4] and not r[5] and r[3] + self.seconds < now]
+        out = [(r[0], key[0], any(o[0] < r[0] and abs(o[3] - r[3]) <= self.seconds and _haversine(o, r) <= self.radius_km for o in rows)) for r in due]
+        told = {r[0] for r in due}
+        left = [(*r[:5], r[5] or r[0] in told) for r in rows if r[3] + 2 * self.seconds >= now]
+        if left:
+            self.kept.put(left)
+        else:
+            self.kept.clear()
+        if out:
+            yield pd.DataFrame(out, columns=["id", "tipo", "repeated"])
+
+    def close(self) -> None:
+        pass
+
+
+def _haversine(a, b) -> float:
+    from math import asin, cos, radians, sin, sqrt
+
+    from ..functions.geo import EARTH_KM
+
+    h = sin((radians(b[1]) - radians(a[1])) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin((radians(b[2]) - radians(a[2])) / 2) ** 2
+    return 2 * EARTH_KM * asin(sqrt(min(1.0, h)))
+
+
+def repeated_stream(reports: DataFrame, radius_km: float, seconds: int, late: str = "10 minutes") -> DataFrame:
+    """id, tipo, repeated of a stream of reports (id, tipo, lat, lon, ts): whether a smaller id of the type lies near in place and time.
+
+    The same as operators.live.repeated_reports gives for the rows that are not late. A report lives in a cell and is a witness in
+    the cells around it, so comparisons are exact across edges and no key holds more than a cell of a type. Needs the RocksDB state
+    store. Reports without place, time or type come back never.
+    """
+    size = radius_km / KM_PER_DEGREE * 2
+    known = reports.where("lat IS NOT NULL AND lon IS NOT NULL AND ts IS NOT NULL AND tipo IS NOT NULL").withWatermark("ts", late)
+    cy, cx = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
+    around = F.explode(F.array(*[F.struct((cy + i).alias("cy"), (cx + j).alias("cx"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
+    spread = known.select("id", "tipo", "lat", "lon", "ts", (F.unix_micros("ts") / 1e6).alias("t"), around.alias("c")).select("id", "tipo", "lat", "lon", "ts", "t", "c.*")
+    return spread.groupBy("tipo", "cy", "cx").transformWithStateInPandas(NearReports(radius_km, seconds), "id long, tipo string, repeated boolean", "append", "EventTime")
+
+
 def archive_stream(alerts: DataFrame, path: str, keys: list[str], checkpoint: str):
     """A query that appends unseen alerts (by key) to a Parquet archive; a repeated batch adds nothing."""
 
@@ -49,3 +137,37 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     query = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").outputMode("append").trigger(availableNow=True).start(f"{path}/rows")
     query.awaitTermination()
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
+def replay(rows: DataFrame, batch: str, path: str, n: int) -> DataFrame:
+    """A stream of rows by their number in ``batch`` (0 to n - 1): one file a batch, one batch a trigger, in that order."""
+    for k in range(n):
+        rows.where(F.col(batch) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+
+
+def finished(start, rows: DataFrame, closing: DataFrame, batch: str, path: str, n: int, mode: str = "append") -> DataFrame:
+    """All that a stream gives for the n batches of rows once a closing row has moved its watermark past them.
+
+    start: from the stream of rows to the stream of results. The query stops after the batches and goes on from its checkpoint for
+    the closing row. In append mode results are Parquet files; else the last state of them is written anew with each batch.
+    """
+    spark: SparkSession = rows.sparkSession
+    out = None
+    for last in (False, True):
+        stream = replay(rows, batch, path, n) if not last else spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+        if last:
+            closing.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        out = start(stream)
+        sink = out.writeStream.option("checkpointLocation", f"{path}/checkpoint").outputMode(mode).trigger(availableNow=True)
+        if mode == "append":
+            sink.format("parquet").start(f"{path}/out").awaitTermination()
+        else:
+            sink.foreachBatch(lambda df, number: df.write.mode("overwrite").parquet(f"{path}/out")).start().awaitTermination()
+    return spark.read.schema(out.schema).parquet(f"{path}/out")
+
+
+def late_rows(came: DataFrame, counted: DataFrame, n: str) -> DataFrame:
+    """One row: n_rows that came, n_counted in the stream's results (the sum of ``n``) and n_late, the ones behind the watermark."""
+    every, held = came.agg(F.count("*").alias("n_rows")), counted.agg(F.coalesce(F.sum(n), F.lit(0)).cast("long").alias("n_counted"))
+    return every.join(F.broadcast(held)).withColumn("n_late", F.col("n_rows") - F.col("n_counted"))  # one row each
