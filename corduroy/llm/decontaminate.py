@@ -1,24 +1,29 @@
 """Benchmark decontamination by template windows, with DataFrame functions only (operator 1).
 
-Texts become templates: words in lower case without punctuation, in which numbers, names (capitalised words, at the start of
-a sentence as well) and units after a number are typed placeholders that still carry their values for later. Windows are WINDOW consecutive template
-words. A window with at least MIN_FIXED words that are no placeholders is matched as a template; one with fewer is matched by its
-words and values as they are, so that it counts for verbatim copies only. All windows of items and of documents are looked up; the
-documents so found are compared with the items, window by window with their texts, aligned by the difference of places. Two readings count. As a template: within an
-alignment each value of the item stands for one value in the document, the one that most windows bear out, and no other item value
-stands for that one; windows that say otherwise are dropped, and a document holds an item if at least ``coverage`` of the item's template windows are matched, or RUN words
-of it in a row. As a copy: the same, over all windows, of those that are matched with their values. ``n_windows``, ``n_matched``
-and ``coverage`` are those of the template reading where it suffices; ``kind`` tells copies from re-parameterised ones.
+Texts become templates: words in lower case without punctuation, in which numbers (in digits or words), names (capitalised words, at
+the start of a sentence as well; a run of them is one name) and units after a number are typed placeholders that still carry their
+values for later. Windows are WINDOW consecutive words. Two readings count. As a template: windows of template words of which
+MIN_FIXED at least are no placeholders; within an alignment (the difference of places) each value of the item stands for one value in
+the document, the one that most windows bear out, and no other item value stands for that one; windows that say otherwise are
+dropped. As a copy: windows of the words as they are, whatever their case. A document holds an item if at least ``coverage`` of the
+item's windows are matched in one reading, or RUN words of it in a row. ``n_windows``, ``n_matched`` and ``coverage`` are those of the
+template reading where it suffices; ``kind`` tells copies from re-parameterised ones, in
+which half of the values at least are others.
+
+All windows of documents are looked up, but only for the item windows that few items share: the rarest of each item, as many as every
+document that reaches the coverage must meet one of, and the rarest of each stretch that every run of RUN words covers. Only for the
+pairs so found the other windows are compared, with their texts; a window that is common to many items makes no pair by itself.
 
 Items of fewer than WINDOW words are matched as one window of their own length. Nulls and ties: null ids or texts and texts without
 words take no part; repeated rows with one doc_id count as one document with all their windows, repeated items with one item_id
-likewise; empty tables give no rows; other columns are not read.
+likewise; empty tables give no rows; other columns are not read. Texts may be of any length.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import materialize, scratch, table
 
@@ -32,60 +37,77 @@ UNITS = (
     "gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year "
     "years mph kph hz khz mhz ghz w kw kwh v volt volts watt watts c f k usd eur gbp dollar dollars euro euros cent cents percent"
 ).split()
-_MARK = "\\u0001"
+#: Words for numbers; "twenty-five" and "two hundred" are one number.
+NUMBERS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
+    "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
+).split()
 
 
 def template(text: Column) -> Column:
-    """The text's template words, joined by single spaces; placeholders are U+0001, their type (d, n or u) and the value."""
-    named = F.regexp_replace(text, "(?<![\\p{L}\\p{N}])\\p{Lu}(?=\\p{Ll})", "\u0001n$0")
+    """The text's template words, joined by single spaces; placeholders are U+0001, their type (d, n or u) and the value.
+
+    The words of a value of several words are joined by U+0002.
+    """
+    worded = F.regexp_replace(text, f"(?i)(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(NUMBERS)})(?![\\p{{L}}\\p{{N}}])", "\u0001d$0")
+    named = F.regexp_replace(worded, "(?<![\\p{L}\\p{N}])\\p{Lu}(?=\\p{Ll})", "\u0001n$0")
     numbered = F.regexp_replace(named, "(?<![\\p{L}\\p{N}\u0001.,])(?=[0-9])|(?<=[$€£])(?=[0-9])", "\u0001d")
     measured = F.regexp_replace(numbered, f"(?i)(\u0001d[0-9][0-9.,:/]*+)[ \\t\\-]?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", "$1 \u0001u$2")
     marked = F.when(text.rlike("[0-9]"), measured).otherwise(named)
-    return F.trim(F.regexp_replace(F.lower(marked), "(?:[^\\p{L}\\p{N}\u0001.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+", " "))
+    joined = F.regexp_replace(marked, " \u0001n(?<=\u0001n[\\p{L}\\p{N}]{1,40} \u0001n)", "\u0002")
+    joined = F.regexp_replace(joined, "[ \\-]\u0001d(?=\\p{L})(?<=\u0001d\\p{L}{3,9}[ \\-]\u0001d)", "\u0002")
+    return F.trim(F.regexp_replace(F.lower(joined), "(?:[^\\p{L}\\p{N}\u0001\u0002.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+", " "))
 
 
 def _words(docs: DataFrame, key: str) -> DataFrame:
-    """key, w (template words with values), c (without values), n, h (a hash of each of c), m (places of placeholders)."""
+    """key, p (words as they are), w (template words with values), c (without values), hp and hc (hashes of each of p and c), m (places of placeholders)."""
     rows = docs.where(F.col(key).isNotNull() & F.col("text").rlike("[\\p{L}\\p{N}]")).select(F.col(key).cast("long").alias(key), template(F.col("text")).alias("t"))
-    plain = F.when(F.col("t").contains("\u0001"), F.regexp_replace("t", "(\u0001[dnu])[^ ]*", "$1")).otherwise(F.col("t"))
-    words = rows.select(key, F.split("t", " ").alias("w"), F.split(plain, " ").alias("c"))
+    some = F.col("t").contains("\u0001")
+    bare = F.when(some, F.regexp_replace("t", "(\u0001[dnu])[^ ]*", "$1")).otherwise(F.col("t"))
+    plain = F.when(some, F.translate(F.regexp_replace("t", "\u0001[dnu]", ""), "\u0002", " ")).otherwise(F.col("t"))
+    words = rows.select(key, F.split(plain, " ").alias("p"), F.split("t", " ").alias("w"), F.split(bare, " ").alias("c"))
     places = "filter(transform(c, (x, i) -> if(startswith(x, '\\u0001'), i, -1)), i -> i >= 0)"
-    return words.selectExpr(key, "w", "c", "size(c) AS n", "transform(c, x -> xxhash64(x)) AS h", f"{places} AS m")
-
-
-def _valued(words: DataFrame, sizes: list[int]) -> DataFrame:
-    """words with valued_S for each size S: the places of windows with too few fixed words, which are matched by their values."""
-    for s in sizes:
-        last = f"get(m, j + {s - min(MIN_FIXED, s)})"  # the first placeholder too many, counted from the one at x
-        words = words.withColumn(f"valued_{s}", F.expr(f"array_distinct(flatten(transform(m, (x, j) -> if(n >= {s} AND {last} < x + {s}, sequence(greatest(0, {last} - {s - 1}), least(x, n - {s})), slice(m, 1, 0)))))"))
-    return words
-
-
-def _hash_sql(size: int, valued: bool) -> str:
-    """SQL for the hash of the window at place i (from 0); values count without their types, which a text's beginning can change."""
-    return f"xxhash64('values', {_text_sql(size, True)})" if valued else f"xxhash64(slice(h, i + 1, {size}))"
-
-
-def _text_sql(size: int, valued: bool) -> str:
-    """SQL for the text that the window's hash stands for."""
-    return f"regexp_replace(array_join(slice(w, i + 1, {size}), ' '), '\\u0001[dnu]', '')" if valued else f"array_join(slice(c, i + 1, {size}), ' ')"
+    return words.selectExpr(key, "p", "w", "c", "transform(p, x -> xxhash64(x)) AS hp", "transform(c, x -> xxhash64(x)) AS hc", f"{places} AS m")
 
 
 def _hashes(docs: DataFrame, sizes: list[int]) -> DataFrame:
-    """doc_id, size, hash of all windows."""
-    each = ", ".join(f"transform({places}, i -> named_struct('size', {s}, 'hash', {_hash_sql(s, valued)}))" for s in sizes for valued, places in ((False, f"if(n >= {s}, sequence(0, n - {s}), slice(m, 1, 0))"), (True, f"valued_{s}")))
-    return _valued(_words(docs, "doc_id"), sizes).selectExpr("doc_id", f"inline(concat({each}))")
+    """doc_id, size, hash of all windows of words and of those of template words that hold a placeholder (the others are among the first)."""
+    each = []
+    for s in sizes:
+        each.append(f"transform(if(size(hp) >= {s}, sequence(0, size(hp) - {s}), slice(m, 1, 0)), i -> named_struct('size', {s}, 'hash', xxhash64(slice(hp, i + 1, {s}))))")
+        held = f"array_distinct(flatten(transform(m, x -> sequence(greatest(0, x - {s - 1}), least(x, size(hc) - {s})))))"
+        each.append(f"transform(if(size(hc) >= {s}, {held}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'hash', xxhash64(slice(hc, i + 1, {s}))))")
+    return _words(docs, "doc_id").selectExpr("doc_id", f"inline(concat({', '.join(each)}))")
 
 
 def _windows(docs: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
-    """key, n, size, at, hash, valued, window (its text), slots of all windows; with whole, of texts of fewer than WINDOW words only the whole text."""
+    """key, verbatim (the reading), size, at, hash, window (its text), slots of all windows.
+
+    With whole, of texts of fewer than WINDOW words only the whole text, and no template with fewer than MIN_FIXED words that are no
+    placeholders (short texts: all words).
+    """
     each = []
     for s in sizes:
-        held = f"n >= {s}" if not whole or s == WINDOW else f"n = {s}"
-        for valued, places in ((False, f"array_except(sequence(0, n - {s}), valued_{s})"), (True, f"valued_{s}")):
-            slots = "slice(w, 1, 0)" if valued else f"filter(slice(w, i + 1, {s}), x -> x like '\\u0001%')"
-            each.append(f"transform(if({held}, {places}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'at', i, 'hash', {_hash_sql(s, valued)}, 'valued', {str(valued).lower()}, 'window', {_text_sql(s, valued)}, 'slots', {slots}))")
-    return _valued(_words(docs, key), sizes).selectExpr(key, "n", f"inline(concat({', '.join(each)}))")
+        for verbatim, words, hashes in ((True, "p", "hp"), (False, "c", "hc")):
+            held = f"size({words}) >= {s}" if not whole or s == WINDOW else f"size({words}) = {s}"
+            places = f"sequence(0, size({words}) - {s})"
+            if whole and not verbatim:
+                places = f"filter({places}, i -> size(filter(slice(c, i + 1, {s}), x -> NOT startswith(x, '\\u0001'))) >= {min(MIN_FIXED, s)})"
+            slots = "slice(w, 1, 0)" if verbatim else f"filter(slice(w, i + 1, {s}), x -> x like '\\u0001%')"
+            each.append(f"transform(if({held}, {places}, slice(m, 1, 0)), i -> named_struct('verbatim', {str(verbatim).lower()}, 'size', {s}, 'at', i, 'hash', xxhash64(slice({hashes}, i + 1, {s})), 'window', array_join(slice({words}, i + 1, {s}), ' '), 'slots', {slots}))")
+    return _words(docs, key).selectExpr(key, f"inline(concat({', '.join(each)}))")
+
+
+def _seeds(items: DataFrame, coverage: float) -> DataFrame:
+    """item_id, size, hash of the item windows that are looked up: of each reading the rarest, so that what suffices meets one of them."""
+    shared = items.groupBy("size", "hash").agg(F.count_distinct("item_id").alias("items"))
+    reading = Window.partitionBy("item_id", "verbatim")
+    rarest = ("items", "at", "hash")
+    counted = items.select("item_id", "verbatim", "size", "at", "hash").distinct().join(shared, ["size", "hash"])
+    counted = counted.withColumn("n", F.count("*").over(reading)).withColumn("place", F.row_number().over(reading.orderBy(*rarest)))
+    stretch = Window.partitionBy("item_id", "verbatim", F.floor(F.col("at") / ((RUN - WINDOW + 2) // 2))).orderBy(*rarest)
+    counted = counted.withColumn("first", F.row_number().over(stretch))
+    return counted.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * coverage) + 1) | (F.col("first") == 1)).select("item_id", "size", "hash").distinct()
 
 
 #: SQL for the most places in a row among ``places``.
@@ -109,22 +131,22 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: flo
     sizes = sorted({r["size"] for r in items.select("size").distinct().limit(WINDOW + 1).collect()})  # WINDOW at most
     if not sizes:
         return docs.sparkSession.createDataFrame([], "doc_id long, item_id long, n_windows long, n_matched long, coverage double, kind string")
-    known = items.select("size", "hash").distinct()
-    found = materialize(_hashes(docs, sizes).join(known, ["size", "hash"], "left_semi").select("doc_id").distinct(), f"{path}/found")
-
-    held = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).join(found, "doc_id", "left_semi")
-    windows = _windows(held, "doc_id", sizes).selectExpr("doc_id", "size", "at AS place", "hash", "valued", "window", "slots AS values")
-    pairs = windows.join(items, ["size", "hash", "valued", "window"]).selectExpr("doc_id", "item_id", "place - at AS shift", "at", "valued", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
-    aligned = pairs.groupBy("doc_id", "item_id", "shift").agg(F.collect_set(F.struct("at", "valued", "slots")).alias("windows"))
+    seeds = materialize(_seeds(items, coverage), f"{path}/seeds")
+    hits = materialize(_hashes(docs, sizes).join(seeds.select("size", "hash").distinct(), ["size", "hash"], "left_semi").distinct(), f"{path}/hits")
+    found = materialize(hits.join(seeds, ["size", "hash"]).select("doc_id", "item_id").distinct(), f"{path}/found")
+
+    held = docs.where("doc_id IS NOT NULL").withColumn("doc_id", F.col("doc_id").cast("long")).join(found.select("doc_id").distinct(), "doc_id", "left_semi")
+    windows = _windows(held, "doc_id", sizes).selectExpr("doc_id", "verbatim", "size", "at AS place", "hash", "window", "slots AS values")
+    wanted = found.join(items, "item_id")
+    pairs = windows.join(wanted, ["doc_id", "verbatim", "size", "hash", "window"]).selectExpr("doc_id", "item_id", "verbatim", "place - at AS shift", "at", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
+    aligned = pairs.groupBy("doc_id", "item_id", "verbatim", "shift").agg(F.collect_set(F.struct("at", "slots")).alias("windows"))
     chosen = aligned.withColumn("counted", F.expr(_COUNTED)).withColumn("picked", F.expr(_PICKED)).withColumn("chosen", F.expr(f"transform({_CHOSEN}, v -> named_struct('item', v.item, 'doc', v.doc))"))
-    fits = "filter(windows, x -> NOT x.valued AND forall(x.slots, v -> array_contains(chosen, v)))"
-    copied = "filter(windows, x -> forall(x.slots, v -> v.item = v.doc))"
-    readings = chosen.selectExpr("doc_id", "item_id", f"inline(array(named_struct('verbatim', false, 'kept', {fits}), named_struct('verbatim', true, 'kept', {copied})))")
-    placed = readings.selectExpr("doc_id", "item_id", "verbatim", "array_distinct(kept.at) AS places", "exists(flatten(kept.slots), v -> v.item != v.doc) AS changed")
+    readings = chosen.selectExpr("doc_id", "item_id", "verbatim", "filter(windows, x -> forall(x.slots, v -> array_contains(chosen, v))) AS kept")
+    placed = readings.selectExpr("doc_id", "item_id", "verbatim", "array_distinct(kept.at) AS places", "array_distinct(flatten(kept.slots)) AS stands").withColumn("changed", F.expr("size(stands) > 0 AND 2 * size(filter(stands, v -> v.item != v.doc)) >= size(stands)"))
     matched = placed.select("doc_id", "item_id", "verbatim", F.explode("places").alias("at"), "changed", F.expr(_LONGEST).alias("run"))
     by_pair = matched.groupBy("doc_id", "item_id", "verbatim").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"), F.max("run").alias("run"))
-    totals = items.groupBy("item_id").agg(F.countDistinct(F.when(~F.col("valued"), F.col("at"))).alias("n_template"), F.countDistinct("at").alias("n_all"))
-    counted = by_pair.join(totals, "item_id").withColumn("n_windows", F.when(F.col("verbatim"), F.col("n_all")).otherwise(F.col("n_template")))
+    totals = items.groupBy("item_id", "verbatim").agg(F.countDistinct("at").alias("n_windows"))
+    counted = by_pair.join(totals, ["item_id", "verbatim"])
     share = F.col("n_matched") / F.col("n_windows")
     kept = counted.where((share >= coverage) | (F.col("run") >= RUN - WINDOW + 1))
     kind = F.when(2 * F.col("n_same") >= F.col("n_matched"), "copy").otherwise("reparameterised")

@@ -113,6 +113,35 @@ def test_copies_of_items_with_few_fixed_words_and_of_partly_changed_ones(spark):
     assert got == {(k, 1 + k // 6): "copy" for k in range(12)} | {(12, 3): "copy"}
 
 
+def test_copies_in_another_case_number_words_and_runs_of_names(spark):
+    items = spark.createDataFrame([
+        (1, "Solve for x"),
+        (2, "Find the sum of three numbers: seven, nine and twelve when each of them is doubled first"),
+        (3, "If Tom walks with his dog to the school while Tom carries his bag, how far does Tom walk with the dog?"),
+        (4, "the old harbour master counted every single boat again before sunset"),
+    ], "item_id long, text string")
+    texts = [
+        "please solve for x today", "please Solve for x today", "PLEASE SOLVE FOR X TODAY",
+        "now find the sum of five numbers: two, four and twenty-six when each of them is doubled first ok",
+        "so If Mary Ann walks with his dog to the school while Mary Ann carries his bag, how far does Mary Ann walk with the dog? yes",
+        "The Old Harbour master counted every Single boat again before Sunset", "please solve for y today", "word " * 20000 + "Solve FOR x " + "word " * 20000,
+    ]
+    got = {(r.doc_id, r.item_id): r.kind for r in decontaminate.contaminated(docs(spark, texts), items, path(spark, "t1case")).collect()}
+    assert got == {(0, 1): "copy", (1, 1): "copy", (2, 1): "copy", (3, 2): "reparameterised", (4, 3): "reparameterised", (5, 4): "copy", (7, 1): "copy"}
+
+
+def test_windows_common_to_many_items_make_no_pairs_by_themselves(spark):
+    common = "what is the value of the following"
+    rng = random.Random(8)
+    texts = [f"{common} {prose(rng, 14)}" for _ in range(60)]
+    items = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    where = path(spark, "t1hot")
+    given = docs(spark, [f"{common} {prose(rng, 10)}" for _ in range(40)] + [f"so {texts[7]} then", f"yes {' '.join(texts[9].split()[2:])}", " ".join(texts[11].split()[-13:])])
+    got = {(r.doc_id, r.item_id) for r in decontaminate.contaminated(given, items, where).collect()}
+    assert got == {(40, 7), (41, 9), (42, 11)}
+    assert spark.read.parquet(f"{where}/found").count() < 60  # of 2,580 pairs that share a window
+
+
 # --- 2 personal data
 
 
