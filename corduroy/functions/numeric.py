@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -113,3 +115,49 @@ def severity_weight(dead: Column, injured: Column) -> Column:
 def poisson_deviance(y: Column, mu: Column) -> Column:
     """2 (y ln(y / mu) - (y - mu)), also for y = 0; null for mu <= 0."""
     return F.when(mu > 0, 2 * (F.when(y > 0, y * F.ln(F.greatest(y, F.lit(1e-300)) / mu)).otherwise(0.0) - (y - mu)))
+
+
+def log_gamma(x: Column) -> Column:
+    """The logarithm of the gamma function for positive x, by Stirling's series eight places further up."""
+    z = x + 8.0
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / 1680 / (z * z)) / (z * z)) / (z * z)) / z
+    below = F.ln(x)
+    for i in range(1, 8):
+        below = below + F.ln(x + float(i))
+    return (z - 0.5) * F.ln(z) - z + 0.5 * math.log(2 * math.pi) + series - below
+
+
+def incomplete_beta(a: Column, b: Column, x: Column, rest: Column) -> Column:
+    """The regularised incomplete beta function I_x(a, b) for 0 < x < 1 and rest = 1 - x, by its continued fraction.
+
+    The fraction is taken on the side where it converges, in a number of steps that grows with the root of the larger parameter.
+    """
+    swap = x > (a + 1) / (a + b + 2)
+    p, q, at = F.when(swap, b).otherwise(a), F.when(swap, a).otherwise(b), F.when(swap, rest).otherwise(x)
+    given = F.struct(p.alias("p"), q.alias("q"), at.alias("x"), (F.ln(x) * a + F.ln(rest) * b + log_gamma(a + b) - log_gamma(a) - log_gamma(b)).alias("front"))
+
+    def apart(v: Column) -> Column:
+        return F.when(F.abs(v) < 1e-300, 1e-300).otherwise(v)
+
+    def step(s: Column, n: Column) -> Column:
+        """One coefficient: of even number for the denominators' first, of odd for their second half."""
+        m, p, q, x = F.floor(n / 2).cast("double"), s["p"], s["q"], s["x"]
+        even = m * (q - m) * x / ((p + 2 * m - 1) * (p + 2 * m))
+        odd = -(p + m) * (p + q + m) * x / ((p + 2 * m) * (p + 2 * m + 1))
+        k = F.when(n % 2 == 0, even).otherwise(odd)
+        d, c = 1 / apart(1 + k * s["d"]), apart(1 + k / s["c"])
+        return F.struct(p.alias("p"), q.alias("q"), x.alias("x"), s["front"].alias("front"), c.alias("c"), d.alias("d"), (s["h"] * d * c).alias("h"))
+
+    first = F.transform(F.array(given), lambda g: F.struct(g["p"].alias("p"), g["q"].alias("q"), g["x"].alias("x"), g["front"].alias("front"), F.lit(1.0).alias("c"), F.lit(0.0).alias("d"), F.lit(1.0).alias("h")))[0]
+    steps = F.sequence(F.lit(1), (80 + 8 * F.sqrt(F.greatest(a, b))).cast("int"))
+    # the fraction 1 / (1 + k1 / (1 + k2 / (1 + ...))): its reciprocal is built up, so the last h is divided by
+    tail = F.aggregate(steps, first, step, lambda s: F.exp(s["front"]) / (s["p"] * s["h"]))
+    return F.when(swap, 1 - tail).otherwise(tail)
+
+
+def nb_distribution(y: Column, mu: Column, alpha: float) -> tuple[Column, Column]:
+    """Probabilities of at most y, and of fewer than y, under the NB2 distribution with mean mu and dispersion alpha (over 0)."""
+    r, p, rest = F.lit(1 / alpha), 1 / (1 + alpha * mu), alpha * mu / (1 + alpha * mu)
+    upto = F.when(y < 0, 0.0).when(mu <= 0, 1.0).otherwise(incomplete_beta(r, y + 1, p, rest))
+    before = F.when(y < 1, 0.0).when(mu <= 0, 1.0).otherwise(incomplete_beta(r, F.greatest(y, F.lit(1.0)), p, rest))
+    return upto, before

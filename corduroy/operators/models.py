@@ -7,7 +7,7 @@ import math
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numeric import good_surface, log1p_of, on_main_route
+from ..functions.numeric import good_surface, log1p_of, nb_distribution, on_main_route
 from ..functions.text import corridor
 from ..session import steps
 from .cleaning import impute
@@ -142,25 +142,18 @@ def split_exactly(df: DataFrame, key: str, test: float = 0.2, seed: int = 42) ->
 
 
 def interval_coverage(df: DataFrame, y: str, mu: str, alpha: float, level: float) -> float:
-    """Share of counts within the central NB2 interval (size 1 / alpha, p 1 / (1 + alpha mu)), in per cent."""
-
-    def inside(batches):
-        import numpy as np
-        import pandas as pd
-
-        lo, hi, r = (1 - level) / 2, 1 - (1 - level) / 2, 1 / alpha
-        for pdf in batches:
-            counts, p = pdf[y].to_numpy().astype(int), 1 / (1 + alpha * pdf[mu].to_numpy(float))
-            term = p**r
-            cdf, before = term.copy(), np.zeros(len(p))
-            for k in range(1, counts.max(initial=0) + 1):  # all rows at once, each up to its own count
-                more = counts >= k
-                before[more] = cdf[more]
-                term[more] *= (k - 1 + r) / k * (1 - p[more])
-                cdf[more] += term[more]
-            yield pd.DataFrame({"ok": (cdf >= lo) & (before < hi)})
-
-    return 100.0 * df.select(y, mu).mapInPandas(inside, "ok boolean").agg(F.avg(F.col("ok").cast("double"))).first()[0]
+    """The coverage of interval_counts as a number."""
+    return interval_counts(df, y, mu, alpha, level).first()["coverage"]
+
+
+def interval_counts(df: DataFrame, y: str, mu: str, alpha: float, level: float) -> DataFrame:
+    """One row: n, n_inside and coverage, the per cent of counts within the central NB2 interval (size 1 / alpha, p 1 / (1 + alpha mu))."""
+    low, high = (1 - level) / 2, 1 - (1 - level) / 2
+    upto, before = nb_distribution(F.col("_y"), F.col("_m"), alpha)
+    rows = df.where(F.col(y).isNotNull() & F.col(mu).isNotNull()).groupBy(F.col(y).cast("double").alias("_y"), F.col(mu).cast("double").alias("_m")).agg(F.count("*").alias("_n"))
+    inside = rows.select("_n", ((upto >= low) & (before < high)).alias("_ok"))
+    out = inside.agg(F.coalesce(F.sum("_n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.when(F.col("_ok"), F.col("_n"))), F.lit(0)).alias("n_inside"))
+    return out.withColumn("coverage", 100.0 * F.try_divide(F.col("n_inside"), F.col("n")))
 
 
 # --- checks before a fit, and what is reported after it

@@ -392,42 +392,50 @@ def sensitivity_verdict(spread: float, robust: float = 5.0, fragile: float = 12.
 
 
 def bootstrap_interval(df: DataFrame, flags: list[Column], draws: int = 300, seed: int = 7) -> dict:
-    """95 % interval of the mean of 0/1 flags (null: not counted), by resampling counts of equal flag rows.
+    """95 % interval of the mean of 0/1 flags (null: not counted), by a Poisson bootstrap of the rows; see _drawn_shares."""
+    shares = _drawn_shares(df, {"flags": flags}, draws, seed)
+    drawn = sorted(100 * x for x in shares[1:, 0])
+    return {"point": 100 * float(shares[0, 0]), "low": drawn[int(0.025 * draws)], "high": drawn[min(draws - 1, int(0.975 * draws))]}
 
-    Rows with equal flags are interchangeable, so a multinomial draw of their counts is a bootstrap of the rows; what comes to the
-    driver has at most 3 ** len(flags) rows.
-    """
-    n, shares = _flag_counts(df, {"flags": flags})
-    score = lambda c: 100 * shares(c)["flags"]
-    drawn = sorted(score(c) for c in _resampled(n, draws, seed))
-    return {"point": score(n), "low": drawn[int(0.025 * draws)], "high": drawn[min(draws - 1, int(0.975 * draws))]}
-
-
-def _flag_counts(df: DataFrame, flags: dict[str, list[Column]]):
-    """(rows of each combination of flags, a function from such counts to each group's mean share, None where nothing counts)."""
-    import numpy as np
-
-    names = [(group, f"f{i}") for i, group in enumerate(g for g, xs in flags.items() for _ in xs)]
-    columns = [x.cast("int").alias(name) for x, (_, name) in zip((x for xs in flags.values() for x in xs), names)]
-    table = df.groupBy(*columns).agg(F.count("*").alias("n")).orderBy(*[name for _, name in names]).toPandas()
-    n, f = table["n"].to_numpy(), table[[name for _, name in names]].astype(float).to_numpy()
-    seen, good = ~np.isnan(f), np.nan_to_num(f)
 
-    def shares(c) -> dict[str, float | None]:
-        held, met = c @ seen, c @ good
-        out = {}
-        for group in flags:
-            each = [met[i] / held[i] for i, (g, _) in enumerate(names) if g == group and held[i]]
-            out[group] = float(np.mean(each)) if each else None
-        return out
+def _drawn_shares(df: DataFrame, flags: dict[str, list[Column]], draws: int, seed: int):
+    """Array of shares (NaN where nothing counts): row 0 as observed, then a row a draw; a column for each group, the mean over its flags.
 
-    return n, shares
-
-
-def _resampled(n, draws: int, seed: int):
+    Every row counts Poisson(1) times in a draw. Rows with equal flags are interchangeable, so a combination of flags with n rows
+    counts Poisson(n) times, drawn from a seed of its own: results depend neither on partitions nor on retries. Tasks add up what
+    each flag meets and holds in each draw; what comes to the driver is draws x flags numbers, however many combinations there are.
+    """
     import numpy as np
 
-    return np.random.default_rng(seed).multinomial(n.sum(), n / n.sum(), draws) if n.sum() else []
+    groups = [g for g, xs in flags.items() for _ in xs]
+    columns = [x.cast("int").alias(f"f{i}") for i, x in enumerate(x for xs in flags.values() for x in xs)]
+    names = [f"f{i}" for i in range(len(columns))]
+    counts = df.groupBy(*columns).agg(F.count("*").alias("n")).withColumn("key", F.xxhash64(*[F.coalesce(c, F.lit(-1)) for c in names]))
+
+    def draw(batches):
+        import pandas as pd
+
+        met, held = (np.zeros((draws + 1, len(names))) for _ in range(2))
+        for pdf in batches:
+            for at in range(0, len(pdf), 1024):
+                some = pdf.iloc[at : at + 1024]
+                f, n = some[names].to_numpy(float), some["n"].to_numpy()
+                times = np.stack([np.concatenate([[m], np.random.default_rng([seed, k & 0xFFFFFFFFFFFFFFFF]).poisson(m, draws)]) for m, k in zip(n.tolist(), some["key"].tolist())], 1)
+                held += times @ ~np.isnan(f)
+                met += times @ np.nan_to_num(f)
+        d, i = np.nonzero(held)
+        yield pd.DataFrame({"d": d.astype("int32"), "i": i.astype("int32"), "met": met[d, i].astype("int64"), "held": held[d, i].astype("int64")})
+
+    sums = counts.mapInPandas(draw, "d int, i int, met long, held long").groupBy("d", "i").agg(F.sum("met").alias("met"), F.sum("held").alias("held"))
+    each = np.full((draws + 1, len(names)), np.nan)
+    for d, i, met, held in sums.collect():  # draws x flags rows
+        each[d, i] = met / held
+    out = np.full((draws + 1, len(flags)), np.nan)
+    for k, group in enumerate(flags):
+        x = each[:, [i for i, g in enumerate(groups) if g == group]]
+        seen = (~np.isnan(x)).sum(1)
+        out[seen > 0, k] = np.nansum(x[seen > 0], 1) / seen[seen > 0]
+    return out
 
 
 def bootstrap_score(df: DataFrame, spec: dict, as_of: str, draws: int = 300, seed: int = 42) -> DataFrame:
@@ -441,11 +449,11 @@ def bootstrap_score(df: DataFrame, spec: dict, as_of: str, draws: int = 300, see
     schema = "dimension string, point double, low double, high double, width double, std double, centred boolean"
     observed = dimensions(df, spec, as_of).first().asDict()
     flags = {k: x for k, x in _flags(df, spec, as_of).items() if x}
-    n, shares = _flag_counts(df, flags)
+    shares = _drawn_shares(df, flags, draws, seed)
     empty = {"freshness": 0.0}
     drawn: dict[str, list[float]] = {k: [] for k in [*weights, "dqs"]}
-    for c in _resampled(n, draws, seed):
-        now = dict(observed) | {k: round(100 * (empty.get(k, 1.0) if v is None else v), 2) for k, v in shares(c).items()}
+    for row in shares[1:] if not np.isnan(shares[0]).all() else []:
+        now = dict(observed) | {k: round(100 * (empty.get(k, 1.0) if np.isnan(v) else float(v)), 2) for k, v in zip(flags, row)}
         now["dqs"] = round(sum(now[k] * w for k, w in weights.items()), 2)
         for k in drawn:
             drawn[k].append(now[k])

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from . import analytic, more, relational, streams
+from . import analytic, further, more, relational, streams
 from .base import REGISTRY
 
-__all__ = ["all_queries", "analytic", "more", "relational", "streams"]
+__all__ = ["all_queries", "analytic", "further", "more", "relational", "streams"]
 
 
 def all_queries() -> dict:

@@ -10,7 +10,6 @@ import uuid
 
 from pyspark.sql import functions as F
 
-from ..operators.live import repeated_reports
 from ..session import shared_folder
 from ..streaming import live as S
 from .base import POINTS, query, rows, table
@@ -71,3 +70,18 @@ def t_live_counters(spark, d):
     events, closing = _delivered(spark, d)
     out = S.finished(lambda s: S.counters(s, "event_type"), events, closing, "batch", _path(spark), BATCHES, "complete")
     return out.where("event_type <> 'close'")
+
+
+REPEATS = f"""SELECT c_custkey AS id, c_mktsegment AS tipo, lat, lon, c_nationkey * 60 AS t FROM ({POINTS})"""
+
+
+@query(f"""WITH r AS ({REPEATS})
+SELECT id, EXISTS (SELECT 1 FROM r o WHERE o.tipo = r.tipo AND o.id < r.id AND abs(o.t - r.t) <= 600 AND 2 * 6371 * asin(sqrt(power(sin((radians(r.lat) - radians(o.lat)) / 2), 2)
+  + cos(radians(o.lat)) * cos(radians(r.lat)) * power(sin((radians(r.lon) - radians(o.lon)) / 2), 2))) <= 15) AS repeated FROM r""")
+def t_stream_repeated(spark, d):
+    """Reports near an earlier one, from a stream with keyed state; the same rows as t_report_duplicates."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    r = rows(spark, d, POINTS).select(F.col("c_custkey").alias("id"), F.col("c_mktsegment").alias("tipo"), "lat", "lon", F.timestamp_seconds(F.lit(1_704_067_200) + F.col("c_nationkey") * 60).alias("ts"), F.floor(F.col("c_nationkey") / 13).alias("batch"))
+    closing = r.limit(1).select(F.lit(-1).cast("long").alias("id"), F.lit("close").alias("tipo"), F.lit(0.0).alias("lat"), F.lit(0.0).alias("lon"), F.lit("2100-01-01").cast("timestamp").alias("ts"), F.lit(2).cast("long").alias("batch"))
+    out = S.finished(lambda s: S.repeated_stream(s, 15.0, 600), r, closing, "batch", _path(spark), 2)
+    return out.where("id >= 0").select("id", "repeated")
