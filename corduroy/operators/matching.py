@@ -34,7 +34,7 @@ def _tasks(df: DataFrame) -> int:
 
 
 #: Pairs that one task settles: those of a component, or all if there are no more.
-SETTLED_PAIRS = 1_000_000
+LAST_PAIRS = 1_000_000
 
 
 def _settle(batches):
@@ -89,16 +89,16 @@ def settled(pairs: DataFrame, write) -> DataFrame:
 
     while True:
         here = lambda df, name, at=n: write(df, f"round-{at}/{name}")
-        if left.count() <= SETTLED_PAIRS:
+        if left.count() <= LAST_PAIRS:
             done.append(in_order(left.withColumn("part", F.lit(0).cast("long")).coalesce(1)))
             break
         parts, sizes = _parts(left, here)
         most = sizes.agg(F.max("size")).first()[0]
-        small = parts if most <= SETTLED_PAIRS else parts.join(sizes.where(F.col("size") <= SETTLED_PAIRS), "part", "left_semi")
+        small = parts if most <= LAST_PAIRS else parts.join(sizes.where(F.col("size") <= LAST_PAIRS), "part", "left_semi")
         done.append(here(in_order(small.repartition(_tasks(parts), "part")), "settled"))
-        if most <= SETTLED_PAIRS:
+        if most <= LAST_PAIRS:
             break
-        large = here(parts.join(sizes.where(F.col("size") > SETTLED_PAIRS), "part", "left_semi").select(*columns), "large")
+        large = here(parts.join(sizes.where(F.col("size") > LAST_PAIRS), "part", "left_semi").select(*columns), "large")
         if grouped:
             left, grouped, n = here(large.select(*columns[1:]).withColumns(own), "finer"), False, n + 1
             continue

@@ -62,7 +62,7 @@ def greedy(pairs):
 
 @pytest.mark.parametrize(("bound", "grouped"), [(10**6, False), (40, False), (0, False), (40, True)])
 def test_matching_settles_all_cells_like_the_greedy_version(spark, monkeypatch, bound, grouped):
-    monkeypatch.setattr(matching, "SETTLED_PAIRS", bound)
+    monkeypatch.setattr(matching, "LAST_PAIRS", bound)
     rng = random.Random(7)
     pairs = {(rng.randrange(40), rng.randrange(40)): rng.randrange(12) / 4 for _ in range(110)}
     cells = {k: rng.randrange(1, 8) for k in pairs}
