@@ -115,3 +115,43 @@ def claims(rows: list[tuple[str, bool | None, str, str]], spark) -> DataFrame:
     """A table of checked claims: claim, verdict (SI, NO or NO CONCLUYENTE), evidence, limit."""
     say = {True: "SI", False: "NO", None: "NO CONCLUYENTE"}
     return spark.createDataFrame([(c, say[v], e, limit) for c, v, e, limit in rows], "claim string, verdict string, evidence string, `limit` string")
+
+
+def weather_warnings(features: DataFrame) -> DataFrame:
+    """polygon_id, nivel, fecha, descripcion, recomendaciones, responsable and ring of GeoJSON features (polygon_id, feature: JSON).
+
+    The ring is the outer one of the first polygon, as warnings_on_route takes it; features without a polygon give no row, absent
+    texts are empty.
+    """
+    names = {"nivel": ["nivel"], "fecha": ["fecha"], "descripcion": ["descripcio", "descripcion"], "recomendaciones": ["recomendac"], "responsable": ["respons"]}
+    properties = ", ".join(f"{x}: string" for xs in names.values() for x in xs)
+    kinds = {"_one": "array<array<array<double>>>", "_many": "array<array<array<array<double>>>>"}
+    shape = F.get_json_object("feature", "$.geometry.type")
+    at = F.get_json_object("feature", "$.geometry.coordinates")
+    parsed = features.withColumn("_p", F.from_json(F.get_json_object("feature", "$.properties"), f"struct<{properties}>"))
+    parsed = parsed.withColumn("_one", F.when(shape == "Polygon", F.from_json(at, kinds["_one"]))).withColumn("_many", F.when(shape == "MultiPolygon", F.from_json(at, kinds["_many"])))
+    outer = F.coalesce(F.get("_one", F.lit(0)), F.get(F.get("_many", F.lit(0)), F.lit(0)))
+    ring = F.transform(outer, lambda p: F.struct(F.get(p, F.lit(0)).alias("x"), F.get(p, F.lit(1)).alias("y")))
+    texts = [F.coalesce(*[F.col(f"_p.{x}") for x in xs], F.lit("")).alias(name) for name, xs in names.items()]
+    return parsed.select("polygon_id", *texts, ring.alias("ring")).where(F.size("ring") > 0)
+
+
+def route_forecast(answers: DataFrame) -> DataFrame:
+    """A row per route from the forecasts at its points (route_id, i, body: JSON with daily arrays): the extremes over days and points.
+
+    Points without days don't count but in ``puntos``; the date is the first day of the last point that has one; routes without any
+    forecast give no row.
+    """
+    names = {"lo": "temperature_2m_min", "hi": "temperature_2m_max", "rain": "precipitation_probability_max", "wind": "wind_speed_10m_max"}
+    daily = F.from_json(F.get_json_object("body", "$.daily"), f"struct<time: array<string>, {', '.join(f'{x}: array<double>' for x in names.values())}>")
+    each = answers.withColumn("_d", daily).withColumn("_ok", F.coalesce(F.size("_d.time"), F.lit(0)) > 0)
+    known = lambda x: F.when(F.col("_ok"), x)
+    rows = each.select(
+        "route_id", "i", "_ok", known(F.array_min(f"_d.{names['lo']}")).alias("lo"), known(F.array_max(f"_d.{names['hi']}")).alias("hi"),
+        known(F.coalesce(F.array_max(f"_d.{names['rain']}"), F.lit(0.0))).alias("rain"), known(F.coalesce(F.array_max(f"_d.{names['wind']}"), F.lit(0.0))).alias("wind"), known(F.get("_d.time", F.lit(0))).alias("day"),
+    )
+    out = rows.groupBy("route_id").agg(
+        F.max_by("day", F.when(F.col("_ok"), F.col("i"))).alias("fecha"), F.round(F.min("lo"), 1).alias("tmin_c"), F.round(F.max("hi"), 1).alias("tmax_c"),
+        F.max("rain").cast("int").alias("precip_prob_max"), F.round(F.max("wind"), 1).alias("viento_max_kmh"), F.count("*").alias("puntos"), F.max("_ok").alias("_any"),
+    )
+    return out.where("_any").drop("_any")

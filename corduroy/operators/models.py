@@ -183,6 +183,34 @@ def segment_design(segments: DataFrame) -> DataFrame:
     return segments.select(*shown, "expo", corridor(F.col("ruta")).alias("corredor"))
 
 
+#: Most values of a column that becomes one column each.
+MOST_VALUES = 200
+
+
+def prediction_design(segments: DataFrame, fit: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+    """(segments with the features of the prediction model, their names): an intercept, regions and topographies but the first, and the rest.
+
+    Speeds and lanes that are missing become the median, sinuosity ends at its 99th percentile, distances become log1p. Medians, the
+    percentile and the values of the two categories are those of ``fit`` (the rows themselves unless given), so that rows to be
+    predicted are treated like the ones that taught.
+    """
+    taught = segments if fit is None else fit
+    rows = impute(segments, {"vel_proy": "median", "carriles": "median"}, fit=taught)
+    most = quantiles(taught, "sinuosidad", [0.99]).first()["q"][0]
+    rows = rows.withColumn("one", F.lit(1.0)).withColumn("sinuosidad", F.least(F.col("sinuosidad").cast("double"), F.lit(most).cast("double")))
+    names = ["one"]
+    for column, prefix in (("region", "reg"), ("topografia", "top")):
+        values = [r[0] for r in taught.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(MOST_VALUES + 1).collect()]
+        if len(values) > MOST_VALUES:
+            raise ValueError(f"{column} has over {MOST_VALUES} values")
+        for v in values[1:]:
+            rows = rows.withColumn(f"{prefix}_{v}", F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)))
+            names.append(f"{prefix}_{v}")
+    for source, name in (("dist_ingemmet_km", "log_ingemmet"), ("dist_peajes_km", "log_peajes"), ("dist_cinemometros_km", "log_cine")):
+        rows = rows.withColumn(name, log1p_of(F.col(source)))
+    return rows, [*names, "carriles", "vel_proy", "sinuosidad", "log_ingemmet", "log_peajes", "log_cine", "cinemometros_c10km", "sup_buena", "es_panamericana"]
+
+
 def pearson(df: DataFrame, y: str, mu: str, alpha: float = 0.0) -> DataFrame:
     """df with ``pearson``: (y - mu) over the model's standard deviation."""
     m = F.col(mu)

@@ -261,3 +261,35 @@ def test_lineage_log_reads_a_snapshot_and_the_newest_deltas(spark, tmp_path):
 def test_catalogues_lack_what_they_lack(spark):
     row = audit.catalog_circularity(spark.createDataFrame([("Lima",), ("áncash",), ("Zzz",), (None,)], "c string"), "c", ["LIMA", "Ancash"]).first()
     assert (row.n_seen, row.n_known, row.pct_known, row.examples) == (3, 2, 66.67, ["ZZZ"])
+
+
+def test_weather_records(spark):
+    square = [[0, 0], [2, 0], [2, 2], [0, 2], [0, 0]]
+    features = [
+        (1, {"properties": {"nivel": 3, "descripcio": "lluvia", "respons": None}, "geometry": {"type": "Polygon", "coordinates": [square, [[1, 1], [1, 1.5], [1.5, 1]]]}}),
+        (2, {"properties": {"descripcion": "nieve"}, "geometry": {"type": "MultiPolygon", "coordinates": [[[[5, 5], [6, 5], [6, 6]]], [square]]}}),
+        (3, {"properties": None, "geometry": None}), (4, {"properties": {}, "geometry": {"type": "Point", "coordinates": [1, 2]}}),
+    ]
+    rows = live.weather_warnings(spark.createDataFrame([(i, json.dumps(f)) for i, f in features] + [(5, None), (6, "{")], "polygon_id long, feature string")).orderBy("polygon_id")
+    got = rows.collect()
+    assert [(r.polygon_id, r.nivel, r.descripcion, r.responsable, len(r.ring), tuple(r.ring[1])) for r in got] == [(1, "3", "lluvia", "", 5, (2.0, 0.0)), (2, "", "nieve", "", 3, (6.0, 5.0))]
+    samples = spark.createDataFrame([("r", 1.0, 1.0), ("q", 9.0, 9.0)], "route_id string, s_lat double, s_lon double")
+    assert [tuple(r) for r in live.warnings_on_route(rows, samples, 0.05).collect()] == [(1, "r")]
+
+
+def test_forecast_of_a_route(spark):
+    body = lambda day, lo, hi, rain, wind: json.dumps({"daily": {"time": [day, "later"], "temperature_2m_min": lo, "temperature_2m_max": hi, **({"precipitation_probability_max": rain} if rain else {}), "wind_speed_10m_max": wind}})
+    answers = [("r", 0, body("d0", [3.04, 5], [20, 21.26], [10, 80], [9, 8])), ("r", 1, body("d1", [4, 2.96], [19, 18], None, [30.55, 1])), ("r", 2, json.dumps({"daily": {"time": []}})), ("s", 0, "{}"), ("s", 1, None)]
+    got = live.route_forecast(spark.createDataFrame(answers, "route_id string, i int, body string")).collect()
+    assert [tuple(r) for r in got] == [("r", "d1", 3.0, 21.3, 80, 30.6, 3)]
+
+
+def test_prediction_design_learns_from_the_training_rows(spark):
+    schema = "seg long, region string, topografia string, vel_proy double, carriles double, sinuosidad double, dist_ingemmet_km double, dist_peajes_km double, dist_cinemometros_km double, cinemometros_c10km long, sup_buena long, es_panamericana long"
+    train = spark.createDataFrame([(i, "ABC"[i % 3], "xy"[i % 2], float(40 + i) if i % 4 else None, 2.0, 1 + i / 100, float(i), 1.0, 0.0, 1, 1, 0) for i in range(101)], schema)
+    new = spark.createDataFrame([(1, "B", None, None, None, 99.0, math.e - 1, 0.0, 0.0, 0, 0, 1), (2, "Z", "y", 70.0, 4.0, 1.0, 0.0, 0.0, 0.0, 0, 0, 0)], schema)
+    rows, names = models.prediction_design(new, fit=train)
+    a, b = rows.orderBy("seg").collect()
+    assert names[:4] == ["one", "reg_B", "reg_C", "top_y"] and set(names) <= set(rows.columns)
+    assert (a.reg_B, a.reg_C, a.top_y, a.carriles, a.log_ingemmet) == (1.0, 0.0, 0.0, 2.0, pytest.approx(1.0)) and (b.reg_B, b.top_y, b.vel_proy) == (0.0, 1.0, 70.0)
+    assert a.sinuosidad == pytest.approx(1.99) and a.vel_proy == train.approxQuantile("vel_proy", [0.5], 0.0)[0]
