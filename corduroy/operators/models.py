@@ -187,7 +187,12 @@ def segment_design(segments: DataFrame) -> DataFrame:
 MOST_VALUES = 200
 
 
-def prediction_design(segments: DataFrame, fit: DataFrame | None = None) -> tuple[DataFrame, list[str]]:
+#: The prediction model's distances and what their logarithms are called; columns that go in as they are.
+DISTANCES = {"dist_peligro_km": "log_peligro", "dist_peajes_km": "log_peajes", "dist_radares_km": "log_radares"}
+PLAIN = ("carriles", "vel_proy", "sinuosidad", "radares_10km", "sup_buena", "principal")
+
+
+def prediction_design(segments: DataFrame, fit: DataFrame | None = None, distances: dict[str, str] = DISTANCES, plain: tuple[str, ...] = PLAIN) -> tuple[DataFrame, list[str]]:
     """(segments with the features of the prediction model, their names): an intercept, regions and topographies but the first, and the rest.
 
     Speeds and lanes that are missing become the median, sinuosity ends at its 99th percentile, distances become log1p. Medians, the
@@ -206,9 +211,7 @@ def prediction_design(segments: DataFrame, fit: DataFrame | None = None) -> tupl
         for v in values[1:]:
             rows = rows.withColumn(f"{prefix}_{v}", F.coalesce((F.col(column) == v).cast("double"), F.lit(0.0)))
             names.append(f"{prefix}_{v}")
-    for source, name in (("dist_ingemmet_km", "log_ingemmet"), ("dist_peajes_km", "log_peajes"), ("dist_cinemometros_km", "log_cine")):
-        rows = rows.withColumn(name, log1p_of(F.col(source)))
-    return rows, [*names, "carriles", "vel_proy", "sinuosidad", "log_ingemmet", "log_peajes", "log_cine", "cinemometros_c10km", "sup_buena", "es_panamericana"]
+    return rows.withColumns({name: log1p_of(F.col(source)) for source, name in distances.items()}), [*names, *plain, *distances.values()]
 
 
 def pearson(df: DataFrame, y: str, mu: str, alpha: float = 0.0) -> DataFrame:

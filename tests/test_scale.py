@@ -285,11 +285,11 @@ def test_forecast_of_a_route(spark):
 
 
 def test_prediction_design_learns_from_the_training_rows(spark):
-    schema = "seg long, region string, topografia string, vel_proy double, carriles double, sinuosidad double, dist_ingemmet_km double, dist_peajes_km double, dist_cinemometros_km double, cinemometros_c10km long, sup_buena long, es_panamericana long"
+    schema = "seg long, region string, topografia string, vel_proy double, carriles double, sinuosidad double, dist_peligro_km double, dist_peajes_km double, dist_radares_km double, radares_10km long, sup_buena long, principal long"
     train = spark.createDataFrame([(i, "ABC"[i % 3], "xy"[i % 2], float(40 + i) if i % 4 else None, 2.0, 1 + i / 100, float(i), 1.0, 0.0, 1, 1, 0) for i in range(101)], schema)
     new = spark.createDataFrame([(1, "B", None, None, None, 99.0, math.e - 1, 0.0, 0.0, 0, 0, 1), (2, "Z", "y", 70.0, 4.0, 1.0, 0.0, 0.0, 0.0, 0, 0, 0)], schema)
     rows, names = models.prediction_design(new, fit=train)
     a, b = rows.orderBy("seg").collect()
     assert names[:4] == ["one", "reg_B", "reg_C", "top_y"] and set(names) <= set(rows.columns)
-    assert (a.reg_B, a.reg_C, a.top_y, a.carriles, a.log_ingemmet) == (1.0, 0.0, 0.0, 2.0, pytest.approx(1.0)) and (b.reg_B, b.top_y, b.vel_proy) == (0.0, 1.0, 70.0)
+    assert (a.reg_B, a.reg_C, a.top_y, a.carriles, a.log_peligro) == (1.0, 0.0, 0.0, 2.0, pytest.approx(1.0)) and (b.reg_B, b.top_y, b.vel_proy) == (0.0, 1.0, 70.0)
     assert a.sinuosidad == pytest.approx(1.99) and a.vel_proy == train.approxQuantile("vel_proy", [0.5], 0.0)[0]
