@@ -1,7 +1,7 @@
 """Benchmark decontamination by template windows, with DataFrame functions only (operator 1).
 
 Texts become templates: words in lower case without punctuation, in which numbers (in digits or words), names (capitalised words, at
-the start of a sentence as well; a run of them is one name) and units after a number are typed placeholders that still carry their
+the start of a sentence as well; a run of up to four is one name) and units after a number are typed placeholders that still carry their
 values for later. Windows are WINDOW consecutive words. Two readings count. As a template: windows of template words of which
 MIN_FIXED at least are no placeholders; within an alignment (the difference of places) each value of the item stands for one value in
 the document, the one that most windows bear out, and no other item value stands for that one; windows that say otherwise are
@@ -37,26 +37,32 @@ UNITS = (
     "gallon gallons s sec secs second seconds min mins minute minutes h hr hrs hour hours day days week weeks month months year "
     "years mph kph hz khz mhz ghz w kw kwh v volt volts watt watts c f k usd eur gbp dollar dollars euro euros cent cents percent"
 ).split()
-#: Words for numbers; "twenty-five" and "two hundred" are one number.
+#: Words for numbers; "twenty-five" and "two hundred" are one number, of four words at most.
 NUMBERS = (
     "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen "
     "nineteen twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion"
 ).split()
 
 
+_FIRST = "".join(sorted({w[0] for w in NUMBERS} | {w[0].upper() for w in NUMBERS}))
+_NUMBER = "|".join(f"{c}(?:{'|'.join(w[1:] for w in NUMBERS if w[0] == c)})" for c in sorted({w[0] for w in NUMBERS}))
+
+
 def template(text: Column) -> Column:
     """The text's template words, joined by single spaces; placeholders are U+0001, their type (d, n or u) and the value.
 
     The words of a value of several words are joined by U+0002.
     """
-    worded = F.regexp_replace(text, f"(?i)(?<![\\p{{L}}\\p{{N}}])(?:{'|'.join(NUMBERS)})(?![\\p{{L}}\\p{{N}}])", "\u0001d$0")
-    named = F.regexp_replace(worded, "(?<![\\p{L}\\p{N}])\\p{Lu}(?=\\p{Ll})", "\u0001n$0")
-    numbered = F.regexp_replace(named, "(?<![\\p{L}\\p{N}\u0001.,])(?=[0-9])|(?<=[$€£])(?=[0-9])", "\u0001d")
+    # what a character itself must be comes before what must stand beside it, so that most places are passed over at once
+    worded = F.regexp_replace(text, f"(?=[{_FIRST}])(?<![\\p{{L}}\\p{{N}}])(?i:{_NUMBER})(?![\\p{{L}}\\p{{N}}])", "\u0001d$0")
+    named = F.regexp_replace(worded, "\\p{Lu}(?=\\p{Ll})(?<![\\p{L}\\p{N}]\\p{Lu})", "\u0001n$0")
+    numbered = F.regexp_replace(named, "(?=[0-9])(?:(?<![\\p{L}\\p{N}\u0001.,])|(?<=[$€£]))", "\u0001d")
     measured = F.regexp_replace(numbered, f"(?i)(\u0001d[0-9][0-9.,:/]*+)[ \\t\\-]?({'|'.join(sorted(UNITS, key=len, reverse=True))})(?![\\p{{L}}\\p{{N}}])", "$1 \u0001u$2")
     marked = F.when(text.rlike("[0-9]"), measured).otherwise(named)
-    joined = F.regexp_replace(marked, " \u0001n(?<=\u0001n[\\p{L}\\p{N}]{1,40} \u0001n)", "\u0002")
-    joined = F.regexp_replace(joined, "[ \\-]\u0001d(?=\\p{L})(?<=\u0001d\\p{L}{3,9}[ \\-]\u0001d)", "\u0002")
-    return F.trim(F.regexp_replace(F.lower(joined), "(?:[^\\p{L}\\p{N}\u0001\u0002.,:/]|(?<![0-9])[.,:/]|[.,:/](?![0-9]))+", " "))
+    word = "([\\p{L}\\p{N}]++)"
+    runs = F.regexp_replace(marked, f"(\u0001n){word} \u0001n{word}(?: \u0001n{word})?(?: \u0001n{word})?", "$1$2\u0002$3\u0002$4\u0002$5")
+    runs = F.regexp_replace(runs, f"(\u0001d)(\\p{{L}}++)[ \\-]\u0001d(\\p{{L}}++)(?:[ \\-]\u0001d(\\p{{L}}++))?(?:[ \\-]\u0001d(\\p{{L}}++))?", "$1$2\u0002$3\u0002$4\u0002$5")
+    return F.trim(F.regexp_replace(F.lower(runs), "(?:[^\\p{L}\\p{N}\u0001\u0002.,:/]|[.,:/](?:(?<![0-9].)|(?![0-9]))|\u0002(?![\\p{L}\\p{N}]))+", " "))
 
 
 def _words(docs: DataFrame, key: str) -> DataFrame:
@@ -64,7 +70,9 @@ def _words(docs: DataFrame, key: str) -> DataFrame:
     rows = docs.where(F.col(key).isNotNull() & F.col("text").rlike("[\\p{L}\\p{N}]")).select(F.col(key).cast("long").alias(key), template(F.col("text")).alias("t"))
     some = F.col("t").contains("\u0001")
     bare = F.when(some, F.regexp_replace("t", "(\u0001[dnu])[^ ]*", "$1")).otherwise(F.col("t"))
-    plain = F.when(some, F.translate(F.regexp_replace("t", "\u0001[dnu]", ""), "\u0002", " ")).otherwise(F.col("t"))
+    plain = F.col("t")
+    for mark, word in (("\u0001d", ""), ("\u0001n", ""), ("\u0001u", ""), ("\u0002", " ")):
+        plain = F.replace(plain, F.lit(mark), F.lit(word))
     words = rows.select(key, F.split(plain, " ").alias("p"), F.split("t", " ").alias("w"), F.split(bare, " ").alias("c"))
     places = "filter(transform(c, (x, i) -> if(startswith(x, '\\u0001'), i, -1)), i -> i >= 0)"
     return words.selectExpr(key, "p", "w", "c", "transform(p, x -> xxhash64(x)) AS hp", "transform(c, x -> xxhash64(x)) AS hc", f"{places} AS m")
@@ -74,10 +82,14 @@ def _hashes(docs: DataFrame, sizes: list[int]) -> DataFrame:
     """doc_id, size, hash of all windows of words and of those of template words that hold a placeholder (the others are among the first)."""
     each = []
     for s in sizes:
-        each.append(f"transform(if(size(hp) >= {s}, sequence(0, size(hp) - {s}), slice(m, 1, 0)), i -> named_struct('size', {s}, 'hash', xxhash64(slice(hp, i + 1, {s}))))")
-        held = f"array_distinct(flatten(transform(m, x -> sequence(greatest(0, x - {s - 1}), least(x, size(hc) - {s})))))"
-        each.append(f"transform(if(size(hc) >= {s}, {held}, slice(m, 1, 0)), i -> named_struct('size', {s}, 'hash', xxhash64(slice(hc, i + 1, {s}))))")
-    return _words(docs, "doc_id").selectExpr("doc_id", f"inline(concat({', '.join(each)}))")
+        places = {"hp": f"if(size(hp) >= {s}, sequence(0, size(hp) - {s}), slice(m, 1, 0))"}
+        # windows that hold the placeholder at x, but not the one before it
+        low, high = f"greatest(0, x - {s - 1}, if(j > 0, get(m, j - 1) + 1, 0))", f"least(x, size(hc) - {s})"
+        places["hc"] = f"flatten(transform(m, (x, j) -> if({low} <= {high}, sequence({low}, {high}), slice(m, 1, 0))))"
+        hashes = ", ".join(f"transform({at}, i -> xxhash64(slice({h}, i + 1, {s})))" for h, at in places.items())
+        each.append(f"named_struct('size', {s}, 'hashes', concat({hashes}))")
+    sets = _words(docs, "doc_id").selectExpr("doc_id", f"inline(array({', '.join(each)}))")
+    return sets.select("doc_id", "size", F.explode("hashes").alias("hash"))
 
 
 def _windows(docs: DataFrame, key: str, sizes: list[int], whole: bool = False) -> DataFrame:
@@ -141,7 +153,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, path: str, coverage: flo
     pairs = windows.join(wanted, ["doc_id", "verbatim", "size", "hash", "window"]).selectExpr("doc_id", "item_id", "verbatim", "place - at AS shift", "at", "zip_with(slots, values, (a, b) -> named_struct('item', a, 'doc', b)) AS slots")
     aligned = pairs.groupBy("doc_id", "item_id", "verbatim", "shift").agg(F.collect_set(F.struct("at", "slots")).alias("windows"))
     chosen = aligned.withColumn("counted", F.expr(_COUNTED)).withColumn("picked", F.expr(_PICKED)).withColumn("chosen", F.expr(f"transform({_CHOSEN}, v -> named_struct('item', v.item, 'doc', v.doc))"))
-    readings = chosen.selectExpr("doc_id", "item_id", "verbatim", "filter(windows, x -> forall(x.slots, v -> array_contains(chosen, v))) AS kept")
+    # chosen goes in by a name of its own, or it would be worked out anew for every slot
+    fits = "element_at(transform(array(chosen), k -> filter(windows, x -> forall(x.slots, v -> array_contains(k, v)))), 1) AS kept"
+    readings = chosen.selectExpr("doc_id", "item_id", "verbatim", fits)
     placed = readings.selectExpr("doc_id", "item_id", "verbatim", "array_distinct(kept.at) AS places", "array_distinct(flatten(kept.slots)) AS stands").withColumn("changed", F.expr("size(stands) > 0 AND 2 * size(filter(stands, v -> v.item != v.doc)) >= size(stands)"))
     matched = placed.select("doc_id", "item_id", "verbatim", F.explode("places").alias("at"), "changed", F.expr(_LONGEST).alias("run"))
     by_pair = matched.groupBy("doc_id", "item_id", "verbatim").agg(F.countDistinct("at").alias("n_matched"), F.countDistinct(F.when(~F.col("changed"), F.col("at"))).alias("n_same"), F.max("run").alias("run"))
