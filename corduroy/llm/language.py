@@ -2,7 +2,7 @@
 
 Each language has a raw-content zstandard dictionary made of a bounded sample of its documents, in lower case as all texts are
 here: of the DOCS_PER_LANGUAGE distinct texts with the smallest hashes, the shorter ones that fit into DICTIONARY_BYTES as wholes
-(one at least). A text is cut into pieces of PIECE_BYTES that cover all of it, every piece is compressed with every dictionary, and the language whose sizes add up to least
+(one at least; with over 384 languages, into an equal part of ALL_BYTES). No text is cut. A text is cut into pieces of PIECE_BYTES that cover all of it, every piece is compressed with every dictionary, and the language whose sizes add up to least
 wins; equal sums go to the smaller language name. A margin narrower than ``margin`` marks the answer as rejected.
 
 Nulls and ties: a null text or one without a letter is ``und`` with score 0; rows without language or text teach nothing; rows
@@ -30,17 +30,17 @@ def learn_languages(docs: DataFrame, docs_per_language: int = DOCS_PER_LANGUAGE,
     """Dictionaries by language from docs (text, lang): whole distinct texts, docs_per_language and dictionary_bytes at most each (one text at least)."""
     rows = docs.select("lang", "text").where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}")).withColumn("h", F.xxhash64("text"))
     distinct = rows.groupBy("lang", "h").agg(F.min(F.octet_length("text")).alias("size"))
+    share = min(dictionary_bytes, ALL_BYTES // max(1, distinct.select("lang").distinct().count()))  # less where there are very many languages
     order = Window.partitionBy("lang").orderBy(F.pmod("h", F.lit(1 << 30)), "h")
     few = distinct.withColumn("n", F.row_number().over(order)).where(F.col("n") <= docs_per_language)
     by_size = Window.partitionBy("lang").orderBy("size", "n").rowsBetween(Window.unboundedPreceding, -1)
-    fit = few.withColumn("before", F.coalesce(F.sum("size").over(by_size), F.lit(0))).where(f"before = 0 OR before + size <= {dictionary_bytes}")
+    fit = few.withColumn("before", F.coalesce(F.sum("size").over(by_size), F.lit(0))).where(f"before = 0 OR before + size <= {share}")
     held = rows.join(F.broadcast(fit), ["lang", "h"])  # docs_per_language rows a language
     picked = held.groupBy("lang", "n").agg(F.min("text").alias("text")).collect()
     found: dict[str, list[str]] = {}
     for r in sorted(picked, key=lambda r: (r["lang"], r["n"])):
         found.setdefault(r["lang"], []).append(r["text"])
-    share = ALL_BYTES // max(1, len(found))  # a language's part of what every task holds, where there are very many languages
-    return {lang: "\n".join(texts).lower().encode("utf-8", "replace")[:share] for lang, texts in found.items()}
+    return {lang: "\n".join(texts).lower().encode("utf-8", "replace") for lang, texts in found.items()}
 
 
 def identify_languages(docs: DataFrame, dictionaries: dict[str, bytes], margin: float = 0.01) -> DataFrame:

@@ -34,7 +34,7 @@ PROBES = ("a b  c\td", "It's 12,34 \n\n  end", "é日本\u00a0x\u3000y", " lead
 _loaded: dict = {}
 
 
-def _encoder(path: str, special_as_text: bool = True):
+def _encoder(path: str, special_as_text: bool = False):
     """A function from texts to the bytes of their ids, and the type of an id; strings of special tokens in a text are ordinary text or, without special_as_text, get their own ids.
 
     The byte-level splitting pattern always cuts between a character that is not white space and one that is, so a text is the
@@ -162,7 +162,7 @@ def _encoder(path: str, special_as_text: bool = True):
     return _loaded[path, special_as_text]
 
 
-def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 0, special_as_text: bool = True) -> DataFrame:
+def write_token_shards(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 0, special_as_text: bool = False) -> DataFrame:
     """Encode documents (doc_id, text) into shards below out_dir; the manifest (shard, file, width, n_docs, n_tokens, base).
 
     The texts are dealt once, by ranges of doc_id, so shards hold consecutive documents.

@@ -52,7 +52,8 @@ def top_k(candidates: DataFrame, queries: DataFrame, k: int, path: str) -> DataF
     """The k greatest integer inner products of each query with candidates of other ids: query_id, rank, vec_id, score.
 
     Both tables hold vec_id and embedding. Chunks of candidates are dealt once into groups of a few, and a block of queries is sent
-    to the groups' chunks that can reach its bounds; lists hold about CHUNK or BLOCK vectors whatever the tables' size.
+    to the groups' chunks that can reach its bounds; lists hold about CHUNK or BLOCK vectors whatever the tables' size. A query is
+    named by its vec_id: rows with one vec_id share one list of k, in which a candidate can stand once for each of them.
     """
     fields = ["vec_id", "norm", "v"]
     bucket = F.when(F.col("norm") > 0, F.floor(F.log("norm") / F.log(F.lit(GROWTH)))).otherwise(F.lit(-(2**31))).cast("int")

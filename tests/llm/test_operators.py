@@ -562,7 +562,6 @@ def test_token_shards_round_trip(spark):
     df = docs(spark, texts).repartition(3)
     got = sorted(tuple(r) for r in tokens.read_token_shards(tokens.write_token_shards(df, path(spark, "t9"), public_tokenizers.path("byte_bpe_50k.json"))).collect())
     lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    lib.encode_special_tokens = True
     want, start = [], 0
     for i, t in enumerate(texts):
         ids = np.array([*lib.encode(t or "", add_special_tokens=False).ids, 0], "<u4")
@@ -587,7 +586,8 @@ def test_pieces_equal_the_library(spark):
     assert codec.decode([codec.bytes[0xE2], codec.bytes[0x61]]) == lib.decode([codec.bytes[0xE2], codec.bytes[0x61]])
 
 
-def test_token_chunks_equal_the_library_with_few_slots_and_cut_texts(monkeypatch):
+@pytest.mark.parametrize("special_as_text", [False, True])
+def test_token_chunks_equal_the_library_with_few_slots_and_cut_texts(monkeypatch, special_as_text):
     import numpy as np
     from tokenizers import Tokenizer
 
@@ -595,9 +595,9 @@ def test_token_chunks_equal_the_library_with_few_slots_and_cut_texts(monkeypatch
     monkeypatch.setattr(tokens, "SLOT_BITS", 3)
     monkeypatch.setattr(tokens, "PART_CHARS", 50)
     monkeypatch.setattr(tokens, "_loaded", {})
-    encode, dtype = tokens._encoder(where)
+    encode, dtype = tokens._encoder(where, special_as_text)
     lib = Tokenizer.from_file(where)
-    lib.encode_special_tokens = True
+    lib.encode_special_tokens = special_as_text
     rng = random.Random(3)
     some = ["a", "é", "日", " ", " ", "　", "\xa0", "\n", "\t", "1", "'s", "<|endoftext|>", "\x00", "\U0001f600", "\x85", "0123456789abcdef0123456789", "x" * 40]
     texts = ["", " ", "　", *["".join(rng.choice(some) for _ in range(rng.randint(0, 60))) for _ in range(500)]]
@@ -630,3 +630,5 @@ def test_pieces_of_text_without_spaces_take_bounded_memory():
         text = "".join(rng.choice(some) for _ in range(20_000))
         assert codec.encode(text) == lib.encode(text)
     assert max(map(len, codec.longest)) <= max(map(len, codec.piece)) < 100
+    for text in ("".join(rng.choice("abcdefghinorst") for _ in range(1_000_000)), " " * 300_000):
+        assert codec.encode(text) == lib.encode(text)
