@@ -246,13 +246,13 @@ def j_match_candidates(spark, d):
 
 @query()
 def j_one_to_one(spark, d):
-    return M.one_to_one(M.candidates(*_sources(spark, d), 0.25, 1), steps(spark)).select("a_id", "b_id", r6("dist_km").alias("dist_km"))
+    return M.match_events(*_sources(spark, d), 0.25, 1, steps(spark)).select("a_id", "b_id", r6("dist_km").alias("dist_km"))
 
 
 @query()
 def m_match_union(spark, d):
     a, b = _sources(spark, d)
-    return M.union_events(a, b, M.one_to_one(M.candidates(a, b, 0.25, 1), steps(spark)))
+    return M.union_events(a, b, M.match_events(a, b, 0.25, 1, steps(spark)))
 
 
 @query()

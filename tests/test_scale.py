@@ -293,3 +293,34 @@ def test_prediction_design_learns_from_the_training_rows(spark):
     assert names[:4] == ["one", "reg_B", "reg_C", "top_y"] and set(names) <= set(rows.columns)
     assert (a.reg_B, a.reg_C, a.top_y, a.carriles, a.log_peligro) == (1.0, 0.0, 0.0, 2.0, pytest.approx(1.0)) and (b.reg_B, b.top_y, b.vel_proy) == (0.0, 1.0, 70.0)
     assert a.sinuosidad == pytest.approx(1.99) and a.vel_proy == train.approxQuantile("vel_proy", [0.5], 0.0)[0]
+
+
+@pytest.mark.parametrize("most", [10**9, 30])
+def test_matching_of_crowded_places_makes_no_pairs(spark, monkeypatch, most):
+    monkeypatch.setattr(matching, "LAST_EVENTS", most)
+    rng, day = random.Random(5), dt.date(2024, 3, 1)
+    rows = lambda: [(i, day + dt.timedelta(rng.randrange(9)), -12 + rng.randrange(9) / 1024, -77 + rng.randrange(3) / 1024) for i in rng.sample(range(900), 300)]
+    schema = "id long, fecha date, lat double, lon double"
+    a, b = (spark.createDataFrame([*rows(), (1000, None, -12.0, -77.0), (1001, day, math.nan, -77.0)], schema) for _ in range(2))
+    near = matching.candidates(a, b, 0.25, 1).collect()
+    want = greedy({(p.a_id, p.b_id): p.dist_km for p in near})
+    got = matching.match_events(a, b, 0.25, 1, steps(spark)).collect()
+    assert {(r.a_id, r.b_id) for r in got} == want and len(got) == len(want)
+    far = {(p.a_id, p.b_id): p.dist_km for p in near}
+    assert all(r.dist_km == pytest.approx(far[r.a_id, r.b_id], rel=1e-12) for r in got)
+    grid = {(r.radius_km, r.days): r.n_both for r in matching.sensitivity(a, b, [0.1, 0.25], [0, 1], steps(spark)).collect()}
+    assert grid == {(km, t): len(greedy({(p.a_id, p.b_id): p.dist_km for p in near if p.dist_km <= km and p.gap_days <= t})) for km in (0.1, 0.25) for t in (0, 1)}
+
+
+def test_matching_grows_with_events_not_with_pairs(spark, tmp_path):
+    day = dt.date(2024, 3, 1)
+    one = spark.range(20_000).select("id", F.lit(day).alias("fecha"), F.lit(-12.0).alias("lat"), F.lit(-77.0).alias("lon"))
+    spent = []
+
+    def write(df, name):
+        df.write.parquet(f"file://{tmp_path}/{name}")
+        spent.append(sum(os.path.getsize(os.path.join(at, f)) for at, _, files in os.walk(tmp_path / name) for f in files))
+        return spark.read.parquet(f"file://{tmp_path}/{name}")
+
+    got = matching.match_events(one, one, 0.25, 1, write)
+    assert got.where("a_id = b_id").count() == 20_000 and sum(spent) < 5_000_000  # 400,000,000 pairs
