@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.geo import edge_place, planar_m
+from ..functions.geo import EARTH_KM, edge_place
 from ..session import steps
 from .ranks import numbered
 
@@ -44,11 +46,30 @@ def radius_pairs(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], ri
     return a.join(b, ["_cx", "_cy", *(also or [])]).withColumn("_d", d).where(F.col("_d") <= radius).drop("_cx", "_cy")
 
 
+def _counted(df: DataFrame, x: str, y: str) -> DataFrame:
+    """The places (x, y) of df, each once, with the number ``_n`` of rows there; rows without place are left out."""
+    return df.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in (x, y))).groupBy(x, y).agg(F.count("*").alias("_n"))
+
+
+def radius_counts(left: DataFrame, right: DataFrame, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float) -> DataFrame:
+    """right_id and n, the left points within the radius of a right point, where there are any; pairs are those of places, not of points."""
+    pairs = radius_pairs(_counted(left, *left_xy), _counted(right, *right_xy).drop("_n"), left_xy, right_xy, radius)
+    n = pairs.groupBy(*right_xy).agg(F.sum("_n").alias("n"))
+    return right.select(right_id, *right_xy).join(n, [*right_xy]).groupBy(right_id).agg(F.sum("n").alias("n"))
+
+
+def radius_semi(left: DataFrame, right: DataFrame, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float) -> DataFrame:
+    """left's rows with a right point within the radius; pairs are those of places, not of points."""
+    pairs = radius_pairs(_counted(left, *left_xy).drop("_n"), _counted(right, *right_xy).drop("_n"), left_xy, right_xy, radius)
+    return left.join(pairs.select(*left_xy).distinct(), [*left_xy], "left_semi")
+
+
 def nearest_join(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], radius: float) -> DataFrame:
-    """left with the id and distance of the nearest right point within the radius (ties: smaller id), null beyond it."""
-    pairs = radius_pairs(left.select(left_id, *left_xy), right.select(right_id, *right_xy), left_xy, right_xy, radius)
-    best = pairs.groupBy(left_id).agg(F.min(F.struct("_d", right_id)).alias("_m")).select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m._d").alias("dist"))
-    return left.join(best, left_id, "left")
+    """left with the id and distance of the nearest right point within the radius (ties: smaller id), null beyond it.
+
+    However many points lie within the radius, a place meets the leaves near it only; see nearest_any.
+    """
+    return nearest_any(left, right, left_id, right_id, left_xy, right_xy, within=radius)
 
 
 #: Points of a leaf at least, leaves at most (of which all tasks get the boxes, some 3 MB) and leaves under one box above them.
@@ -88,66 +109,81 @@ def _bounds(x, y, x0, y0, x1, y1):
     return least, np.minimum(np.hypot(np.minimum(ax, bx), np.maximum(ay, by)), np.hypot(np.maximum(ax, bx), np.minimum(ay, by)))
 
 
-def near_leaves(x, y, boxes):
-    """Numbers (i, k) of places and boxes that may hold a place's nearest neighbour; boxes are looked up in two levels."""
+def near_leaves(x, y, boxes, slack: float = 0.0):
+    """Numbers (i, k) of places and boxes that may hold a place's nearest neighbour, or one no farther than that by slack; in two levels."""
     import numpy as np
 
     starts = np.arange(0, len(boxes), FANOUT)
     above = np.concatenate([np.minimum.reduceat(boxes[:, :2], starts), np.maximum.reduceat(boxes[:, 2:], starts)], 1)
     least, within = _bounds(x[:, None], y[:, None], *above.T[:, None])
-    i, j = np.nonzero(least <= within.min(1)[:, None] * (1 + 1e-9))
+    i, j = np.nonzero(least <= within.min(1)[:, None] * (1 + 1e-9) + slack)
     n = np.minimum(starts[j] + FANOUT, len(boxes)) - starts[j]
     k = np.repeat(starts[j], n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
     i = np.repeat(i, n)
     least, within = _bounds(x[i], y[i], *boxes[k].T)
     first = np.flatnonzero(np.concatenate([[True], i[1:] != i[:-1]]))
     best = np.repeat(np.minimum.reduceat(within, first), np.diff(np.append(first, len(i))))
-    keep = least <= best * (1 + 1e-9)
+    keep = least <= best * (1 + 1e-9) + slack
     return i[keep], k[keep]
 
 
-def nearest_any(left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str]) -> DataFrame:
+def nearest_any(
+    left: DataFrame, right: DataFrame, left_id: str, right_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str],
+    within: float | None = None, scale: tuple[float, float, float] | None = None, digits: int | None = None,
+) -> DataFrame:
     """left with the id and ``dist`` of the nearest right point at any distance (ties: smaller id); null without place or neighbours.
 
-    Right points are cut into leaves with boxes. A place goes to the leaves whose box is no farther than the nearest point can be,
-    one to three as a rule, and meets their points only.
+    Places count once, on the right with their smallest id, on the left for all rows there. Right ones are cut into leaves with
+    boxes. A left place goes to the leaves whose box is no farther than the nearest point can be, one to three as a rule, and meets
+    their points only. ``within`` bounds the distance; ``scale`` holds factors of x and y and of the distance; with ``digits``
+    distances that round alike are equal.
     """
-    right = right.select(right_id, *right_xy).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in right_xy))
+    right = right.where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in right_xy)).groupBy(*right_xy).agg(F.min(right_id).alias(right_id))
     if right.isEmpty():
         return left.withColumn(right_id, F.lit(None).cast(right.schema[right_id].dataType)).withColumn("dist", F.lit(None).cast("double"))
     placed, found = _leaves(right, *right_xy, right_id)
-    todo = left.select(left_id, *[F.col(c).cast("double").alias(c) for c in left_xy]).where(" AND ".join(f"{c} IS NOT NULL AND NOT isnan({c})" for c in left_xy))
+    todo = _counted(left.select(*[F.col(c).cast("double").alias(c) for c in left_xy]), *left_xy).drop("_n")
     shared = left.sparkSession.sparkContext.broadcast(found)
 
     def meet(batches):
         import numpy as np
 
-        boxes = np.array([b[1:] for b in shared.value], float)
+        by = np.array(scale[:2] if scale else (1.0, 1.0))
+        boxes = np.array([b[1:] for b in shared.value], float) * np.tile(by, 2)
+        slack = 10.0**-digits / (scale[2] if scale else 1.0) if digits is not None else 0.0
         for pdf in batches:
             for at in range(0, len(pdf), 512):
                 some = pdf.iloc[at : at + 512]
-                i, k = near_leaves(some[left_xy[0]].to_numpy(float), some[left_xy[1]].to_numpy(float), boxes)
+                i, k = near_leaves(some[left_xy[0]].to_numpy(float) * by[0], some[left_xy[1]].to_numpy(float) * by[1], boxes, slack)
                 yield some.iloc[i].assign(leaf=k)
 
     sent = todo.mapInPandas(meet, T.StructType([*todo.schema.fields, T.StructField("leaf", T.LongType())]))
-    d = F.hypot(F.col(left_xy[0]) - F.col(right_xy[0]), F.col(left_xy[1]) - F.col(right_xy[1]))
-    best = sent.join(placed, "leaf").withColumn("_d", d).groupBy(left_id).agg(F.min(F.struct("_d", right_id)).alias("_m"))
-    return left.join(best.select(left_id, F.col(f"_m.{right_id}").alias(right_id), F.col("_m._d").alias("dist")), left_id, "left")
+    dx, dy = (F.col(a) - F.col(b) for a, b in zip(left_xy, right_xy))
+    d = F.hypot(dx, dy) if scale is None else F.sqrt((dx * scale[0]) * (dx * scale[0]) + (dy * scale[1]) * (dy * scale[1])) * scale[2]
+    each = sent.join(placed, "leaf").withColumn("_d", d)
+    each = each if within is None else each.where(F.col("_d") <= within)
+    best = each.groupBy(*left_xy).agg(F.min(F.struct(("_d" if digits is None else F.round("_d", digits).alias("_r")), right_id, F.col("_d").alias("_dist"))).alias("_m"))
+    found = best.select(*left_xy, F.col(f"_m.{right_id}").alias(right_id), F.col("_m._dist").alias("dist"))
+    return left.join(found, [*left_xy], "left").select(left_id, *[c for c in left.columns if c != left_id], right_id, "dist")
 
 
-def nearest_metres(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limit_m: float = 2000.0, lat0: float = -10.0) -> DataFrame:
-    """left (lat, lon) with the id and ``dist_m`` of the nearest right point (lat2, lon2) in projected metres, null beyond the limit."""
-    (x, y), (u, v) = planar_m(F.col("lat"), F.col("lon"), lat0), planar_m(F.col("lat2"), F.col("lon2"), lat0)
-    a, b = left.withColumns({"_x": x, "_y": y}), right.select(right_id, u.alias("_u"), v.alias("_v"))
-    return nearest_join(a, b, left_id, right_id, ("_x", "_y"), ("_u", "_v"), limit_m).drop("_x", "_y").withColumnRenamed("dist", "dist_m")
+def nearest_metres(left: DataFrame, right: DataFrame, left_id: str, right_id: str, limit_m: float = 2000.0, lat0: float = -10.0, digits: int | None = None) -> DataFrame:
+    """left (lat, lon) with the id and ``dist_m`` of the nearest right point (lat2, lon2) in projected metres, null beyond the limit.
+
+    With ``digits`` distances that round alike are equal. Longitudes are shortened by lat0, and distances taken before radians become metres.
+    """
+    a = left.withColumns({"_x": F.radians("lon"), "_y": F.radians("lat")})
+    b = right.select(right_id, F.radians("lon2").alias("_u"), F.radians("lat2").alias("_v"))
+    out = nearest_any(a, b, left_id, right_id, ("_x", "_y"), ("_u", "_v"), limit_m, (math.cos(math.radians(lat0)), 1.0, EARTH_KM * 1000), digits)
+    return out.drop("_x", "_y").withColumnRenamed("dist", "dist_m")
 
 
 def box_counts(left: DataFrame, right: DataFrame, left_id: str, left_xy: tuple[str, str], right_xy: tuple[str, str], half: float) -> DataFrame:
-    """left_id and the number of right points within a square of +- half around it, zeros included."""
-    a, b = _cells(left.select(left_id, *left_xy), *left_xy, half), _cells(right.select(*right_xy), *right_xy, half, reach=1)
+    """left_id and the number of right points within a square of +- half around it, zeros included; pairs are those of places."""
+    a, b = _cells(_counted(left, *left_xy).drop("_n"), *left_xy, half), _cells(_counted(right, *right_xy), *right_xy, half, reach=1)
     inside = a.join(b, ["_cx", "_cy"]).where((F.abs(F.col(left_xy[0]) - F.col(right_xy[0])) <= half) & (F.abs(F.col(left_xy[1]) - F.col(right_xy[1])) <= half))
-    n = inside.groupBy(left_id).agg(F.count("*").alias("n"))
-    return left.select(left_id).join(n, left_id, "left").select(left_id, F.coalesce("n", F.lit(0)).alias("n"))
+    n = inside.groupBy(*left_xy).agg(F.sum("_n").alias("n"))
+    return left.select(left_id, *left_xy).join(n, [*left_xy], "left").select(left_id, F.coalesce("n", F.lit(0)).alias("n"))
 
 
 def project_on_route(points: DataFrame, edges: DataFrame, point_id: str, route: str) -> DataFrame:

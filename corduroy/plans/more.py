@@ -190,7 +190,7 @@ def q_contract_score(spark, d):
   SELECT c_custkey AS c, s_suppkey, m FROM (SELECT c_custkey, s_suppkey, sqrt(power((radians(lon) - radians(lon2)) * cos(radians(-10)), 2) + power(radians(lat) - radians(lat2), 2)) * 6371000 AS m FROM ({POINTS}), ({TOLLS}))
   WHERE m <= 100000 QUALIFY row_number() OVER (PARTITION BY c_custkey ORDER BY round(m, 3), s_suppkey) = 1) ON c_custkey = c""")
 def j_nearest_metres(spark, d):
-    return S.nearest_metres(rows(spark, d, POINTS), rows(spark, d, TOLLS), "c_custkey", "s_suppkey", 100000.0).select("c_custkey", "s_suppkey", F.round("dist_m", 3).alias("dist_m"))
+    return S.nearest_metres(rows(spark, d, POINTS), rows(spark, d, TOLLS), "c_custkey", "s_suppkey", 100000.0, digits=3).select("c_custkey", "s_suppkey", F.round("dist_m", 3).alias("dist_m"))
 
 
 @query(f"""WITH p AS (SELECT *, row_number() OVER (PARTITION BY route_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY route_id) AS m FROM ({ROUTE})),

@@ -198,12 +198,12 @@ def j_nearest_unbounded(spark, d):
 
 @query(f"SELECT s_suppkey, CAST(count(*) AS BIGINT) AS n FROM ({POINTS}), ({TOLLS}) WHERE sqrt(power(lat - lat2, 2) + power(lon - lon2, 2)) <= 1.0 GROUP BY 1")
 def j_radius(spark, d):
-    return S.radius_pairs(rows(spark, d, POINTS), rows(spark, d, TOLLS), ("lat", "lon"), ("lat2", "lon2"), 1.0).groupBy("s_suppkey").agg(F.count("*").alias("n"))
+    return S.radius_counts(rows(spark, d, POINTS), rows(spark, d, TOLLS), "s_suppkey", ("lat", "lon"), ("lat2", "lon2"), 1.0)
 
 
 @query(f"SELECT DISTINCT c_custkey FROM ({POINTS}), ({TOLLS}) WHERE sqrt(power(lat - lat2, 2) + power(lon - lon2, 2)) <= 0.75")
 def j_radius_semi(spark, d):
-    return S.radius_pairs(rows(spark, d, POINTS), rows(spark, d, TOLLS), ("lat", "lon"), ("lat2", "lon2"), 0.75).select("c_custkey").distinct()
+    return S.radius_semi(rows(spark, d, POINTS), rows(spark, d, TOLLS), ("lat", "lon"), ("lat2", "lon2"), 0.75).select("c_custkey").distinct()
 
 
 @query(f"SELECT p.c_custkey, CAST(count(t.s_suppkey) AS BIGINT) AS n FROM ({POINTS}) p LEFT JOIN ({TOLLS}) t ON abs(lat - lat2) <= 1 AND abs(lon - lon2) <= 1 GROUP BY 1")

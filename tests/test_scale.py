@@ -324,3 +324,29 @@ def test_matching_grows_with_events_not_with_pairs(spark, tmp_path):
 
     got = matching.match_events(one, one, 0.25, 1, write)
     assert got.where("a_id = b_id").count() == 20_000 and sum(spent) < 5_000_000  # 400,000,000 pairs
+
+
+def test_crowded_places_make_no_pairs_of_points(spark):
+    """40,000 points at each of two places: 1.6e9 pairs of points, four of places."""
+    at = lambda n, *names: spark.range(n).select("id", (F.col("id") % 2).cast("double").alias(names[0]), F.lit(0.0).alias(names[1]))
+    left, right = at(80_000, "x", "y").withColumnRenamed("id", "l"), at(80_000, "u", "v").withColumnRenamed("id", "r")
+    xy, uv = ("x", "y"), ("u", "v")
+    more = left.unionByName(spark.createDataFrame([(90_000, 9.0, 9.0), (90_001, None, 0.0)], left.schema))
+    near = spatial.nearest_join(more, right, "l", "r", xy, uv, 0.5)
+    assert near.columns == ["l", "x", "y", "r", "dist"] and near.where("r = x AND dist = 0").count() == 80_000
+    assert near.where("r IS NULL AND dist IS NULL").count() == 2
+    assert [tuple(x) for x in spatial.nearest_any(more, right, "l", "r", xy, uv).groupBy("r").count().orderBy("r").collect()] == [(None, 1), (0, 40_000), (1, 40_001)]
+    assert spatial.radius_counts(more, right, "r", xy, uv, 0.5).agg(F.count("*"), F.min("n"), F.max("n")).first()[:] == (80_000, 40_000, 40_000)
+    assert spatial.radius_counts(more, right, "r", xy, uv, 1.0).agg(F.min("n")).first()[0] == 80_000
+    assert spatial.radius_semi(more, right, xy, uv, 0.5).count() == 80_000
+    assert {r.n: r["count"] for r in spatial.box_counts(more, right, "l", xy, uv, 0.5).groupBy("n").count().collect()} == {40_000: 80_000, 0: 2}
+
+
+def test_ties_in_metres_go_to_the_smaller_id(spark):
+    left = spark.createDataFrame([(1, 0.375, 1.25), (2, 7.625, 3.125)], "l long, lat double, lon double")
+    right = spark.createDataFrame([(n + 10 * k, lat + s / 8, lon) for k, (lat, lon) in enumerate([(0.375, 1.25), (7.625, 3.125)]) for n, s in ((9, 1), (3, -1))], "r long, lat2 double, lon2 double")
+    for turn in (right, right.withColumn("r", 100 - F.col("r"))):
+        got = {x.l: x.r for x in spatial.nearest_metres(left, turn, "l", "r", 100_000.0, digits=3).collect()}
+        ids = sorted(x.r for x in turn.collect())
+        assert sorted(got.values()) == [ids[0], ids[2]]
+    assert spatial.nearest_metres(left, right, "l", "r", 10_000.0, digits=3).where("r IS NULL AND dist_m IS NULL").count() == 2
