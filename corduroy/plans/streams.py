@@ -52,7 +52,7 @@ def t_stream_sessions(spark, d):
     """Sessions of the stream in append mode."""
     events, closing = _delivered(spark, d)
     out = S.finished(lambda s: S.sessions(s, "30 minutes", DELAY), events, closing, "batch", _path(spark), BATCHES)
-    return out.where("user_id >= 0").select("user_id", "start", "n")
+    return S.whole_sessions(out.where("user_id >= 0")).select("user_id", "start", "n")
 
 
 @query(f"""SELECT CAST(count(*) AS BIGINT) AS n_rows, CAST(count(*) FILTER (WHERE mark IS NULL OR time_bucket(INTERVAL 1 HOUR, ts) + INTERVAL 1 HOUR > mark) AS BIGINT) AS n_counted,

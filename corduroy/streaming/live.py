@@ -7,6 +7,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
+from pyspark.sql.window import Window
 
 from ..functions.geo import KM_PER_DEGREE
 
@@ -18,9 +19,23 @@ def windowed_counts(events: DataFrame, width: str, slide: str | None = None, lat
 
 
 def sessions(events: DataFrame, gap: str, late: str = "10 minutes") -> DataFrame:
+    """Sessions of each user in append mode; what comes near one that is closed is a part of its own (see whole_sessions)."""
     return events.withWatermark("ts", late).groupBy(F.session_window("ts", gap).alias("w"), "user_id").agg(F.count("*").alias("n")).select("user_id", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "n")
 
 
+def whole_sessions(parts: DataFrame) -> DataFrame:
+    """user_id, start, end, n of what sessions gave, with parts of a session that came out at different times joined.
+
+    A row that is not late may lie within the gap of a session that the watermark has closed before; the stream gives it as a session
+    of its own, which overlaps the closed one.
+    """
+    w = Window.partitionBy("user_id").orderBy("start", "end")
+    before = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    fresh = parts.withColumn("_fresh", F.when(before > F.col("start"), 0).otherwise(1))
+    each = fresh.withColumn("_s", F.sum("_fresh").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return each.groupBy("user_id", "_s").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n")).drop("_s")
+
+
 def counters(alerts: DataFrame, by: str = "estado") -> DataFrame:
     """Live counters: alerts so far by state (for update or complete mode)."""
     return alerts.groupBy(by).agg(F.count("*").alias("n"))

@@ -350,3 +350,15 @@ def test_ties_in_metres_go_to_the_smaller_id(spark):
         ids = sorted(x.r for x in turn.collect())
         assert sorted(got.values()) == [ids[0], ids[2]]
     assert spatial.nearest_metres(left, right, "l", "r", 10_000.0, digits=3).where("r IS NULL AND dist_m IS NULL").count() == 2
+
+
+def test_rows_near_a_closed_session_belong_to_it(spark, tmp_path):
+    at = lambda m: dt.datetime(2024, 1, 1) + dt.timedelta(minutes=m)
+    # the session of minute 0 is closed by batch 2, at a watermark of 35; the row of minute 20 is not late in batch 3 (20 + 30 > 35)
+    rows = [(0, at(0), 1), (0, at(10), 2), (1, at(45), 2), (2, at(50), 2), (3, at(20), 1), (3, at(60), 1)]
+    df = spark.createDataFrame(rows, "batch int, ts timestamp, user_id long")
+    closing = spark.createDataFrame([(4, at(9999), -1)], df.schema)
+    out = streams.finished(lambda s: streams.sessions(s, "30 minutes"), df, closing, "batch", f"file://{tmp_path}", 4).where("user_id = 1")
+    assert out.count() == 3
+    got = streams.whole_sessions(out).orderBy("start").collect()
+    assert [(r.start, r.end, r.n) for r in got] == [(at(0), at(50), 2), (at(60), at(90), 1)]
