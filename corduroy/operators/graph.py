@@ -9,12 +9,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges that one task contracts at the end, and nodes that a task holds at a time (some 150 bytes each).
-LAST_EDGES, HELD_NODES = 500_000, 1_000_000
+#: Edges that one task contracts at the end, nodes that a task holds at a time (some 150 bytes each), and rows of a task in rounds of labels.
+LAST_EDGES, HELD_NODES, TASK_ROWS = 500_000, 250_000, 500_000
 
 
 def _stars(batches):
     """Of the edges (u, v) in a task, an edge from each node to the smallest that it is linked to here; see HELD_NODES."""
+    import numpy as np
     import pandas as pd
 
     parent: dict = {}
@@ -26,8 +27,9 @@ def _stars(batches):
         return x
 
     def held():
-        nodes = [x for x in list(parent) if root(x) != x]
-        return pd.DataFrame({"u": pd.Series(nodes, dtype="int64"), "v": pd.Series([root(x) for x in nodes], dtype="int64")})
+        u = np.fromiter(parent, np.int64, len(parent))
+        v = np.fromiter(map(root, u.tolist()), np.int64, len(u))
+        return pd.DataFrame({"u": u[u != v], "v": v[u != v]})
 
     for pdf in batches:
         for u, v in zip(pdf["u"].tolist(), pdf["v"].tolist()):
@@ -85,11 +87,13 @@ def label_propagation(edges: DataFrame, write, rounds: int = 10) -> DataFrame:
     known = edges.where("u IS NOT NULL AND v IS NOT NULL").select(F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
     ways = known.where("u <> v").unionByName(known.where("u <> v").select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct()
     ways = write(ways, "ways")
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-ways.count() // TASK_ROWS))
     nodes = known.select(F.col("u").alias("node")).unionByName(known.select(F.col("v").alias("node"))).distinct()
     at = write(nodes.withColumn("community", F.col("node")), "labels-0")
     for n in range(1, 2 * rounds + 1):
-        votes = ways.join(at.select(F.col("node").alias("v"), "community"), "v").groupBy("u", "community").agg(F.count("*").alias("n"))
-        own = votes.join(at.select(F.col("node").alias("u"), F.col("community").alias("own")), "u")
+        met = ways.repartition(tasks, "v").join(at.select(F.col("node").alias("v"), "community").repartition(tasks, "v"), "v")
+        votes = met.select("u", "community").repartition(tasks, "u").groupBy("u", "community").agg(F.count("*").alias("n"))
+        own = votes.join(at.select(F.col("node").alias("u"), F.col("community").alias("own")).repartition(tasks, "u"), "u")
         best = own.groupBy(F.col("u").alias("node")).agg(F.max(F.struct("n", (F.col("community") == F.col("own")).alias("keep"), (-F.col("community")).alias("c")))["c"].alias("c"))
         turn = F.pmod(F.xxhash64("node"), F.lit(2)) == n % 2
         moved = at.join(best, "node", "left").select("node", F.when(turn & F.col("c").isNotNull(), -F.col("c")).otherwise(F.col("community")).alias("community"), F.col("community").alias("was"))
