@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import radians
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor
 from pyspark.sql.window import Window
 
-from ..functions.geo import KM_PER_DEGREE
+from ..functions.geo import EARTH_KM, KM_PER_DEGREE
 
 
 def windowed_counts(events: DataFrame, width: str, slide: str | None = None, late: str = "10 minutes") -> DataFrame:
@@ -53,76 +56,122 @@ def suppress_duplicates(reports: DataFrame, cell: float = 0.0015, within: str =
 
 
 REPORT = "id long, tipo string, lat double, lon double, ts timestamp"
+#: Cells are so many times as wide as the reach of a report, which thus comes to 1.9 cells on average.
+CELL = 4
+#: A report in state (t in microseconds), and the reports of one element of a list state.
+KEPT, CHUNK = np.dtype([("id", "<i8"), ("t", "<i8"), ("lat", "<f8"), ("lon", "<f8")]), 10_000
 
 
 class NearReports(StatefulProcessor):
     """Of the reports of a type that reach a cell, those that live in it, each with whether a smaller id lies near in place and time.
 
-    A report waits until the watermark has passed its time by ``seconds``, so that all it is compared with have come; it is kept for
-    as long again for the sake of those that still wait. State is a cell's reports of four times ``seconds`` at most.
+    Time is cut into spans of ``seconds`` and place into patches, so that all of one patch and span are near each other: but for the
+    smallest id they are repeated, which is told at once for those of a batch. The others wait until the watermark has passed the span
+    after theirs, so that all they are compared with have come; one of each patch and span is then compared with what was seen, the
+    smallest id of each place and time. State is read once a span and let go when the watermark is three spans on.
     """
 
     def __init__(self, radius_km: float, seconds: int):
-        self.radius_km, self.seconds = radius_km, seconds
+        self.radius_km, self.span = radius_km, seconds * 1_000_000
+        self.patch = radius_km / radians(1) / EARTH_KM * 0.4995  # along a meridian, then a parallel: under the radius
 
     def init(self, handle) -> None:
-        from pyspark.sql import types as T
-
         self.handle = handle
-        kinds = {"id": T.LongType(), "lat": T.DoubleType(), "lon": T.DoubleType(), "t": T.DoubleType(), "own": T.BooleanType(), "told": T.BooleanType()}
-        self.kept = handle.getListState("kept", T.StructType([T.StructField(*x) for x in kinds.items()]))
-
-    def _rows(self) -> list:
-        return [tuple(r) for r in self.kept.get()] if self.kept.exists() else []
+        self.waiting, self.seen = (handle.getListState(x, "reports binary") for x in ("waiting", "seen"))
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator:
-        new = [(int(i), float(y), float(x), float(t), bool(o), False) for pdf in rows for i, y, x, t, o in zip(pdf["id"], pdf["lat"], pdf["lon"], pdf["t"], pdf["own"])]
-        self.kept.appendList(new)
-        for t in {r[3] for r in new if r[4]}:
-            self.handle.registerTimer(int((t + self.seconds) * 1000) + 1)
-        return iter(())
+        due = set()
+        for pdf in rows:
+            own, new = pdf["own"].to_numpy(bool), _packed(pdf)
+            placed = np.isfinite(new["lat"]) & np.isfinite(new["lon"])
+            first = placed & self._first(new, own & placed)
+            told = own & ~first
+            if told.any():
+                yield _told(new[told], key, placed[told])
+            self._keep(self.waiting, new[own & first])
+            self._keep(self.seen, _least(new[placed]))
+            due |= {s + 2 for s in (new["t"][own & first] // self.span).tolist()} | {s + 3 for s in (new["t"][placed] // self.span).tolist()}
+        for s in due:  # what waits is told two spans on, what was seen is of no use three spans on
+            self.handle.registerTimer(s * self.span // 1000 + 1)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator:
-        import pandas as pd
-
-        rows, now = self._rows(), timerValues.getCurrentWatermarkInMs() / 1000
-        due = [r for r in rows if r[4] and not r[5] and r[3] + self.seconds < now]
-        out = [(r[0], key[0], any(o[0] < r[0] and abs(o[3] - r[3]) <= self.seconds and _haversine(o, r) <= self.radius_km for o in rows)) for r in due]
-        told = {r[0] for r in due}
-        left = [(*r[:5], r[5] or r[0] in told) for r in rows if r[3] + 2 * self.seconds >= now]
-        if left:
-            self.kept.put(left)
-        else:
-            self.kept.clear()
-        if out:
-            yield pd.DataFrame(out, columns=["id", "tipo", "repeated"])
+        now = timerValues.getCurrentWatermarkInMs() * 1000
+        waiting, seen = _unpacked(self.waiting), _unpacked(self.seen)
+        due = waiting["t"] + self.span < now
+        if due.any():
+            yield _told(waiting[due], key, self._repeated(waiting[due], seen))
+        for state, had, left in ((self.waiting, waiting, waiting[~due]), (self.seen, seen, _least(seen[seen["t"] + 2 * self.span >= now]))):
+            if len(left) < len(had):
+                state.clear()
+                self._keep(state, left)
+
+    def _first(self, reports, among):
+        """Whether a report has the smallest id of those among the reports that lie in its patch and span."""
+        at = pd.DataFrame({"y": np.floor(reports["lat"] / self.patch), "x": np.floor(reports["lon"] / self.patch), "s": reports["t"] // self.span, "id": reports["id"]})[among]
+        out = np.zeros(len(reports), bool)
+        out[among] = at["id"] == at.groupby(["y", "x", "s"], sort=False)["id"].transform("min")
+        return out
+
+    def _repeated(self, due, seen):
+        """Whether a smaller id was seen near each of the reports."""
+        seen, first = np.sort(seen, order="lat"), self._first(due, np.ones(len(due), bool))
+        out, reach = ~first, self.radius_km / KM_PER_DEGREE
+        lo, hi = (np.searchsorted(seen["lat"], due["lat"] + side * reach, which) for side, which in ((-1, "left"), (1, "right")))
+        for i in np.flatnonzero(first):
+            r, o = due[i], seen[lo[i] : hi[i]]
+            o = o[(o["id"] < r["id"]) & (np.abs(o["t"] - r["t"]) <= self.span)]
+            out[i] = (_haversine(o, r) <= self.radius_km).any()
+        return out
+
+    @staticmethod
+    def _keep(state, reports) -> None:
+        if len(reports):
+            state.appendList([(reports[k : k + CHUNK].tobytes(),) for k in range(0, len(reports), CHUNK)])
 
     def close(self) -> None:
         pass
 
 
-def _haversine(a, b) -> float:
-    from math import asin, cos, radians, sin, sqrt
+def _packed(pdf):
+    out = np.empty(len(pdf), KEPT)
+    for c in KEPT.names:
+        out[c] = pdf[c]
+    return out
+
+
+def _unpacked(state):
+    return np.frombuffer(b"".join(bytes(x) for (x,) in state.get()) if state.exists() else b"", KEPT)
+
+
+def _least(reports):
+    """The smallest id of each place and time."""
+    return _packed(pd.DataFrame(reports).groupby(["t", "lat", "lon"], sort=False, as_index=False)["id"].min()) if len(reports) > 1 else reports
+
+
+def _told(reports, key, repeated):
+    return pd.DataFrame({"id": reports["id"], "tipo": key[0], "repeated": repeated})
 
-    from ..functions.geo import EARTH_KM
 
-    h = sin((radians(b[1]) - radians(a[1])) / 2) ** 2 + cos(radians(a[1])) * cos(radians(b[1])) * sin((radians(b[2]) - radians(a[2])) / 2) ** 2
-    return 2 * EARTH_KM * asin(sqrt(min(1.0, h)))
+def _haversine(a, b):
+    y, v = np.radians(a["lat"]), np.radians(b["lat"])
+    h = np.sin((v - y) / 2) ** 2 + np.cos(y) * np.cos(v) * np.sin((np.radians(b["lon"]) - np.radians(a["lon"])) / 2) ** 2
+    return 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, h)))
 
 
 def repeated_stream(reports: DataFrame, radius_km: float, seconds: int, late: str = "10 minutes") -> DataFrame:
     """id, tipo, repeated of a stream of reports (id, tipo, lat, lon, ts): whether a smaller id of the type lies near in place and time.
 
     The same as operators.live.repeated_reports gives for the rows that are not late. A report lives in a cell and is a witness in
-    the cells around it, so comparisons are exact across edges and no key holds more than a cell of a type. Needs the RocksDB state
-    store. Reports without place, time or type come back never.
+    the cells that it reaches, so comparisons are exact across edges and no key holds more than a cell of a type; the reach is that of
+    the radius at 60 degrees of latitude. Needs the RocksDB state store. Reports without place, time or type come back never.
     """
-    size = radius_km / KM_PER_DEGREE * 2
+    reach = radius_km / KM_PER_DEGREE * 2
+    size = reach * CELL
     known = reports.where("lat IS NOT NULL AND lon IS NOT NULL AND ts IS NOT NULL AND tipo IS NOT NULL").withWatermark("ts", late)
-    cy, cx = F.floor(F.col("lat") / size), F.floor(F.col("lon") / size)
-    around = F.explode(F.array(*[F.struct((cy + i).alias("cy"), (cx + j).alias("cx"), F.lit(i == j == 0).alias("own")) for i in (-1, 0, 1) for j in (-1, 0, 1)]))
-    spread = known.select("id", "tipo", "lat", "lon", "ts", (F.unix_micros("ts") / 1e6).alias("t"), around.alias("c")).select("id", "tipo", "lat", "lon", "ts", "t", "c.*")
-    return spread.groupBy("tipo", "cy", "cx").transformWithStateInPandas(NearReports(radius_km, seconds), "id long, tipo string, repeated boolean", "append", "EventTime")
+    touched = lambda c, far: F.explode(F.sequence(F.floor((F.col(c) - far) / size), F.floor((F.col(c) + far) / size)))
+    spread = known.select("id", "tipo", "lat", "lon", "ts", F.unix_micros("ts").alias("t"), touched("lat", reach / 2).alias("cy")).select("*", touched("lon", reach).alias("cx"))
+    own = (F.col("cy") == F.floor(F.col("lat") / size)) & (F.col("cx") == F.floor(F.col("lon") / size))
+    return spread.withColumn("own", own).groupBy("tipo", "cy", "cx").transformWithStateInPandas(NearReports(radius_km, seconds), "id long, tipo string, repeated boolean", "append", "EventTime")
 
 
 def archive_stream(alerts: DataFrame, path: str, keys: list[str], checkpoint: str):

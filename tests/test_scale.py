@@ -6,6 +6,7 @@ import math
 import os
 import random
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -141,6 +142,95 @@ def test_stream_of_reports_equals_the_batch(spark, tmp_path):
     assert 0 < sum(r.repeated for r in got) < 150
 
 
+class _Cell:
+    """What a processor asks of Spark for one key: list states by name, timers and the watermark."""
+
+    def __init__(self, watermark=0):
+        self.lists, self.timers, self.asked, self.watermark = {}, set(), 0, watermark
+
+    def getListState(self, name, schema):
+        cell, rows = self, self.lists.setdefault(name, [])
+
+        class State:
+            exists = lambda self: bool(rows)
+            clear = lambda self: rows.clear()
+
+            def get(self):
+                cell.asked += 1
+                return iter(list(rows))
+
+            def appendList(self, new):
+                rows.extend(new)
+
+            def put(self, new):
+                rows[:] = new
+
+        return State()
+
+    def registerTimer(self, ms):
+        self.timers.add(ms)
+
+    def getCurrentWatermarkInMs(self):
+        return self.watermark
+
+
+def test_reports_of_a_cell_are_told_with_few_timers_and_leave_no_state():
+    """2,000 reports of one place in as many seconds, all but one of each span told at once; what only passes by leaves as well."""
+    pdf = pd.DataFrame({"id": range(2000), "lat": -12.0, "lon": -77.0, "t": [k * 1_000_000 for k in range(2000)], "own": True})
+    near = streams.NearReports(0.5, 600)
+    cell = _Cell()
+    near.init(cell)
+    at_once = pd.concat(list(near.handleInputRows(("a", 0, 0), iter([pdf]), cell)))
+    assert len(at_once) == 1996 and at_once.repeated.all() and len(cell.timers) <= 2 * 4
+    later = []
+    for ms in sorted(cell.timers):
+        cell.watermark = ms
+        later += list(near.handleExpiredTimer(("a", 0, 0), cell, None))
+    told = {r.id: r.repeated for df in later for r in df.itertuples()}
+    assert told == {0: False, 600: True, 1200: True, 1800: True} and not any(cell.lists.values())
+    assert cell.asked <= 2 * len(cell.timers)
+    cell = _Cell()
+    near.init(cell)
+    assert not list(near.handleInputRows(("a", 0, 1), iter([pdf.assign(own=False)]), cell)) and any(cell.lists.values())
+    for ms in sorted(cell.timers):
+        cell.watermark = ms
+        assert not list(near.handleExpiredTimer(("a", 0, 1), cell, None))
+    assert not any(cell.lists.values())
+
+
+def test_copies_of_a_report_are_kept_once():
+    """State is of places and times, not of reports, and the witness kept is the smallest id."""
+    pdf = pd.DataFrame({"id": range(5000, 0, -1), "lat": -12.0, "lon": -77.0, "t": 0, "own": False})
+    near, cell = streams.NearReports(0.5, 600), _Cell()
+    near.init(cell)
+    list(near.handleInputRows(("a", 0, 0), iter([pdf[:2500], pdf[2500:]]), cell))
+    assert sum(len(x) for row in cell.lists["seen"] for x in row) <= 2 * streams.KEPT.itemsize
+    list(near.handleInputRows(("a", 0, 0), iter([pd.DataFrame({"id": [1, 3], "lat": [-12.003, -11.997], "lon": -77.0, "t": 0, "own": True})]), cell))
+    cell.watermark = 10**7
+    told = pd.concat(list(near.handleExpiredTimer(("a", 0, 0), cell, None)))
+    assert dict(zip(told.id, told.repeated)) == {1: False, 3: True}
+
+
+def test_stream_of_dense_reports_over_many_cells_equals_the_batch(spark, tmp_path):
+    """Places on a grid about as fine as the radius across cells' edges and the equator, equal places, ids in any order, no place."""
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", ROCKS)
+    rng, base = random.Random(8), dt.datetime(2024, 1, 1)
+    ids = rng.sample(range(10**6), 1500)
+    rows = [(i, rng.choice("ab"), rng.randrange(-12, 13) * 0.125 + rng.choice((0.0, 0.01)), -77 + rng.randrange(24) * 0.125, base + dt.timedelta(seconds=600 * k / 375 * 4 + rng.randrange(1200)), k // 375) for k, i in enumerate(ids)]
+    rows += [(10**7 + k, "a", float("nan"), -77.0, base, 0) for k in range(2)]
+    df = spark.createDataFrame(rows, "id long, tipo string, lat double, lon double, ts timestamp, batch int")
+    closing = spark.createDataFrame([(10**8, "z", 0.0, 0.0, dt.datetime(2030, 1, 1), 9)], df.schema)
+    got = streams.finished(lambda s: streams.repeated_stream(s, 15.0, 600, "30 minutes"), df, closing, "batch", f"file://{tmp_path}", 4).where("tipo <> 'z'").collect()
+
+    def far(a, b):
+        y, v = math.radians(a[2]), math.radians(b[2])
+        h = math.sin((v - y) / 2) ** 2 + math.cos(y) * math.cos(v) * math.sin(math.radians(b[3] - a[3]) / 2) ** 2
+        return 2 * 6371 * math.asin(math.sqrt(h))
+
+    want = {r[0]: any(o[0] < r[0] and o[1] == r[1] and abs((o[4] - r[4]).total_seconds()) <= 600 and far(o, r) <= 15 for o in rows) for r in rows}
+    assert len(got) == 1502 and {r.id: r.repeated for r in got} == want and 100 < sum(want.values()) < 1400
+
+
 def test_polled_feed_neither_loses_nor_repeats_after_restarts(spark, tmp_path):
     feed, store = tmp_path / "feed.json", f"file://{tmp_path}/store"
 
