@@ -203,11 +203,24 @@ def drained(stream: DataFrame, path: str) -> DataFrame:
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
 
 
+#: Rows of a replayed file at least, where a batch has as many.
+FILE_ROWS = 250_000
+
+
 def replay(rows: DataFrame, batch: str, path: str, n: int) -> DataFrame:
-    """A stream of rows by their number in ``batch`` (0 to n - 1): one file a batch, one batch a trigger, in that order."""
-    for k in range(n):
-        rows.where(F.col(batch) == k).coalesce(1).write.mode("append").parquet(f"{path}/in")
-    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", 1).parquet(f"{path}/in")
+    """A stream of rows by their number in ``batch`` (0 to n - 1): one batch a trigger, in that order.
+
+    A batch is dealt to files by its rows, so that no task writes or reads the whole of a large one. A trigger takes as many files as
+    the batch of the most has; the others are filled up with empty ones.
+    """
+    rows_of = {r[0]: r[1] for r in rows.where(F.col(batch).between(0, n - 1)).groupBy(batch).count().collect()}  # n rows
+    files = [max(1, rows_of.get(k, 0) // FILE_ROWS) for k in range(n)]
+    for k, parts in enumerate(files):
+        own = rows.where(F.col(batch) == k)
+        (own.repartition(parts) if parts > 1 else own.coalesce(1)).write.mode("append").parquet(f"{path}/in")
+        for _ in range(max(files) - parts):
+            own.limit(0).coalesce(1).write.mode("append").parquet(f"{path}/in")
+    return rows.sparkSession.readStream.schema(rows.schema).option("maxFilesPerTrigger", max(files)).parquet(f"{path}/in")
 
 
 def finished(start, rows: DataFrame, closing: DataFrame, batch: str, path: str, n: int, mode: str = "append") -> DataFrame:

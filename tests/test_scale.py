@@ -142,6 +142,17 @@ def test_stream_of_reports_equals_the_batch(spark, tmp_path):
     assert 0 < sum(r.repeated for r in got) < 150
 
 
+def test_large_batches_of_a_replay_are_several_files_of_one_trigger(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(streams, "FILE_ROWS", 10)
+    df = spark.range(0, 158, 1, 7).select("id", F.when(F.col("id") < 95, 0).when(F.col("id") < 97, 1).when(F.col("id") < 150, 3).otherwise(9).cast("long").alias("batch"))
+    triggers = []
+    stream = streams.replay(df, "batch", f"file://{tmp_path}", 4)  # 95, 2, 0 and 53 rows; what has another number is not in the stream
+    stream.writeStream.foreachBatch(lambda b, k: triggers.append(sorted(r.id for r in b.collect()))).option("checkpointLocation", f"file://{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert triggers == [list(range(95)), [95, 96], [], list(range(97, 150))]
+    sizes = [r.n for r in spark.read.parquet(f"file://{tmp_path}/in").groupBy(F.input_file_name()).agg(F.count("*").alias("n")).collect()]
+    assert len(sizes) == 9 + 1 + 5 and max(sizes) < 20
+
+
 class _Cell:
     """What a processor asks of Spark for one key: list states by name, timers and the watermark."""
 
